@@ -13,10 +13,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import stage
+from panelforge.llm.common import checkpoint, stage
 from panelforge.llm.labelled import FIT_ROWS, fit_logistic, labelled_sample, sigmoid
 
 FEATURES = ["upper", "shout", "symbols", "bars", "repeats", "runs", "length", "short", "long_words"]
+#: Sites whose posteriors may be broadcast.
+SMALL = 100_000
 _SYMBOLS = b"$%#&*|~^<>{}=\\"
 
 
@@ -106,25 +108,28 @@ def _logit(p: Column) -> Column:
     return F.ln(p / (1 - p))
 
 
-def quality(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", threshold: float = 0.5, rows: int = FIT_ROWS, keep: list[str] | None = None) -> DataFrame:
-    """One row per row of docs: `keep` columns (default doc_id), p_doc, host_posterior, path_posterior, p_good, good.
+def judge(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", threshold: float = 0.5, rows: int = FIT_ROWS) -> DataFrame:
+    """docs with p_doc, host_posterior, path_posterior, p_good and good (columns of these names are replaced).
 
     docs needs doc_id, text and the host and path columns. Null and empty texts carry no evidence: p_doc is the
-    classifier's intercept alone. Repeated rows count each; an empty table gives an empty result; without labels
-    every document has p_doc 0.5 and is good.
+    classifier's intercept alone. Null hosts and paths are sites like any other. Repeated rows count each; an
+    empty table gives an empty result; without labels every p_doc is 0.5 and every document good.
     """
-    keep = keep or ["doc_id"]
-    own = docs.select(*[F.col(c) for c in keep], F.col(host).alias("host"), F.col(path).alias("path"), "text") if "text" not in keep else docs.select(*[F.col(c) for c in keep], F.col(host).alias("host"), F.col(path).alias("path"))
-    scored = with_evidence(own, *fit_shape(docs, labels, rows))
-    evidence = stage(scored.drop("text") if "text" not in keep else scored, "evidence")
-    sites = site_posteriors(evidence.select("host", "path", "p_doc")).withColumnsRenamed({"host": "h", "path": "p"})
-    out = evidence.join(sites, F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("p")), "left")
+    docs = docs.drop("p_doc", "host_posterior", "path_posterior", "p_good", "good")
+    weights, scale = fit_shape(docs, labels, rows)
+    own = docs.select("text", F.col(host).alias("host"), F.col(path).alias("path"))
+    evidence = stage(with_evidence(own, weights, scale).select("host", "path", "p_doc"), "evidence")
+    sites = checkpoint(site_posteriors(evidence).select(F.col("host").alias("__host"), F.col("path").alias("__path"), "host_posterior", "path_posterior", "global_rate"))
+    if sites.count() <= SMALL:  # a row a path; beyond that the join shuffles
+        sites = F.broadcast(sites)
+    out = with_evidence(docs, weights, scale).join(sites, F.col(host).eqNullSafe(F.col("__host")) & F.col(path).eqNullSafe(F.col("__path")), "left")
     shifted = _logit(F.col("p_doc")) + _logit(F.col("path_posterior")) - _logit(F.col("global_rate"))
-    out = out.withColumn("p_good", 1 / (1 + F.exp(-shifted)))
-    return out.select(*keep, "p_doc", "host_posterior", "path_posterior", "p_good", (F.col("p_good") >= threshold).alias("good"))
+    out = out.withColumn("p_good", 1 / (1 + F.exp(-shifted))).withColumn("good", F.col("p_good") >= threshold)
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns], "p_doc", "host_posterior", "path_posterior", "p_good", "good")
 
 
 def op2_quality(spark, sf_dir: str) -> DataFrame:
     """Quality verdict on every document; source is the host, language the path."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source", "lang")
-    return quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    judged = judge(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return judged.select("doc_id", "p_doc", "host_posterior", "path_posterior", "p_good", "good")

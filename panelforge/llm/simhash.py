@@ -15,10 +15,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import stage
+from panelforge.llm.common import mix64, row_hash, stage
 from panelforge.llm.graph import connected_components
 
 #: Bits in which linked fingerprints may differ: what two balls of radius 1 in a half guarantee to find.
@@ -39,28 +39,43 @@ def shingles(text: bytes, n: int) -> list[bytes]:
     return [flat[s:e] for s, e in zip(starts[:k].tolist(), ends[min(n, len(words)) - 1 :].tolist(), strict=True)]
 
 
-def fingerprint(text: bytes, n: int, seed: int = 42) -> int:
-    """SimHash: a bit is set if it is set in over half of the shingles' XXH64; 0 without words."""
+def fingerprint(text: bytes, n: int, seed: int = 42, words: int = 1) -> list[int]:
+    """SimHash of 64 bits a word: a bit is set if it is set in over half of the shingles' hashes; 0 without words.
+
+    The first word votes with XXH64, further ones with mixed values of it.
+    """
     found = shingles(text, n)
     if not found:
-        return 0
+        return [0] * words
     digest = xxhash.xxh64_intdigest
     h = np.fromiter((digest(s, seed) for s in found), np.uint64, len(found))
-    votes = np.zeros(64, np.int64)
-    for at in range(0, h.size, 1 << 16):
-        votes += np.unpackbits(h[at : at + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * votes > h.size).tobytes(), "big")
+    out = []
+    for j in range(words):
+        own = mix64(h + np.uint64(j * 0x9E3779B97F4A7C15 % (1 << 64))) if j else h
+        votes = np.zeros(64, np.int64)
+        for at in range(0, h.size, 1 << 16):
+            votes += np.unpackbits(own[at : at + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        out.append(int.from_bytes(np.packbits(2 * votes > h.size).tobytes(), "big"))
+    return out
 
 
-def with_fingerprint(docs: DataFrame, n: int = 4, seed: int = 42) -> DataFrame:
-    """(doc_id, fp) of docs (doc_id, text): fp is the 64-bit fingerprint as a signed long. Null texts have no words."""
+def with_fingerprint(docs: DataFrame, n: int = 4, seed: int = 42, words: int = 1) -> DataFrame:
+    """docs (text and any others) without text, with longs f0, f1, ...: the fingerprint's words. Null texts have no words."""
+    rest = [c for c in docs.columns if c != "text"]
+    fps = [f"f{j}" for j in range(words)]
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema.fields if f.name != "text") + ", ".join(f"{f} long" for f in fps)
 
     def run(batches):
         for b in batches:
-            fp = [fingerprint((t.as_py() or "").encode("utf-8", "surrogatepass"), n, seed) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(np.array(fp, np.uint64).view(np.int64))], names=["doc_id", "fp"])
+            texts = b.column(0).cast(pa.binary())
+            fp = np.array([fingerprint(t.as_py() or b"", n, seed, words) for t in texts], np.uint64).reshape(-1, words).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], *[pa.array(np.ascontiguousarray(c)) for c in fp.T]], names=[*rest, *fps])
+
+    return docs.select("text", *rest).mapInArrow(run, schema)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+
+def _distance(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(x ^ y).sum(axis=-1)
 
 
 def _pairs(fps: np.ndarray, group: np.ndarray, distance: int):
@@ -70,7 +85,7 @@ def _pairs(fps: np.ndarray, group: np.ndarray, distance: int):
         same = np.flatnonzero(group[off:] == group[:-off])
         if not same.size:
             break
-        near = same[np.bitwise_count(fps[same] ^ fps[same + off]) <= distance]
+        near = same[_distance(fps[same], fps[same + off]) <= distance]
         out.append((fps[near], fps[near + off]))
     return out
 
@@ -78,29 +93,31 @@ def _pairs(fps: np.ndarray, group: np.ndarray, distance: int):
 def _forest(fps: np.ndarray, distance: int):
     """Spanning forest of one entry: each search step compares one member with those not yet reached."""
     left, out = fps, []
-    while left.size:
+    while len(left):
         queue, left = [left[0]], left[1:]
-        while queue and left.size:
+        while queue and len(left):
             at = queue.pop()
-            near = np.bitwise_count(left ^ at) <= distance
+            near = _distance(left, at) <= distance
             if near.any():
                 new = left[near]
-                out.append((np.full(new.size, at), new))
+                out.append((np.repeat(at[None, :], len(new), axis=0), new))
                 queue.extend(new)
                 left = left[~near]
     return out
 
 
-def _entries(distance: int, hot: int):
-    """Arrow function over rows (key, fp) sorted by key: edges (a, b); b is null for members of entries beyond hot."""
+def _entries(words: int, distance: int, hot: float):
+    """Arrow function over rows (key, fingerprint) sorted by key: edges a*, b*; b* is null for members of entries beyond hot."""
+    names = [f"{x}{j}" for x in "ab" for j in range(words)]
 
     def edges(found):
-        a = np.concatenate([x for x, _ in found]) if found else np.empty(0, np.uint64)
-        b = np.concatenate([y for _, y in found]) if found else np.empty(0, np.uint64)
-        return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+        none = np.empty((0, words), np.uint64)
+        a = np.concatenate([none, *[x for x, _ in found]])
+        b = np.concatenate([none, *[y for _, y in found]])
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c).view(np.int64)) for m in (a, b) for c in m.T], names=names)
 
     def members(fps):
-        return pa.RecordBatch.from_arrays([pa.array(fps.view(np.int64)), pa.nulls(fps.size, pa.int64())], names=["a", "b"])
+        return pa.RecordBatch.from_arrays([*[pa.array(np.ascontiguousarray(c).view(np.int64)) for c in fps.T], *[pa.nulls(len(fps), pa.int64())] * words], names=names)
 
     def resolve(key, fps):
         cut = np.flatnonzero(np.diff(key)) + 1
@@ -114,10 +131,10 @@ def _entries(distance: int, hot: int):
         return edges(found)
 
     def run(batches):
-        held_key, held, flowing = np.empty(0, np.int64), np.empty(0, np.uint64), None
+        held_key, held, flowing = np.empty(0, np.int64), np.empty((0, words), np.uint64), None
         for b in batches:
             key = np.concatenate((held_key, b.column(0).to_numpy()))
-            fps = np.concatenate((held, b.column(1).to_numpy().view(np.uint64)))
+            fps = np.concatenate((held, np.stack([c.to_numpy() for c in b.columns[1:]], axis=1).view(np.uint64)))
             if flowing is not None:  # members of an entry that is known to be too large pass through
                 same = int(np.searchsorted(key, flowing, "right"))
                 if same:
@@ -132,11 +149,11 @@ def _entries(distance: int, hot: int):
             if last:
                 yield resolve(key[:last], fps[:last])
             held_key, held = key[last:], fps[last:]
-            if held.size > hot:
+            if len(held) > hot:
                 flowing = held_key[0]
                 yield members(held)
                 held_key, held = held_key[:0], held[:0]
-        if held.size:
+        if len(held):
             yield resolve(held_key, held)
 
     return run
@@ -151,21 +168,52 @@ def _midpoints(members: DataFrame) -> DataFrame:
     return balls.join(centre, "mid").where("fp <> b").select(F.col("fp").alias("a"), "b")
 
 
-def link_fingerprints(fps: DataFrame, hot: int = HOT) -> DataFrame:
-    """Edges (a, b) between distinct fingerprints (column fp) that connect all within DISTANCE bits."""
+def _node(prefix: str, words: int) -> Column:
+    """A fingerprint as one value: the long itself, or its words in hexadecimal."""
+    cols = [F.col(f"{prefix}{j}") for j in range(words)]
+    return cols[0] if words == 1 else F.concat_ws("-", *[F.hex(c) for c in cols])
+
+
+def link_fingerprints(fps: DataFrame, words: int = 1, distance: int = DISTANCE, hot: int = HOT) -> DataFrame:
+    """Edges (a, b), as nodes, between distinct fingerprints (f0, f1, ...) that connect what the probes find.
+
+    Of one word and distance 4: all pairs within 4 bits. Of more words: all pairs that differ by at most 2 bits
+    in one of the halves, and by at most `distance` in all (entries of any size are searched breadth first).
+    """
+    if words == 1 and distance != DISTANCE:
+        raise ValueError("one word is searched for distance 4")
     flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << i) for i in range(32)])
-    low = F.transform(flips, lambda m: F.col("fp").bitwiseAND(F.lit((1 << 32) - 1)).bitwiseXOR(m))
-    high = F.transform(flips, lambda m: F.shiftrightunsigned("fp", 32).bitwiseXOR(m).bitwiseOR(F.lit(1 << 32)))
-    keys = fps.select("fp").distinct().select(F.explode(F.concat(low, high)).alias("key"), "fp")
-    keys = keys.repartition("key").sortWithinPartitions("key")
-    found = stage(keys.mapInArrow(_entries(DISTANCE, hot), "a long, b long"), "simhash-edges")
-    edges = found.where("b is not null").distinct()
-    crowded = found.where("b is null").select("a").distinct()
-    if not crowded.isEmpty():
-        edges = edges.unionByName(_midpoints(crowded))
+
+    def ball(value: Column, half: int) -> Column:
+        return F.transform(flips, lambda m: value.bitwiseXOR(m).bitwiseOR(F.lit(half << 32)))
+
+    keys = []
+    for j in range(words):
+        low = F.col(f"f{j}").bitwiseAND(F.lit((1 << 32) - 1))
+        for half, value in ((2 * j, low), (2 * j + 1, F.shiftrightunsigned(f"f{j}", 32))):
+            keys.append(ball(value, half))
+    names = [f"f{j}" for j in range(words)]
+    rows = fps.select(*names).distinct().select(F.explode(F.concat(*keys)).alias("key"), *names)
+    rows = rows.repartition("key").sortWithinPartitions("key")
+    schema = ", ".join(f"{x}{j} long" for x in "ab" for j in range(words))
+    found = stage(rows.mapInArrow(_entries(words, distance, hot if words == 1 else float("inf")), schema), "simhash-edges")
+    edges = found.where("b0 is not null").select(_node("a", words).alias("a"), _node("b", words).alias("b")).distinct()
+    if words == 1:
+        crowded = found.where("b0 is null").select(F.col("a0").alias("a")).distinct()
+        if not crowded.isEmpty():
+            edges = edges.unionByName(_midpoints(crowded))
     return edges
 
 
+def _components(fp: DataFrame, words: int, distance: int, hot: int) -> DataFrame:
+    """(node, comp) of every fingerprint of fp."""
+    names = [f"f{j}" for j in range(words)]
+    nodes = fp.select(*names).distinct()
+    comp = connected_components(link_fingerprints(nodes, words, distance, hot)).withColumnRenamed("node", "of")
+    own = nodes.select(_node("f", words).alias("node"))
+    return own.join(comp, own.node == comp.of, "left").select("node", F.coalesce("comp", "node").alias("comp"))
+
+
 def near_duplicates(docs: DataFrame, n: int = 4, seed: int = 42, hot: int = HOT) -> DataFrame:
     """(doc_id, fp, component_id) for each row of docs (doc_id, text).
 
@@ -173,13 +221,32 @@ def near_duplicates(docs: DataFrame, n: int = 4, seed: int = 42, hot: int = HOT)
     doc_id reachable (nulls don't count; null if a component has none). Null, empty and blank texts have
     fingerprint 0, which links like any other. Repeated rows are repeated in the result; an empty table gives none.
     """
-    fp = stage(with_fingerprint(docs, n, seed), "simhash-fp")
-    nodes = fp.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    comp = connected_components(link_fingerprints(nodes, hot))
-    named = nodes.join(comp, nodes.fp == comp.node, "left").select("fp", "least", F.coalesce("comp", "fp").alias("comp"))
+    fp = stage(with_fingerprint(docs.select("doc_id", "text"), n, seed), "simhash-fp")
+    comp = _components(fp, 1, DISTANCE, hot)
+    least = fp.groupBy("f0").agg(F.min("doc_id").alias("least"))
+    named = least.join(comp, F.col("f0") == F.col("node")).select("node", "least", "comp")
     ids = named.groupBy("comp").agg(F.min("least").alias("component_id"))
-    of = named.join(ids, "comp").select(F.col("fp").alias("f"), "component_id")
-    return fp.join(of, F.col("fp") == F.col("f")).select("doc_id", "fp", "component_id")
+    of = named.join(ids, "comp").select("node", "component_id")
+    return fp.join(of, F.col("f0") == F.col("node")).select("doc_id", F.col("f0").alias("fp"), "component_id")
+
+
+def keep_one(docs: DataFrame, n: int = 5, words: int = 2, distance: int = 19, seed: int = 42) -> DataFrame:
+    """docs with one row of each near-duplicate group: the least doc_id (nulls last; then the least row hash).
+
+    Fingerprints of 128 bits over five-word shingles: at a Jaccard similarity of 0.8 two texts' fingerprints
+    differ in 19 bits on average. Columns and texts stay as they are; rows that repeat in full become one. All
+    texts without words are one group. An empty table stays empty.
+    """
+    rows = docs.withColumn("__row", row_hash(docs))
+    fp = stage(with_fingerprint(rows.select("doc_id", "__row", "text"), n, seed, words), "simhash-fp")
+    comp = _components(fp, words, distance, HOT)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "__row"))
+    least = fp.groupBy(_node("f", words).alias("node")).agg(first.alias("best"))
+    best = least.join(comp, "node").groupBy("comp").agg(F.min("best").alias("best")).select(F.col("best.__row").alias("__row"))
+    kept = rows.join(best, "__row", "left_semi")
+    if not fp.groupBy("__row").count().where("count > 1").isEmpty():
+        kept = kept.dropDuplicates(["__row"])
+    return kept.drop("__row")
 
 
 def op9_simhash(spark, sf_dir: str) -> DataFrame:

@@ -327,28 +327,35 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD) ->
     return texts, spans
 
 
-def _without(batches):
-    for b in batches:
-        kept, removed, runs = [], [], []
-        for t, spans in zip(b.column(2), b.column(3), strict=True):
-            data = t.as_py().encode("utf-8", "surrogatepass")
-            cut = merge_spans((x["s"], x["e"]) for x in spans.as_py())
-            edges = [0, *[v for s in cut for v in s], len(data)]
-            kept.append(b"".join(data[edges[i] : edges[i + 1]] for i in range(0, len(edges), 2)))
-            removed.append(len(data) - len(kept[-1]))
-            runs.append(len(cut))
-        cols = [b.column(0), b.column(1), pa.array(kept, pa.binary()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64())]
-        yield pa.RecordBatch.from_arrays(cols, names=["k1", "k2", "kept", "n_removed", "n_spans"])
-
-
-def remove_repeats(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD) -> DataFrame:
-    """(k1, k2, kept, n_removed, n_spans) of each distinct text of docs that loses bytes; kept is binary.
-
-    Null and empty texts, and those under `length` bytes, lose nothing. A text that occurs twice loses all its
-    bytes if it has `length` of them. Other columns don't matter; an empty table gives an empty result.
+def _without(as_text: bool):
+    """Arrow function over (k1, k2, text, spans): what is left of each text, and the counts of bytes and runs removed."""
+
+    def run(batches):
+        for b in batches:
+            kept, removed, runs = [], [], []
+            for t, spans in zip(b.column(2).cast(pa.binary()), b.column(3), strict=True):
+                data = t.as_py()
+                cut = merge_spans((x["s"], x["e"]) for x in spans.as_py())
+                edges = [0, *[v for s in cut for v in s], len(data)]
+                kept.append(b"".join(data[edges[i] : edges[i + 1]] for i in range(0, len(edges), 2)))
+                removed.append(len(data) - len(kept[-1]))
+                runs.append(len(cut))
+            left = pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), left, pa.array(removed, pa.int64()), pa.array(runs, pa.int64())], names=["k1", "k2", "kept", "n_removed", "n_spans"])
+
+    return run
+
+
+def remove_repeats(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD, as_text: bool = False) -> DataFrame:
+    """(k1, k2, kept, n_removed, n_spans) of each distinct text of docs that loses bytes.
+
+    kept is binary; as_text: a string, without the halves of characters that were cut. Null and empty texts, and
+    those under `length` bytes, lose nothing. A text that occurs twice loses all its bytes if it has `length` of
+    them. Other columns don't matter; an empty table gives an empty result.
     """
     texts, spans = repeated_spans(docs, length, crowd)
-    return texts.join(spans, ["k1", "k2"]).select("k1", "k2", "text", "spans").mapInArrow(_without, "k1 long, k2 long, kept binary, n_removed long, n_spans long")
+    rows = texts.join(spans, ["k1", "k2"]).select("k1", "k2", "text", "spans")
+    return rows.mapInArrow(_without(as_text), f"k1 long, k2 long, kept {'string' if as_text else 'binary'}, n_removed long, n_spans long")
 
 
 def op4_suffix_dedup(spark, sf_dir: str) -> DataFrame:
@@ -368,9 +375,9 @@ def dedup_documents(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     n_chars, where docs has it, counts the text that is left.
     """
     names = docs.columns
-    cut = remove_repeats(docs.select("text"), length).select("k1", "k2", "kept")
+    cut = remove_repeats(docs.select("text"), length, as_text=True).select("k1", "k2", "kept")
     rows = keyed(docs.select(*[F.col(f"`{c}`").alias(f"__{c}") for c in names]).withColumn("text", F.col("__text")))
-    out = rows.join(cut, ["k1", "k2"], "left").withColumn("__text", F.coalesce(F.replace(F.decode("kept", F.lit("UTF-8")), F.lit("\ufffd"), F.lit("")), "__text"))
+    out = rows.join(cut, ["k1", "k2"], "left").withColumn("__text", F.coalesce("kept", "__text"))
     if "n_chars" in names:
         out = out.withColumn("__n_chars", F.coalesce(F.when(F.col("kept").isNotNull(), F.length("__text").cast("long")), F.col("__n_chars")))
     return out.select(*[F.col(f"`__{c}`").alias(c) for c in names])
