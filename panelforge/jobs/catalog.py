@@ -2,4 +2,21 @@
 
 from __future__ import annotations
 
+from panelforge.jobs import flagship
+from panelforge.operators import aggregates, generic, grids, keys, model, permutation, rows
+from panelforge.sources.adapters import DuckDialect, SparkDialect, run_sql
+
+
+def _from_book(book: dict, run=run_sql) -> dict:
+    def entry(text):
+        return (lambda spark, sf_dir: run(spark, sf_dir, text(SparkDialect())), text(DuckDialect()))
+
+    return {name: entry(text) for name, text in book.items()}
+
+
 CATALOG: dict = {}
+for _module in (rows, keys, aggregates, grids, generic):
+    CATALOG |= _from_book(_module.BOOK)
+for _module in (model, permutation):
+    CATALOG |= _from_book(_module.BOOK, model.staged)
+CATALOG["roi_stats"] = (flagship.roi_stats, CATALOG["roi_stats"][1])
