@@ -35,8 +35,8 @@ LEAST = 2
 #: The hash that stands for the end of a text (and for what precedes its first word).
 END = np.uint64(0x5E5E_5E5E_0000_0001)
 #: Entries that one shard of a level, or one bucket of counts, aims at.
-SHARD = 2_000_000
-CHUNK = 1 << 22
+SHARD = 1_000_000
+CHUNK = 1 << 21
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _OPEN: dict[str, dict[str, np.ndarray]] = {}
@@ -323,7 +323,7 @@ def _total(least: int):
                 now = bucket
                 held.append(_unpack(n, block.as_py()))
                 size += n
-                if size > 4 * SHARD:  # fold what has come so far
+                if size > 2 * SHARD:  # fold what has come so far
                     held = [add(held)]
                     size = held[0][0].size
         if held:
@@ -408,12 +408,13 @@ def train(docs: DataFrame, folder: str | None = None) -> Model:
     """Model of the training documents of docs (doc_id, text); its levels are files in the shared folder.
 
     Counts cover every training text in whole. Only each level's shard list comes to the driver (a row per
-    2,000,000 entries).
+    SHARD entries).
     """
     spark = docs.sparkSession
     folder = folder or f"{shared_dir(spark)}/ngrams-{uuid.uuid4().hex}"
     docs = docs.select("doc_id", "text")
-    vocab = stage(count_keys(docs, lambda t: token_hashes(t)[0], 40 * SHARD, 1), "words")
+    volume = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    vocab = stage(count_keys(docs, lambda t: token_hashes(t)[0], volume // 24, 1), "words")
     size, total = vocab.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
     if not size:
         return Model(Words([], 0, 0))
