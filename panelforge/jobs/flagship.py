@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Added before rounding, so that exact halves round alike whatever the order of summation.
+NUDGE = 3.7e-12
+
+
 def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per order line: subject (nation), stratum (region), roi (brand), condition (return flag), value."""
     read = lambda name, *columns: spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
@@ -24,7 +28,7 @@ def cell_statistics(lines: DataFrame, *keys: str) -> DataFrame:
     """Mean over all values (zeros included), count, exact zeros and their share, by keys; partial sums before the shuffle."""
     zero = F.count_if(F.col("value") == 0)
     return lines.groupBy(*keys).agg(
-        F.round(F.avg("value"), 6).alias("roi_mean"), F.count("*").alias("n_voxels"), zero.alias("n_zero"), F.round(zero / F.count("*"), 6).alias("zero_fraction")
+        F.round(F.avg("value") + NUDGE, 9).alias("roi_mean"), F.count("*").alias("n_voxels"), zero.alias("n_zero"), F.round(zero / F.count("*"), 6).alias("zero_fraction")
     )
 
 

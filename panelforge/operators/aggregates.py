@@ -4,18 +4,18 @@ from __future__ import annotations
 
 from panelforge.sources.adapters import CELLS, GRID, LINES, LONG
 
-_ROUND = "round({0}, 6) AS {1}"
+# Cell means get 3.7e-12 added before rounding: exact halves then round alike whatever the order of summation.
 
 BOOK = {
     # cell mean over all voxels (zeros included), voxel count, exact-zero count
     "roi_stats": lambda d: f"""WITH {CELLS}
-SELECT subject, condition, roi, round(roi_mean, 6) AS roi_mean, n_voxels, n_zero, round(zero_fraction, 6) AS zero_fraction FROM cells""",
+SELECT subject, condition, roi, round(roi_mean + 3.7e-12, 9) AS roi_mean, n_voxels, n_zero, round(zero_fraction, 6) AS zero_fraction FROM cells""",
     "roi_stats_nonzero": lambda d: f"""WITH {LINES}
-SELECT subject, condition, roi, round(avg(CASE WHEN value <> 0 THEN value END), 6) AS mean_nonzero,
+SELECT subject, condition, roi, round(avg(CASE WHEN value <> 0 THEN value END) + 3.7e-12, 9) AS mean_nonzero,
        count(CASE WHEN value <> 0 THEN 1 END) AS n_kept, count(CASE WHEN value <> 0 THEN 1 END) = 0 AS not_estimable
 FROM lines GROUP BY subject, condition, roi""",
     "condition_mean": lambda d: f"""WITH {LONG}
-SELECT subject, roi, round(rcps_mean, 6) AS rcps_mean FROM long_table""",
+SELECT subject, roi, round(rcps_mean + 3.7e-12, 9) AS rcps_mean FROM long_table""",
     "count_consistency": lambda d: f"""WITH {CELLS}
 SELECT count(*) AS cells, count(CASE WHEN n_zero < 0 OR n_zero > n_voxels THEN 1 END) AS zeros_out_of_range,
        count(CASE WHEN n_voxels <= 0 THEN 1 END) AS empty_cells,
@@ -24,14 +24,14 @@ SELECT count(*) AS cells, count(CASE WHEN n_zero < 0 OR n_zero > n_voxels THEN 1
 SELECT count(*) AS n_rows, count(DISTINCT subject) AS subjects, count(DISTINCT roi) AS rois,
        count(*) - count(DISTINCT concat(CAST(subject AS VARCHAR(20)), '|', roi)) AS duplicate_keys,
        count(CASE WHEN thickness IS NULL OR isnan(thickness) THEN 1 END) AS bad_thickness,
-       round(min(rcps_mean), 6) AS low, round({d.pct('rcps_mean', 0.5)}, 6) AS median, round(max(rcps_mean), 6) AS high,
+       round(min(rcps_mean) + 3.7e-12, 9) AS low, round({d.pct('rcps_mean', 0.5)}, 6) AS median, round(max(rcps_mean) + 3.7e-12, 9) AS high,
        count(CASE WHEN rcps_a = rcps_n AND rcps_n = rcps_r THEN 1 END) AS identical_across_conditions FROM long_table""",
     "range_by_condition": lambda d: f"""WITH {CELLS}
-SELECT condition, round(min(roi_mean), 6) AS low, round({d.pct('roi_mean', 0.5)}, 6) AS median, round(max(roi_mean), 6) AS high,
+SELECT condition, round(min(roi_mean) + 3.7e-12, 9) AS low, round({d.pct('roi_mean', 0.5)}, 6) AS median, round(max(roi_mean) + 3.7e-12, 9) AS high,
        CAST(sum(n_voxels) AS BIGINT) AS voxels, CAST(sum(n_zero) AS BIGINT) AS zeros,
        count(CASE WHEN zero_fraction > 0.1 THEN 1 END) AS cells_over_threshold FROM cells GROUP BY condition""",
     "pivot_conditions": lambda d: f"""WITH {LONG}
-SELECT subject, roi, round(rcps_a, 6) AS rcps_a, round(rcps_n, 6) AS rcps_n, round(rcps_r, 6) AS rcps_r FROM long_table""",
+SELECT subject, roi, round(rcps_a + 3.7e-12, 9) AS rcps_a, round(rcps_n + 3.7e-12, 9) AS rcps_n, round(rcps_r + 3.7e-12, 9) AS rcps_r FROM long_table""",
     "label_counts": lambda d: f"""WITH {d.voxels}{GRID}
 SELECT scan, label, count(*) AS n FROM grid GROUP BY scan, label""",
     "roi_qc_counts": lambda d: f"""WITH {d.voxels}{GRID},
@@ -91,7 +91,7 @@ FROM grid WHERE value > 0 GROUP BY scan""",
 SELECT condition AS scenario, count(*) AS n, count(CASE WHEN zero_fraction <= 0.05 THEN 1 END) AS rejections,
        round(avg(CASE WHEN zero_fraction <= 0.05 THEN 1e0 ELSE 0e0 END), 6) AS rate,
        round(sqrt(avg(CASE WHEN zero_fraction <= 0.05 THEN CAST(1 AS DOUBLE) ELSE 0 END) * (1 - avg(CASE WHEN zero_fraction <= 0.05 THEN CAST(1 AS DOUBLE) ELSE 0 END)) / count(*)), 6) AS standard_error,
-       round(avg(roi_mean), 6) AS t_mean, round({d.pct('roi_mean', 0.5)}, 6) AS t_median, round(min(zero_fraction), 6) AS p_low, round(max(zero_fraction), 6) AS p_high
+       round(avg(roi_mean) + 3.7e-12, 9) AS t_mean, round({d.pct('roi_mean', 0.5)}, 6) AS t_median, round(min(zero_fraction), 6) AS p_low, round(max(zero_fraction), 6) AS p_high
 FROM cells GROUP BY condition""",
     "exceedance": lambda d: f"""WITH {CELLS}, t AS (SELECT roi, condition, avg(roi_mean) AS t FROM cells GROUP BY roi, condition)
 SELECT a.roi, count(CASE WHEN b.t >= a.t THEN 1 END) AS k, count(*) AS b FROM t a JOIN t b ON a.roi = b.roi WHERE a.condition = 'A' GROUP BY a.roi""",

@@ -100,7 +100,7 @@ def staged(spark, sf_dir: str, sql: str):
         head.append(f"{name} AS {body}")
         if mentions(name, rest) > 1 and name not in CHEAP:
             run_sql(spark, sf_dir, f"WITH {', '.join(head)} SELECT * FROM {name}").transform(materialised).createOrReplaceTempView(name)
-            head = []
+            head.pop()  # from here on the view stands for it
     return run_sql(spark, sf_dir, f"WITH {', '.join(head)} {final}" if head else final)
 
 
