@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from panelforge.jobs import flagship
+from panelforge.jobs import flagship, inference
 from panelforge.operators import aggregates, generic, grids, keys, model, permutation, rows
 from panelforge.sources.adapters import DuckDialect, SparkDialect, run_sql
 
@@ -20,3 +20,5 @@ for _module in (rows, keys, aggregates, grids, generic):
 for _module in (model, permutation):
     CATALOG |= _from_book(_module.BOOK, model.staged)
 CATALOG["roi_stats"] = (flagship.roi_stats, CATALOG["roi_stats"][1])
+for _name, _run in inference.QUERIES.items():
+    CATALOG[_name] = (_run, None)

@@ -70,3 +70,39 @@ def test_roi_stats_fixture(spark):
     df = spark.createDataFrame([(a, float(v)) for a, v in zip(labels, values, strict=True)], "label int, value double")
     got = {r.label: (r.roi_mean, r.n_voxels, r.n_zero) for r in cell_statistics(df.where(F.col("label").isin(1001, 1002)), "label").collect()}
     assert got == {1001: (2.0, 4, 2), 1002: (2.0, 2, 1)}
+
+
+def test_sufficient_statistics_equal_direct_fits():
+    from panelforge.functions.nested_loso import Panel, assignments
+
+    r = np.random.default_rng(3)
+    x = r.normal(size=(7, 9, 2))
+    x[:, :, 1] = np.arange(9) + 0.1
+    x[4, :, 1] += 1  # the second feature varies through one subject only
+    y = 0.7 * x[:, :, 0] + 0.3 * r.normal(size=(7, 9))
+    donors = assignments([[0, 1, 2], [3, 4, 5, 6]], 3, 7)
+    assert all(sorted(d[:3]) == [0, 1, 2] and sorted(d) == list(range(7)) for d in donors)
+    for d in (np.arange(7), *donors):
+        best, base, ridge = Panel(x, y).folds(d)
+        for s, want in enumerate(direct(x[d], y)):
+            assert (-1 if np.isinf(best[s]) else best[s]) == want[0]
+            assert base[s] == pytest.approx(want[1], rel=1e-9) and ridge[s] == pytest.approx(want[2], rel=1e-9)
+
+
+def test_exact_intervals():
+    from panelforge.functions.special import clopper_pearson, upper_bound
+
+    assert clopper_pearson(5, 10) == pytest.approx((0.18708603, 0.81291397), abs=1e-8)
+    assert clopper_pearson(0, 19)[0] == 0 and clopper_pearson(0, 19)[1] == pytest.approx(1 - 0.025 ** (1 / 19)) and clopper_pearson(19, 19)[1] == 1
+    assert upper_bound(19, 500, 0.975) == pytest.approx(0.0587072905, abs=1e-9) and upper_bound(22, 500, 0.975) == pytest.approx(0.0658610003, abs=1e-9)
+
+
+def test_seeded_test_and_study(spark):
+    from panelforge.jobs import inference
+
+    path = "/root/testdata/sf0.01"
+    got = inference.permutation_seeded(spark, path).first()
+    assert got.b == inference.REPLICATES and got.p_value == (1 + got.k) / (got.b + 1) and got.low <= got.k / got.b <= got.high and got.t_obs > 0
+    records = inference.study(spark, path, 3, 19).collect()
+    assert len(records) == 15 and all(0.05 <= r.p_value <= 1 for r in records)
+    assert np.mean([r.t_obs for r in records if r.scenario == "strong"]) > np.mean([r.t_obs for r in records if r.scenario == "null"])
