@@ -4,12 +4,19 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def materialised(df: DataFrame) -> DataFrame:
-    """Checkpoint in the folder that spark.checkpoint.dir names; a temporary folder only where none is set (tests)."""
-    context = df.sparkSession.sparkContext
+def scratch_dir(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; a temporary folder only where none is set (tests)."""
+    context = spark.sparkContext
+    where = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir() or tempfile.mkdtemp(prefix="panelforge-")
     if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="panelforge-"))
+        context.setCheckpointDir(where)
+    return where.rstrip("/")
+
+
+def materialised(df: DataFrame) -> DataFrame:
+    """Checkpoint in the shared scratch folder."""
+    scratch_dir(df.sparkSession)
     return df.checkpoint(eager=True)

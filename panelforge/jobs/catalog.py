@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from panelforge.jobs import flagship, inference
 from panelforge.operators import aggregates, generic, grids, keys, model, permutation, rows
+from panelforge.streaming.windows import stream_tumbling
 from panelforge.sources.adapters import DuckDialect, SparkDialect, run_sql
 
 
@@ -22,3 +23,4 @@ for _module in (model, permutation):
 CATALOG["roi_stats"] = (flagship.roi_stats, CATALOG["roi_stats"][1])
 for _name, _run in inference.QUERIES.items():
     CATALOG[_name] = (_run, None)
+CATALOG["generic_stream_tumbling"] = (stream_tumbling, CATALOG["generic_tumbling"][1])
