@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from panelforge.jobs import flagship, inference
-from panelforge.operators import aggregates, generic, grids, keys, model, permutation, rows
+from panelforge.operators import aggregates, generic, grids, keys, model, permutation, records, rows
 from panelforge.streaming.windows import stream_tumbling
 from panelforge.sources.adapters import DuckDialect, SparkDialect, run_sql
 
@@ -16,7 +16,7 @@ def _from_book(book: dict, run=run_sql) -> dict:
 
 
 CATALOG: dict = {}
-for _module in (rows, keys, aggregates, grids, generic):
+for _module in (rows, keys, aggregates, grids, records, generic):
     CATALOG |= _from_book(_module.BOOK)
 for _module in (model, permutation):
     CATALOG |= _from_book(_module.BOOK, model.staged)

@@ -140,3 +140,92 @@ QUERIES = {
     "clopper_pearson": clopper_pearson_rows,
     "study": study,
 }
+
+
+def calibration_check(spark: SparkSession, sf_dir: str, simulations: int = 8, replicates: int = 19, tolerance: float = 0.075) -> DataFrame:
+    """Per scenario: rejections, rate, exact interval, one-sided upper bound against the tolerance, attainable level."""
+    records = study(spark, sf_dir, simulations, replicates)
+    counts = records.groupBy("scenario").agg(F.count_if("reject").alias("k"), F.count("*").alias("n"), F.avg("t_obs").alias("t_mean"), F.avg("frac_infinite").alias("frac_infinite"))
+    attainable = np.floor(0.05 * (replicates + 1) + 1e-9) / (replicates + 1)
+
+    @F.pandas_udf("struct<low: double, high: double, upper: double>")
+    def interval(k: pd.Series, n: pd.Series) -> pd.DataFrame:
+        found = [(*clopper_pearson(int(a), int(b)), upper_bound(int(a), int(b), 0.975)) for a, b in zip(k, n, strict=True)]
+        return pd.DataFrame(found, columns=["low", "high", "upper"])
+
+    return counts.withColumn("i", interval("k", "n")).select(
+        "scenario", "k", "n", (F.col("k") / F.col("n")).alias("rate"), "i.*", (F.col("i.upper") <= tolerance).alias("within"), F.lit(float(attainable)).alias("attainable"), "t_mean", "frac_infinite"
+    )
+
+
+def five_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outer folds of the model with five features a cell (quantity, log price, discount, tax, log count)."""
+    sql = """WITH lines AS (SELECT c_nationkey AS s, p_brand AS r, l_quantity, l_extendedprice, l_discount, l_tax FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+  JOIN customer ON o_custkey = c_custkey JOIN part ON l_partkey = p_partkey)
+SELECT s, r, avg(l_quantity) AS x0, ln(sum(l_extendedprice)) AS x1, avg(l_discount) AS x2, avg(l_tax) AS x3, ln(count(*)) AS x4, avg(l_extendedprice * l_discount / 1000) AS y FROM lines GROUP BY s, r"""
+    cells = run_sql(spark, sf_dir, sql).toPandas().sort_values(["s", "r"])  # one row per subject and region
+    subjects, regions = cells["s"].unique(), cells["r"].nunique()
+    if len(cells) != len(subjects) * regions:
+        raise ValueError("cells of the panel are missing")
+    x = cells[[f"x{i}" for i in range(5)]].to_numpy().reshape(len(subjects), regions, 5)
+    best, base, ridge = Panel(x, cells["y"].to_numpy().reshape(len(subjects), regions)).folds()
+    rows = [(int(s), -1.0 if np.isinf(b) else float(b), float(u), float(v), float(u - v)) for s, b, u, v in zip(subjects, best, base, ridge, strict=True)]
+    return spark.createDataFrame(rows, "subject int, selected_lambda double, baseline_mse double, ridge_mse double, d double")
+
+
+def shift_optimum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per scan: the whole-voxel shift that best aligns it with the mean volume of its group, by coordinate search."""
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
+    means = vectors.select("label", F.posexplode("v").alias("p", "x")).groupBy("label", "p").agg(F.avg("x").alias("x"))
+    means = means.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "x"))), lambda s: s["x"]).alias("mean"))  # 64 values a group
+
+    def search(parts):
+        for part in parts:
+            out = []
+            for scan, v, mean in zip(part["vec_id"], part["v"], part["mean"], strict=True):
+                a, m = np.reshape(v, (4, 4, 4)), np.reshape(mean, (4, 4, 4))
+                score = lambda s: float((np.roll(a, s, (0, 1, 2)) * m).sum())  # noqa: B023, E731
+                at, best = [0, 0, 0], score((0, 0, 0))
+                moved = True
+                while moved:
+                    moved = False
+                    for axis in range(3):
+                        for step in (-1, 1):
+                            new = list(at)
+                            new[axis] += step
+                            if abs(new[axis]) <= 2 and score(new) > best:
+                                at, best, moved = new, score(new), True
+                out.append((scan, *at, best, best - score((0, 0, 0))))
+            yield pd.DataFrame(out, columns=["scan", "di", "dj", "dk", "score", "gain"])
+
+    return vectors.join(means, "label").select("vec_id", "v", "mean").mapInPandas(search, "scan long, di int, dj int, dk int, score double, gain double")
+
+
+def text_diff_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that a unified diff of each turn against the one before in its conversation adds and removes."""
+    from pyspark.sql import Window
+
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", F.regexp_replace("text", "[.] ", ".\n").alias("text"))
+    turns = turns.withColumn("before", F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))).where("before is not null")
+
+    @F.pandas_udf("struct<added: int, removed: int>")
+    def changed(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        import difflib
+
+        rows = []
+        for x, y in zip(a, b, strict=True):
+            lines = [s for s in difflib.unified_diff((x or "").splitlines(), (y or "").splitlines(), lineterm="") if not s.startswith(("+++", "---"))]
+            rows.append((sum(s[:1] == "+" for s in lines), sum(s[:1] == "-" for s in lines)))
+        return pd.DataFrame(rows, columns=["added", "removed"])
+
+    return turns.withColumn("d", changed("before", "text")).select("conv_id", "turn", "d.added", "d.removed")
+
+
+QUERIES |= {
+    "calibration_check": calibration_check,
+    "sens_five_feature": five_features,
+    "alignment_optimum": shift_optimum,
+    "text_diff_lines": text_diff_lines,
+    "simulate": lambda spark, sf_dir: study(spark, sf_dir, 1, 19),
+    "generic_approx": lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("event_type").agg(F.approx_count_distinct("user_id").alias("users"), F.percentile_approx("value", 0.5).alias("median")),
+}

@@ -15,7 +15,7 @@ SELECT subject, condition, roi, round(avg(CASE WHEN value <> 0 THEN value END) +
        count(CASE WHEN value <> 0 THEN 1 END) AS n_kept, count(CASE WHEN value <> 0 THEN 1 END) = 0 AS not_estimable
 FROM lines GROUP BY subject, condition, roi""",
     "condition_mean": lambda d: f"""WITH {LONG}
-SELECT subject, roi, round(rcps_mean + 3.7e-12, 9) AS rcps_mean FROM long_table""",
+SELECT subject, roi, round(cond_mean + 3.7e-12, 9) AS cond_mean FROM long_table""",
     "count_consistency": lambda d: f"""WITH {CELLS}
 SELECT count(*) AS cells, count(CASE WHEN n_zero < 0 OR n_zero > n_voxels THEN 1 END) AS zeros_out_of_range,
        count(CASE WHEN n_voxels <= 0 THEN 1 END) AS empty_cells,
@@ -24,14 +24,14 @@ SELECT count(*) AS cells, count(CASE WHEN n_zero < 0 OR n_zero > n_voxels THEN 1
 SELECT count(*) AS n_rows, count(DISTINCT subject) AS subjects, count(DISTINCT roi) AS rois,
        count(*) - count(DISTINCT concat(CAST(subject AS VARCHAR(20)), '|', roi)) AS duplicate_keys,
        count(CASE WHEN thickness IS NULL OR isnan(thickness) THEN 1 END) AS bad_thickness,
-       round(min(rcps_mean) + 3.7e-12, 9) AS low, round({d.pct('rcps_mean', 0.5)}, 6) AS median, round(max(rcps_mean) + 3.7e-12, 9) AS high,
-       count(CASE WHEN rcps_a = rcps_n AND rcps_n = rcps_r THEN 1 END) AS identical_across_conditions FROM long_table""",
+       round(min(cond_mean) + 3.7e-12, 9) AS low, round({d.pct('cond_mean', 0.5)}, 6) AS median, round(max(cond_mean) + 3.7e-12, 9) AS high,
+       count(CASE WHEN cond_a = cond_n AND cond_n = cond_r THEN 1 END) AS identical_across_conditions FROM long_table""",
     "range_by_condition": lambda d: f"""WITH {CELLS}
 SELECT condition, round(min(roi_mean) + 3.7e-12, 9) AS low, round({d.pct('roi_mean', 0.5)}, 6) AS median, round(max(roi_mean) + 3.7e-12, 9) AS high,
        CAST(sum(n_voxels) AS BIGINT) AS voxels, CAST(sum(n_zero) AS BIGINT) AS zeros,
        count(CASE WHEN zero_fraction > 0.1 THEN 1 END) AS cells_over_threshold FROM cells GROUP BY condition""",
     "pivot_conditions": lambda d: f"""WITH {LONG}
-SELECT subject, roi, round(rcps_a + 3.7e-12, 9) AS rcps_a, round(rcps_n + 3.7e-12, 9) AS rcps_n, round(rcps_r + 3.7e-12, 9) AS rcps_r FROM long_table""",
+SELECT subject, roi, round(cond_a + 3.7e-12, 9) AS cond_a, round(cond_n + 3.7e-12, 9) AS cond_n, round(cond_r + 3.7e-12, 9) AS cond_r FROM long_table""",
     "label_counts": lambda d: f"""WITH {d.voxels}{GRID}
 SELECT scan, label, count(*) AS n FROM grid GROUP BY scan, label""",
     "roi_qc_counts": lambda d: f"""WITH {d.voxels}{GRID},

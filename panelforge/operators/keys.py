@@ -20,14 +20,14 @@ SELECT w.user_id, w.roi, w.part FROM want w WHERE NOT EXISTS (SELECT 1 FROM ev W
     "extra_keys": lambda d: """SELECT d.doc_id FROM documents d LEFT ANTI JOIN labels l ON d.doc_id = l.doc_id""" if d.name == "spark" else """SELECT d.doc_id FROM documents d ANTI JOIN labels l ON d.doc_id = l.doc_id""",
     "duplicate_keys": lambda d: """SELECT l_orderkey, l_linenumber, count(*) AS n, min(l_partkey) AS first_part FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1""",
     "long_table": lambda d: f"""WITH {LONG}
-SELECT subject, roi, round(thickness, 6) AS thickness, round(area, 4) AS area, round(ln_area, 6) AS ln_area, round(rcps_a + 3.7e-12, 9) AS rcps_a,
-       round(rcps_n + 3.7e-12, 9) AS rcps_n, round(rcps_r + 3.7e-12, 9) AS rcps_r, round(rcps_mean + 3.7e-12, 9) AS rcps_mean FROM long_table""",
+SELECT subject, roi, round(thickness, 6) AS thickness, round(area, 4) AS area, round(ln_area, 6) AS ln_area, round(cond_a + 3.7e-12, 9) AS cond_a,
+       round(cond_n + 3.7e-12, 9) AS cond_n, round(cond_r + 3.7e-12, 9) AS cond_r, round(cond_mean + 3.7e-12, 9) AS cond_mean FROM long_table""",
     "long_table_contract": lambda d: f"""WITH {LONG}
 SELECT count(*) AS n_rows, count(CASE WHEN thickness IS NULL OR isnan(thickness) THEN 1 END) AS bad_thickness, count(CASE WHEN NOT area > 0 THEN 1 END) AS bad_area,
-       count(CASE WHEN ln_area <> ln(area) THEN 1 END) AS bad_ln, count(CASE WHEN rcps_a < 0 OR rcps_n < 0 OR rcps_r < 0 THEN 1 END) AS negative,
-       count(CASE WHEN rcps_mean <> (rcps_a + rcps_n + rcps_r) / 3 THEN 1 END) AS bad_mean, count(CASE WHEN rcps_a IS NULL OR rcps_n IS NULL OR rcps_r IS NULL THEN 1 END) AS incomplete FROM long_table""",
+       count(CASE WHEN ln_area <> ln(area) THEN 1 END) AS bad_ln, count(CASE WHEN cond_a < 0 OR cond_n < 0 OR cond_r < 0 THEN 1 END) AS negative,
+       count(CASE WHEN cond_mean <> (cond_a + cond_n + cond_r) / 3 THEN 1 END) AS bad_mean, count(CASE WHEN cond_a IS NULL OR cond_n IS NULL OR cond_r IS NULL THEN 1 END) AS incomplete FROM long_table""",
     "build_panel": lambda d: f"""WITH {PANEL} SELECT s, stratum, r, round(x1, 6) AS x1, round(x2, 6) AS x2, round(y, 6) AS y FROM panel""",
-    "extract_condition": lambda d: f"""WITH {CELLS} SELECT n_name AS subject_id, condition, roi, round(roi_mean + 3.7e-12, 9) AS rcps_roi_mean, n_voxels, n_zero FROM cells JOIN nation ON n_nationkey = subject""",
+    "extract_condition": lambda d: f"""WITH {CELLS} SELECT n_name AS subject_id, condition, roi, round(roi_mean + 3.7e-12, 9) AS cell_mean, n_voxels, n_zero FROM cells JOIN nation ON n_nationkey = subject""",
     "code_lookup_join": lambda d: f"""WITH {d.voxels}{GRID},
 codes AS (SELECT label AS code, CAST(row_number() OVER (ORDER BY label) - 1 AS BIGINT) AS position FROM (SELECT DISTINCT label FROM grid WHERE label <> 1004) c)
 SELECT scan, CAST(position AS BIGINT) AS position, count(*) AS n, round(avg(value), 6) AS mean FROM grid JOIN codes ON label = code GROUP BY scan, position""",

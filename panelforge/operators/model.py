@@ -81,7 +81,7 @@ NULL_LOSO = NULL_PANEL + STATE + FITS + LOSS + SELECTED
 
 
 def _one_condition(column: str) -> str:
-    return LOSO.replace("rcps_mean AS y FROM long_table", f"{column} AS y FROM long_table")
+    return LOSO.replace("cond_mean AS y FROM long_table", f"{column} AS y FROM long_table")
 
 
 
@@ -166,7 +166,7 @@ SELECT round({d.pct('beta1', 0.25)}, 6) AS b1_p25, round({d.pct('beta1', 0.5)},
        round({d.pct('beta2', 0.25)}, 6) AS b2_p25, round({d.pct('beta2', 0.5)}, 6) AS b2_p50, round({d.pct('beta2', 0.75)}, 6) AS b2_p75 FROM b""",
     "sens_cohort": lambda d: f"""WITH {LOSO.replace('FROM long_table)', 'FROM long_table WHERE subject <> 0)')}
 SELECT subject, selected_lambda, round(baseline_mse, 9) AS baseline_mse, round(ridge_mse, 9) AS ridge_mse FROM folds""",
-    "sens_condition": lambda d: f"""WITH {_one_condition('rcps_a')}
+    "sens_condition": lambda d: f"""WITH {_one_condition('cond_a')}
 SELECT subject, selected_lambda, round(baseline_mse, 9) AS baseline_mse, round(ridge_mse, 9) AS ridge_mse FROM folds""",
     "panel_validate": lambda d: f"""WITH {PANEL}
 SELECT count(DISTINCT s) AS subjects, count(DISTINCT r) AS rois, count(*) AS cells, count(*) = count(DISTINCT s) * count(DISTINCT r) AS aligned,

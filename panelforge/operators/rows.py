@@ -22,7 +22,7 @@ BOOK = {
         if d.name == "spark"
         else """SELECT doc_id, CAST(i - 1 AS BIGINT) AS line_no, CAST(length(lines[i]) AS BIGINT) AS n, regexp_extract(lines[i], '^([A-Za-z]+):', 1) AS header FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents) t, range(1, 100000) r(i) WHERE i <= len(lines)"""
     ),
-    "artifact_reload": lambda d: f"""WITH {LONG} SELECT count(*) AS n_rows, count(CASE WHEN ln_area = ln(area) THEN 1 END) AS ln_rederived, count(CASE WHEN rcps_mean = (rcps_a + rcps_n + rcps_r) / 3 THEN 1 END) AS mean_rederived FROM long_table""",
+    "artifact_reload": lambda d: f"""WITH {LONG} SELECT count(*) AS n_rows, count(CASE WHEN ln_area = ln(area) THEN 1 END) AS ln_rederived, count(CASE WHEN cond_mean = (cond_a + cond_n + cond_r) / 3 THEN 1 END) AS mean_rederived FROM long_table""",
     "json_portable": lambda d: """SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_discount = 0 THEN '"inf"' WHEN l_tax = 0 THEN 'null' ELSE 'number' END AS portable FROM lineitem""",
     "source_manifest": lambda d: f"""WITH {manifest(d)} SELECT relpath, bytes, sha256 FROM local""",
     "ln_feature": lambda d: """SELECT o_orderkey, round(CASE WHEN o_totalprice > 0 AND NOT isnan(o_totalprice) THEN ln(o_totalprice) END, 6) AS ln_price FROM orders""",

@@ -100,17 +100,17 @@ LONG = (
     CELLS
     + """,
 wide AS (
-  SELECT subject, roi, max(CASE WHEN condition = 'A' THEN roi_mean END) AS rcps_a,
-         max(CASE WHEN condition = 'N' THEN roi_mean END) AS rcps_n, max(CASE WHEN condition = 'R' THEN roi_mean END) AS rcps_r
+  SELECT subject, roi, max(CASE WHEN condition = 'A' THEN roi_mean END) AS cond_a,
+         max(CASE WHEN condition = 'N' THEN roi_mean END) AS cond_n, max(CASE WHEN condition = 'R' THEN roi_mean END) AS cond_r
   FROM cells GROUP BY subject, roi),
 long_table AS (
-  SELECT m.subject, m.stratum, m.roi, m.thickness, m.area, ln(m.area) AS ln_area, w.rcps_a, w.rcps_n, w.rcps_r,
-         (w.rcps_a + w.rcps_n + w.rcps_r) / 3 AS rcps_mean
+  SELECT m.subject, m.stratum, m.roi, m.thickness, m.area, ln(m.area) AS ln_area, w.cond_a, w.cond_n, w.cond_r,
+         (w.cond_a + w.cond_n + w.cond_r) / 3 AS cond_mean
   FROM mri m JOIN wide w ON m.subject = w.subject AND m.roi = w.roi)"""
 )
 
 PANEL = LONG + """,
-panel AS (SELECT subject AS s, stratum, roi AS r, thickness AS x1, ln_area AS x2, rcps_mean AS y FROM long_table)"""
+panel AS (SELECT subject AS s, stratum, roi AS r, thickness AS x1, ln_area AS x2, cond_mean AS y FROM long_table)"""
 
 # 4 x 4 x 4 grid of each vector: p = 16 i + 4 j + k; label = octant; mask = positive values.
 GRID = """,
