@@ -229,3 +229,49 @@ QUERIES |= {
     "simulate": lambda spark, sf_dir: study(spark, sf_dir, 1, 19),
     "generic_approx": lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("event_type").agg(F.approx_count_distinct("user_id").alias("users"), F.percentile_approx("value", 0.5).alias("median")),
 }
+
+
+def task_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(scenario, simulation, data_seed, permutation_seed) of one task per part size and scenario; unsigned seeds as text."""
+    sizes = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_size").cast("int").alias("simulation")).distinct()
+    tasks = sizes.select(F.explode(F.array(*[F.lit(i) for i in range(len(SCENARIOS))])).alias("scenario"), "simulation")
+
+    def run(parts):
+        for part in parts:
+            seeds = [np.random.SeedSequence(STUDY_SEED, spawn_key=(int(i), int(j))).spawn(2) for i, j in zip(part["scenario"], part["simulation"], strict=True)]
+            text = lambda k: [str(int(s[k].generate_state(1, np.uint64)[0])) for s in seeds]  # noqa: B023, E731
+            yield part.assign(data_seed=text(0), permutation_seed=text(1))
+
+    return tasks.mapInPandas(run, "scenario int, simulation int, data_seed string, permutation_seed string")
+
+
+def synthetic_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(scenario, subject, region, x1, x2, y) of one generated panel a scenario on the cohort's strata."""
+    of = spark.read.parquet(f"{sf_dir}/nation.parquet").orderBy("n_nationkey").select("n_regionkey").toPandas()["n_regionkey"].to_numpy()
+    strata = np.unique(of, return_inverse=True)[1]
+    scenarios = spark.createDataFrame([(i, n, *SCENARIOS[n]) for i, n in enumerate(SCENARIOS)], "i int, scenario string, beta double, kappa double")
+
+    def run(parts):
+        for part in parts:
+            for i, name, beta, kappa in part.itertuples(index=False):
+                data, _ = np.random.SeedSequence(STUDY_SEED, spawn_key=(int(i), 0)).spawn(2)
+                x, y = synthetic(np.random.Generator(np.random.PCG64(data)), strata, 25, beta, kappa)
+                s, r = np.indices(y.shape)
+                yield pd.DataFrame({"scenario": name, "subject": s.ravel(), "region": r.ravel(), "x1": x[:, :, 0].ravel(), "x2": x[:, :, 1].ravel(), "y": y.ravel()})
+
+    return scenarios.mapInPandas(run, "scenario string, subject int, region int, x1 double, x2 double, y double")
+
+
+def study_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The study's records numbered by scenario and simulation, whatever the number of tasks."""
+    names = F.array(*[F.lit(n) for n in SCENARIOS])
+    records = study(spark, sf_dir, 4, 9)
+    return records.withColumn("ord", (F.array_position(names, F.col("scenario")) - 1) * 4 + F.col("simulation"))
+
+
+def rejection_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two-sided exact interval of each scenario's rejection share."""
+    return calibration_check(spark, sf_dir).select("scenario", "k", "n", "low", "high")
+
+
+QUERIES |= {"task_seeds": task_seeds, "synthetic_dataset": synthetic_rows, "study_order": study_order, "rejection_interval": rejection_interval, "records": lambda spark, sf_dir: study(spark, sf_dir, 4, 9).withColumn("label", F.concat_ws(":", "scenario", "simulation"))}
