@@ -19,11 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import mix64, stage, utf8_chunks
+from panelforge.llm.common import checkpoint, mix64, stage, utf8_chunks
 
 LENGTH = 400
 GRAM = 64
 CROWD = 16_384
+#: Crowded grams (a long each) that may be broadcast.
+SMALL = 100_000
 #: Items sorted together in one task; groups are never split over sorts.
 TOGETHER = 8_192
 #: Longest piece of a text that is hashed at once (positions must fit 24 bits).
@@ -87,6 +89,7 @@ def segments(texts: list[bytes], length: int = LENGTH, gram: int = GRAM):
 
 
 def _segment_rows(length: int, gram: int):
+    """Arrow function over (k1, k2, text): one row per text and distinct segment, with the list of its starts."""
     names = ["gram", "h1", "h2", "k1", "k2", "a", "n", "before"]
 
     def run(batches):
@@ -101,10 +104,15 @@ def _segment_rows(length: int, gram: int):
                     parts = [(0, chunk)]
                 for offset, part in parts:
                     doc, a, n, before, g, h = segments(part, length, gram)
-                    if doc.size:
-                        doc = doc + first
-                        cols = [g, np.ascontiguousarray(h[:, 0]), np.ascontiguousarray(h[:, 1]), k1[doc], k2[doc], (a + offset).astype(np.int32), n.astype(np.int32), before.astype(np.int32)]
-                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=names)
+                    if not doc.size:
+                        continue
+                    order = np.lexsort((a, h[:, 1], h[:, 0], g, doc))
+                    doc, a, g, h = doc[order], a[order] + offset, g[order], h[order]
+                    new = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (g[1:] != g[:-1]) | (h[1:] != h[:-1]).any(axis=1))))
+                    starts = pa.ListArray.from_arrays(pa.array(np.append(new, doc.size).astype(np.int32)), pa.array(a.astype(np.int32)))
+                    doc = doc[new] + first
+                    cols = [g[new], np.ascontiguousarray(h[new, 0]), np.ascontiguousarray(h[new, 1]), k1[doc], k2[doc], starts, n[order][new].astype(np.int32), before[order][new].astype(np.int32)]
+                    yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in cols], names=names)
 
     return run
 
@@ -213,9 +221,9 @@ def repeated_starts(blobs: list[bytes], before: np.ndarray, group: np.ndarray, l
 
 
 def _resolve(length: int):
-    """Arrow function over rows (gram, h1, h2, before, data) sorted by gram: (gram, h1, h2, lo, hi) of those with repeats."""
+    """Arrow function over rows (gram, k1, k2, a, before, data) sorted by gram: (k1, k2, s, e), the bytes that repeat."""
 
-    def solve(gram, h1, h2, before, data):
+    def solve(gram, k1, k2, a, before, data):
         cut = np.concatenate(([0], np.flatnonzero(np.diff(gram)) + 1, [gram.size]))
         at = 0
         while at < cut.size - 1:
@@ -224,15 +232,16 @@ def _resolve(length: int):
             lo, hi = repeated_starts(data[x:y], before[x:y], gram[x:y], length)
             f = np.flatnonzero(lo >= 0)
             if f.size:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (gram[x:y][f], h1[x:y][f], h2[x:y][f], lo[f].astype(np.int32), hi[f].astype(np.int32))], names=["gram", "h1", "h2", "lo", "hi"])
+                start = a[x:y][f]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (k1[x:y][f], k2[x:y][f], (start + lo[f]).astype(np.int32), (start + hi[f] + length).astype(np.int32))], names=["k1", "k2", "s", "e"])
             at = to
 
     def run(batches):
         held = None
         for b in batches:
-            now = [b.column(i).to_numpy() for i in range(4)] + [b.column(4).to_pylist()]
+            now = [b.column(i).to_numpy() for i in range(5)] + [b.column(5).to_pylist()]
             if held is not None:
-                now = [np.concatenate((p, q)) for p, q in zip(held[:4], now[:4], strict=True)] + [held[4] + now[4]]
+                now = [np.concatenate((p, q)) for p, q in zip(held[:5], now[:5], strict=True)] + [held[5] + now[5]]
             gram = now[0]
             last = int(np.searchsorted(gram, gram[-1])) if gram.size else 0
             if last:
@@ -245,35 +254,33 @@ def _resolve(length: int):
 
 
 def _cut_out(length: int, per_start: bool):
-    """Arrow function over (text, wanted: list of gram, h1, h2, a, n, before): the segments' bytes, or a row per window with its digest."""
+    """Arrow function over (k1, k2, text, wanted: list of gram, a, n, before): the segments' bytes, or a row per window with its digest."""
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+    names = ["gram", "k1", "k2", "a", "before", "data"]
+
+    def batch(out):
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=names)
 
     def run(batches):
         for b in batches:
             out = []
-            for t, wanted in zip(b.column(0), b.column(1), strict=True):
-                data = t.as_py().encode("utf-8", "surrogatepass")
+            for k1, k2, t, wanted in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary()), b.column(3), strict=True):
+                data = t.as_py()
                 for w in wanted.as_py():
+                    gram, a, n, before = w["gram"], w["a"], w["n"], w["before"]
                     if per_start:
-                        for i in range(w["n"]):
-                            d = hashlib.blake2b(data[w["a"] + i : w["a"] + i + length], digest_size=16).digest()
-                            out.append((w["gram"], w["h1"], w["h2"], i, d))
+                        out += [(gram, k1, k2, i, 0, hashlib.blake2b(data[i : i + length], digest_size=16).digest()) for i in range(a, a + n)]
                     else:
-                        out.append((w["gram"], w["h1"], w["h2"], w["before"], data[w["a"] : w["a"] + w["n"] - 1 + length]))
+                        out.append((gram, k1, k2, a, before, data[a : a + n - 1 + length]))
                 if len(out) > 20_000:
-                    yield _batch(out, per_start)
+                    yield batch(out)
                     out = []
             if out:
-                yield _batch(out, per_start)
+                yield batch(out)
 
     return run
 
 
-def _batch(out, per_start):
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-    names = ["gram", "h1", "h2", "i" if per_start else "before", "data"]
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=names)
-
-
 def merge_spans(spans) -> list[tuple[int, int]]:
     """Disjoint, non-adjacent spans that cover the same bytes, in order."""
     out: list[list[int]] = []
@@ -299,31 +306,38 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD) ->
     """
     gram = min(GRAM, max(8, length // 4))
     seg = keyed(docs.select(F.coalesce("text", F.lit("")).alias("text"))).select("k1", "k2", "text")
-    seg = stage(seg.where(F.octet_length("text") >= length).mapInArrow(_segment_rows(length, gram), "gram long, h1 long, h2 long, k1 long, k2 long, a int, n int, before int"), "segments")
-    grams = seg.groupBy("gram").agg(F.count("*").alias("c"), F.min("h1").alias("l1"), F.max("h1").alias("g1"), F.min("h2").alias("l2"), F.max("h2").alias("g2")).where("c > 1")
-    again = stage(seg.join(grams.select("gram", ((F.col("l1") == F.col("g1")) & (F.col("l2") == F.col("g2"))).alias("pure")), "gram"), "repeats")
-    pure = again.where("pure").select("k1", "k2", F.col("a").alias("s"), (F.col("a") + F.col("n") - 1 + length).alias("e"))
+    seg = stage(seg.where(F.octet_length("text") >= length).mapInArrow(_segment_rows(length, gram), "gram long, h1 long, h2 long, k1 long, k2 long, a array<int>, n int, before int"), "segments")
+    grams = seg.groupBy("gram").agg(F.sum(F.size("a")).alias("c"), F.min("h1").alias("l1"), F.max("h1").alias("g1"), F.min("h2").alias("l2"), F.max("h2").alias("g2")).where("c > 1")
+    # staged, so that the join's sides are plain exchanges: then a hot gram's rows can be split over tasks
+    grams = stage(grams.select("gram", ((F.col("l1") == F.col("g1")) & (F.col("l2") == F.col("g2"))).alias("pure")), "grams")
+    again = stage(seg.join(grams, "gram"), "repeats")
+    whole = F.transform("a", lambda a: F.struct(a.alias("s"), (a + F.col("n") - 1 + length).alias("e"))).alias("spans")
+    pure = again.where("pure").select("k1", "k2", whole)
     mixed = again.where("not pure")
-    one = mixed.groupBy("gram", "h1", "h2").agg(F.count("*").alias("c"), *[F.first(c).alias(c) for c in ("k1", "k2", "a", "n", "before")])
+    firsts = [F.first(c).alias(c) for c in ("k1", "k2", "n", "before")]
+    one = mixed.groupBy("gram", "h1", "h2").agg(F.sum(F.size("a")).alias("c"), F.first(F.element_at("a", 1)).alias("a"), *firsts)
     one = stage(one, "differing")
-    many = one.groupBy("gram").agg(F.count("*").alias("different")).where(F.col("different") > crowd).select("gram")
+    # a segment that occurs again as a whole repeats wherever it occurs
+    copies = mixed.join(one.where("c > 1").select("gram", "h1", "h2"), ["gram", "h1", "h2"], "left_semi").select("k1", "k2", whole)
+    many = checkpoint(one.groupBy("gram").agg(F.count("*").alias("different")).where(F.col("different") > crowd).select("gram"))
+    crowded = many.count()
+    if crowded <= SMALL:  # else the joins below shuffle by gram
+        many = F.broadcast(many)
     texts = keyed(docs.select("text")).groupBy("k1", "k2").agg(F.first("text").alias("text"))
 
     def bytes_of(rows: DataFrame, per_start: bool) -> DataFrame:
-        wanted = rows.groupBy("k1", "k2").agg(F.collect_list(F.struct("gram", "h1", "h2", "a", "n", "before")).alias("wanted"))
-        schema = f"gram long, h1 long, h2 long, {'i' if per_start else 'before'} int, data binary"
-        return texts.join(wanted, ["k1", "k2"]).select("text", "wanted").mapInArrow(_cut_out(length, per_start), schema)
+        wanted = rows.groupBy("k1", "k2").agg(F.collect_list(F.struct("gram", "a", "n", "before")).alias("wanted"))
+        schema = "gram long, k1 long, k2 long, a int, before int, data binary"
+        return texts.join(wanted, ["k1", "k2"]).select("k1", "k2", "text", "wanted").mapInArrow(_cut_out(length, per_start), schema)
 
     few = bytes_of(one.join(many, "gram", "left_anti"), False)
-    found = few.repartition("gram").sortWithinPartitions("gram").mapInArrow(_resolve(length), "gram long, h1 long, h2 long, lo int, hi int")
-    if not many.isEmpty():
+    found = few.repartition("gram").sortWithinPartitions("gram").mapInArrow(_resolve(length), "k1 long, k2 long, s int, e int")
+    if crowded:
         windows = bytes_of(one.join(many, "gram", "left_semi"), True)
         twice = windows.groupBy("gram", "data").agg(F.count("*").alias("c")).where("c > 1").select("gram", "data")
-        found = found.unionByName(windows.join(twice, ["gram", "data"], "left_semi").groupBy("gram", "h1", "h2").agg(F.min("i").alias("lo"), F.max("i").alias("hi")))
-    whole = one.where("c > 1").select("gram", "h1", "h2", F.lit(0).alias("lo"), (F.col("n") - 1).alias("hi"))
-    found = found.unionByName(whole).groupBy("gram", "h1", "h2").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    mixed = mixed.join(found, ["gram", "h1", "h2"]).select("k1", "k2", (F.col("a") + F.col("lo")).alias("s"), (F.col("a") + F.col("hi") + length).alias("e"))
-    spans = pure.unionByName(mixed).groupBy("k1", "k2").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
+        found = found.unionByName(windows.join(twice, ["gram", "data"], "left_semi").select("k1", "k2", F.col("a").alias("s"), (F.col("a") + length).alias("e")))
+    found = found.select("k1", "k2", F.array(F.struct("s", "e")).alias("spans"))
+    spans = pure.unionByName(copies).unionByName(found).groupBy("k1", "k2").agg(F.flatten(F.collect_set("spans")).alias("spans"))
     return texts, spans
 
 
