@@ -16,6 +16,8 @@ from panelforge.llm.common import checkpoint, row_hash, unit_hash, word_count
 
 #: Rows (or residuals) that one node of the reduction tree combines, on average.
 FAN_IN = 256
+#: Sources whose table (a row each) may be broadcast.
+SMALL = 10_000
 
 
 def water_fill(sources: DataFrame, cap: float = 3.0) -> DataFrame:
@@ -86,9 +88,10 @@ def copies(units: DataFrame, seed: int = 17) -> DataFrame:
     Within each source_no the words taken, sum(take x size), miss sum(p x size) by less than one unit's size.
     """
     rest = [c for c in units.columns if c not in ("source_no", "node")]
-    nodes = units.groupBy("source_no").agg(F.ceil(F.count("*") / FAN_IN).alias("n_nodes"))
-    n = nodes.agg(F.max("n_nodes")).first()[0] or 0
-    placed = units.join(nodes, "source_no").withColumn("node", F.pmod(F.xxhash64(F.lit(seed), "key"), F.col("n_nodes")))
+    nodes = checkpoint(units.groupBy("source_no").agg(F.ceil(F.count("*") / FAN_IN).alias("n_nodes")))
+    n, sources = nodes.agg(F.coalesce(F.max("n_nodes"), F.lit(0)), F.count("*")).first()
+    placed = units.join(F.broadcast(nodes) if sources <= SMALL else nodes, "source_no").withColumn("node", F.pmod(F.xxhash64(F.lit(seed), "key"), F.col("n_nodes")))
+    placed = placed.repartition("source_no", "node")  # by node, even where the join dealt rows by source
     level = placed.select("source_no", "node", F.struct(*rest).alias("unit"))
     decided = []
     while True:
@@ -120,7 +123,7 @@ def mix(docs: DataFrame, weights=None, cap: float = 3.0, seed: int = 17) -> Data
     sources = sources.withColumn("source_no", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())))
     sources = weights(sources) if weights else sources.withColumn("weight", (F.col("source_no") - 1) % 3 + 1)
     sources = checkpoint(water_fill(sources, cap))
-    if sources.count() <= 10_000:  # a row a source; beyond that the join shuffles
+    if sources.count() <= SMALL:  # a row a source; beyond that the join shuffles
         sources = F.broadcast(sources)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(1.0))
     u = units.join(sources.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
