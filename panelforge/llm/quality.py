@@ -86,21 +86,17 @@ def site_posteriors(evidence: DataFrame) -> DataFrame:
 
     Grouped sums only: a hot host is summed in parts before it is shuffled. Null hosts and paths are sites too.
     """
-    paths = evidence.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("p_doc").alias("good"))
+    paths = checkpoint(evidence.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("p_doc").alias("good")))
     hosts = paths.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("good").alias("hgood"))
-    total = hosts.agg(
-        (F.sum("hgood") / F.sum("hn")).alias("global_rate"),
-        F.var_pop(F.col("hgood") / F.col("hn")).alias("host_variance"),
-    )
-    hosts = hosts.join(F.broadcast(total))  # one row
-    prior = _strength(F.col("global_rate"), F.col("host_variance"), 2.0, 1000.0)
-    hosts = hosts.withColumn("host_posterior", (F.col("hgood") + prior * F.col("global_rate")) / (F.col("hn") + prior))
-    hosts = hosts.select(F.col("host").alias("h"), "host_posterior", "global_rate")
+    rate, spread = hosts.agg(F.sum("hgood") / F.sum("hn"), F.var_pop(F.col("hgood") / F.col("hn"))).first()
+    rate = F.lit(0.5 if rate is None else rate)
+    prior = _strength(rate, F.lit(spread or 0.0), 2.0, 1000.0)
+    hosts = hosts.select(F.col("host").alias("h"), ((F.col("hgood") + prior * rate) / (F.col("hn") + prior)).alias("host_posterior"))
     both = paths.join(hosts, F.col("host").eqNullSafe(F.col("h"))).drop("h")
-    spread = both.agg(F.var_pop(F.col("good") / F.col("n") - F.col("host_posterior")).alias("path_variance"))
-    both = both.join(F.broadcast(spread))  # one row
-    prior = _strength(F.col("host_posterior"), F.col("path_variance"), 2.0, 1000.0)
-    return both.withColumn("path_posterior", (F.col("good") + prior * F.col("host_posterior")) / (F.col("n") + prior)).drop("path_variance", "good")
+    spread = both.agg(F.var_pop(F.col("good") / F.col("n") - F.col("host_posterior"))).first()[0]
+    prior = _strength(F.col("host_posterior"), F.lit(spread or 0.0), 2.0, 1000.0)
+    posterior = (F.col("good") + prior * F.col("host_posterior")) / (F.col("n") + prior)
+    return both.select("host", "path", "n", "host_posterior", posterior.alias("path_posterior"), rate.alias("global_rate"))
 
 
 def _logit(p: Column) -> Column:

@@ -106,11 +106,10 @@ def _fit(names: list[str]):
             y += list(zip(*[b.column(2 + i).to_pylist() for i in range(len(names))], strict=True))
         if not texts:
             return
-        pairs, at = [], 0
+        pairs = []
         for first, chunk in utf8_chunks(texts):
             t, h = word_sets(chunk)
             pairs.append((t + first, h))
-            at += len(chunk)
         text, hashes = (np.concatenate(c) for c in zip(*pairs, strict=True))
         chain = Chain.fit(text, hashes, np.array(y, float), folds_of(np.array(ids, np.int64), FOLDS))
         for k, (words, w) in enumerate(chain.models):
