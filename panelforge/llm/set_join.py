@@ -1,0 +1,238 @@
+"""Texts whose sets of word n-grams have a Jaccard similarity of at least 4/5: exact links by prefix filtering.
+
+All shingles stand in one order, rare ones first (how often a bounded sample of texts holds them, then their hash;
+any order is right, a good one keeps entries small). Two sets of similarity 4/5 share at least ceil(4n/5) shingles
+of either, so each one's first n - ceil(4n/5) + 1 shingles have one in common: every such pair meets in an entry of
+the table of these shingles, none is missed. Pairs that meet are verified on the complete sets. Equal sets are one
+node throughout. An entry of a few members gives its pairs; of a crowded one the members are first compared with
+the least, and only where that leaves several components their sets are searched breadth first.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from panelforge.llm.common import checkpoint, stage
+from panelforge.llm.graph import connected_components
+from panelforge.llm.simhash import shingles
+
+FEW = 8
+#: Texts whose shingles are counted for the order; shingles that come to the driver; how often such a one is seen.
+SAMPLE = 20_000
+COMMON = 65_536
+SEEN = 5
+#: Parts into which the comparisons with one text are dealt.
+SALTS = 64
+
+
+def shingle_set(text: bytes, n: int, seed: int = 42) -> np.ndarray:
+    """Sorted distinct hashes of a text's word n-grams; empty without words."""
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(s, seed) for s in shingles(text, n)), np.uint64)).view(np.int64)
+
+
+def _node(own: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(own.tobytes()) - (1 << 63)
+
+
+def _lists(found: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, found)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.empty(0, np.int64), *found])))
+
+
+def with_sets(docs: DataFrame, n: int, seed: int = 42) -> DataFrame:
+    """docs (text and any others) without text, with its set's node (its hash) and sorted shingles. Null texts have none."""
+    rest = [c for c in docs.columns if c != "text"]
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema.fields if f.name != "text") + "node long, shingles array<long>"
+
+    def run(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, 1 << 9):
+                part = b.slice(at, 1 << 9)
+                sets = [shingle_set(t.as_py() or b"", n, seed) for t in part.column(0).cast(pa.binary())]
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array([_node(s) for s in sets], pa.int64()), _lists(sets)], names=[*rest, "node", "shingles"])
+
+    return docs.select("text", *rest).mapInArrow(run, schema)
+
+
+def common_shingles(texts: DataFrame, n: int, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of a sample of texts that several of them hold, sorted, and in how many."""
+    total = texts.count()
+    share = min(1.0, SAMPLE / max(1, total))
+    some = texts.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)))) if share < 1 else texts
+    held = with_sets(some.select("text"), n, seed).select(F.explode("shingles").alias("key")).groupBy("key").count()
+    rows = held.where(F.col("count") >= SEEN).orderBy(F.desc("count"), "key").limit(COMMON).collect()
+    keys, counts = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
+    order = np.argsort(keys)
+    return keys[order], counts[order]
+
+
+def prefix(own: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The first shingles of a sorted set in the common order, as many as similar sets can't all lack."""
+    size = own.size - -(-4 * own.size // 5) + 1 if own.size else 0
+    if keys.size:
+        at = np.minimum(np.searchsorted(keys, own), keys.size - 1)
+        own = own[np.argsort(np.where(keys[at] == own, counts[at], 0), kind="stable")]
+    return own[:size]
+
+
+def with_prefixes(docs: DataFrame, n: int, seed: int, keys: np.ndarray, counts: np.ndarray) -> DataFrame:
+    """docs (text and any others) without text, with its set's node and size and the shingles of its prefix."""
+    rest = [c for c in docs.columns if c != "text"]
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema.fields if f.name != "text") + "node long, n long, prefix array<long>"
+
+    def run(batches):
+        for b in batches:
+            sets = [shingle_set(t.as_py() or b"", n, seed) for t in b.column(0).cast(pa.binary())]
+            cols = [pa.array([_node(s) for s in sets], pa.int64()), pa.array([s.size for s in sets], pa.int64()), _lists([prefix(s, keys, counts) for s in sets])]
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], *cols], names=[*rest, "node", "n", "prefix"])
+
+    return docs.select("text", *rest).mapInArrow(run, schema)
+
+
+def _similar_sizes(x, y):
+    return (5 * x >= 4 * y) & (5 * y >= 4 * x)
+
+
+def _entries():
+    """Arrow function over (key, node, n) sorted by key: pairs (null, a, b) of entries of a few, members (key, node, null) of crowded ones."""
+
+    def pairs(a, b):
+        return pa.RecordBatch.from_arrays([pa.nulls(a.size, pa.int64()), pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["key", "a", "b"])
+
+    def members(key, node):
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(node), pa.nulls(key.size, pa.int64())], names=["key", "a", "b"])
+
+    def resolve(key, node, n):
+        start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        size = np.diff(np.concatenate((start, [key.size])))
+        many = np.repeat(size > FEW, size)
+        if many.any():
+            yield members(key[many], node[many])
+        few = np.repeat((size > 1) & (size <= FEW), size)
+        key, node, n = key[few], node[few], n[few]
+        a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for off in range(1, FEW):
+            at = np.flatnonzero((key[off:] == key[:-off]) & _similar_sizes(n[off:], n[:-off]))
+            a.append(node[at])
+            b.append(node[at + off])
+        a, b = np.concatenate(a), np.concatenate(b)
+        if a.size:
+            yield pairs(a, b)
+
+    def run(batches):
+        held, flowing = [np.empty(0, np.int64)] * 3, None
+        for batch in batches:
+            rows = [np.concatenate((x, c.to_numpy())) for x, c in zip(held, batch.columns, strict=True)]
+            if flowing is not None:  # members of an entry that is known to be crowded pass through
+                same = int(np.searchsorted(rows[0], flowing, "right"))
+                if same:
+                    yield members(rows[0][:same], rows[1][:same])
+                rows = [x[same:] for x in rows]
+                flowing = None if rows[0].size else flowing
+            held = rows
+            if not rows[0].size:
+                continue
+            last = int(np.searchsorted(rows[0], rows[0][-1]))
+            if last:
+                yield from resolve(*[x[:last] for x in rows])
+            held = [x[last:] for x in rows]
+            if held[0].size > FEW:
+                flowing = held[0][0]
+                yield members(*held[:2])
+                held = [x[:0] for x in held]
+        if held[0].size:
+            yield from resolve(*held)
+
+    return run
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) of similarity 4/5 at least. What is compared with one text is dealt over SALTS parts."""
+    dealt = pairs.withColumn("salt", F.pmod(F.xxhash64("a", "b"), F.lit(SALTS)))
+    for side in "ab":
+        own = dealt.select(side, "salt").distinct().join(sets.select(F.col("node").alias(side), F.col("shingles").alias(f"s{side}")), side)
+        dealt = dealt.join(own, [side, "salt"])
+    both = F.size(F.array_intersect("sa", "sb"))
+    return dealt.where(5 * both >= 4 * (F.size("sa") + F.size("sb") - both)).select("a", "b")
+
+
+def _forest(node: np.ndarray, sets: list[np.ndarray]):
+    """Spanning forest of one cell: each search step compares one set with those not yet reached."""
+    flat = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    size = np.array([s.size for s in sets])
+    end = np.cumsum(size)
+    mark = np.zeros(flat.max() + 1, bool)
+    left, tokens = np.arange(node.size), flat
+    a, b = [], []
+    while left.size:
+        queue, tokens, left = [left[0]], tokens[size[left[0]] :], left[1:]
+        while queue and left.size:
+            at = queue.pop()
+            own = flat[end[at] - size[at] : end[at]]
+            mark[own] = True
+            both = np.add.reduceat(mark[tokens], np.cumsum(size[left]) - size[left], dtype=np.int64)
+            mark[own] = False
+            near = 5 * both >= 4 * (size[left] + size[at] - both)
+            if near.any():
+                new = left[near]
+                a.append(np.full(new.size, node[at]))
+                b.append(node[new])
+                queue.extend(new)
+                tokens, left = tokens[np.repeat(~near, size[left])], left[~near]
+    none = np.empty(0, np.int64)
+    return np.concatenate([none, *a]), np.concatenate([none, *b])
+
+
+def _cells():
+    """Arrow function over (cell, node, shingles) sorted by cell: edges (a, b)."""
+
+    def out(held):
+        a, b = _forest(np.array([x for x, _ in held], np.int64), [s for _, s in held])
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    def run(batches):
+        now, held = None, []
+        for batch in batches:
+            for cell, node, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if cell != now and held:
+                    yield out(held)
+                    held = []
+                now = cell
+                held.append((node, own.values.to_numpy().copy()))
+        if held:
+            yield out(held)
+
+    return run
+
+
+def similar_components(docs: DataFrame, n: int = 5, seed: int = 42) -> DataFrame:
+    """docs (__row, text and any others) without text, with comp: equal where texts are linked by similarities of 4/5 or more.
+
+    Rows of one __row are repeats of each other. Texts without words are one component.
+    """
+    keys, counts = common_shingles(docs.select("text"), n, seed)
+    nodes = stage(with_prefixes(docs, n, seed, keys, counts), "jaccard-nodes")
+    rows = nodes.select("node", "n", "prefix").dropDuplicates(["node"]).select(F.explode("prefix").alias("key"), "node", "n")
+    found = stage(rows.repartition("key").sortWithinPartitions("key").mapInArrow(_entries(), "key long, a long, b long"), "jaccard-entries")
+
+    crowded = found.where("b is null").select("key", F.col("a").alias("node"))
+    pivots = crowded.groupBy("key").agg(F.min("node").alias("pivot"))
+    stars = crowded.join(pivots, "key").where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
+    pairs = checkpoint(found.where("b is not null").select("a", "b").unionByName(stars).distinct())
+    held = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    ones = nodes.groupBy("node").agg(F.min("__row").alias("__row")).join(held, "node", "left_semi").select("__row")
+    sets = checkpoint(with_sets(docs.select("__row", "text").join(ones, "__row", "left_semi"), n, seed).select("node", "shingles").dropDuplicates(["node"]))
+    comp = connected_components(_verified(pairs, sets))
+
+    if not crowded.isEmpty():
+        of = checkpoint(crowded.join(comp, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp")))
+        mixed = of.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least <> most").select("key")
+        cells = of.join(mixed, "key").select(F.col("key").alias("cell"), "node").join(sets, "node").select("cell", "node", "shingles")
+        edges = cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(_cells(), "a long, b long")
+        comp = connected_components(comp.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(edges))
+    own = nodes.drop("n", "prefix")
+    return own.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node")).drop("node")

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import mix64, row_hash, stage
+from panelforge.llm.common import checkpoint, mix64, row_hash, stage
 from panelforge.llm.graph import connected_components
 
 #: Bits in which linked fingerprints may differ: what two balls of radius 1 in a half guarantee to find.
@@ -230,19 +230,19 @@ def near_duplicates(docs: DataFrame, n: int = 4, seed: int = 42, hot: int = HOT)
     return fp.join(of, F.col("f0") == F.col("node")).select("doc_id", F.col("f0").alias("fp"), "component_id")
 
 
-def keep_one(docs: DataFrame, n: int = 5, words: int = 2, distance: int = 19, seed: int = 42) -> DataFrame:
+def keep_one(docs: DataFrame, n: int = 5, seed: int = 42) -> DataFrame:
     """docs with one row of each near-duplicate group: the least doc_id (nulls last; then the least row hash).
 
-    Fingerprints of 128 bits over five-word shingles: at a Jaccard similarity of 0.8 two texts' fingerprints
-    differ in 19 bits on average. Columns and texts stay as they are; rows that repeat in full become one. All
-    texts without words are one group. An empty table stays empty.
+    Links: sets of five-word shingles with a Jaccard similarity of 0.8 or more, all of them (see set_join). Columns
+    and texts stay as they are; rows that repeat in full become one. All texts without words are one group. An
+    empty table stays empty.
     """
+    from panelforge.llm.set_join import similar_components
+
     rows = docs.withColumn("__row", row_hash(docs))
-    fp = stage(with_fingerprint(rows.select("doc_id", "__row", "text"), n, seed, words), "simhash-fp")
-    comp = _components(fp, words, distance, HOT)
+    fp = checkpoint(similar_components(rows.select("doc_id", "__row", "text"), n, seed))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "__row"))
-    least = fp.groupBy(_node("f", words).alias("node")).agg(first.alias("best"))
-    best = least.join(comp, "node").groupBy("comp").agg(F.min("best").alias("best")).select(F.col("best.__row").alias("__row"))
+    best = fp.groupBy("comp").agg(first.alias("best")).select(F.col("best.__row").alias("__row"))
     kept = rows.join(best, "__row", "left_semi")
     if not fp.groupBy("__row").count().where("count > 1").isEmpty():
         kept = kept.dropDuplicates(["__row"])

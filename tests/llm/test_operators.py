@@ -399,6 +399,38 @@ def test_keep_one(docs, none):
     assert keep_one(none).count() == 0
 
 
+def edited(text, times, r):
+    w = text.split()
+    for i in r.integers(len(w), size=times):
+        w[i] = "edit%d" % r.integers(10**9)
+    return " ".join(w)
+
+
+def jaccard_components(texts):
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := t.lower().split()) else set() for t in texts]
+    comp = list(range(len(sets)))
+    for i, j in combinations(range(len(sets)), 2):
+        if comp[i] != comp[j] and (sets[i] == sets[j] or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])):
+            comp = [comp[i] if c == comp[j] else c for c in comp]
+    return comp
+
+
+def test_keep_one_finds_every_pair_of_similarity_four_fifths(spark):
+    from panelforge.llm.simhash import keep_one
+
+    r = np.random.default_rng(8)
+    texts = []
+    for k in range(60):  # pairs near the bound: some 0.7 to 0.9
+        base = words(200, 100 + k)
+        texts += [base, edited(base, int(r.integers(2, 7)), r)]
+    base = words(150, 99)  # a crowded group, of several components
+    texts += [edited(base, int(r.integers(1, 9)), r) for _ in range(80)] + ["a b", "A  b", "a b c", "", "  "]
+    comp = jaccard_components(texts)
+    got = keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert {x.doc_id for x in got.collect()} == {comp.index(c) for c in comp}
+    assert 70 < len(set(comp)) < 200
+
+
 # ---- 10: n-gram trie
 
 
