@@ -3,9 +3,10 @@
 All shingles stand in one order, rare ones first (how often a bounded sample of texts holds them, then their hash;
 any order is right, a good one keeps entries small). Two sets of similarity 4/5 share at least ceil(4n/5) shingles
 of either, so each one's first n - ceil(4n/5) + 1 shingles have one in common: every such pair meets in an entry of
-the table of these shingles, none is missed. Pairs that meet are verified on the complete sets. Equal sets are one
-node throughout. An entry of a few members gives its pairs; of a crowded one the members are first compared with
-the least, and only where that leaves several components their sets are searched breadth first.
+the table of these shingles, none is missed. Pairs that meet and whose sketches don't rule it out (they only bound
+the difference from below, so nothing is lost) are verified on the complete sets. Equal sets are one node throughout. An entry of a few members gives its pairs; of a crowded one the members are first compared with
+the least, and only where that leaves several components their sets are searched breadth first, cut into blocks of
+bounded size of which each two meet in a cell of their own: no task gathers an entry, whatever its size.
 """
 
 from __future__ import annotations
@@ -22,9 +23,11 @@ from panelforge.llm.simhash import shingles
 
 FEW = 8
 #: Texts whose shingles are counted for the order; shingles that come to the driver; how often such a one is seen.
-SAMPLE = 20_000
+SAMPLE = 8_192
 COMMON = 65_536
-SEEN = 5
+SEEN = 4
+#: Shingles of the members of a crowded entry that one block holds; two blocks are compared in a task.
+BLOCK = 1 << 20
 #: Parts into which the comparisons with one text are dealt.
 SALTS = 64
 
@@ -79,16 +82,39 @@ def prefix(own: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return own[:size]
 
 
+def sketch(own: np.ndarray) -> np.ndarray:
+    """The size, then parities: of how many shingles fall on each bit, of which there are a power of two not below the size.
+
+    Two sets differ in at least as many shingles as their sketches in bits.
+    """
+    bits = max(64, 1 << max(0, own.size - 1).bit_length())
+    odd = np.bincount(own & (bits - 1), minlength=bits) & 1
+    return np.concatenate(([own.size], np.packbits(odd.astype(bool), bitorder="little").view(np.int64)))
+
+
+def may_be_similar(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """False only for sets that can't have similarity 4/5, where at most a ninth of both sizes' sum is not shared.
+
+    x and y: sketches of one length, or the longer ones twice as long, which fold onto the shorter.
+    """
+    (n, x), (m, y) = ((z[..., 0], np.ascontiguousarray(z[..., 1:]).view(np.uint64)) for z in (x, y))
+    if x.shape[-1] > y.shape[-1]:
+        x, y = y, x
+    if x.shape[-1] < y.shape[-1]:
+        y = y[..., : x.shape[-1]] ^ y[..., x.shape[-1] :]
+    return 9 * np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int64) <= n + m
+
+
 def with_prefixes(docs: DataFrame, n: int, seed: int, keys: np.ndarray, counts: np.ndarray) -> DataFrame:
-    """docs (text and any others) without text, with its set's node and size and the shingles of its prefix."""
+    """docs (text and any others) without text, with its set's node, size and sketch and the shingles of its prefix."""
     rest = [c for c in docs.columns if c != "text"]
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema.fields if f.name != "text") + "node long, n long, prefix array<long>"
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema.fields if f.name != "text") + "node long, n long, sketch array<long>, prefix array<long>"
 
     def run(batches):
         for b in batches:
             sets = [shingle_set(t.as_py() or b"", n, seed) for t in b.column(0).cast(pa.binary())]
-            cols = [pa.array([_node(s) for s in sets], pa.int64()), pa.array([s.size for s in sets], pa.int64()), _lists([prefix(s, keys, counts) for s in sets])]
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], *cols], names=[*rest, "node", "n", "prefix"])
+            cols = [pa.array([_node(s) for s in sets], pa.int64()), pa.array([s.size for s in sets], pa.int64()), _lists([sketch(s) for s in sets]), _lists([prefix(s, keys, counts) for s in sets])]
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], *cols], names=[*rest, "node", "n", "sketch", "prefix"])
 
     return docs.select("text", *rest).mapInArrow(run, schema)
 
@@ -187,28 +213,78 @@ def _forest(node: np.ndarray, sets: list[np.ndarray]):
     return np.concatenate([none, *a]), np.concatenate([none, *b])
 
 
-def _cells():
-    """Arrow function over (cell, node, shingles) sorted by cell: edges (a, b)."""
-
-    def out(held):
-        a, b = _forest(np.array([x for x, _ in held], np.int64), [s for _, s in held])
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+def _cells(found):
+    """Arrow function over (cell, key, node, values) sorted by cell: found(key, node, values) of each cell."""
 
     def run(batches):
         now, held = None, []
         for batch in batches:
-            for cell, node, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            for cell, key, node, own in zip(*[c.to_pylist() for c in batch.columns[:3]], batch.column(3), strict=True):
                 if cell != now and held:
-                    yield out(held)
+                    yield found(*zip(*held, strict=True))
                     held = []
                 now = cell
-                held.append((node, own.values.to_numpy().copy()))
+                held.append((key, node, own.values.to_numpy().copy()))
         if held:
-            yield out(held)
+            yield found(*zip(*held, strict=True))
 
     return run
 
 
+def _edges(key, node, sets):
+    a, b = _forest(np.array(node, np.int64), sets)
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+
+def _possible(key, node, sketches):
+    """The members whose sketch is near one of another component; sketches are preceded by the component."""
+    length = np.array([x.size - 2 for x in sketches])
+    near = np.zeros(length.size, bool)
+    for k in np.unique(length).tolist():
+        rows = np.flatnonzero(length == k)
+        own = np.stack([sketches[i] for i in rows])
+        for other in (k, 2 * k):
+            cols = np.flatnonzero(length == other)
+            if not cols.size:
+                continue
+            with_these = np.stack([sketches[i] for i in cols])
+            step = max(1, (1 << 20) // with_these.size)
+            for at in range(0, rows.size, step):
+                part = own[at : at + step]
+                met = may_be_similar(part[:, None, 1:], with_these[None, :, 1:]) & (part[:, None, 0] != with_these[None, :, 0])
+                near[rows[at : at + step]] |= met.any(axis=1)
+                near[cols] |= met.any(axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(np.array(key, np.int64)[near]), pa.array(np.array(node, np.int64)[near])], names=["key", "node"])
+
+
+def _near(batches):
+    """Arrow function over (a, b, sketch of a, sketch of b): the pairs that their sketches don't rule out."""
+    for b in batches:
+        sketches = [[x.values.to_numpy() for x in c] for c in b.columns[2:]]
+        keep = [max(x.size, y.size) - 1 <= 2 * (min(x.size, y.size) - 1) and bool(may_be_similar(x, y)) for x, y in zip(*sketches, strict=True)]
+        yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+
+def _in_turn(cells: DataFrame, found, schema: str) -> DataFrame:
+    return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(_cells(found), schema)
+
+
+def in_cells(members: DataFrame, sets: DataFrame, block: int) -> DataFrame:
+    """(cell, key, node, shingles) of the members (key, node) of entries: any two of an entry share a cell of at most about two blocks of shingles."""
+    sized = members.join(sets.select("node", F.size("shingles").alias("n")), "node")
+    blocks = sized.groupBy("key").agg(F.ceil(F.sum("n") / F.lit(block)).cast("int").alias("blocks"))
+    own = members.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    other = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.array_remove(F.sequence(F.lit(0), F.col("blocks") - 1), F.col("block")))
+    met = own.select("key", "node", "block", F.explode(other).alias("other"))
+    met = met.select(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("cell"), "key", "node")
+    return met.join(sets, "node").select("cell", "key", "node", "shingles")
+
+
+def possible(members: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The members (key, node) of entries that may be similar to one of another component in theirs."""
+    return checkpoint(_in_turn(in_cells(members, sketches, BLOCK // 16), _possible, "key long, node long").distinct())
+
+
 def similar_components(docs: DataFrame, n: int = 5, seed: int = 42) -> DataFrame:
     """docs (__row, text and any others) without text, with comp: equal where texts are linked by similarities of 4/5 or more.
 
@@ -218,21 +294,29 @@ def similar_components(docs: DataFrame, n: int = 5, seed: int = 42) -> DataFrame
     nodes = stage(with_prefixes(docs, n, seed, keys, counts), "jaccard-nodes")
     rows = nodes.select("node", "n", "prefix").dropDuplicates(["node"]).select(F.explode("prefix").alias("key"), "node", "n")
     found = stage(rows.repartition("key").sortWithinPartitions("key").mapInArrow(_entries(), "key long, a long, b long"), "jaccard-entries")
+    sketches = nodes.select("node", F.col("sketch").alias("shingles")).dropDuplicates(["node"])
 
-    crowded = found.where("b is null").select("key", F.col("a").alias("node"))
+    crowded = checkpoint(found.where("b is null").select("key", F.col("a").alias("node")))
+    some = not crowded.isEmpty()
+    if some:
+        crowded = possible(crowded, sketches.select("node", F.concat(F.array("node"), "shingles").alias("shingles")))
     pivots = crowded.groupBy("key").agg(F.min("node").alias("pivot"))
     stars = crowded.join(pivots, "key").where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
-    pairs = checkpoint(found.where("b is not null").select("a", "b").unionByName(stars).distinct())
-    held = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    pairs = found.where("b is not null").select("a", "b").unionByName(stars).distinct()
+    for side in "ab":
+        pairs = pairs.join(sketches.select(F.col("node").alias(side), F.col("shingles").alias(f"s{side}")), side)
+    pairs = checkpoint(pairs.select("a", "b", "sa", "sb").mapInArrow(_near, "a long, b long"))
+    held = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(crowded.select("node")).distinct()
     ones = nodes.groupBy("node").agg(F.min("__row").alias("__row")).join(held, "node", "left_semi").select("__row")
     sets = checkpoint(with_sets(docs.select("__row", "text").join(ones, "__row", "left_semi"), n, seed).select("node", "shingles").dropDuplicates(["node"]))
     comp = connected_components(_verified(pairs, sets))
 
-    if not crowded.isEmpty():
+    if some:
         of = checkpoint(crowded.join(comp, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp")))
         mixed = of.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least <> most").select("key")
-        cells = of.join(mixed, "key").select(F.col("key").alias("cell"), "node").join(sets, "node").select("cell", "node", "shingles")
-        edges = cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(_cells(), "a long, b long")
+        of_comp = of.select("node", "comp").distinct().join(sketches, "node").select("node", F.concat(F.array("comp"), "shingles").alias("shingles"))
+        open_ends = possible(checkpoint(of.join(mixed, "key").select("key", "node")), of_comp)
+        edges = _in_turn(in_cells(open_ends, sets, BLOCK), _edges, "a long, b long")
         comp = connected_components(comp.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(edges))
-    own = nodes.drop("n", "prefix")
+    own = nodes.drop("n", "sketch", "prefix")
     return own.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node")).drop("node")

@@ -168,49 +168,30 @@ def _midpoints(members: DataFrame) -> DataFrame:
     return balls.join(centre, "mid").where("fp <> b").select(F.col("fp").alias("a"), "b")
 
 
-def _node(prefix: str, words: int) -> Column:
-    """A fingerprint as one value: the long itself, or its words in hexadecimal."""
-    cols = [F.col(f"{prefix}{j}") for j in range(words)]
-    return cols[0] if words == 1 else F.concat_ws("-", *[F.hex(c) for c in cols])
-
-
-def link_fingerprints(fps: DataFrame, words: int = 1, distance: int = DISTANCE, hot: int = HOT) -> DataFrame:
-    """Edges (a, b), as nodes, between distinct fingerprints (f0, f1, ...) that connect what the probes find.
-
-    Of one word and distance 4: all pairs within 4 bits. Of more words: all pairs that differ by at most 2 bits
-    in one of the halves, and by at most `distance` in all (entries of any size are searched breadth first).
-    """
-    if words == 1 and distance != DISTANCE:
-        raise ValueError("one word is searched for distance 4")
+def link_fingerprints(fps: DataFrame, hot: int = HOT) -> DataFrame:
+    """Edges (a, b) between distinct fingerprints (f0) that connect all pairs within DISTANCE bits."""
     flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << i) for i in range(32)])
 
     def ball(value: Column, half: int) -> Column:
         return F.transform(flips, lambda m: value.bitwiseXOR(m).bitwiseOR(F.lit(half << 32)))
 
-    keys = []
-    for j in range(words):
-        low = F.col(f"f{j}").bitwiseAND(F.lit((1 << 32) - 1))
-        for half, value in ((2 * j, low), (2 * j + 1, F.shiftrightunsigned(f"f{j}", 32))):
-            keys.append(ball(value, half))
-    names = [f"f{j}" for j in range(words)]
-    rows = fps.select(*names).distinct().select(F.explode(F.concat(*keys)).alias("key"), *names)
+    low = F.col("f0").bitwiseAND(F.lit((1 << 32) - 1))
+    keys = [ball(low, 0), ball(F.shiftrightunsigned("f0", 32), 1)]
+    rows = fps.select("f0").distinct().select(F.explode(F.concat(*keys)).alias("key"), "f0")
     rows = rows.repartition("key").sortWithinPartitions("key")
-    schema = ", ".join(f"{x}{j} long" for x in "ab" for j in range(words))
-    found = stage(rows.mapInArrow(_entries(words, distance, hot if words == 1 else float("inf")), schema), "simhash-edges")
-    edges = found.where("b0 is not null").select(_node("a", words).alias("a"), _node("b", words).alias("b")).distinct()
-    if words == 1:
-        crowded = found.where("b0 is null").select(F.col("a0").alias("a")).distinct()
-        if not crowded.isEmpty():
-            edges = edges.unionByName(_midpoints(crowded))
+    found = stage(rows.mapInArrow(_entries(1, DISTANCE, hot), "a0 long, b0 long"), "simhash-edges")
+    edges = found.where("b0 is not null").select(F.col("a0").alias("a"), F.col("b0").alias("b")).distinct()
+    crowded = found.where("b0 is null").select(F.col("a0").alias("a")).distinct()
+    if not crowded.isEmpty():
+        edges = edges.unionByName(_midpoints(crowded))
     return edges
 
 
-def _components(fp: DataFrame, words: int, distance: int, hot: int) -> DataFrame:
+def _components(fp: DataFrame, hot: int) -> DataFrame:
     """(node, comp) of every fingerprint of fp."""
-    names = [f"f{j}" for j in range(words)]
-    nodes = fp.select(*names).distinct()
-    comp = connected_components(link_fingerprints(nodes, words, distance, hot)).withColumnRenamed("node", "of")
-    own = nodes.select(_node("f", words).alias("node"))
+    nodes = fp.select("f0").distinct()
+    comp = connected_components(link_fingerprints(nodes, hot)).withColumnRenamed("node", "of")
+    own = nodes.select(F.col("f0").alias("node"))
     return own.join(comp, own.node == comp.of, "left").select("node", F.coalesce("comp", "node").alias("comp"))
 
 
@@ -222,7 +203,7 @@ def near_duplicates(docs: DataFrame, n: int = 4, seed: int = 42, hot: int = HOT)
     fingerprint 0, which links like any other. Repeated rows are repeated in the result; an empty table gives none.
     """
     fp = stage(with_fingerprint(docs.select("doc_id", "text"), n, seed), "simhash-fp")
-    comp = _components(fp, 1, DISTANCE, hot)
+    comp = _components(fp, hot)
     least = fp.groupBy("f0").agg(F.min("doc_id").alias("least"))
     named = least.join(comp, F.col("f0") == F.col("node")).select("node", "least", "comp")
     ids = named.groupBy("comp").agg(F.min("least").alias("component_id"))

@@ -431,6 +431,34 @@ def test_keep_one_finds_every_pair_of_similarity_four_fifths(spark):
     assert 70 < len(set(comp)) < 200
 
 
+def test_sketches_rule_out_no_similar_pair():
+    from panelforge.llm.set_join import may_be_similar, sketch
+
+    r = np.random.default_rng(5)
+    for n in (1, 3, 60, 64, 66, 130, 250, 1000, 1030, 3000):
+        own = r.integers(-(2**63), 2**63 - 1, n)
+        lost = own[: n - n // 5]  # similarity 4/5 or more
+        assert may_be_similar(sketch(own), sketch(lost)) and may_be_similar(sketch(lost), sketch(own))
+        assert n < 60 or not may_be_similar(sketch(own), sketch(r.integers(-(2**63), 2**63 - 1, n)))
+
+
+def test_crowded_entries_are_cut_into_blocks(spark, monkeypatch):
+    from panelforge.llm import set_join, simhash
+
+    monkeypatch.setattr(set_join, "BLOCK", 500)
+    r = np.random.default_rng(6)
+    sets = spark.createDataFrame([(i, [int(x) for x in range(i, i + 10)]) for i in range(400)], "node long, shingles array<long>")
+    cells = defaultdict(set)
+    for x in set_join.in_cells(spark.range(400).selectExpr("7L as key", "id as node"), sets, 500).collect():
+        cells[x.cell].add(x.node)
+    assert max(map(len, cells.values())) < 160 and len({p for c in cells.values() for p in combinations(sorted(c), 2)}) == 400 * 399 // 2
+    base = words(150, 98)
+    texts = [edited(base, int(r.integers(1, 9)), r) for _ in range(120)]
+    comp = jaccard_components(texts)
+    got = simhash.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert {x.doc_id for x in got.collect()} == {comp.index(c) for c in comp}
+
+
 # ---- 10: n-gram trie
 
 
