@@ -6,9 +6,9 @@ word pairs. A level keeps its contexts, pointers and successors as Elias-Fano se
 successor is not a word but its place among the successors of the pair's second word: a lookup first finds the
 pair (w2, w3), then searches that place among the successors of (w1, w2).
 
-Probabilities: p1 = (c + 1) / (N + V + 1), words never seen included; above it, with absolute discount D and
-n-grams seen once left out (what they had goes to the back-off weight, so that each context's probabilities
-still sum to one): p = (c - D) / c(context) + backoff(context) * p(lower). Codes are 16 bits, rounded down.
+Probabilities: p1 = (c + 1) / (N + V + 1), words never seen included; above it, with absolute discount D (n-grams seen
+less than `least` times are left out, what they had goes to the back-off weight, so that each context's
+probabilities still sum to one): p = (c - D) / c(context) + backoff(context) * p(lower). Codes are 16 bits, rounded down.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from panelforge.llm.elias_fano import EliasFano
 from panelforge.llm.suffix_dedup import _BYTE, _powers
 
 DISCOUNT = 0.75
-#: An n-gram must be seen this often to be stored.
+#: What train() takes unless told otherwise: an n-gram must be seen this often to be stored. The query stores all.
 LEAST = 2
 #: The hash that stands for the end of a text (and for what precedes its first word).
 END = np.uint64(0x5E5E_5E5E_0000_0001)
@@ -404,7 +404,7 @@ def _shards(rows) -> tuple[list, int]:
     return out, base
 
 
-def train(docs: DataFrame, folder: str | None = None) -> Model:
+def train(docs: DataFrame, folder: str | None = None, least: int = LEAST) -> Model:
     """Model of the training documents of docs (doc_id, text); its levels are files in the shared folder.
 
     Counts cover every training text in whole. Only each level's shard list comes to the driver (a row per
@@ -431,7 +431,7 @@ def train(docs: DataFrame, folder: str | None = None) -> Model:
         number, _ = model.numbers(hashes)
         return model.previous(number, sizes, end).astype(np.uint64) << np.uint64(32) | number.astype(np.uint64)
 
-    pairs = stage(count_keys(docs, pair_keys, total, LEAST), "pairs")
+    pairs = stage(count_keys(docs, pair_keys, total, least), "pairs")
     n = pairs.count()
     if not n:
         return model
@@ -455,7 +455,7 @@ def train(docs: DataFrame, folder: str | None = None) -> Model:
         both = (context >= 0) & (relative >= 0)
         return context[both].astype(np.uint64) << np.uint64(bits) | relative[both].astype(np.uint64)
 
-    triples = stage(count_keys(docs, triple_keys, max(1, total // 4), LEAST), "triples")
+    triples = stage(count_keys(docs, triple_keys, max(1, total if least == 1 else total // 4), least), "triples")
     n = triples.count()
     if not n:
         return model
@@ -497,4 +497,4 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 def op10_ngram_trie(spark, sf_dir: str) -> DataFrame:
     """Trigram and unigram log10 probability of every document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return score(docs, train(docs))
+    return score(docs, train(docs, least=1))

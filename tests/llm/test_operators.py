@@ -533,3 +533,15 @@ def test_pipeline_stages(spark, tmp_path):
         seen.append(docs.count())
     assert seen[1] <= seen[0] and seen[2] <= seen[1] and seen[3] == seen[2] and len(corpus_pipeline.STAGES) == 5
     assert corpus_pipeline.run(spark, path).count() == seen[-1]
+
+
+def test_the_query_stores_ngrams_seen_once(spark, tmp_path):
+    from panelforge.llm.ngram_trie import DISCOUNT, held_out, op10_ngram_trie
+
+    i = next(k for k in range(99) if not held_out(k))
+    spark.createDataFrame([(i, "a b c")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = op10_ngram_trie(spark, str(tmp_path)).first()
+    p = 2 / (4 + 4 + 1)  # four tokens, each seen once
+    two = (1 - DISCOUNT) + DISCOUNT * p
+    three = (1 - DISCOUNT) + DISCOUNT * two
+    assert abs(got.score - (math.log10(two) + 3 * math.log10(three))) < 0.01
