@@ -1,11 +1,16 @@
 """Trigram scoring from an Elias-Fano trie of quantised, smoothed probabilities.
 
-Three levels, each cut into shards by context and written once to the shared folder, where every task maps the
-files it needs into memory: words (by 64-bit hash, with exact counts), successors of words, and successors of
-word pairs. A level keeps its contexts, pointers and successors as Elias-Fano sequences. In the last level a
+Three levels, each cut into shards by (context, successor) and written once to the shared folder, where every task
+maps the files it needs into memory: words (by 64-bit hash, with exact counts), successors of words, and successors
+of word pairs. A level keeps its contexts, pointers and successors as Elias-Fano sequences. In the last level a
 successor is not a word but its place among the successors of the pair's second word: a lookup first finds the
 pair (w2, w3), then searches that place among the successors of (w1, w2).
 
+Counting sends no n-gram as a row of its own: a chunk of text gives one Elias-Fano block of sorted keys for each
+range of keys, and whoever gets a range adds its blocks up and writes the shard. The ranges of a level come from the
+exact counts of the level before, so that each holds about SHARD tokens; the successors of a context that is more
+frequent than that are spread over several shards, and what its back-off weight needs is put together from them.
+
 Probabilities: p1 = (c + 1) / (N + V + 1), words never seen included; above it, with absolute discount D (n-grams seen
 less than `least` times are left out, what they had goes to the back-off weight, so that each context's
 probabilities still sum to one): p = (c - D) / c(context) + backoff(context) * p(lower). Codes are 16 bits, rounded down.
@@ -15,9 +20,11 @@ from __future__ import annotations
 
 import json
 import math
+import mmap
 import os
 import uuid
 import zlib
+from collections import OrderedDict
 
 import numpy as np
 import pyarrow as pa
@@ -25,21 +32,21 @@ import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import mix64, shared_dir, stage, utf8_chunks
+from panelforge.llm.common import mix64, shared_dir, utf8_chunks
 from panelforge.llm.elias_fano import EliasFano
 from panelforge.llm.suffix_dedup import _BYTE, _powers
 
 DISCOUNT = 0.75
-#: What train() takes unless told otherwise: an n-gram must be seen this often to be stored. The query stores all.
-LEAST = 2
 #: The hash that stands for the end of a text (and for what precedes its first word).
 END = np.uint64(0x5E5E_5E5E_0000_0001)
-#: Entries that one shard of a level, or one bucket of counts, aims at.
-SHARD = 1_000_000
+#: Tokens that one shard of a level aims at.
+SHARD = 1 << 20
 CHUNK = 1 << 21
+#: Bytes of level files that a process keeps where they can't be mapped.
+HELD = 1 << 28
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_OPEN: dict[str, dict[str, np.ndarray]] = {}
+_OPEN: OrderedDict[str, tuple[dict[str, np.ndarray], mmap.mmap | None, int]] = OrderedDict()
 
 
 # ---- files of the levels
@@ -52,7 +59,7 @@ def _local(path: str) -> str | None:
     return path if path.startswith("/") else None
 
 
-def write_level(folder: str, name: str, parts: dict[str, np.ndarray]) -> str:
+def write_level(path: str, parts: dict[str, np.ndarray]) -> None:
     """Write arrays as one file (under a temporary name first: a retried task leaves no half file)."""
     at, index = 0, {}
     for k, a in parts.items():
@@ -60,37 +67,50 @@ def write_level(folder: str, name: str, parts: dict[str, np.ndarray]) -> str:
         at += -(-a.nbytes // 64) * 64
     head = json.dumps(index).encode()
     head += b" " * (-(len(head) + 8) % 64)
-    path = f"{folder}/{name}-{uuid.uuid4().hex}.level"
     body = [len(head).to_bytes(8, "little"), head]
     for a in parts.values():
         body += [a.tobytes(), b"\0" * (-a.nbytes % 64)]
     if local := _local(path):
         os.makedirs(os.path.dirname(local), exist_ok=True)
-        with open(f"{local}.part", "wb") as f:
+        part = f"{local}.{uuid.uuid4().hex}.part"
+        with open(part, "wb") as f:
             f.writelines(body)
-        os.replace(f"{local}.part", local)
+        os.replace(part, local)
     else:
         fs, inner = pyarrow.fs.FileSystem.from_uri(path)
         fs.create_dir(os.path.dirname(inner), recursive=True)
         with fs.open_output_stream(inner) as f:
             for x in body:
                 f.write(x)
-    return path
 
 
 def open_level(path: str) -> dict[str, np.ndarray]:
-    """Arrays of a level file: memory-mapped where the shared folder is mounted, read once a process otherwise."""
+    """Arrays of a level file: memory-mapped where the shared folder is mounted; otherwise read, and at most HELD bytes kept."""
     if path not in _OPEN:
+        mapped = None
         if local := _local(path):
-            raw = np.memmap(local, np.uint8, "r")
+            with open(local, "rb") as f:
+                mapped = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
+            raw = np.frombuffer(mapped, np.uint8)
         else:
             fs, inner = pyarrow.fs.FileSystem.from_uri(path)
             with fs.open_input_file(inner) as f:
                 raw = np.frombuffer(f.read(), np.uint8)
         n = int(raw[:8].view(np.int64)[0])
         index = json.loads(bytes(raw[8 : 8 + n]))
-        _OPEN[path] = {k: raw[8 + n + at : 8 + n + at + size * np.dtype(kind).itemsize].view(kind) for k, (kind, at, size) in index.items()}
-    return _OPEN[path]
+        arrays = {k: raw[8 + n + at : 8 + n + at + size * np.dtype(kind).itemsize].view(kind) for k, (kind, at, size) in index.items()}
+        _OPEN[path] = arrays, mapped, 0 if mapped else raw.size
+        while sum(x[2] for x in _OPEN.values()) > HELD and len(_OPEN) > 1:
+            _OPEN.popitem(last=False)
+    _OPEN.move_to_end(path)
+    return _OPEN[path][0]
+
+
+def release() -> None:
+    """Give mapped pages back (they stay in the system's cache), so that a task's memory doesn't grow with the levels."""
+    for _, mapped, _ in _OPEN.values():
+        if mapped is not None:
+            mapped.madvise(mmap.MADV_DONTNEED)
 
 
 # ---- tokens
@@ -127,96 +147,166 @@ def held_out(doc_id) -> bool:
 # ---- levels as lookups
 
 
+class Cuts:
+    """Ranges of (context, successor) pairs by their first pairs, in order."""
+
+    def __init__(self, context: np.ndarray, successor: np.ndarray):
+        self.context, self.successor = context, successor
+        again = np.flatnonzero(context[1:] == context[:-1]) + 1
+        self.split = np.unique(context[again])  # contexts that several ranges begin with
+
+    def of(self, ctx: np.ndarray, successor: np.ndarray) -> np.ndarray:
+        """The range of each pair (-1: before the first). At most one range that begins inside a context's successors is told by the context alone."""
+        at = np.searchsorted(self.context, ctx, "right") - 1
+        # the last range that begins with this context may begin behind the successor
+        check = np.flatnonzero((at >= 0) & (self.context[np.maximum(at, 0)] == ctx) & (self.successor[np.maximum(at, 0)] > successor))
+        at[check] -= 1
+        if self.split.size and check.size:
+            deep = check[np.isin(ctx[check], self.split)]
+            for c in np.unique(ctx[deep]).tolist():
+                rows = deep[ctx[deep] == c]
+                low, high = np.searchsorted(self.context, [c, c + 1])
+                at[rows] = low - 1 + np.searchsorted(self.successor[low:high], successor[rows], "right")
+        return at
+
+
+def _gap(sums: EliasFano, i: np.ndarray) -> np.ndarray:
+    """Differences of a sequence of running totals: total[i + 1] - total[i]."""
+    return (sums.access(i + 1) - sums.access(i)).astype(np.int64)
+
+
+def _code(p: np.ndarray) -> np.ndarray:
+    """-log2(p) in steps of 1/1024, rounded up; 65535 for 0."""
+    with np.errstate(divide="ignore"):
+        return np.minimum(np.ceil(-np.log2(p) * 1024), 65535).astype(np.uint16)
+
+
+def _decode(code: np.ndarray) -> np.ndarray:
+    return np.where(code == 65535, 0.0, np.exp2(code / -1024.0))
+
+
 class Words:
     """Level 1: word hash -> number (its place among all sorted hashes) and exact count."""
 
-    def __init__(self, shards, total: int, size: int):
-        self.shards, self.total, self.size = shards, total, size  # shards: (first hash, first number, path)
-        self.firsts = np.array([s[0] for s in shards], np.uint64)
+    def __init__(self, folder: str, files: np.ndarray, firsts: np.ndarray, sizes: np.ndarray, total: int):
+        self.folder, self.files, self.firsts, self.total = folder, files, firsts, total
+        self.bases, self.size = np.cumsum(sizes) - sizes, int(sizes.sum())
+
+    def _shard(self, s: int) -> dict[str, np.ndarray]:
+        return open_level(f"{self.folder}/words-{self.files[s]}.level")
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(number or -1, count) of each distinct hash."""
         number, count = np.full(hashes.size, -1, np.int64), np.zeros(hashes.size, np.int64)
         of = np.searchsorted(self.firsts, hashes, "right") - 1
         for s in np.unique(of[of >= 0]).tolist():
-            first, base, path = self.shards[s]
-            parts = open_level(path)
+            parts = self._shard(s)
             rows = np.flatnonzero(of == s)
-            at = EliasFano.of(parts, "hash").find(hashes[rows] - np.uint64(first))
+            at = EliasFano.of(parts, "hash").find(hashes[rows] - self.firsts[s])
             rows, at = rows[at >= 0], at[at >= 0]
-            number[rows] = at + base
+            number[rows] = at + self.bases[s]
             count[rows] = _gap(EliasFano.of(parts, "counts"), at)
         return number, count
 
     def counts(self, numbers: np.ndarray) -> np.ndarray:
         out = np.zeros(numbers.size, np.int64)
-        bases = np.array([s[1] for s in self.shards], np.int64)
-        of = np.searchsorted(bases, numbers, "right") - 1
+        of = np.searchsorted(self.bases, numbers, "right") - 1
         for s in np.unique(of).tolist():
             rows = np.flatnonzero(of == s)
-            out[rows] = _gap(EliasFano.of(open_level(self.shards[s][2]), "counts"), numbers[rows] - bases[s])
+            out[rows] = _gap(EliasFano.of(self._shard(s), "counts"), numbers[rows] - self.bases[s])
         return out
 
 
-def _gap(sums: EliasFano, i: np.ndarray) -> np.ndarray:
-    """Differences of a sequence of running totals: total[i + 1] - total[i]."""
-    return (sums.access(i + 1) - sums.access(i)).astype(np.int64)
-
-
-def _code(p: np.ndarray) -> np.ndarray:
-    """-log2(p) in steps of 1/1024, rounded up; 65535 for 0."""
-    with np.errstate(divide="ignore"):
-        return np.minimum(np.ceil(-np.log2(p) * 1024), 65535).astype(np.uint16)
-
-
-def _decode(code: np.ndarray) -> np.ndarray:
-    return np.where(code == 65535, 0.0, np.exp2(code / -1024.0))
-
-
 class Successors:
     """Level 2 or 3: (context, successor) -> place in the level, probability; context -> back-off weight, pointer."""
 
-    def __init__(self, shards, width: int):
-        self.shards, self.width = shards, width  # shards: (first context, first place, path)
-        self.firsts = np.array([s[0] for s in shards], np.int64)
-        self.bases = np.array([s[1] for s in shards], np.int64)
-
-    def _by_shard(self, contexts: np.ndarray):
-        of = np.searchsorted(self.firsts, contexts, "right") - 1
-        for s in np.unique(of[(of >= 0) & (contexts >= 0)]).tolist():
-            yield s, open_level(self.shards[s][2]), np.flatnonzero((of == s) & (contexts >= 0))
-
-    def contexts(self, ctx: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of distinct contexts: their row in the shard (-1: none), pointer (place of the first successor), back-off weight (1 if none)."""
-        row, pointer, backoff = np.full(ctx.size, -1, np.int64), np.zeros(ctx.size, np.int64), np.ones(ctx.size)
-        for s, parts, rows in self._by_shard(ctx):
-            at = EliasFano.of(parts, "context").find(ctx[rows] - self.firsts[s])
+    def __init__(self, folder: str, name: str, width: int, made: list):
+        """made: the shards' rows (see _write_successors)."""
+        made = sorted(made, key=lambda r: r.file)
+        column = lambda c: np.array([getattr(r, c) for r in made], np.int64)
+        self.folder, self.name, self.width = folder, name, width
+        self.files, sizes = column("file"), column("n")
+        self.cuts, self.bases, self.size = Cuts(column("context"), column("successor")), np.cumsum(sizes) - sizes, int(sizes.sum())
+        # contexts at the edges of shards, put together from all that hold a part
+        edges: dict[int, list] = {}
+        for r, base in zip(made, self.bases.tolist(), strict=True):
+            for e in r.edges:
+                got = edges.setdefault(e.context, [base + e.at, 0.0, e.total, 0])
+                got[1] += e.kept
+                got[3] += 1
+        split = sorted(c for c, e in edges.items() if e[3] > 1)
+        self.split = np.array(split, np.int64)
+        self.split_pointer = np.array([edges[c][0] for c in split], np.int64)
+        self.split_backoff = np.array([1 - edges[c][1] / edges[c][2] for c in split], np.float64)
+
+    def _shard(self, s: int) -> dict[str, np.ndarray]:
+        return open_level(f"{self.folder}/{self.name}-{self.files[s]}.level")
+
+    def contexts(self, ctx: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of distinct contexts: pointer (place of the first successor) and back-off weight (0 and 1 if there is none)."""
+        pointer, backoff = np.zeros(ctx.size, np.int64), np.ones(ctx.size)
+        of = np.where(ctx >= 0, np.searchsorted(self.cuts.context, ctx, "right") - 1, -1)
+        for s in np.unique(of[of >= 0]).tolist():
+            parts, rows = self._shard(s), np.flatnonzero(of == s)
+            at = EliasFano.of(parts, "context").find(ctx[rows] - self.cuts.context[s])
             rows, at = rows[at >= 0], at[at >= 0]
-            row[rows] = at
             pointer[rows] = EliasFano.of(parts, "pointers").access(at).astype(np.int64) + self.bases[s]
             backoff[rows] = _decode(parts["backoff"][at])
-        return row, pointer, backoff
-
-    def find(self, ctx: np.ndarray, row: np.ndarray, successor: np.ndarray, counts: bool = False):
-        """Place (-1: absent) and probability (0) of pairs, given their context's row; or place and count."""
-        place, p = np.full(ctx.size, -1, np.int64), np.zeros(ctx.size, np.int64 if counts else np.float64)
-        for s, parts, rows in self._by_shard(np.where((row >= 0) & (successor >= 0), ctx, -1)):
-            at = EliasFano.of(parts, "next").find(row[rows] * self.width + successor[rows])
+        if self.split.size:
+            at = np.minimum(np.searchsorted(self.split, ctx), self.split.size - 1)
+            own = np.flatnonzero(self.split[at] == ctx)
+            pointer[own], backoff[own] = self.split_pointer[at[own]], self.split_backoff[at[own]]
+        return pointer, backoff
+
+    def find(self, ctx: np.ndarray, successor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place (-1: absent) and probability (0) of pairs."""
+        place, p = np.full(ctx.size, -1, np.int64), np.zeros(ctx.size)
+        live = np.flatnonzero((ctx >= 0) & (successor >= 0))
+        if not live.size:
+            return place, p
+        of = self.cuts.of(ctx[live], successor[live])
+        order = np.argsort(of, kind="stable")
+        live, of = live[order], of[order]
+        start = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
+        for x, y in zip(start.tolist(), [*start[1:].tolist(), of.size], strict=True):
+            s = int(of[x])
+            if s < 0:
+                continue
+            parts, rows = self._shard(s), live[x:y]
+            own, back = np.unique(ctx[rows] - self.cuts.context[s], return_inverse=True)
+            row = EliasFano.of(parts, "context").find(own)[back]
+            rows, row = rows[row >= 0], row[row >= 0]
+            at = EliasFano.of(parts, "next").find(row * self.width + successor[rows])
             rows, at = rows[at >= 0], at[at >= 0]
             place[rows] = at + self.bases[s]
-            p[rows] = _gap(EliasFano.of(parts, "counts"), at) if counts else _decode(parts["p"][at])
+            p[rows] = _decode(parts["p"][at])
         return place, p
 
+    def counts(self, places: np.ndarray) -> np.ndarray:
+        out = np.zeros(places.size, np.int64)
+        of = np.searchsorted(self.bases, places, "right") - 1
+        for s in np.unique(of).tolist():
+            rows = np.flatnonzero(of == s)
+            out[rows] = _gap(EliasFano.of(self._shard(s), "counts"), places[rows] - self.bases[s])
+        return out
+
 
 def _distinct(x: np.ndarray, y: np.ndarray):
-    """Distinct pairs of two arrays (each at least -1 and below 2**32): the pairs' arrays and the inverse."""
-    both, back = np.unique((x + 1).astype(np.uint64) << np.uint64(32) | (y + 1).astype(np.uint64), return_inverse=True)
-    return (both >> np.uint64(32)).astype(np.int64) - 1, (both & np.uint64(0xFFFFFFFF)).astype(np.int64) - 1, back
+    """Distinct pairs of two arrays (each at least -1), in order: the pairs' arrays and the inverse."""
+    if max(x.max(initial=0), y.max(initial=0)) < (1 << 32) - 1:
+        both, back = np.unique((x + 1).astype(np.uint64) << np.uint64(32) | (y + 1).astype(np.uint64), return_inverse=True)
+        return (both >> np.uint64(32)).astype(np.int64) - 1, (both & np.uint64(0xFFFFFFFF)).astype(np.int64) - 1, back
+    order = np.lexsort((y, x))
+    new = np.concatenate(([True], (x[order][1:] != x[order][:-1]) | (y[order][1:] != y[order][:-1])))
+    back = np.empty(x.size, np.int64)
+    back[order] = np.cumsum(new) - 1
+    return x[order][new], y[order][new], back
 
 
 class Model:
-    def __init__(self, words: Words, pairs: Successors | None = None, triples: Successors | None = None):
+    def __init__(self, words: Words | None, pairs: Successors | None = None, triples: Successors | None = None):
         self.words, self.pairs, self.triples = words, pairs, triples
+        self.end = int(words.find(np.array([END]))[0][0]) if words else -1
 
     def numbers(self, hashes: np.ndarray):
         """Number and count of each token."""
@@ -224,81 +314,90 @@ class Model:
         number, count = self.words.find(own)
         return number[back], count[back]
 
-    def previous(self, number: np.ndarray, sizes: np.ndarray, end: int) -> np.ndarray:
+    def previous(self, number: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """What precedes each token; END before a text's first."""
-        before = np.concatenate(([end], number[:-1]))
-        before[np.cumsum(sizes) - sizes] = end
+        before = np.concatenate(([self.end], number[:-1]))
+        before[np.cumsum(sizes) - sizes] = self.end
         return before
 
     def pair_places(self, before: np.ndarray, number: np.ndarray):
         """Of each token after its predecessor: place in level 2, probability, place among the context's successors, back-off weight."""
         a, b, back = _distinct(before, number)
         ctx, of = np.unique(a, return_inverse=True)
-        row, pointer, backoff = self.pairs.contexts(ctx)
-        place, p = self.pairs.find(a, row[of], b)
+        pointer, backoff = self.pairs.contexts(ctx)
+        place, p = self.pairs.find(a, b)
         relative = np.where(place >= 0, place - pointer[of], -1)
         return place[back], p[back], relative[back], backoff[of][back]
 
+    def pair_contexts(self, place: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The place of the word pair before each token; -1 where there are no two words before it in its text."""
+        context = np.concatenate(([-1], place[:-1]))
+        context[np.cumsum(sizes) - sizes] = -1
+        return context
+
     def score(self, texts: list[bytes]):
         """Per text: tokens, known tokens, base score, score (log10)."""
         hashes, sizes = token_hashes(texts)
+        first = np.cumsum(sizes) - sizes
+        total = lambda x: np.add.reduceat(x, first)
+        if self.words is None:  # no training text: one word never seen, of probability 1
+            none = np.zeros(len(texts))
+            return sizes, none.astype(np.int64), none, none
         number, count = self.numbers(hashes)
-        end = int(self.words.find(np.array([END]))[0][0])
         p1 = (count + 1) / (self.words.total + self.words.size + 1)
         p = p1
-        before = self.previous(number, sizes, end)
-        if self.pairs is not None and self.pairs.shards:
-            place, p2, relative, backoff = self.pair_places(before, number)
+        if self.pairs is not None:
+            place, p2, relative, backoff = self.pair_places(self.previous(number, sizes), number)
             p = p2 + backoff * p1
-            if self.triples is not None and self.triples.shards:
-                context = np.concatenate(([-1], place[:-1]))
-                context[np.cumsum(sizes) - sizes] = -1
+            if self.triples is not None:
+                context = self.pair_contexts(place, sizes)
                 ctx, of = np.unique(context, return_inverse=True)
-                row, _, weight = self.triples.contexts(ctx)
-                _, p3 = self.triples.find(context, row[of], relative)
+                _, weight = self.triples.contexts(ctx)
+                _, p3 = self.triples.find(context, relative)
                 p = p3 + weight[of] * p
-        first = np.cumsum(sizes) - sizes
-        total = lambda x: np.add.reduceat(x, first)
+        release()
         return sizes, total((count > 0).astype(np.int64)), total(np.log10(p1)), total(np.log10(p))
 
 
-# ---- counting: sorted keys of a chunk travel as one compressed block per bucket
+# ---- counting: the sorted keys of a chunk travel as one block for each range of keys
 
 
-def _blocks(keys: np.ndarray, counts: np.ndarray, buckets: int):
-    bucket = (mix64(keys) % np.uint64(buckets)).astype(np.int32)
-    order = np.argsort(bucket, kind="stable")
-    cut = np.concatenate(([0], np.flatnonzero(np.diff(bucket[order])) + 1, [order.size]))
-    for x, y in zip(cut[:-1], cut[1:], strict=True):
-        rows = order[x:y]
-        gaps = np.diff(keys[rows], prepend=np.uint64(0))
-        planes = np.ascontiguousarray(gaps.view(np.uint8).reshape(-1, 8).T).tobytes() + np.ascontiguousarray(counts[rows].astype(np.int64).view(np.uint8).reshape(-1, 8).T).tobytes()
-        yield int(bucket[rows[0]]), int(rows.size), zlib.compress(planes, 1)
+def _pack(keys: np.ndarray, counts: np.ndarray) -> bytes:
+    """Sorted keys as an Elias-Fano sequence; counts as marks and values of those above one."""
+    more = counts > 1
+    rest = zlib.compress(np.packbits(more).tobytes() + counts[more].astype(np.int64).tobytes(), 1)
+    return keys[:1].tobytes() + EliasFano.build(keys - keys[0], int(keys[-1] - keys[0]) + 1).to_bytes() + rest
 
 
 def _unpack(n: int, block: bytes) -> tuple[np.ndarray, np.ndarray]:
-    planes = np.frombuffer(zlib.decompress(block), np.uint8).reshape(2, 8, n)
-    gaps, counts = (np.ascontiguousarray(p.T).view(x)[:, 0] for p, x in zip(planes, (np.uint64, np.int64), strict=True))
-    return np.cumsum(gaps, dtype=np.uint64), counts
+    sequence, at = EliasFano.from_bytes(block[8:])
+    rest = zlib.decompress(block[8 + at :])
+    more = np.unpackbits(np.frombuffer(rest, np.uint8, -(-n // 8)), count=n).astype(bool)
+    counts = np.ones(n, np.int64)
+    counts[more] = np.frombuffer(rest, np.int64, offset=-(-n // 8))
+    return sequence.values() + np.frombuffer(block, np.uint64, 1), counts
 
 
-def _emit(keys_of, buckets: int):
-    """Arrow function over (doc_id, text): blocks of keys_of(texts) of training documents."""
+def _emit(keys_of):
+    """Arrow function over (doc_id, text): blocks of the ranges and keys keys_of(texts), of training documents."""
 
     def run(batches):
         for b in batches:
             mask = pa.array([not held_out(x.as_py()) for x in b.column(0)])
             for _, texts in _pieces(b.filter(mask), 1):
-                keys, counts = np.unique(keys_of(texts), return_counts=True)
-                if keys.size:
-                    rows = list(_blocks(keys, counts, buckets))
-                    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], names=["bucket", "n", "block"])
+                ranges, keys, counts = keys_of(texts)
+                cut = np.flatnonzero(np.concatenate(([True], ranges[1:] != ranges[:-1]))).tolist() if ranges.size else []
+                ends = [*cut[1:], ranges.size]
+                blocks = [_pack(keys[x:y], counts[x:y]) for x, y in zip(cut, ends, strict=bool(cut))]
+                release()
+                if blocks:
+                    yield pa.RecordBatch.from_arrays([pa.array(ranges[cut]), pa.array(np.subtract(ends, cut).astype(np.int32)), pa.array(blocks, pa.binary())], names=["range", "n", "block"])
 
     return run
 
 
-def _total(least: int):
-    """Arrow function over blocks sorted by bucket: keys and their total counts of at least `least`."""
+def _reduce(write, least: int):
+    """Arrow function over blocks sorted by range: write(range, keys, counts) of each, n-grams seen `least` times or more."""
 
     def add(held):
         keys, counts = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -307,177 +406,184 @@ def _total(least: int):
         first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
         return keys[first], np.add.reduceat(counts, first)
 
-    def out(held):
+    def out(number, held):
         keys, counts = add(held)
         keep = counts >= least
-        for at in range(0, int(keep.sum()), 1 << 17):
-            yield pa.RecordBatch.from_arrays([pa.array(keys[keep][at : at + (1 << 17)].view(np.int64)), pa.array(counts[keep][at : at + (1 << 17)])], names=["key", "c"])
+        if keep.any():
+            yield write(number, keys[keep], counts[keep])
+            release()
 
     def run(batches):
         now, held, size = None, [], 0
         for b in batches:
-            for bucket, n, block in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-                if bucket != now and held:
-                    yield from out(held)
+            for number, n, block in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                if number != now and held:
+                    yield from out(now, held)
                     held, size = [], 0
-                now = bucket
+                now = number
                 held.append(_unpack(n, block.as_py()))
                 size += n
                 if size > 2 * SHARD:  # fold what has come so far
                     held = [add(held)]
                     size = held[0][0].size
         if held:
-            yield from out(held)
+            yield from out(now, held)
 
     return run
 
 
-def count_keys(docs: DataFrame, keys_of, expected: int, least: int) -> DataFrame:
-    """(key, c): how often each 64-bit key of the training documents occurs, where at least `least` times."""
-    buckets = max(48, -(-expected // SHARD))
-    blocks = docs.mapInArrow(_emit(keys_of, buckets), "bucket int, n int, block binary")
-    parts = min(buckets, max(48, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    return blocks.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_total(least), "key long, c long")
+def _made(docs: DataFrame, keys_of, ranges: int, write, schema: str, least: int) -> list:
+    """Count the keys of the training documents, and write a shard for each range: the rows that write gives."""
+    blocks = docs.mapInArrow(_emit(keys_of), "range long, n int, block binary")
+    return blocks.repartition(ranges, "range").sortWithinPartitions("range").mapInArrow(_reduce(write, least), schema).collect()
 
 
 # ---- building the levels
 
 
-def _gather(batches):
-    cols = [[c.to_numpy() for c in b.columns] for b in batches if b.num_rows]
-    return [np.concatenate(x) for x in zip(*cols, strict=True)] if cols else None
+def _row(values: dict) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([v], pa.list_(pa.struct(k)) if k else None) for v, k in values.values()], names=list(values))
 
 
-def _write_words(folder: str):
-    """Arrow function over (key: hash with the sign bit flipped, c) sorted by key."""
+_NEXT_CUTS = [("at", pa.int64()), ("piece", pa.int64()), ("pieces", pa.int64())]
+_EDGES = [("context", pa.int64()), ("at", pa.int64()), ("kept", pa.float64()), ("total", pa.int64())]
 
-    def run(batches):
-        got = _gather(batches)
-        if got is None:
-            return
-        h = got[0].view(np.uint64) ^ np.uint64(1 << 63)
-        first = int(h[0])
-        parts = EliasFano.build(h - np.uint64(first), int(h[-1]) - first + 1).parts("hash")
-        sums = np.concatenate(([0], np.cumsum(got[1])))
-        parts |= EliasFano.build(sums, int(sums[-1]) + 1).parts("counts")
-        yield _manifest(first, h.size, write_level(folder, "words", parts), 0)
 
-    return run
+def next_cuts(counts: np.ndarray, shard: int) -> list[dict]:
+    """Where the next level is cut so that a range has about `shard` tokens: before the first successor of entry `at`,
+    or, where an entry alone has more, at `piece` of its `pieces` parts."""
+    mark = (np.cumsum(counts) - counts) // shard
+    starts = np.flatnonzero(np.concatenate(([True], mark[1:] != mark[:-1])))
+    out = [(i, 0, 1) for i in starts.tolist()]
+    for i in np.flatnonzero(counts > shard).tolist():
+        pieces = -(-int(counts[i]) // shard)
+        out += [(i, j, pieces) for j in range(1, pieces)]
+    return [dict(zip(("at", "piece", "pieces"), c, strict=True)) for c in sorted(out)]
 
 
-def _manifest(first, n, path, widest):
-    return pa.RecordBatch.from_arrays([pa.array([str(first)]), pa.array([n], pa.int64()), pa.array([path]), pa.array([widest], pa.int64())], names=["first", "n", "path", "widest"])
+def _cuts_of(made: list, bases: np.ndarray, width: int) -> Cuts:
+    """The ranges of the next level from the cuts that the shards of this one gave (in the shards' order)."""
+    at = [(base + c.at, width * c.piece // c.pieces) for r, base in zip(made, bases.tolist(), strict=True) for c in r.cuts]
+    return Cuts(*(np.array(x, np.int64) for x in zip(*at, strict=True)))
 
 
-_MANIFEST = "first string, n long, path string, widest long"
+def _write_words(folder: str, ranges: int, shard: int):
+    def write(number: int, keys: np.ndarray, counts: np.ndarray):
+        first = int(keys[0])
+        parts = EliasFano.build(keys - keys[0], int(keys[-1]) - first + 1).parts("hash")
+        sums = np.concatenate(([0], np.cumsum(counts)))
+        parts |= EliasFano.build(sums, int(sums[-1]) + 1).parts("counts")
+        write_level(f"{folder}/words-{number}.level", parts)
+        return _row({"file": (number, None), "first": (str(first), None), "n": (keys.size, None), "tokens": (int(sums[-1]), None), "cuts": (next_cuts(counts, shard), _NEXT_CUTS)})
 
+    return write
 
-def _write_successors(folder: str, name: str, width: int, denominators):
-    """Arrow function over (ctx, next, c, ...) sorted by ctx, next: writes the shard of whole contexts."""
 
-    def run(batches):
-        got = _gather(batches)
-        if got is None:
-            return
-        ctx, nxt, c = got[:3]
+def _write_successors(folder: str, name: str, width: int, cuts: Cuts, denominators, shard: int, last: bool):
+    """Writer of a shard; its row tells its first pair, the widest context, the contexts at its edges and where the next level is cut."""
+
+    def write(number: int, keys: np.ndarray, c: np.ndarray):
+        ctx, nxt = (keys // np.uint64(width)).astype(np.int64), (keys % np.uint64(width)).astype(np.int64)
         start = np.flatnonzero(np.concatenate(([True], ctx[1:] != ctx[:-1])))
-        own, of = ctx[start], np.cumsum(np.concatenate(([False], ctx[1:] != ctx[:-1])))
-        total = denominators(own, got[3][start] if len(got) > 3 else None)
+        of = np.cumsum(np.concatenate(([False], ctx[1:] != ctx[:-1])))
+        own = ctx[start]
+        total = denominators(own + cuts.context[number])
         sizes = np.diff(np.concatenate((start, [ctx.size])))
+        kept = np.add.reduceat(c, start) - DISCOUNT * sizes
+        # contexts count from the range's first, as lookups do
         parts = EliasFano.build(own - own[0], int(own[-1] - own[0]) + 1).parts("context")
         parts |= EliasFano.build(start, ctx.size + 1).parts("pointers")
         parts |= EliasFano.build(of * width + nxt, own.size * width).parts("next")
-        sums = np.concatenate(([0], np.cumsum(c)))
-        parts |= EliasFano.build(sums, int(sums[-1]) + 1).parts("counts")
+        if not last:
+            sums = np.concatenate(([0], np.cumsum(c)))
+            parts |= EliasFano.build(sums, int(sums[-1]) + 1).parts("counts")
         parts["p"] = _code((c - DISCOUNT) / total[of])
-        parts["backoff"] = _code(1 - (np.add.reduceat(c, start) - DISCOUNT * sizes) / total)
-        yield _manifest(int(own[0]), ctx.size, write_level(folder, name, parts), int(sizes.max()))
+        parts["backoff"] = _code(1 - kept / total)
+        write_level(f"{folder}/{name}-{number}.level", parts)
+        base = int(cuts.context[number])
+        edges = [{"context": base + int(own[i]), "at": int(start[i]), "kept": float(kept[i]), "total": int(total[i])} for i in sorted({0, own.size - 1})]
+        row = {"file": (number, None), "context": (base + int(own[0]), None), "successor": (int(nxt[0]), None), "n": (ctx.size, None), "widest": (int(sizes.max()), None)}
+        return _row(row | {"edges": (edges, _EDGES), "cuts": ([] if last else next_cuts(c, shard), _NEXT_CUTS)})
 
-    return run
+    return write
 
 
-def _shards(rows) -> tuple[list, int]:
-    found, base, out = sorted((int(r.first), r.n, r.path) for r in rows), 0, []
-    for first, n, path in found:
-        out.append((first, base, path))
-        base += n
-    return out, base
+_CUTS = "cuts array<struct<at: long, piece: long, pieces: long>>"
+_SHARD_ROW = f"file long, context long, successor long, n long, widest long, edges array<struct<context: long, at: long, kept: double, total: long>>, {_CUTS}"
 
 
-def train(docs: DataFrame, folder: str | None = None, least: int = LEAST) -> Model:
+def _by_range(cuts: Cuts, width: int, ctx: np.ndarray, nxt: np.ndarray):
+    """Ranges, keys and counts of pairs, in order. A key is (context - the range's first context) * width + successor."""
+    a, b, back = _distinct(ctx, nxt)
+    counts = np.bincount(back, minlength=a.size)
+    ranges = cuts.of(a, b)
+    return ranges, (a - cuts.context[ranges]).astype(np.uint64) * np.uint64(width) + b.astype(np.uint64), counts
+
+
+def train(docs: DataFrame, folder: str | None = None, least: int = 1, shard: int = SHARD) -> Model:
     """Model of the training documents of docs (doc_id, text); its levels are files in the shared folder.
 
-    Counts cover every training text in whole. Only each level's shard list comes to the driver (a row per
-    SHARD entries).
+    Counts cover every training text in whole. What comes to the driver is a row per shard of a level: its first
+    entry, and the first entries of the next level's shards.
     """
     spark = docs.sparkSession
     folder = folder or f"{shared_dir(spark)}/ngrams-{uuid.uuid4().hex}"
     docs = docs.select("doc_id", "text")
     volume = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    vocab = stage(count_keys(docs, lambda t: token_hashes(t)[0], volume // 24, 1), "words")
-    size, total = vocab.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
-    if not size:
-        return Model(Words([], 0, 0))
-    if size >= (1 << 32) - 1:
-        raise ValueError("word numbers take 32 bits")
-    ordered = vocab.select(F.col("key").bitwiseXOR(F.lit(-(1 << 63))).alias("key"), "c")
-    ordered = ordered.repartitionByRange(max(1, -(-size // SHARD)), "key").sortWithinPartitions("key")
-    words = Words(_shards(ordered.mapInArrow(_write_words(folder), _MANIFEST).collect())[0], total, size)
-    model = Model(words)
-    end = int(words.find(np.array([END]))[0][0])
+    ranges = max(1, volume // (24 * shard))
+
+    def word_keys(texts):
+        keys, counts = np.unique(token_hashes(texts)[0], return_counts=True)
+        at = ((keys >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+        return at, keys, counts
+
+    made = _made(docs, word_keys, ranges, _write_words(folder, ranges, shard), f"file long, first string, n long, tokens long, {_CUTS}", 1)
+    if not made:
+        return Model(None)
+    made = sorted(made, key=lambda r: r.file)
+    firsts, sizes = np.array([int(r.first) for r in made], np.uint64), np.array([r.n for r in made], np.int64)
+    words = Words(folder, np.array([r.file for r in made], np.int64), firsts, sizes, sum(r.tokens for r in made))
+    one = Model(words)
+    cuts = _cuts_of(made, words.bases, words.size)
 
     def pair_keys(texts):
         hashes, sizes = token_hashes(texts)
-        number, _ = model.numbers(hashes)
-        return model.previous(number, sizes, end).astype(np.uint64) << np.uint64(32) | number.astype(np.uint64)
-
-    pairs = stage(count_keys(docs, pair_keys, total, least), "pairs")
-    n = pairs.count()
-    if not n:
-        return model
-    rows = pairs.select(F.shiftrightunsigned("key", 32).alias("ctx"), F.col("key").bitwiseAND(F.lit((1 << 32) - 1)).alias("next"), "c")
-    rows = rows.repartitionByRange(max(1, -(-n // SHARD)), "ctx").sortWithinPartitions("ctx", "next")
-    made = rows.mapInArrow(_write_successors(folder, "pairs", size + 1, lambda ctx, _: words.counts(ctx)), _MANIFEST).collect()
-    shards, _ = _shards(made)
-    model = Model(words, Successors(shards, size + 1))
-    widest = max(r.widest for r in made)
-    bits = widest.bit_length()
-    if n.bit_length() + bits > 63:
-        raise ValueError("places of word pairs and of successors take 63 bits together")
-    two = model
+        number, _ = one.numbers(hashes)
+        return _by_range(cuts, words.size, one.previous(number, sizes), number)
+
+    made = _made(docs, pair_keys, cuts.context.size, _write_successors(folder, "pairs", words.size, cuts, words.counts, shard, False), _SHARD_ROW, least)
+    if not made:
+        return one
+    pairs = Successors(folder, "pairs", words.size, made)
+    two = Model(words, pairs)
+    widest = _widest(made)
+    cuts_ = _cuts_of(sorted(made, key=lambda r: r.file), pairs.bases, widest)
 
     def triple_keys(texts):
         hashes, sizes = token_hashes(texts)
         number, _ = two.numbers(hashes)
-        place, _, relative, _ = two.pair_places(two.previous(number, sizes, end), number)
-        context = np.concatenate(([-1], place[:-1]))
-        context[np.cumsum(sizes) - sizes] = -1
+        place, _, relative, _ = two.pair_places(two.previous(number, sizes), number)
+        context = two.pair_contexts(place, sizes)
         both = (context >= 0) & (relative >= 0)
-        return context[both].astype(np.uint64) << np.uint64(bits) | relative[both].astype(np.uint64)
+        return _by_range(cuts_, widest, context[both], relative[both])
 
-    triples = stage(count_keys(docs, triple_keys, max(1, total if least == 1 else total // 4), least), "triples")
-    n = triples.count()
-    if not n:
-        return model
-    rows = triples.select(F.shiftrightunsigned("key", bits).alias("ctx"), F.col("key").bitwiseAND(F.lit((1 << bits) - 1)).alias("next"), "c")
-    rows = rows.repartitionByRange(max(1, -(-n // SHARD)), "ctx").sortWithinPartitions("ctx", "next")
+    made = _made(docs, triple_keys, cuts_.context.size, _write_successors(folder, "triples", widest, cuts_, pairs.counts, shard, True), _SHARD_ROW, least)
+    return Model(words, pairs, Successors(folder, "triples", widest, made)) if made else two
 
-    def pair_counts(places, _):
-        out = np.zeros(places.size, np.int64)
-        of = np.searchsorted(two.pairs.bases, places, "right") - 1
-        for s in np.unique(of).tolist():
-            at = np.flatnonzero(of == s)
-            out[at] = _gap(EliasFano.of(open_level(two.pairs.shards[s][2]), "counts"), places[at] - two.pairs.bases[s])
-        return out
 
-    made = rows.mapInArrow(_write_successors(folder, "triples", widest + 1, pair_counts), _MANIFEST).collect()
-    return Model(words, model.pairs, Successors(_shards(made)[0], widest + 1))
+def _widest(made: list) -> int:
+    """Most successors that a context has, its parts in several shards together (an upper bound)."""
+    parts: dict[int, int] = {}
+    for r in made:
+        for e in r.edges:
+            parts[e.context] = parts.get(e.context, 0) + r.widest
+    return max([r.widest for r in made] + list(parts.values()))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
-    Null and empty texts are the end token alone. A null doc_id isn't held out. Repeated rows are repeated; an
+    Texts of any length are scored in whole. Null and empty texts are the end token alone. A null doc_id isn't held out. Repeated rows are repeated; an
     empty table gives none; without training documents every probability is 1.
     """
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
@@ -488,7 +594,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             for first, texts in _pieces(b, 1):
                 n, known, base, full = model.score(texts)
                 own = ids.slice(first, len(texts))
-                cols = [own, pa.array([held_out(x.as_py()) for x in own]), pa.array(n), pa.array(known), pa.array(np.full(n.size, model.words.total, np.int64)), pa.array(base), pa.array(full)]
+                cols = [own, pa.array([held_out(x.as_py()) for x in own]), pa.array(n), pa.array(known), pa.array(np.full(n.size, model.words.total if model.words else 0, np.int64)), pa.array(base), pa.array(full)]
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
@@ -497,4 +603,4 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 def op10_ngram_trie(spark, sf_dir: str) -> DataFrame:
     """Trigram and unigram log10 probability of every document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return score(docs, train(docs, least=1))
+    return score(docs, train(docs))
