@@ -36,11 +36,11 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back (compact lineage cut)."""
+def stage(df: DataFrame, label: str, *by: str, compression: str = "snappy") -> DataFrame:
+    """Write df as a Parquet table in the shared folder (partitioned by columns, if any) and read it back (compact lineage cut)."""
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    df.write.partitionBy(*by).parquet(path, compression=compression)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def lower_ascii(col: Column) -> Column:

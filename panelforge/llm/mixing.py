@@ -5,6 +5,8 @@ sure; the fraction is rounded so that each row keeps its probability while the w
 near the target: two fractions exchange mass (fraction times size) at random until one of them is 0 or 1, and
 the other, still fractional, meets the next. Blocks of about 256 rows do this first; what each block leaves
 over (one fraction) is combined 256 blocks at a time, level by level, until one fraction a source is left.
+The fraction that is left last belongs to a long document, as short ones can't take up its mass. So documents are
+drawn in classes of length, long ones first, and each class makes up for what the longer ones missed.
 """
 
 from __future__ import annotations
@@ -12,12 +14,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import checkpoint, row_hash, unit_hash, word_count
+from panelforge.llm.common import checkpoint, row_hash, stage, unit_hash, word_count
 
 #: Rows (or residuals) that one node of the reduction tree combines, on average.
 FAN_IN = 256
 #: Sources whose table (a row each) may be broadcast.
 SMALL = 10_000
+#: A class spans lengths within a factor of 2 ** CLASS_BITS.
+CLASS_BITS = 3
 
 
 def water_fill(sources: DataFrame, cap: float = 3.0) -> DataFrame:
@@ -116,23 +120,52 @@ def mix(docs: DataFrame, weights=None, cap: float = 3.0, seed: int = 17) -> Data
     and empty texts have size 0: they take no words and are kept once. weights: function of the sources
     DataFrame (source, source_size, source_no) that adds `weight` > 0; default 1, 2, 3, repeating in code point
     order. Empty tables give empty results. The draw hangs on (seed, row hash) alone, so reruns agree.
+
+    Units are rounded class by class, the longest documents first (a class spans a factor of eight in length).
+    The rate of a class is what is left of its source's target over the words of all documents not yet drawn, so
+    what the rounding of long documents missed is spread over all shorter ones in proportion. The miss has mean
+    zero, hence each document's expected copies are its source's rate as long as no rate is cut off at 0 or cap.
     """
     rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), row_hash(docs).alias("hash"))
-    units = checkpoint(rows.groupBy("doc_id", "source", "size", "hash").agg(F.count("*").alias("n")))
-    sources = units.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
+    units = rows.groupBy("doc_id", "source", "size", "hash").agg(F.count("*").alias("n"))
+    units = units.withColumn("class", F.floor(F.log2(F.greatest("size", F.lit(1))) / CLASS_BITS).cast("int"))
+    units = stage(units, "mix-units", "class")
+    classes = units.groupBy("source", "class").agg(F.sum(F.col("size") * F.col("n")).alias("words"))
+    classes = checkpoint(classes)  # a row per source and class
+    sources = classes.groupBy("source").agg(F.sum("words").alias("source_size"))
     sources = sources.withColumn("source_no", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())))
     sources = weights(sources) if weights else sources.withColumn("weight", (F.col("source_no") - 1) % 3 + 1)
     sources = checkpoint(water_fill(sources, cap))
-    if sources.count() <= SMALL:  # a row a source; beyond that the join shuffles
-        sources = F.broadcast(sources)
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(1.0))
-    u = units.join(sources.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    u = u.withColumn("expected", F.when(F.col("size") > 0, rate * F.col("n")).otherwise(F.col("n").cast("double")))
+    few = sources.count() <= SMALL  # a row a source; beyond that the joins shuffle
+    keep = ["doc_id", "source", "size", "hash", "n", "source_size", "target"]
+    found, taken = [], None
+    for k in [r[0] for r in classes.select("class").distinct().orderBy(F.desc("class")).collect()]:  # at most 21 classes
+        open_ = classes.where(F.col("class") <= k).groupBy(F.col("source").alias("s")).agg(F.sum("words").alias("open_words"))
+        rates = sources.join(open_, F.col("source").eqNullSafe(F.col("s"))).drop("s")
+        if taken is not None:
+            rates = rates.join(taken.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
+        left = F.col("target") - (F.coalesce("taken", F.lit(0)) if taken is not None else F.lit(0))
+        rates = rates.select(F.col("source").alias("s"), "source_no", "source_size", "target", F.least(F.greatest(F.try_divide(left, F.col("open_words")), F.lit(0.0)), F.lit(cap)).alias("rate"))
+        drawn = _draw(units.where(F.col("class") == k), F.broadcast(rates) if few else rates, keep, seed + 1000 * k)
+        found.append(drawn)
+        now = drawn.groupBy("source").agg(F.sum(F.col("copies") * F.col("size")).alias("taken"))
+        taken = checkpoint(now if taken is None else now.unionByName(taken).groupBy("source").agg(F.sum("taken").alias("taken")))
+    if not found:
+        return units.join(sources, "source").withColumn("copies", F.lit(0).cast("long")).select(*keep, "copies")
+    out = found[0]
+    for part in found[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def _draw(units: DataFrame, rates: DataFrame, keep: list[str], seed: int) -> DataFrame:
+    """Units of one class with copies: whole parts of rate x n for sure, fractions by pivotal rounding."""
+    u = units.join(rates, F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    u = u.withColumn("expected", F.when(F.col("size") > 0, F.col("rate") * F.col("n")).otherwise(F.col("n").cast("double")))
     u = u.withColumn("base", F.floor("expected")).withColumn("p", F.col("expected") - F.col("base"))
     u = u.withColumn("key", F.xxhash64("doc_id", "hash", "source", "size"))
-    keep = ["doc_id", "source", "size", "hash", "n", "source_size", "target"]
-    open_ = copies(u.where("p > 0").select("key", "source_no", "p", "base", *keep), seed)
     whole = u.where("p <= 0").select(*keep, F.col("base").alias("copies"))
+    open_ = copies(u.where("p > 0").select("key", "source_no", "p", "base", *keep), seed)
     return whole.unionByName(open_.select(*keep, (F.col("base") + F.col("take")).alias("copies")))
 
 
