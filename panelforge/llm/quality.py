@@ -75,28 +75,47 @@ def with_evidence(docs: DataFrame, weights: np.ndarray, scale: np.ndarray, name:
     return docs.mapInArrow(run, schema)
 
 
-def _strength(mean: Column, variance: Column, least: float, most: float) -> Column:
-    """Prior strength a + b of a Beta with this mean and variance, within bounds; the upper one if there's no spread."""
+def _strength(mean: Column, variance: Column) -> Column:
+    """Prior strength a + b of a Beta with this mean and variance, from 2 to 1000; 1000 if there's no spread."""
     s = mean * (1 - mean) / variance - 1
-    return F.when(variance > 0, F.greatest(F.lit(least), F.least(F.lit(most), s))).otherwise(F.lit(most))
+    return F.when(variance > 0, F.greatest(F.lit(2.0), F.least(F.lit(1000.0), s))).otherwise(F.lit(1000.0))
+
+
+def _spread(q: float | None, groups: int, within: float, n: int | None, squares: float | None) -> float:
+    """Variance of the groups' true means: what the weighted squares q hold beyond the groups' own sampling noise."""
+    room = (n or 0) - (squares or 0.0) / n if n else 0.0
+    return max(0.0, ((q or 0.0) - max(groups, 0) * within) / room) if room > 0 else 0.0
 
 
 def site_posteriors(evidence: DataFrame) -> DataFrame:
-    """(host, path, n, host_posterior, path_posterior, global_rate) from rows (host, path, p_doc).
+    """(host, path, n, good, hn, hgood, host_prior, path_prior, global_rate, host_posterior, path_posterior) from rows (host, path, p_doc).
 
-    Grouped sums only: a hot host is summed in parts before it is shuffled. Null hosts and paths are sites too.
+    The spread of hosts around the global rate, and of paths around their hosts, is estimated by moments: sums of
+    squares weighted by documents, less what the noise within a path alone would give. So sites of a few
+    documents, whose rates scatter anyway, neither widen the prior nor count as much as full ones. Grouped sums
+    only: a hot host is summed in parts before it is shuffled. Null hosts and paths are sites too.
     """
-    paths = checkpoint(evidence.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("p_doc").alias("good")))
-    hosts = paths.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("good").alias("hgood"))
-    rate, spread = hosts.agg(F.sum("hgood") / F.sum("hn"), F.var_pop(F.col("hgood") / F.col("hn"))).first()
-    rate = F.lit(0.5 if rate is None else rate)
-    prior = _strength(rate, F.lit(spread or 0.0), 2.0, 1000.0)
-    hosts = hosts.select(F.col("host").alias("h"), ((F.col("hgood") + prior * rate) / (F.col("hn") + prior)).alias("host_posterior"))
+    paths = evidence.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("p_doc").alias("good"), F.sum(F.col("p_doc") * F.col("p_doc")).alias("squares"))
+    paths = checkpoint(paths)
+    hosts = checkpoint(paths.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("good").alias("hgood")))
+    total, good, noise, n_paths = paths.agg(F.sum("n"), F.sum("good"), F.sum(F.col("squares") - F.col("good") * F.col("good") / F.col("n")), F.count("*")).first()
+    rate = 0.5 if not total else good / total
+    within = max(0.0, noise or 0.0) / (total - n_paths) if total and total > n_paths else 0.0
+    q, n_hosts, squares = hosts.agg(F.sum(F.col("hn") * F.pow(F.col("hgood") / F.col("hn") - rate, 2)), F.count("*"), F.sum(F.col("hn") * F.col("hn"))).first()
+    host_prior = _strength(F.lit(rate), F.lit(_spread(q, n_hosts - 1, within, total, squares)))
+    hosts = hosts.select(F.col("host").alias("h"), "hn", "hgood", host_prior.alias("host_prior"))
     both = paths.join(hosts, F.col("host").eqNullSafe(F.col("h"))).drop("h")
-    spread = both.agg(F.var_pop(F.col("good") / F.col("n") - F.col("host_posterior"))).first()[0]
-    prior = _strength(F.col("host_posterior"), F.lit(spread or 0.0), 2.0, 1000.0)
-    posterior = (F.col("good") + prior * F.col("host_posterior")) / (F.col("n") + prior)
-    return both.select("host", "path", "n", "host_posterior", posterior.alias("path_posterior"), rate.alias("global_rate"))
+    q, squares = both.agg(F.sum(F.col("n") * F.pow(F.col("good") / F.col("n") - F.col("hgood") / F.col("hn"), 2)), F.sum(F.col("n") * F.col("n") / F.col("hn"))).first()
+    # within a host of hn documents, squares of n / hn take the place of squares of n / total: summed over hosts
+    spread = max(0.0, ((q or 0.0) - (n_paths - n_hosts) * within) / room) if (room := (total or 0) - (squares or 0.0)) > 0 else 0.0
+    both = both.withColumn("global_rate", F.lit(rate))
+    both = both.withColumn("host_posterior", _posterior(F.col("hgood"), F.col("hn"), F.col("host_prior"), F.col("global_rate")))
+    both = both.withColumn("path_prior", _strength(F.col("host_posterior"), F.lit(spread)))
+    return both.withColumn("path_posterior", _posterior(F.col("good"), F.col("n"), F.col("path_prior"), F.col("host_posterior"))).drop("squares")
+
+
+def _posterior(good: Column, n: Column, prior: Column, mean: Column) -> Column:
+    return (good + prior * mean) / (n + prior)
 
 
 def _logit(p: Column) -> Column:
@@ -104,28 +123,41 @@ def _logit(p: Column) -> Column:
     return F.ln(p / (1 - p))
 
 
-def judge(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", threshold: float = 0.5, rows: int = FIT_ROWS) -> DataFrame:
+def judge_evidence(evidence: DataFrame, host: str, path: str, threshold: float = 0.5) -> DataFrame:
+    """evidence (with p_doc and the host and path columns) with host_posterior, path_posterior, p_good and good.
+
+    A document's sites are judged by their other documents: its own evidence is taken out of its path's and host's
+    sums before they shift its odds, so it counts once. The posteriors shown are those of all documents.
+    """
+    sites = checkpoint(site_posteriors(evidence.select(F.col(host).alias("host"), F.col(path).alias("path"), "p_doc")))
+    sites = sites.withColumnsRenamed({c: f"__{c}" for c in sites.columns})
+    if sites.count() <= SMALL:  # a row a path; beyond that the join shuffles
+        sites = F.broadcast(sites)
+    out = evidence.join(sites, F.col(host).eqNullSafe(F.col("__host")) & F.col(path).eqNullSafe(F.col("__path")), "left")
+    p, rate = F.col("p_doc"), F.col("__global_rate")
+    host_others = _posterior(F.col("__hgood") - p, F.col("__hn") - 1, F.col("__host_prior"), rate)
+    path_others = _posterior(F.col("__good") - p, F.col("__n") - 1, F.col("__path_prior"), host_others)
+    shifted = _logit(p) + _logit(path_others) - _logit(rate)
+    out = out.withColumn("p_good", 1 / (1 + F.exp(-shifted))).withColumn("good", F.col("p_good") >= threshold)
+    return out.select(*[F.col(f"`{c}`") for c in evidence.columns], F.col("__host_posterior").alias("host_posterior"), F.col("__path_posterior").alias("path_posterior"), "p_good", "good")
+
+
+def judge(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", threshold: float = 0.5, rows: int = FIT_ROWS, keep_text: bool = True) -> DataFrame:
     """docs with p_doc, host_posterior, path_posterior, p_good and good (columns of these names are replaced).
 
     docs needs doc_id, text and the host and path columns. Null and empty texts carry no evidence: p_doc is the
-    classifier's intercept alone. Null hosts and paths are sites like any other. Repeated rows count each; an
-    empty table gives an empty result; without labels every p_doc is 0.5 and every document good.
+    classifier's intercept alone. Null hosts and paths are sites like any other. Repeated rows count each; texts of
+    any length are looked at in whole; ties at the threshold are good; an empty table gives an empty result; without
+    labels every p_doc is 0.5 and every document good. Texts are read once: what is staged has them only with keep_text.
     """
     docs = docs.drop("p_doc", "host_posterior", "path_posterior", "p_good", "good")
     weights, scale = fit_shape(docs, labels, rows)
-    own = docs.select("text", F.col(host).alias("host"), F.col(path).alias("path"))
-    evidence = stage(with_evidence(own, weights, scale).select("host", "path", "p_doc"), "evidence")
-    sites = checkpoint(site_posteriors(evidence).select(F.col("host").alias("__host"), F.col("path").alias("__path"), "host_posterior", "path_posterior", "global_rate"))
-    if sites.count() <= SMALL:  # a row a path; beyond that the join shuffles
-        sites = F.broadcast(sites)
-    out = with_evidence(docs, weights, scale).join(sites, F.col(host).eqNullSafe(F.col("__host")) & F.col(path).eqNullSafe(F.col("__path")), "left")
-    shifted = _logit(F.col("p_doc")) + _logit(F.col("path_posterior")) - _logit(F.col("global_rate"))
-    out = out.withColumn("p_good", 1 / (1 + F.exp(-shifted))).withColumn("good", F.col("p_good") >= threshold)
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], "p_doc", "host_posterior", "path_posterior", "p_good", "good")
+    evidence = with_evidence(docs, weights, scale)
+    return judge_evidence(stage(evidence if keep_text else evidence.drop("text"), "evidence"), host, path, threshold)
 
 
 def op2_quality(spark, sf_dir: str) -> DataFrame:
     """Quality verdict on every document; source is the host, language the path."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source", "lang")
-    judged = judge(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    judged = judge(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), keep_text=False)
     return judged.select("doc_id", "p_doc", "host_posterior", "path_posterior", "p_good", "good")
