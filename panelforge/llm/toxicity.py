@@ -16,8 +16,8 @@ from panelforge.llm.common import utf8_chunks
 from panelforge.llm.labelled import FIT_ROWS, fit_logistic, folds_of, labelled_sample, logit, sigmoid
 from panelforge.llm.ngram_trie import token_hashes
 
-#: Categories in chain order, as conditions on a label row.
-CATEGORIES = {"toxic": "toxic = 1", "toxic_prose": "toxic = 1 and quality = 1", "toxic_junk": "toxic = 1 and quality = 0"}
+#: Categories in chain order, as conditions on a label row: the kinds first, the overall label last, which sees both.
+CATEGORIES = {"toxic_prose": "toxic = 1 and quality = 1", "toxic_junk": "toxic = 1 and quality = 0", "toxic": "toxic = 1"}
 #: Words that a category's model keeps.
 KEPT = 256
 FOLDS = 3
@@ -136,10 +136,11 @@ def train_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, str] |
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, categories: dict[str, str] | None = None, threshold: float = 0.5, rows: int = FIT_ROWS) -> DataFrame:
-    """One row per row of docs (doc_id, text): doc_id, p_<category> for each category, is_toxic (first category at the threshold).
+    """One row per row of docs (doc_id, text): doc_id, p_<category> for each category, is_toxic (the chain's last category at the threshold).
 
     Null and empty texts have no words: their probability is the intercept's, below the base rate. Repeated rows
-    are repeated; an empty table gives none; without labels all probabilities are 0.
+    are repeated; an empty table gives none; without labels all probabilities are 0. Texts of any length are read in
+    whole; of more labelled rows than `rows` those whose ids hash lowest are fitted.
     """
     categories = categories or CATEGORIES
     chain = train_chain(docs, labels, categories, rows)
@@ -149,7 +150,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, categories: dict[str, str] | No
         for b in batches:
             for first, texts in utf8_chunks(b.column(1).cast(pa.binary()).to_pylist()):
                 p = chain.predict(texts) if chain else np.zeros((len(texts), len(categories)))
-                cols = [b.column(0).slice(first, len(texts)).cast(pa.int64()), *[pa.array(np.ascontiguousarray(c)) for c in p.T], pa.array(p[:, 0] >= threshold)]
+                cols = [b.column(0).slice(first, len(texts)).cast(pa.int64()), *[pa.array(np.ascontiguousarray(c)) for c in p.T], pa.array(p[:, -1] >= threshold)]
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
     schema = "doc_id long, " + ", ".join(f"p_{c} double" for c in categories) + ", is_toxic boolean"
