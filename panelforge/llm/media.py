@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import io
 import struct
 import zlib
@@ -10,10 +9,15 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from panelforge.llm.common import stage
 
 #: Payloads are padded to whole squares of this many bytes (24 x 24 samples).
 SIDE = 24
 UNIT = SIDE * SIDE
+#: Pictures that travel between Spark and Python together.
+ROWS = 512
 
 TILE_SCHEMA = "height int, width int, channels int, tile_npy binary, dhash string"
 
@@ -139,33 +143,37 @@ def tile(a: np.ndarray, side: int = SIDE) -> bytes:
     return npy(np.rint(area_resize(a, side, side)).astype(np.uint8))
 
 
-def media_tiles(df: DataFrame, media: str, side: int = SIDE) -> DataFrame:
+def media_tiles(df: DataFrame, media: str, side: int = SIDE, samples: bool = False) -> DataFrame:
     """df with height, width, channels, tile_npy (side x side, NPY) and dhash of the pictures in a binary column.
 
-    Null, empty and undecodable media give nulls in all five. Columns of these names are replaced. Rows are
-    independent: nothing is shuffled, repeated rows give repeated results.
+    samples: also the decoded samples themselves, row by row, as binary. Null, empty and undecodable media give
+    nulls in all of these. Columns of these names are replaced. Rows are independent: nothing is shuffled, repeated
+    rows give repeated results, an empty table none. A task holds one batch of pictures and, of the one at work, a
+    few float64 copies; pictures of any size up to that are decoded and resized in whole.
     """
-    names = ["height", "width", "channels", "tile_npy", "dhash"]
+    names = ["height", "width", "channels", "tile_npy", "dhash"] + ["samples"] * samples
     df = df.drop(*[c for c in names if c != media])
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + ", " + TILE_SCHEMA
-    kinds = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.string()]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + ", " + TILE_SCHEMA + ", samples binary" * samples
+    kinds = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.string()] + [pa.binary()] * samples
 
     def run(batches):
-        for b in batches:
-            out = []
-            for x in b.column(b.schema.get_field_index(media)):
-                try:
-                    a = decode(x.as_py() or b"")
-                    out.append((a.shape[0], a.shape[1], 3 if a.ndim == 3 else 1, tile(a, side), dhash(a)))
-                except ValueError:
-                    out.append((None,) * 5)
-            columns = [pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays(b.columns + columns, names=b.schema.names + names)
+        for whole in batches:
+            for first in range(0, whole.num_rows, ROWS):
+                b = whole.slice(first, ROWS)
+                out = []
+                for x in b.column(b.schema.get_field_index(media)):
+                    try:
+                        a = decode(x.as_py() or b"")
+                        out.append((a.shape[0], a.shape[1], 3 if a.ndim == 3 else 1, tile(a, side), dhash(a), *[a.tobytes()] * samples))
+                    except ValueError:
+                        out.append((None,) * len(names))
+                columns = [pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)]
+                yield pa.RecordBatch.from_arrays(b.columns + columns, names=b.schema.names + names)
 
     return df.mapInArrow(run, schema)
 
 
-def store(text: str | None) -> bytes:
+def encode_text(text: str | None) -> bytes:
     """A text as a picture: its UTF-8 bytes, padded with 255, 24 samples a row; PGM or BMP by the content's CRC."""
     data = (text or "").encode("utf-8", "surrogatepass")
     payload = data + b"\xff" * (max(UNIT, -(-len(data) // UNIT) * UNIT) - len(data))
@@ -173,31 +181,32 @@ def store(text: str | None) -> bytes:
     return encode_bmp(samples) if zlib.crc32(payload) & 1 else encode_pgm(samples)
 
 
+def text_media(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_bytes, media) of docs (doc_id, text): each whole text as a picture. Null texts are empty."""
+
+    def run(batches):
+        for whole in batches:
+            for first in range(0, whole.num_rows, ROWS):
+                b = whole.slice(first, ROWS)
+                yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), b.column(1), pa.array([encode_text(t.as_py()) for t in b.column(2)], pa.binary())], names=["doc_id", "n_bytes", "media"])
+
+    rows = docs.select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), "text")
+    return rows.mapInArrow(run, "doc_id long, n_bytes long, media binary")
+
+
 def op3_media_tiles(spark, sf_dir: str) -> DataFrame:
-    """Every document's whole text stored as a picture, read back, and described.
+    """Every document's whole text stored as a picture, read back from its table, tiled and described.
 
-    The pictures live in an Arrow batch's turn only; what leaves a task are digests.
+    Two tables are written to the shared folder: the pictures, and their tiles as NPY with hashes. The result is
+    read from the second. Null and empty texts are a picture of padding; repeated rows repeat; empty tables give
+    none.
     """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    schema = (
-        "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, "
-        "media_sha256 string, feature string, media_format string, tile_sha256 string"
-    )
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string()]
-
-    def run(batches):
-        for b in batches:
-            out = []
-            for t in b.column(1):
-                t = t.as_py()
-                stored = store(t)
-                a = decode(stored)
-                payload = a.tobytes()
-                out.append((
-                    len((t or "").encode("utf-8", "surrogatepass")), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]),
-                    len(stored), hashlib.sha256(stored).hexdigest(), dhash(a), "bmp" if stored[:2] == b"BM" else "pgm", hashlib.sha256(tile(a)).hexdigest(),
-                ))
-            columns = [pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), *columns], names=[f.split()[0] for f in schema.split(", ")])
-
-    return docs.mapInArrow(run, schema)
+    stored = stage(text_media(docs), "media", compression="zstd")
+    tiles = media_tiles(stored, "media", samples=True).select(
+        "doc_id", "n_bytes", F.octet_length("samples").cast("long").alias("payload_bytes"), F.sha2("samples", 256).alias("payload_sha256"),
+        F.crc32(F.substring("samples", -32, 32)).alias("tail_crc32"), F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"),
+        F.col("dhash").alias("feature"), F.when(F.substring("media", 1, 2) == F.lit(b"BM"), "bmp").otherwise("pgm").alias("media_format"), "height", "width", "tile_npy",
+    )
+    tiles = stage(tiles, "tiles", compression="zstd")
+    return tiles.select(*[c for c in tiles.columns if c not in ("height", "width", "tile_npy")], F.sha2("tile_npy", 256).alias("tile_sha256"))
