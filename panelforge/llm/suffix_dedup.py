@@ -7,7 +7,11 @@ segments whose anchor gram occurs again can hold a repeat. Equal segments collap
 one gram differ, the suffixes that start at the anchors are sorted (and, mirrored, what precedes them): a
 mergesort whose comparisons find the common extension by binary search over prefix polynomial hashes. The
 common extensions of neighbours in the two orders tell which windows are equal; they are verified byte by byte.
-A gram with more than CROWD different segments is never gathered: its windows are grouped one by one.
+No group is gathered beyond CROWD segments. Those of a gram that many segments share are split by the bytes around
+the anchor: two equal windows agree in r bytes from the anchor on and in l before it, for one of PARTS + 1 pairs
+(r, l) that leave at most length / PARTS bytes open, so each segment joins one finer group for each pair and meets
+every partner in one. What still crowds there shares all but a few bytes of its windows, which are then counted
+one by one: suffixes that are equal to the last byte need no sorting.
 """
 
 from __future__ import annotations
@@ -23,7 +27,9 @@ from panelforge.llm.common import checkpoint, mix64, stage, utf8_chunks
 
 LENGTH = 400
 GRAM = 64
-CROWD = 16_384
+CROWD = 2_048
+#: Pairs of lengths around the anchor by which crowded grams are split.
+PARTS = 16
 #: Crowded grams (a long each) that may be broadcast.
 SMALL = 100_000
 #: Items sorted together in one task; groups are never split over sorts.
@@ -253,13 +259,12 @@ def _resolve(length: int):
     return run
 
 
-def _cut_out(length: int, per_start: bool):
-    """Arrow function over (k1, k2, text, wanted: list of gram, a, n, before): the segments' bytes, or a row per window with its digest."""
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-    names = ["gram", "k1", "k2", "a", "before", "data"]
+def _rows_of(make, kinds: dict[str, pa.DataType]):
+    """Arrow function over (k1, k2, text, wanted: list of gram, a, n, before): make(data, w) gives the rows of a segment, less k1 and k2."""
+    names = [*kinds, "k1", "k2"]
 
     def batch(out):
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=names)
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate([*kinds.values(), pa.int64(), pa.int64()])], names=names)
 
     def run(batches):
         for b in batches:
@@ -267,20 +272,41 @@ def _cut_out(length: int, per_start: bool):
             for k1, k2, t, wanted in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary()), b.column(3), strict=True):
                 data = t.as_py()
                 for w in wanted.as_py():
-                    gram, a, n, before = w["gram"], w["a"], w["n"], w["before"]
-                    if per_start:
-                        out += [(gram, k1, k2, i, 0, hashlib.blake2b(data[i : i + length], digest_size=16).digest()) for i in range(a, a + n)]
-                    else:
-                        out.append((gram, k1, k2, a, before, data[a : a + n - 1 + length]))
-                if len(out) > 20_000:
-                    yield batch(out)
-                    out = []
+                    out += [(*row, k1, k2) for row in make(data, w)]
+                    if len(out) > 20_000:
+                        yield batch(out)
+                        out = []
             if out:
                 yield batch(out)
 
     return run
 
 
+def _segment(length: int):
+    """The bytes of a segment."""
+    return lambda data, w: [(w["gram"], w["a"], w["before"], data[w["a"] : w["a"] + w["n"] - 1 + length])]
+
+
+def _windows(length: int):
+    """A row per window of a segment, with its digest."""
+    return lambda data, w: [(w["gram"], i, hashlib.blake2b(data[i : i + length], digest_size=16).digest()) for i in range(w["a"], w["a"] + w["n"])]
+
+
+def _parts(length: int, gram: int):
+    """The finer groups that a segment joins: a hash of the bytes around its anchor for each pair of lengths that it has."""
+    right = sorted({*np.linspace(gram, length, PARTS + 1).astype(int).tolist()})
+    around = [(r, length + 1 - after) for r, after in zip(right, right[1:], strict=False)] + [(length, 0)]
+
+    def make(data, w):
+        anchor, end = w["a"] + w["before"], w["a"] + w["n"] - 1 + length
+        for i, (r, l) in enumerate(around):
+            if w["before"] >= l and anchor + r <= end:
+                part = hashlib.blake2b(data[anchor - l : anchor + r], digest_size=8, key=bytes([i]))
+                yield int.from_bytes(part.digest(), "little", signed=True), w["gram"], w["a"], w["n"], w["before"]
+
+    return make
+
+
 def merge_spans(spans) -> list[tuple[int, int]]:
     """Disjoint, non-adjacent spans that cover the same bytes, in order."""
     out: list[list[int]] = []
@@ -302,7 +328,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD) ->
     """(texts, spans) of docs (text): distinct texts (k1, k2, text), and (k1, k2, spans) of those with repeated bytes.
 
     spans is an array of struct<s, e>: byte ranges covered by `length`-byte strings that start elsewhere too
-    (same text included, overlaps count). Ranges may overlap; merge_spans joins them.
+    (same text included, overlaps count). Ranges may overlap; merge_spans joins them. crowd: segments of a group
+    beyond which it is split; it bounds a task, results don't hang on it.
     """
     gram = min(GRAM, max(8, length // 4))
     seg = keyed(docs.select(F.coalesce("text", F.lit("")).alias("text"))).select("k1", "k2", "text")
@@ -325,17 +352,26 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD) ->
         many = F.broadcast(many)
     texts = keyed(docs.select("text")).groupBy("k1", "k2").agg(F.first("text").alias("text"))
 
-    def bytes_of(rows: DataFrame, per_start: bool) -> DataFrame:
+    def cut(rows: DataFrame, make, kinds: dict[str, pa.DataType], schema: str) -> DataFrame:
         wanted = rows.groupBy("k1", "k2").agg(F.collect_list(F.struct("gram", "a", "n", "before")).alias("wanted"))
-        schema = "gram long, k1 long, k2 long, a int, before int, data binary"
-        return texts.join(wanted, ["k1", "k2"]).select("k1", "k2", "text", "wanted").mapInArrow(_cut_out(length, per_start), schema)
+        return texts.join(wanted, ["k1", "k2"]).select("k1", "k2", "text", "wanted").mapInArrow(_rows_of(make, kinds), f"{schema}, k1 long, k2 long")
 
-    few = bytes_of(one.join(many, "gram", "left_anti"), False)
-    found = few.repartition("gram").sortWithinPartitions("gram").mapInArrow(_resolve(length), "k1 long, k2 long, s int, e int")
+    long_, int_ = pa.int64(), pa.int32()
+    few, window = one.join(many, "gram", "left_anti").select("gram", "k1", "k2", "a", "n", "before"), None
     if crowded:
-        windows = bytes_of(one.join(many, "gram", "left_semi"), True)
-        twice = windows.groupBy("gram", "data").agg(F.count("*").alias("c")).where("c > 1").select("gram", "data")
-        found = found.unionByName(windows.join(twice, ["gram", "data"], "left_semi").select("k1", "k2", F.col("a").alias("s"), (F.col("a") + length).alias("e")))
+        kinds = {"part": long_, "gram": long_, "a": int_, "n": int_, "before": int_}
+        parts = stage(cut(one.join(many, "gram", "left_semi"), _parts(length, gram), kinds, "part long, gram long, a int, n int, before int"), "parts")
+        met = stage(parts.groupBy("part").agg(F.count("*").alias("c")).where("c > 1"), "parts-met")
+        parts = parts.join(met, "part")
+        few = few.unionByName(parts.where(F.col("c") <= crowd).select(F.col("part").alias("gram"), "k1", "k2", "a", "n", "before"))
+        full = stage(parts.where(F.col("c") > crowd).select("gram", "k1", "k2", "a", "n", "before").distinct(), "full-parts")
+        if not full.isEmpty():
+            window = stage(cut(full, _windows(length), {"gram": long_, "a": int_, "data": pa.binary()}, "gram long, a int, data binary"), "windows")
+    few = cut(few, _segment(length), {"gram": long_, "a": int_, "before": int_, "data": pa.binary()}, "gram long, a int, before int, data binary")
+    found = few.select("gram", "k1", "k2", "a", "before", "data").repartition("gram").sortWithinPartitions("gram").mapInArrow(_resolve(length), "k1 long, k2 long, s int, e int")
+    if window is not None:
+        twice = stage(window.groupBy("gram", "data").agg(F.count("*").alias("c")).where("c > 1").select("gram", "data"), "windows-met")
+        found = found.unionByName(window.join(twice, ["gram", "data"], "left_semi").select("k1", "k2", F.col("a").alias("s"), (F.col("a") + length).alias("e")))
     found = found.select("k1", "k2", F.array(F.struct("s", "e")).alias("spans"))
     spans = pure.unionByName(copies).unionByName(found).groupBy("k1", "k2").agg(F.flatten(F.collect_set("spans")).alias("spans"))
     return texts, spans
