@@ -205,9 +205,10 @@ def near_duplicates(docs: DataFrame, n: int = 4, seed: int = 42, hot: int = HOT)
     fp = stage(with_fingerprint(docs.select("doc_id", "text"), n, seed), "simhash-fp")
     comp = _components(fp, hot)
     least = fp.groupBy("f0").agg(F.min("doc_id").alias("least"))
-    named = least.join(comp, F.col("f0") == F.col("node")).select("node", "least", "comp")
-    ids = named.groupBy("comp").agg(F.min("least").alias("component_id"))
-    of = named.join(ids, "comp").select("node", "component_id")
+    # checkpointed, so that the joins' sides are plain exchanges: then a large component's or copies' rows can be split over tasks
+    named = checkpoint(least.join(comp, F.col("f0") == F.col("node")).select("node", "least", "comp"))
+    ids = checkpoint(named.groupBy("comp").agg(F.min("least").alias("component_id")))
+    of = checkpoint(named.join(ids, "comp").select("node", "component_id"))
     return fp.join(of, F.col("f0") == F.col("node")).select("doc_id", F.col("f0").alias("fp"), "component_id")
 
 
