@@ -22,8 +22,11 @@ SAMPLE = 8192
 ROTATIONS = 2
 #: Share of true neighbours, on the sample, that the radius must cover.
 COVER = 0.96
-INDEX_BLOCK = 8192
-QUERY_BLOCK = 8192
+#: Rows of a block. What is sent is rows x (queries / QUERY_BLOCK) + queries x (rows / INDEX_BLOCK), so blocks are as
+#: large as a task's memory easily bears (32 MB of vectors at 64 dimensions); SMALL_BLOCK where that leaves cores idle.
+INDEX_BLOCK = 65_536
+QUERY_BLOCK = 65_536
+SMALL_BLOCK = 8192
 _BITS = np.bitwise_count(np.arange(256, dtype=np.uint8))
 
 
@@ -125,7 +128,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     coder = Coder(x, k)
     own, asked = vectors.where(F.size("v") == d), queries.where(F.size("v") == d)
     n_rows, n_asked = own.count(), asked.count()
-    i_blocks, q_blocks = max(1, -(-n_rows // INDEX_BLOCK)), max(1, -(-n_asked // QUERY_BLOCK))
+    cores = vectors.sparkSession.sparkContext.defaultParallelism
+    i_blocks, q_blocks = max(-(-n_rows // INDEX_BLOCK), min(-(-n_rows // SMALL_BLOCK), cores), 1), max(1, -(-n_asked // QUERY_BLOCK))
 
     def blocks(n):
         return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
