@@ -40,8 +40,11 @@ DISCOUNT = 0.75
 #: The hash that stands for the end of a text (and for what precedes its first word).
 END = np.uint64(0x5E5E_5E5E_0000_0001)
 #: Tokens that one shard of a level aims at.
-SHARD = 1 << 20
-CHUNK = 1 << 21
+SHARD = 1 << 22
+#: Bytes of text that are counted or scored together: lookups visit each shard once a chunk.
+CHUNK = 1 << 22
+#: Chunks after which mapped pages are given back.
+CHUNKS = 8
 #: Bytes of level files that a process keeps where they can't be mapped.
 HELD = 1 << 28
 _SPACE = np.zeros(256, bool)
@@ -106,11 +109,16 @@ def open_level(path: str) -> dict[str, np.ndarray]:
     return _OPEN[path][0]
 
 
+_USED = [0]
+
+
 def release() -> None:
-    """Give mapped pages back (they stay in the system's cache), so that a task's memory doesn't grow with the levels."""
-    for _, mapped, _ in _OPEN.values():
-        if mapped is not None:
-            mapped.madvise(mmap.MADV_DONTNEED)
+    """Once in CHUNKS calls, give mapped pages back (they stay in the system's cache), so that a task's memory doesn't grow with the levels."""
+    _USED[0] += 1
+    if _USED[0] % CHUNKS == 0:
+        for _, mapped, _ in _OPEN.values():
+            if mapped is not None:
+                mapped.madvise(mmap.MADV_DONTNEED)
 
 
 # ---- tokens
@@ -242,29 +250,17 @@ class Successors:
     def _shard(self, s: int) -> dict[str, np.ndarray]:
         return open_level(f"{self.folder}/{self.name}-{self.files[s]}.level")
 
-    def contexts(self, ctx: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of distinct contexts: pointer (place of the first successor) and back-off weight (0 and 1 if there is none)."""
-        pointer, backoff = np.zeros(ctx.size, np.int64), np.ones(ctx.size)
-        of = np.where(ctx >= 0, np.searchsorted(self.cuts.context, ctx, "right") - 1, -1)
-        for s in np.unique(of[of >= 0]).tolist():
-            parts, rows = self._shard(s), np.flatnonzero(of == s)
-            at = EliasFano.of(parts, "context").find(ctx[rows] - self.cuts.context[s])
-            rows, at = rows[at >= 0], at[at >= 0]
-            pointer[rows] = EliasFano.of(parts, "pointers").access(at).astype(np.int64) + self.bases[s]
-            backoff[rows] = _decode(parts["backoff"][at])
-        if self.split.size:
-            at = np.minimum(np.searchsorted(self.split, ctx), self.split.size - 1)
-            own = np.flatnonzero(self.split[at] == ctx)
-            pointer[own], backoff[own] = self.split_pointer[at[own]], self.split_backoff[at[own]]
-        return pointer, backoff
-
-    def find(self, ctx: np.ndarray, successor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Place (-1: absent) and probability (0) of pairs."""
+    def find(self, ctx: np.ndarray, successor: np.ndarray):
+        """Of pairs: place (-1: absent) and probability (0); of their contexts: pointer (place of the first successor) and back-off weight (0 and 1 if absent)."""
         place, p = np.full(ctx.size, -1, np.int64), np.zeros(ctx.size)
-        live = np.flatnonzero((ctx >= 0) & (successor >= 0))
+        pointer, backoff = np.zeros(ctx.size, np.int64), np.ones(ctx.size)
+        live = np.flatnonzero(ctx >= 0)
         if not live.size:
-            return place, p
+            return place, p, pointer, backoff
         of = self.cuts.of(ctx[live], successor[live])
+        # a context that a shard begins with is wholly there unless it is split, even where the pair would come before its first
+        after = np.minimum(of + 1, self.bases.size - 1)
+        of = np.where((self.cuts.context[after] == ctx[live]) & ~np.isin(ctx[live], self.split), after, of)
         order = np.argsort(of, kind="stable")
         live, of = live[order], of[order]
         start = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
@@ -274,13 +270,24 @@ class Successors:
                 continue
             parts, rows = self._shard(s), live[x:y]
             own, back = np.unique(ctx[rows] - self.cuts.context[s], return_inverse=True)
-            row = EliasFano.of(parts, "context").find(own)[back]
-            rows, row = rows[row >= 0], row[row >= 0]
+            row = EliasFano.of(parts, "context").find(own)
+            known = row >= 0
+            first, weight = np.zeros(own.size, np.int64), np.ones(own.size)
+            first[known] = EliasFano.of(parts, "pointers").access(row[known]).astype(np.int64) + self.bases[s]
+            weight[known] = _decode(parts["backoff"][row[known]])
+            pointer[rows], backoff[rows] = first[back], weight[back]
+            row = row[back]
+            ask = (row >= 0) & (successor[rows] >= 0)
+            rows, row = rows[ask], row[ask]
             at = EliasFano.of(parts, "next").find(row * self.width + successor[rows])
             rows, at = rows[at >= 0], at[at >= 0]
             place[rows] = at + self.bases[s]
             p[rows] = _decode(parts["p"][at])
-        return place, p
+        if self.split.size:  # contexts that several shards hold a part of
+            at = np.minimum(np.searchsorted(self.split, ctx), self.split.size - 1)
+            own = np.flatnonzero(self.split[at] == ctx)
+            pointer[own], backoff[own] = self.split_pointer[at[own]], self.split_backoff[at[own]]
+        return place, p, pointer, backoff
 
     def counts(self, places: np.ndarray) -> np.ndarray:
         out = np.zeros(places.size, np.int64)
@@ -323,11 +330,9 @@ class Model:
     def pair_places(self, before: np.ndarray, number: np.ndarray):
         """Of each token after its predecessor: place in level 2, probability, place among the context's successors, back-off weight."""
         a, b, back = _distinct(before, number)
-        ctx, of = np.unique(a, return_inverse=True)
-        pointer, backoff = self.pairs.contexts(ctx)
-        place, p = self.pairs.find(a, b)
-        relative = np.where(place >= 0, place - pointer[of], -1)
-        return place[back], p[back], relative[back], backoff[of][back]
+        place, p, pointer, backoff = self.pairs.find(a, b)
+        relative = np.where(place >= 0, place - pointer, -1)
+        return place[back], p[back], relative[back], backoff[back]
 
     def pair_contexts(self, place: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """The place of the word pair before each token; -1 where there are no two words before it in its text."""
@@ -350,11 +355,9 @@ class Model:
             place, p2, relative, backoff = self.pair_places(self.previous(number, sizes), number)
             p = p2 + backoff * p1
             if self.triples is not None:
-                context = self.pair_contexts(place, sizes)
-                ctx, of = np.unique(context, return_inverse=True)
-                _, weight = self.triples.contexts(ctx)
-                _, p3 = self.triples.find(context, relative)
-                p = p3 + weight[of] * p
+                a, b, back = _distinct(self.pair_contexts(place, sizes), relative)
+                _, p3, _, weight = self.triples.find(a, b)
+                p = p3[back] + weight[back] * p
         release()
         return sizes, total((count > 0).astype(np.int64)), total(np.log10(p1)), total(np.log10(p))
 

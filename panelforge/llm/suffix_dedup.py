@@ -27,7 +27,7 @@ from panelforge.llm.common import checkpoint, mix64, stage, utf8_chunks
 
 LENGTH = 400
 GRAM = 64
-CROWD = 2_048
+CROWD = 16_384
 #: Pairs of lengths around the anchor by which crowded grams are split.
 PARTS = 16
 #: Crowded grams (a long each) that may be broadcast.
@@ -352,21 +352,24 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD) ->
         many = F.broadcast(many)
     texts = keyed(docs.select("text")).groupBy("k1", "k2").agg(F.first("text").alias("text"))
 
-    def cut(rows: DataFrame, make, kinds: dict[str, pa.DataType], schema: str) -> DataFrame:
+    def cut(rows: DataFrame, make, kinds: dict[str, pa.DataType], schema: str, of: DataFrame | None = None) -> DataFrame:
         wanted = rows.groupBy("k1", "k2").agg(F.collect_list(F.struct("gram", "a", "n", "before")).alias("wanted"))
-        return texts.join(wanted, ["k1", "k2"]).select("k1", "k2", "text", "wanted").mapInArrow(_rows_of(make, kinds), f"{schema}, k1 long, k2 long")
+        return (of or texts).join(wanted, ["k1", "k2"]).select("k1", "k2", "text", "wanted").mapInArrow(_rows_of(make, kinds), f"{schema}, k1 long, k2 long")
 
     long_, int_ = pa.int64(), pa.int32()
     few, window = one.join(many, "gram", "left_anti").select("gram", "k1", "k2", "a", "n", "before"), None
     if crowded:
         kinds = {"part": long_, "gram": long_, "a": int_, "n": int_, "before": int_}
-        parts = stage(cut(one.join(many, "gram", "left_semi"), _parts(length, gram), kinds, "part long, gram long, a int, n int, before int"), "parts")
+        crowd_rows = one.join(many, "gram", "left_semi")
+        keys = checkpoint(crowd_rows.select("k1", "k2").distinct())
+        some = texts if keys.count() > SMALL else keyed(docs.select("text")).join(F.broadcast(keys), ["k1", "k2"]).groupBy("k1", "k2").agg(F.first("text").alias("text"))
+        parts = stage(cut(crowd_rows, _parts(length, gram), kinds, "part long, gram long, a int, n int, before int", some), "parts")
         met = stage(parts.groupBy("part").agg(F.count("*").alias("c")).where("c > 1"), "parts-met")
         parts = parts.join(met, "part")
         few = few.unionByName(parts.where(F.col("c") <= crowd).select(F.col("part").alias("gram"), "k1", "k2", "a", "n", "before"))
         full = stage(parts.where(F.col("c") > crowd).select("gram", "k1", "k2", "a", "n", "before").distinct(), "full-parts")
         if not full.isEmpty():
-            window = stage(cut(full, _windows(length), {"gram": long_, "a": int_, "data": pa.binary()}, "gram long, a int, data binary"), "windows")
+            window = stage(cut(full, _windows(length), {"gram": long_, "a": int_, "data": pa.binary()}, "gram long, a int, data binary", some), "windows")
     few = cut(few, _segment(length), {"gram": long_, "a": int_, "before": int_, "data": pa.binary()}, "gram long, a int, before int, data binary")
     found = few.select("gram", "k1", "k2", "a", "before", "data").repartition("gram").sortWithinPartitions("gram").mapInArrow(_resolve(length), "k1 long, k2 long, s int, e int")
     if window is not None:

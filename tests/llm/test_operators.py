@@ -179,7 +179,7 @@ def brute_repeats(texts, length):
     return out
 
 
-@pytest.mark.parametrize("crowd", [2_048, 2, 1])
+@pytest.mark.parametrize("crowd", [16_384, 2, 1])
 def test_op4_matches_brute_force(spark, rows, docs, crowd):
     from panelforge.llm.suffix_dedup import keyed, remove_repeats
 
