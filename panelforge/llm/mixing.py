@@ -21,7 +21,7 @@ FAN_IN = 256
 #: Sources whose table (a row each) may be broadcast.
 SMALL = 10_000
 #: A class spans lengths within a factor of 2 ** CLASS_BITS.
-CLASS_BITS = 3
+CLASS_BITS = 4
 
 
 def water_fill(sources: DataFrame, cap: float = 3.0) -> DataFrame:
@@ -86,15 +86,19 @@ def _combine(level: DataFrame, seed: int) -> DataFrame:
     return nodes.select("source_no", "node", F.aggregate("units", start, lambda acc, x: _pivot(acc, x, seed)).alias("r"))
 
 
-def copies(units: DataFrame, seed: int = 17) -> DataFrame:
+def copies(units: DataFrame, seed: int = 17, n: int | None = None) -> DataFrame:
     """Whole copies of units (key long, source_no, size > 0, p in (0, 1), any more columns): adds take (0 or 1).
 
+    n: nodes that the largest source is dealt to, if known; then units carry their source's number as n_nodes.
+
     Within each source_no the words taken, sum(take x size), miss sum(p x size) by less than one unit's size.
     """
-    rest = [c for c in units.columns if c not in ("source_no", "node")]
-    nodes = checkpoint(units.groupBy("source_no").agg(F.ceil(F.count("*") / FAN_IN).alias("n_nodes")))
-    n, sources = nodes.agg(F.coalesce(F.max("n_nodes"), F.lit(0)), F.count("*")).first()
-    placed = units.join(F.broadcast(nodes) if sources <= SMALL else nodes, "source_no").withColumn("node", F.pmod(F.xxhash64(F.lit(seed), "key"), F.col("n_nodes")))
+    rest = [c for c in units.columns if c not in ("source_no", "node", "n_nodes")]
+    if n is None:
+        nodes = checkpoint(units.groupBy("source_no").agg(F.ceil(F.count("*") / FAN_IN).alias("n_nodes")))
+        n, sources = nodes.agg(F.coalesce(F.max("n_nodes"), F.lit(0)), F.count("*")).first()
+        units = units.join(F.broadcast(nodes) if sources <= SMALL else nodes, "source_no")
+    placed = units.withColumn("node", F.pmod(F.xxhash64(F.lit(seed), "key"), F.col("n_nodes")))
     placed = placed.repartition("source_no", "node")  # by node, even where the join dealt rows by source
     level = placed.select("source_no", "node", F.struct(*rest).alias("unit"))
     decided = []
@@ -121,7 +125,7 @@ def mix(docs: DataFrame, weights=None, cap: float = 3.0, seed: int = 17) -> Data
     DataFrame (source, source_size, source_no) that adds `weight` > 0; default 1, 2, 3, repeating in code point
     order. Empty tables give empty results. The draw hangs on (seed, row hash) alone, so reruns agree.
 
-    Units are rounded class by class, the longest documents first (a class spans a factor of eight in length).
+    Units are rounded class by class, the longest documents first (a class spans a factor of sixteen in length).
     The rate of a class is what is left of its source's target over the words of all documents not yet drawn, so
     what the rounding of long documents missed is spread over all shorter ones in proportion. The miss has mean
     zero, hence each document's expected copies are its source's rate as long as no rate is cut off at 0 or cap.
@@ -130,7 +134,7 @@ def mix(docs: DataFrame, weights=None, cap: float = 3.0, seed: int = 17) -> Data
     units = rows.groupBy("doc_id", "source", "size", "hash").agg(F.count("*").alias("n"))
     units = units.withColumn("class", F.floor(F.log2(F.greatest("size", F.lit(1))) / CLASS_BITS).cast("int"))
     units = stage(units, "mix-units", "class")
-    classes = units.groupBy("source", "class").agg(F.sum(F.col("size") * F.col("n")).alias("words"))
+    classes = units.groupBy("source", "class").agg(F.sum(F.col("size") * F.col("n")).alias("words"), F.ceil(F.count("*") / FAN_IN).alias("n_nodes"))
     classes = checkpoint(classes)  # a row per source and class
     sources = classes.groupBy("source").agg(F.sum("words").alias("source_size"))
     sources = sources.withColumn("source_no", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())))
@@ -139,17 +143,17 @@ def mix(docs: DataFrame, weights=None, cap: float = 3.0, seed: int = 17) -> Data
     few = sources.count() <= SMALL  # a row a source; beyond that the joins shuffle
     keep = ["doc_id", "source", "size", "hash", "n", "source_size", "target"]
     found, taken = [], None
-    for k in [r[0] for r in classes.select("class").distinct().orderBy(F.desc("class")).collect()]:  # at most 21 classes
-        open_ = classes.where(F.col("class") <= k).groupBy(F.col("source").alias("s")).agg(F.sum("words").alias("open_words"))
+    for k, nodes in classes.groupBy("class").agg(F.max("n_nodes")).orderBy(F.desc("class")).collect():  # at most 16 classes
+        open_ = classes.where(F.col("class") <= k).groupBy(F.col("source").alias("s")).agg(F.sum("words").alias("open_words"), F.max(F.when(F.col("class") == k, F.col("n_nodes"))).alias("n_nodes"))
         rates = sources.join(open_, F.col("source").eqNullSafe(F.col("s"))).drop("s")
         if taken is not None:
             rates = rates.join(taken.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
         left = F.col("target") - (F.coalesce("taken", F.lit(0)) if taken is not None else F.lit(0))
-        rates = rates.select(F.col("source").alias("s"), "source_no", "source_size", "target", F.least(F.greatest(F.try_divide(left, F.col("open_words")), F.lit(0.0)), F.lit(cap)).alias("rate"))
-        drawn = _draw(units.where(F.col("class") == k), F.broadcast(rates) if few else rates, keep, seed + 1000 * k)
+        rates = rates.select(F.col("source").alias("s"), "source_no", "source_size", "target", "n_nodes", F.least(F.greatest(F.try_divide(left, F.col("open_words")), F.lit(0.0)), F.lit(cap)).alias("rate"))
+        drawn = stage(_draw(units.where(F.col("class") == k), F.broadcast(rates) if few else rates, keep, seed + 1000 * k, nodes), f"mix-class-{k}")
         found.append(drawn)
         now = drawn.groupBy("source").agg(F.sum(F.col("copies") * F.col("size")).alias("taken"))
-        taken = checkpoint(now if taken is None else now.unionByName(taken).groupBy("source").agg(F.sum("taken").alias("taken")))
+        taken = now if taken is None else now.unionByName(taken).groupBy("source").agg(F.sum("taken").alias("taken"))
     if not found:
         return units.join(sources, "source").withColumn("copies", F.lit(0).cast("long")).select(*keep, "copies")
     out = found[0]
@@ -158,14 +162,14 @@ def mix(docs: DataFrame, weights=None, cap: float = 3.0, seed: int = 17) -> Data
     return out
 
 
-def _draw(units: DataFrame, rates: DataFrame, keep: list[str], seed: int) -> DataFrame:
+def _draw(units: DataFrame, rates: DataFrame, keep: list[str], seed: int, nodes: int) -> DataFrame:
     """Units of one class with copies: whole parts of rate x n for sure, fractions by pivotal rounding."""
     u = units.join(rates, F.col("source").eqNullSafe(F.col("s"))).drop("s")
     u = u.withColumn("expected", F.when(F.col("size") > 0, F.col("rate") * F.col("n")).otherwise(F.col("n").cast("double")))
     u = u.withColumn("base", F.floor("expected")).withColumn("p", F.col("expected") - F.col("base"))
     u = u.withColumn("key", F.xxhash64("doc_id", "hash", "source", "size"))
     whole = u.where("p <= 0").select(*keep, F.col("base").alias("copies"))
-    open_ = copies(u.where("p > 0").select("key", "source_no", "p", "base", *keep), seed)
+    open_ = copies(u.where("p > 0").select("key", "source_no", "n_nodes", "p", "base", *keep), seed, nodes)
     return whole.unionByName(open_.select(*keep, (F.col("base") + F.col("take")).alias("copies")))
 
 
