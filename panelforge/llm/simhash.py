@@ -215,11 +215,12 @@ def near_duplicates(docs: DataFrame, n: int = 4, seed: int = 42, hot: int = HOT)
 def keep_one(docs: DataFrame, n: int = 5, seed: int = 42) -> DataFrame:
     """docs with one row of each near-duplicate group: the least doc_id (nulls last; then the least row hash).
 
-    Links: sets of five-word shingles with a Jaccard similarity of 0.8 or more, all of them (see set_join). Columns
+    Links: sets of five-word shingles with a Jaccard similarity of 0.8 or more, found by multi-index hashing over
+    SimHash fingerprints of 128 bits or more and verified on the sets (see near_sets for what may be missed). Columns
     and texts stay as they are; rows that repeat in full become one. All texts without words are one group. An
     empty table stays empty.
     """
-    from panelforge.llm.set_join import similar_components
+    from panelforge.llm.near_sets import similar_components
 
     rows = docs.withColumn("__row", row_hash(docs))
     fp = checkpoint(similar_components(rows.select("doc_id", "__row", "text"), n, seed))

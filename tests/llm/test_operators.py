@@ -431,27 +431,50 @@ def test_keep_one_finds_every_pair_of_similarity_four_fifths(spark):
     assert 70 < len(set(comp)) < 200
 
 
-def test_sketches_rule_out_no_similar_pair():
-    from panelforge.llm.set_join import may_be_similar, sketch
-
-    r = np.random.default_rng(5)
-    for n in (1, 3, 60, 64, 66, 130, 250, 1000, 1030, 3000):
-        own = r.integers(-(2**63), 2**63 - 1, n)
-        lost = own[: n - n // 5]  # similarity 4/5 or more
-        assert may_be_similar(sketch(own), sketch(lost)) and may_be_similar(sketch(lost), sketch(own))
-        assert n < 60 or not may_be_similar(sketch(own), sketch(r.integers(-(2**63), 2**63 - 1, n)))
-
-
-def test_crowded_entries_are_cut_into_blocks(spark, monkeypatch):
-    from panelforge.llm import set_join, simhash
-
-    monkeypatch.setattr(set_join, "BLOCK", 500)
-    r = np.random.default_rng(6)
-    sets = spark.createDataFrame([(i, [int(x) for x in range(i, i + 10)]) for i in range(400)], "node long, shingles array<long>")
+@pytest.mark.parametrize("n", [30, 120, 700])
+def test_multi_index_hashing_meets_pairs_of_similarity_four_fifths(n):
+    """At the bound itself: the sets share 8/9 of their shingles."""
+    from panelforge.llm.near_sets import set_fingerprint, sizes_for
+
+    bits, segments, words, distance = sizes_for(10**6)
+    r, met = np.random.default_rng(5), 0
+    for _ in range(400):
+        own = r.integers(-(2**63), 2**63 - 1, n + n // 9)
+        x, y = (set_fingerprint(np.sort(s), words) for s in (own[:n], own[n // 9 :]))
+        parts = np.bitwise_count((x ^ y).view(np.uint16)) if bits == 16 else None
+        met += bool((parts[:segments] <= 2).any() and np.bitwise_count(x ^ y).sum() <= distance)
+    assert met >= 394
+
+
+def test_probes_meet_within_two_bits(spark):
+    from panelforge.llm.near_sets import probes
+
+    r = np.random.default_rng(7)
+    for bits, segments, words in ((16, 8, 2), (20, 7, 3)):
+        a = r.integers(-(2**63), 2**63 - 1, words)
+        b = a ^ r.integers(-(2**63), 2**63 - 1, words)
+        s = segments - 1  # the last segment of b is brought within two bits of a's
+        w, at = s // (64 // bits), bits * (s % (64 // bits))
+        mask = np.int64(-1 if bits == 64 else ((1 << bits) - 1 << at) - (1 << 64 if (1 << bits) - 1 << at >> 63 else 0))
+        b[w] = (b[w] & ~mask) | ((a[w] ^ np.int64(5 << at)) & mask)
+        rows = spark.createDataFrame([tuple(map(int, x)) for x in (a, b)], ", ".join(f"f{j} long" for j in range(words)))
+        keys = [{k.key for k in probes(rows.where(rows.f0 == int(x[0])), bits, segments, words).collect()} for x in (a, b)]
+        assert len(keys[0]) == segments * (bits + 1) and any(k >> bits == s for k in keys[0] & keys[1])
+
+
+def test_crowded_entries_and_groups_are_cut_into_blocks(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from panelforge.llm import near_sets, simhash
+
+    sets = spark.createDataFrame([(i, [int(x) for x in range(i, i + 10)]) for i in range(400)], "node long, v array<long>")
     cells = defaultdict(set)
-    for x in set_join.in_cells(spark.range(400).selectExpr("7L as key", "id as node"), sets, 500).collect():
+    for x in near_sets.in_cells(spark.range(400).select(F.lit(7).alias("key"), F.col("id").alias("node"), F.lit(10).alias("n")), sets, 500).collect():
         cells[x.cell].add(x.node)
     assert max(map(len, cells.values())) < 160 and len({p for c in cells.values() for p in combinations(sorted(c), 2)}) == 400 * 399 // 2
+    monkeypatch.setattr(near_sets, "BLOCK", 500)
+    monkeypatch.setattr(near_sets, "ENTRY", 16)
+    r = np.random.default_rng(6)
     base = words(150, 98)
     texts = [edited(base, int(r.integers(1, 9)), r) for _ in range(120)]
     comp = jaccard_components(texts)
