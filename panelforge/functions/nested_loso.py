@@ -50,15 +50,19 @@ class Panel:
         keep = ~omitted
         a = gram[:, :, :f, :f] / rows[:, :, None, None] / (scale[:, :, :, None] * scale[:, :, None, :]) * (keep[:, :, :, None] & keep[:, :, None, :])
         b = gram[:, :, :f, f] / rows[:, :, None] / scale * keep
+        # one eigendecomposition a split serves every penalty; directions without variance are left out, as by a pseudo-inverse
+        values, vectors = np.linalg.eigh(a)
+        turned = np.einsum("ovfg,ovf->ovg", vectors, b)
+        low = 1e-12 * np.abs(values).max(axis=-1, keepdims=True)
         loss = np.empty((len(lambdas), n, n))
         for i, lam in enumerate(lambdas):
             if np.isinf(lam):
                 loss[i] = held[:, :, f, f] / self.regions
                 continue
-            system = a + np.eye(f) * lam
-            beta = np.einsum("ovfg,ovg->ovf", np.linalg.pinv(system, rcond=1e-12, hermitian=True), b) if lam == 0 else np.linalg.solve(system, b[..., None])[..., 0]
+            spread = values + lam
+            beta = np.einsum("ovfg,ovg->ovf", vectors, np.divide(turned, spread, out=np.zeros_like(turned), where=spread > (low if lam == 0 else 0)))
             c = np.concatenate([-beta / scale * keep, np.ones((n, n, 1))], axis=2)
-            loss[i] = np.einsum("ovf,ovfg,ovg->ov", c, held, c) / self.regions
+            loss[i] = (np.matmul(held, c[..., None])[..., 0] * c).sum(axis=2) / self.regions
         score = np.where(own, 0, loss).sum(axis=2) / (n - 1)
         infinite = int(np.flatnonzero(np.isinf(lambdas))[0])
         tied = score - score.min(axis=0) <= 1e-12 * score[infinite]

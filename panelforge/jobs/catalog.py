@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from panelforge.jobs import flagship, inference
+from panelforge.jobs import artifacts, flagship, inference, relations
 from panelforge.operators import aggregates, generic, grids, keys, model, permutation, records, rows
 from panelforge.streaming.windows import stream_tumbling
 from panelforge.sources.adapters import DuckDialect, SparkDialect, run_sql
@@ -10,7 +10,7 @@ from panelforge.sources.adapters import DuckDialect, SparkDialect, run_sql
 
 def _from_book(book: dict, run=run_sql) -> dict:
     def entry(text):
-        return (lambda spark, sf_dir: run(spark, sf_dir, text(SparkDialect())), text(DuckDialect()))
+        return (lambda spark, sf_dir: run(spark, sf_dir, text(SparkDialect())), str(text(DuckDialect())))
 
     return {name: entry(text) for name, text in book.items()}
 
@@ -23,4 +23,6 @@ for _module in (model, permutation):
 CATALOG["roi_stats"] = (flagship.roi_stats, CATALOG["roi_stats"][1])
 for _name, _run in inference.QUERIES.items():
     CATALOG[_name] = (_run, None)
+CATALOG["clopper_pearson"] = (inference.QUERIES["clopper_pearson"], inference.CLOPPER_PEARSON_SQL)
+CATALOG |= relations.QUERIES | artifacts.QUERIES
 CATALOG["generic_stream_tumbling"] = (stream_tumbling, CATALOG["generic_tumbling"][1])

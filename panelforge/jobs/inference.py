@@ -11,14 +11,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelforge.functions.nested_loso import Panel, assignments
+from panelforge.functions.ordering import numbered
 from panelforge.functions.shared import materialised
-from panelforge.functions.special import clopper_pearson, upper_bound
+from panelforge.functions.special import clopper_pearson, with_exact_interval
+from panelforge.jobs.relations import exact_interval_sql
 from panelforge.sources.adapters import PANEL, run_sql
+from panelforge.sources.sinks import new_folder
 
 #: Seeds of the test and of the study, and the generator's scales.
 SEED, STUDY_SEED = 20260929, 20261001
 SCENARIOS = {"null": (0.0, 0.0), "confounded_null": (0.0, 0.8), "weak": (0.25, 0.0), "moderate": (0.5, 0.0), "strong": (1.0, 0.0)}
-REPLICATES = 999
+REPLICATES = 9_999
+#: Simulations and replicates of the scenarios without and with an effect.
+PRESETS = {"quick": (2, 19, 2, 19), "full": (500, 39, 200, 99)}
+#: Upper bound on the rejection rate that a scenario without an effect must stay below, level of the test.
+TOLERANCE, ALPHA = 0.075, 0.05
 
 
 def panel_of(spark: SparkSession, sf_dir: str) -> tuple[list, list[list[int]], np.ndarray, np.ndarray]:
@@ -50,12 +57,12 @@ def null_statistics(spark: SparkSession, panel: Panel, donors: np.ndarray) -> Da
     return firsts.join(known, "first").select("replicate", "t", (F.col("replicate") == F.col("first")).alias("evaluated"))
 
 
-def permutation_seeded(spark: SparkSession, sf_dir: str) -> DataFrame:
+def permutation_seeded(spark: SparkSession, sf_dir: str, replicates: int = REPLICATES) -> DataFrame:
     """T, K, p value and its exact Monte Carlo interval from seeded within-stratum permutations of the order panel."""
     _, strata, x, y = panel_of(spark, sf_dir)
     panel = Panel(x, y)
     observed = panel.statistic()
-    null = null_statistics(spark, panel, assignments(strata, REPLICATES, SEED))
+    null = null_statistics(spark, panel, assignments(strata, replicates, SEED))
     k, b, evaluated = null.agg(F.count_if(F.col("t") >= observed), F.count("*"), F.count_if("evaluated")).first()
     low, high = clopper_pearson(k, b)
     return spark.createDataFrame([(observed, k, b, evaluated, (1 + k) / (b + 1), low, high)], "t_obs double, k long, b long, n_evaluations long, p_value double, low double, high double")
@@ -82,12 +89,13 @@ def clopper_pearson_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact interval and one-sided upper bound of the share of long turns in each conversation."""
     counts = spark.read.parquet(f"{sf_dir}/conversations.parquet").groupBy("conv_id").agg(F.count_if(F.length("text") >= 100).alias("k"), F.count("*").alias("n"))
 
-    @F.pandas_udf("struct<low: double, high: double, upper: double>")
-    def interval(k: pd.Series, n: pd.Series) -> pd.DataFrame:
-        found = [(*clopper_pearson(int(a), int(b)), upper_bound(int(a), int(b))) for a, b in zip(k, n, strict=True)]
-        return pd.DataFrame(found, columns=["low", "high", "upper"])
+    return with_exact_interval(counts, "k", "n").select("conv_id", "k", "n", *[F.round(c, 6).alias(c) for c in ("low", "high", "upper")])
 
-    return counts.withColumn("i", interval("k", "n")).select("conv_id", "k", "n", "i.*")
+
+CLOPPER_PEARSON_SQL = f"""WITH RECURSIVE c AS (SELECT conv_id, count(CASE WHEN length(text) >= 100 THEN 1 END) AS k, count(*) AS n FROM conversations GROUP BY conv_id),
+{exact_interval_sql('SELECT k, n FROM c')},
+{exact_interval_sql('SELECT k, n FROM c', 0.95).replace('kn AS', 'kn1 AS').replace('FROM kn', 'FROM kn1').replace('cut', 'cut1').replace('bounds', 'bounds1')}
+SELECT conv_id, c.k, c.n, round(b.low, 6) AS low, round(b.high, 6) AS high, round(u.high, 6) AS upper FROM c JOIN bounds b ON b.k = c.k AND b.n = c.n JOIN bounds1 u ON u.k = c.k AND u.n = c.n"""
 
 
 def synthetic(rng: np.random.Generator, strata: np.ndarray, regions: int, beta: float, kappa: float) -> tuple[np.ndarray, np.ndarray]:
@@ -106,31 +114,79 @@ def synthetic(rng: np.random.Generator, strata: np.ndarray, regions: int, beta:
     return x, alpha + gamma[strata][:, None] + v[:, None] + eps + beta * sigma * z.sum(axis=2) / np.sqrt(2)
 
 
-def study(spark: SparkSession, sf_dir: str, simulations: int = 8, replicates: int = 19) -> DataFrame:
-    """One record per scenario and simulation on the cohort's own strata: t_obs, k, p value, rejection."""
+def _cohort(spark: SparkSession, sf_dir: str) -> np.ndarray:
+    """Stratum of each subject (nation), as positions."""
     of = spark.read.parquet(f"{sf_dir}/nation.parquet").orderBy("n_nationkey").select("n_regionkey").toPandas()["n_regionkey"].to_numpy()
-    strata = np.unique(of, return_inverse=True)[1]
+    return np.unique(of, return_inverse=True)[1]
+
+
+def simulated(spark: SparkSession, strata: np.ndarray, regions: int, preset: str = "full") -> DataFrame:
+    """One record per scenario and simulation on the given strata: t_obs, k, p value, rejection."""
     members = [np.flatnonzero(strata == k).tolist() for k in range(strata.max() + 1)]
     names = list(SCENARIOS)
-    tasks = spark.range(len(names) * simulations).select((F.col("id") / simulations).cast("int").alias("i"), (F.col("id") % simulations).cast("int").alias("j"))
+    null_n, null_b, power_n, power_b = PRESETS[preset]
+    rows = [(i, null_n, null_b) if beta == 0 else (i, power_n, power_b) for i, (beta, _) in enumerate(SCENARIOS.values())]
+    tasks = spark.createDataFrame(rows, "i int, n int, b int").select("i", "b", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("j"))
 
     def run(parts):
         for part in parts:
             out = []
-            for i, j in zip(part["i"], part["j"], strict=True):
+            for i, b, j in part[["i", "b", "j"]].itertuples(index=False):
                 data, perm = np.random.SeedSequence(STUDY_SEED, spawn_key=(int(i), int(j))).spawn(2)
                 beta, kappa = SCENARIOS[names[i]]
-                panel = Panel(*synthetic(np.random.Generator(np.random.PCG64(data)), strata, 25, beta, kappa))
+                panel = Panel(*synthetic(np.random.Generator(np.random.PCG64(data)), strata, regions, beta, kappa))
                 t = panel.statistic()
                 seed = int(perm.generate_state(1, np.uint64)[0])
-                null = [panel.statistic(d) for d in assignments(members, replicates, seed)]
-                k = int(sum(x >= t for x in null))
+                k = sum(panel.statistic(d) >= t for d in assignments(members, int(b), seed))
                 best, _, _ = panel.folds()
-                out.append((names[i], int(j), beta, kappa, str(seed), t, k, replicates, (1 + k) / (replicates + 1), (1 + k) / (replicates + 1) <= 0.05, float(np.isinf(best).mean())))
+                out.append((names[i], int(j), beta, kappa, str(seed), t, k, int(b), (1 + k) / (b + 1), (1 + k) / (b + 1) <= ALPHA, float(np.isinf(best).mean())))
             yield pd.DataFrame(out, columns=["scenario", "simulation", "beta", "kappa", "seed", "t_obs", "k", "b", "p_value", "reject", "frac_infinite"])
 
     schema = "scenario string, simulation int, beta double, kappa double, seed string, t_obs double, k int, b int, p_value double, reject boolean, frac_infinite double"
-    return tasks.repartition(min(len(names) * simulations, 64), "i", "j").mapInPandas(run, schema)
+    parts = min(sum(n for _, n, _ in rows), 8 * max(8, spark.sparkContext.defaultParallelism))
+    return tasks.repartition(parts, "i", "j").mapInPandas(run, schema)
+
+
+#: Folders of study records that this session has written, by what they hang on.
+_RECORDS: dict[tuple, str] = {}
+
+
+def study(spark: SparkSession, sf_dir: str, preset: str = "full", regions: int = 25) -> DataFrame:
+    """Records of the study on the cohort's own strata. They are written once a session and read by all that sums them up."""
+    key = (spark.sparkContext.applicationId, sf_dir, preset, regions)
+    if key not in _RECORDS:
+        path = new_folder(spark, "study")
+        simulated(spark, _cohort(spark, sf_dir), regions, preset).write.parquet(path)
+        _RECORDS[key] = path
+    return spark.read.parquet(_RECORDS[key])
+
+
+def study_by_month(spark: SparkSession, sf_dir: str, replicates: int = 199) -> DataFrame:
+    """The permutation test on each order month's own panel: subjects and regions with lines in every cell of that month.
+
+    Cells are grouped sums over all lines; a month's panel (a row per subject and brand) is one group of the last
+    step, and the months are dealt out. Brands that a month lacks for some subject are left out of its panel.
+    """
+    sql = """SELECT date_format(o_orderdate, 'yyyy-MM') AS month, c_nationkey AS s, n_regionkey AS stratum, p_brand AS r, avg(l_quantity) AS x1, ln(sum(l_extendedprice)) AS x2, avg(l_extendedprice * l_discount / 1000) AS y
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN part ON l_partkey = p_partkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2, 3, 4"""
+    cells = run_sql(spark, sf_dir, sql)
+
+    def test(cells: pd.DataFrame) -> pd.DataFrame:
+        month, subjects = cells["month"].iloc[0], np.sort(cells["s"].unique())
+        full = cells.groupby("r")["s"].transform("size") == len(subjects)
+        cells = cells[full].sort_values(["s", "r"])
+        regions = cells["r"].nunique()
+        if regions < 2 or len(subjects) < 3:
+            return pd.DataFrame([(month, len(subjects), regions, None, None, replicates, None)], columns=columns)
+        shape = (len(subjects), regions)
+        panel = Panel(np.stack([cells[c].to_numpy().reshape(shape) for c in ("x1", "x2")], axis=2), cells["y"].to_numpy().reshape(shape))
+        of = cells.groupby("s")["stratum"].first().to_numpy()
+        t = panel.statistic()
+        k = sum(panel.statistic(d) >= t for d in assignments([np.flatnonzero(of == x).tolist() for x in np.unique(of)], replicates, SEED))
+        return pd.DataFrame([(month, *shape, t, k, replicates, (1 + k) / (replicates + 1))], columns=columns)
+
+    columns = ["month", "subjects", "regions", "t_obs", "k", "b", "p_value"]
+    return cells.groupBy("month").applyInPandas(test, "month string, subjects int, regions int, t_obs double, k double, b int, p_value double")
 
 
 QUERIES = {
@@ -139,22 +195,16 @@ QUERIES = {
     "assignment_digest": assignment_digest,
     "clopper_pearson": clopper_pearson_rows,
     "study": study,
+    "study_by_month": study_by_month,
 }
 
 
-def calibration_check(spark: SparkSession, sf_dir: str, simulations: int = 8, replicates: int = 19, tolerance: float = 0.075) -> DataFrame:
+def calibration_check(spark: SparkSession, sf_dir: str, preset: str = "full") -> DataFrame:
     """Per scenario: rejections, rate, exact interval, one-sided upper bound against the tolerance, attainable level."""
-    records = study(spark, sf_dir, simulations, replicates)
-    counts = records.groupBy("scenario").agg(F.count_if("reject").alias("k"), F.count("*").alias("n"), F.avg("t_obs").alias("t_mean"), F.avg("frac_infinite").alias("frac_infinite"))
-    attainable = np.floor(0.05 * (replicates + 1) + 1e-9) / (replicates + 1)
-
-    @F.pandas_udf("struct<low: double, high: double, upper: double>")
-    def interval(k: pd.Series, n: pd.Series) -> pd.DataFrame:
-        found = [(*clopper_pearson(int(a), int(b)), upper_bound(int(a), int(b), 0.975)) for a, b in zip(k, n, strict=True)]
-        return pd.DataFrame(found, columns=["low", "high", "upper"])
-
-    return counts.withColumn("i", interval("k", "n")).select(
-        "scenario", "k", "n", (F.col("k") / F.col("n")).alias("rate"), "i.*", (F.col("i.upper") <= tolerance).alias("within"), F.lit(float(attainable)).alias("attainable"), "t_mean", "frac_infinite"
+    counts = study(spark, sf_dir, preset).groupBy("scenario", "b").agg(F.count_if("reject").alias("k"), F.count("*").alias("n"), F.avg("t_obs").alias("t_mean"), F.avg("frac_infinite").alias("frac_infinite"))
+    attainable = F.floor(F.lit(ALPHA) * (F.col("b") + 1) + F.lit(1e-9)) / (F.col("b") + 1)
+    return with_exact_interval(counts, "k", "n", 0.975).select(
+        "scenario", "k", "n", (F.col("k") / F.col("n")).alias("rate"), "low", "high", "upper", (F.col("upper") <= TOLERANCE).alias("within"), attainable.alias("attainable"), "t_mean", "frac_infinite"
     )
 
 
@@ -226,7 +276,7 @@ QUERIES |= {
     "sens_five_feature": five_features,
     "alignment_optimum": shift_optimum,
     "text_diff_lines": text_diff_lines,
-    "simulate": lambda spark, sf_dir: study(spark, sf_dir, 1, 19),
+    "simulate": lambda spark, sf_dir: simulated(spark, _cohort(spark, sf_dir), 25, "quick"),
     "generic_approx": lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("event_type").agg(F.approx_count_distinct("user_id").alias("users"), F.percentile_approx("value", 0.5).alias("median")),
 }
 
@@ -265,8 +315,7 @@ def synthetic_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def study_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The study's records numbered by scenario and simulation, whatever the number of tasks."""
     names = F.array(*[F.lit(n) for n in SCENARIOS])
-    records = study(spark, sf_dir, 4, 9)
-    return records.withColumn("ord", (F.array_position(names, F.col("scenario")) - 1) * 4 + F.col("simulation"))
+    return numbered(study(spark, sf_dir).withColumn("scenario_no", F.array_position(names, F.col("scenario"))), "scenario_no", "simulation", name="ord")
 
 
 def rejection_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -274,4 +323,4 @@ def rejection_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return calibration_check(spark, sf_dir).select("scenario", "k", "n", "low", "high")
 
 
-QUERIES |= {"task_seeds": task_seeds, "synthetic_dataset": synthetic_rows, "study_order": study_order, "rejection_interval": rejection_interval, "records": lambda spark, sf_dir: study(spark, sf_dir, 4, 9).withColumn("label", F.concat_ws(":", "scenario", "simulation"))}
+QUERIES |= {"task_seeds": task_seeds, "synthetic_dataset": synthetic_rows, "study_order": study_order, "rejection_interval": rejection_interval, "records": lambda spark, sf_dir: study(spark, sf_dir).select(F.concat_ws(":", "scenario", "simulation").alias("label"), "*")}

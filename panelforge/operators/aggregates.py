@@ -67,9 +67,6 @@ SELECT grid.scan, round(avg(CASE WHEN value <= q10 THEN CASE WHEN level = 0 THEN
        round(avg(CASE WHEN value > q10 AND value < q90 THEN CASE WHEN level = 0 THEN 1e0 ELSE 0e0 END END), 6) AS middle,
        round(avg(CASE WHEN value >= q90 THEN CASE WHEN level = 0 THEN 1e0 ELSE 0e0 END END), 6) AS top
 FROM grid JOIN q ON grid.scan = q.scan GROUP BY grid.scan""",
-    "exact_percentiles": lambda d: f"""WITH {d.voxels}{GRID}
-SELECT grp, round({d.pct('value', 0.005)}, 6) AS p005, round({d.pct('value', 0.25)}, 6) AS p25, round({d.pct('value', 0.5)}, 6) AS p50,
-       round({d.pct('value', 0.75)}, 6) AS p75, round({d.pct('value', 0.995)}, 6) AS p995 FROM grid GROUP BY grp""",
     # joint histogram of a voxel with its mirror voxel: 8 bins over [-0.6, 0.6], last bin closed, outside dropped
     "hist2d": lambda d: f"""WITH {_hist(d)}
 SELECT grp, ba, bb, n FROM hist""",
@@ -87,12 +84,6 @@ FROM grid WHERE value > 0 GROUP BY scan, label""",
     "mask_centroid": lambda d: f"""WITH {d.voxels}{GRID}
 SELECT scan, round(2 * avg(CAST(i AS DOUBLE)) - 3, 6) AS x, round(2 * avg(CAST(j AS DOUBLE)) - 3, 6) AS y, round(2 * avg(CAST(k AS DOUBLE)) - 3, 6) AS z
 FROM grid WHERE value > 0 GROUP BY scan""",
-    "scenario_summary": lambda d: f"""WITH {CELLS}
-SELECT condition AS scenario, count(*) AS n, count(CASE WHEN zero_fraction <= 0.05 THEN 1 END) AS rejections,
-       round(avg(CASE WHEN zero_fraction <= 0.05 THEN 1e0 ELSE 0e0 END), 6) AS rate,
-       round(sqrt(avg(CASE WHEN zero_fraction <= 0.05 THEN CAST(1 AS DOUBLE) ELSE 0 END) * (1 - avg(CASE WHEN zero_fraction <= 0.05 THEN CAST(1 AS DOUBLE) ELSE 0 END)) / count(*)), 6) AS standard_error,
-       round(avg(roi_mean) + 3.7e-12, 9) AS t_mean, round({d.pct('roi_mean', 0.5)}, 6) AS t_median, round(min(zero_fraction), 6) AS p_low, round(max(zero_fraction), 6) AS p_high
-FROM cells GROUP BY condition""",
     "exceedance": lambda d: f"""WITH {CELLS}, t AS (SELECT roi, condition, avg(roi_mean) AS t FROM cells GROUP BY roi, condition)
 SELECT a.roi, count(CASE WHEN b.t >= a.t THEN 1 END) AS k, count(*) AS b FROM t a JOIN t b ON a.roi = b.roi WHERE a.condition = 'A' GROUP BY a.roi""",
     "affine_maxdiff": lambda d: f"""WITH {d.voxels}{GRID}

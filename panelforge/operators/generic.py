@@ -9,6 +9,5 @@ BOOK = {
     "generic_running_sum": lambda d: """SELECT event_id, user_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 4) AS running FROM events""",
     "generic_set_ops": lambda d: """SELECT 'both' AS kind, k, count(*) AS n FROM (SELECT l_suppkey AS k FROM lineitem INTERSECT ALL SELECT l_partkey AS k FROM lineitem) a GROUP BY k UNION ALL SELECT 'less' AS kind, k, count(*) AS n FROM (SELECT l_suppkey AS k FROM lineitem EXCEPT ALL SELECT l_partkey AS k FROM lineitem) b GROUP BY k""",
     "generic_semi_anti": lambda d: """SELECT c_custkey, EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) AS ordered FROM customer""" if d.name == "duck" else """SELECT c_custkey, o.k IS NOT NULL AS ordered FROM customer LEFT JOIN (SELECT DISTINCT o_custkey AS k FROM orders) o ON o.k = c_custkey""",
-    "generic_asof": lambda d: f"""SELECT e.event_id, {d.last_by('p.event_id', 'p.ts')} AS previous FROM events e JOIN events p ON p.user_id = e.user_id AND p.ts < e.ts GROUP BY e.event_id""",
     "generic_tumbling": lambda d: """SELECT CAST(date_trunc('day', ts) AS DATE) AS day_, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, event_type""",
 }

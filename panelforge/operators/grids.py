@@ -21,11 +21,6 @@ BOOK = {
 SELECT scan, i, j, k FROM mask UNION SELECT scan, i + di AS i, j + dj AS j, k + dk AS k FROM mask CROSS JOIN steps WHERE i + di BETWEEN 0 AND 3 AND j + dj BETWEEN 0 AND 3 AND k + dk BETWEEN 0 AND 3""",
     "erode": lambda d: f"""WITH {d.voxels}{GRID}, mask AS (SELECT scan, i, j, k FROM grid WHERE value > -0.15), steps AS ({_NEXT})
 SELECT m.scan, m.i, m.j, m.k FROM mask m CROSS JOIN steps JOIN mask n ON n.scan = m.scan AND n.i = m.i + di AND n.j = m.j + dj AND n.k = m.k + dk GROUP BY m.scan, m.i, m.j, m.k HAVING count(*) = 6""",
-    "edt": lambda d: f"""WITH {d.voxels}{GRID}, b AS (SELECT scan, i, j, k FROM grid WHERE value <= 0)
-SELECT g.scan, g.i, g.j, g.k, round(sqrt(CAST(min((g.i - b.i) * (g.i - b.i) + (g.j - b.j) * (g.j - b.j) + (g.k - b.k) * (g.k - b.k)) AS DOUBLE)), 6) AS distance
-FROM grid g JOIN b ON b.scan = g.scan WHERE g.value > 0 GROUP BY g.scan, g.i, g.j, g.k""",
-    # label propagation inside the mask: the longest path in the grid bounds the rounds
-    "components": lambda d: _components(d),
     "nn_resample": lambda d: f"""WITH {d.voxels}{GRID},
 w AS (SELECT scan, i, j, k, CAST(floor(i - 1 + 0.5) AS INTEGER) AS si, CAST(floor(3 - j + 0.5) AS INTEGER) AS sj, CAST(floor(k * 0.5 + 0.75 + 0.5) AS INTEGER) AS sk FROM grid)
 SELECT w.scan, w.i, w.j, w.k, coalesce(g.label, 0) AS label FROM w LEFT JOIN grid g ON g.scan = w.scan AND g.i = w.si AND g.j = w.sj AND g.k = w.sk""",
@@ -36,30 +31,13 @@ weighted AS (SELECT scan, i, j, k, CAST(floor(x) AS INTEGER) + a AS ci, CAST(flo
   CAST(CASE WHEN a = 1 THEN x - floor(x) ELSE 1 - (x - floor(x)) END AS DOUBLE) * CAST(CASE WHEN b = 1 THEN y - floor(y) ELSE 1 - (y - floor(y)) END AS DOUBLE) * CAST(CASE WHEN c = 1 THEN z - floor(z) ELSE 1 - (z - floor(z)) END AS DOUBLE) AS w
   FROM at_ CROSS JOIN corner)
 SELECT w.scan, w.i, w.j, w.k, round(coalesce(sum(w.w * g.value), 0), 6) AS sample FROM weighted w LEFT JOIN grid g ON g.scan = w.scan AND g.i = w.ci AND g.j = w.cj AND g.k = w.ck GROUP BY w.scan, w.i, w.j, w.k""",
-    "rigid_matrix": lambda d: f"""WITH a AS (SELECT event_id, radians(value % 30) AS rz, value % 7 AS tx FROM events) SELECT event_id, round(cos(rz), 6) AS m00, round(-sin(rz), 6) AS m01, round(sin(rz), 6) AS m10, round(cos(rz), 6) AS m11, round(1.5 - 1.5 * cos(rz) + 1.5 * sin(rz) + tx, 6) AS m03 FROM a""",
-    "rigid_deviation": lambda d: """WITH a AS (SELECT event_id, radians(value % 30) AS rz FROM events) SELECT event_id, round(degrees(acos(least(greatest((2 * cos(rz) + 1 - 1) / 2, -1), 1))), 4) AS angle, round(cos(rz) * cos(rz) + sin(rz) * sin(rz), 6) AS det FROM a""",
     "displacement": lambda d: f"""WITH {d.voxels}{GRID}, t AS (SELECT {_T}),
 m AS (SELECT scan, sqrt((c * (i - 1.5) - s * (j - 1.5) + 1.5 + tx - i) * (c * (i - 1.5) - s * (j - 1.5) + 1.5 + tx - i) + (s * (i - 1.5) + c * (j - 1.5) + 1.5 + ty - j) * (s * (i - 1.5) + c * (j - 1.5) + 1.5 + ty - j) + tz * tz) AS d FROM grid CROSS JOIN t WHERE value > 0)
 SELECT scan, round(avg(d), 6) AS mean, round(max(d), 6) AS greatest_ FROM m GROUP BY scan""",
-    "vox2ras": lambda d: """SELECT p_partkey, round(p_size / 2e0, 6) AS half, round(p_retailprice - (p_size / 2e0) * 2, 6) AS origin FROM part""",
     "reorient": lambda d: f"""WITH {d.voxels}{GRID} SELECT scan, 3 - i AS x, k AS y, j AS z, round(value, 6) AS value FROM grid""",
     "plane_slice": lambda d: f"""WITH {d.voxels}{GRID} SELECT scan, i, j, round(value, 6) AS value FROM grid WHERE k = 2""",
     "boundary_colour": lambda d: f"""WITH {d.voxels}{GRID}, n AS (SELECT scan, i, j, label, lead(label) OVER (PARTITION BY scan, j, k ORDER BY i) AS nxt FROM grid WHERE k = 1)
 SELECT scan, i, j, CASE label WHEN 1001 THEN 'red' WHEN 1003 THEN 'green' WHEN 1005 THEN 'blue' ELSE 'grey' END AS colour FROM n WHERE nxt <> label""",
     "centroid_box": lambda d: f"""WITH {d.voxels}{GRID}, c AS (SELECT scan, CAST({d.bround('avg(CAST(i AS DOUBLE))')} AS INTEGER) AS ci, CAST({d.bround('avg(CAST(j AS DOUBLE))')} AS INTEGER) AS cj FROM grid WHERE value > 0.1 GROUP BY scan)
 SELECT g.scan, g.i, g.j, g.k FROM grid g JOIN c ON c.scan = g.scan WHERE g.i BETWEEN greatest(ci - 1, 0) AND ci AND g.j BETWEEN greatest(cj - 1, 0) AND cj""",
-    # shifts of a volume against itself along an axis: mean product, first-best offset kept
-    "perturbation_profile": lambda d: f"""WITH {d.voxels}{GRID}, offsets AS (SELECT * FROM (VALUES (-1), (0), (1)) AS t(o)),
-m AS (SELECT a.scan, o, avg(a.value * b.value) AS score FROM grid a CROSS JOIN offsets JOIN grid b ON b.scan = a.scan AND b.i = a.i + o AND b.j = a.j AND b.k = a.k GROUP BY a.scan, o)
-SELECT scan, o, round(score, 6) AS score, round(score - max(CASE WHEN o = 0 THEN score END) OVER (PARTITION BY scan), 6) AS minus_header FROM m""",
 }
-
-
-def _components(d) -> str:
-    rounds = 6
-    sql = f"WITH {d.voxels}{GRID}, mask AS (SELECT scan, i, j, k, p AS l0 FROM grid WHERE value > 0.25), steps AS ({_NEXT} UNION ALL SELECT 0, 0, 0),\n"
-    sql += "r0 AS (SELECT scan, i, j, k, l0 AS l FROM mask)"
-    for n in range(rounds):
-        sql += f""",
-r{n + 1} AS (SELECT a.scan, a.i, a.j, a.k, min(b.l) AS l FROM r{n} a CROSS JOIN steps JOIN r{n} b ON b.scan = a.scan AND b.i = a.i + di AND b.j = a.j + dj AND b.k = a.k + dk GROUP BY a.scan, a.i, a.j, a.k)"""
-    return sql + f"\nSELECT scan, l AS component, count(*) AS size FROM r{rounds} GROUP BY scan, l"

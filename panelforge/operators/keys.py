@@ -22,10 +22,6 @@ SELECT w.user_id, w.roi, w.part FROM want w WHERE NOT EXISTS (SELECT 1 FROM ev W
     "long_table": lambda d: f"""WITH {LONG}
 SELECT subject, roi, round(thickness, 6) AS thickness, round(area, 4) AS area, round(ln_area, 6) AS ln_area, round(cond_a + 3.7e-12, 9) AS cond_a,
        round(cond_n + 3.7e-12, 9) AS cond_n, round(cond_r + 3.7e-12, 9) AS cond_r, round(cond_mean + 3.7e-12, 9) AS cond_mean FROM long_table""",
-    "long_table_contract": lambda d: f"""WITH {LONG}
-SELECT count(*) AS n_rows, count(CASE WHEN thickness IS NULL OR isnan(thickness) THEN 1 END) AS bad_thickness, count(CASE WHEN NOT area > 0 THEN 1 END) AS bad_area,
-       count(CASE WHEN ln_area <> ln(area) THEN 1 END) AS bad_ln, count(CASE WHEN cond_a < 0 OR cond_n < 0 OR cond_r < 0 THEN 1 END) AS negative,
-       count(CASE WHEN cond_mean <> (cond_a + cond_n + cond_r) / 3 THEN 1 END) AS bad_mean, count(CASE WHEN cond_a IS NULL OR cond_n IS NULL OR cond_r IS NULL THEN 1 END) AS incomplete FROM long_table""",
     "build_panel": lambda d: f"""WITH {PANEL} SELECT s, stratum, r, round(x1, 6) AS x1, round(x2, 6) AS x2, round(y, 6) AS y FROM panel""",
     "extract_condition": lambda d: f"""WITH {CELLS} SELECT n_name AS subject_id, condition, roi, round(roi_mean + 3.7e-12, 9) AS cell_mean, n_voxels, n_zero FROM cells JOIN nation ON n_nationkey = subject""",
     "code_lookup_join": lambda d: f"""WITH {d.voxels}{GRID},
@@ -39,16 +35,17 @@ FROM expected e LEFT JOIN local l ON l.relpath = e.relpath""",
 c AS (SELECT CASE WHEN l.relpath IS NULL THEN 'MISSING' WHEN l.bytes <> e.bytes OR l.sha256 <> e.sha256 THEN 'MISMATCH' ELSE 'OK' END AS status FROM expected e LEFT JOIN local l ON l.relpath = e.relpath)
 SELECT count(*) AS files, count(CASE WHEN status = 'OK' THEN 1 END) AS ok, count(CASE WHEN status = 'MISSING' THEN 1 END) AS missing, count(CASE WHEN status = 'MISMATCH' THEN 1 END) AS mismatch,
        count(CASE WHEN status <> 'OK' THEN 1 END) = 0 AS passed FROM c""",
-    # regular files compare by object digest, links (every third) by size and digest
+    # regular files compare by object digest, links (labelled documents) by size and digest; what is in French was not published
     "published_verify": lambda d: f"""WITH {manifest(d)},
-published AS (SELECT relpath, CASE WHEN doc_id % 3 = 0 THEN '120000' ELSE '100644' END AS mode, bytes AS pub_bytes, sha256 AS pub_sha FROM expected WHERE doc_id % 29 <> 0)
+published AS (SELECT relpath, CASE WHEN l.doc_id IS NOT NULL THEN '120000' ELSE '100644' END AS mode, bytes AS pub_bytes, sha256 AS pub_sha
+              FROM expected e LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l ON l.doc_id = e.doc_id WHERE e.lang <> 'fr')
 SELECT l.relpath, p.mode, CASE WHEN p.relpath IS NULL THEN 'UNPUBLISHED' WHEN p.mode = '120000' AND l.bytes = p.pub_bytes AND l.sha256 = p.pub_sha THEN 'LINK_OK'
        WHEN p.mode = '100644' AND l.sha256 = p.pub_sha THEN 'FILE_OK' ELSE 'DIFFERENT' END AS verdict
 FROM local l LEFT JOIN published p ON p.relpath = l.relpath""",
     "cross_release_same": lambda d: f"""WITH {manifest(d)}
 SELECT e.relpath, CASE WHEN l.relpath IS NULL THEN NULL ELSE e.sha256 = l.sha256 END AS same_in_copy FROM expected e LEFT JOIN local l ON e.relpath = l.relpath""",
     "roster_reconcile": lambda d: """SELECT CASE WHEN l.doc_id IS NULL THEN 'missing' WHEN d.doc_id IS NULL THEN 'extra' ELSE 'both' END AS side, count(*) AS n, min(coalesce(d.doc_id, l.doc_id)) AS first_id
-FROM (SELECT doc_id FROM documents WHERE doc_id % 7 <> 0) d FULL OUTER JOIN labels l ON d.doc_id = l.doc_id GROUP BY 1""",
+FROM documents d FULL OUTER JOIN labels l ON d.doc_id = l.doc_id GROUP BY 1""",
     "roster_equal": lambda d: """SELECT r_name, (SELECT count(*) FROM nation n WHERE n.n_regionkey = r_regionkey AND n.n_nationkey NOT IN (SELECT c_nationkey FROM customer WHERE c_nationkey IS NOT NULL)) = 0 AS all_present FROM region""" if d.name == "duck" else """SELECT r_name, count(CASE WHEN c.k IS NULL THEN 1 END) = 0 AS all_present FROM region JOIN nation ON n_regionkey = r_regionkey LEFT JOIN (SELECT DISTINCT c_nationkey AS k FROM customer) c ON c.k = n_nationkey GROUP BY r_name""",
     "eligibility": lambda d: """WITH s AS (SELECT doc_id FROM documents)
 SELECT s.doc_id, l.doc_id IS NOT NULL AS labelled, b.doc_id IS NOT NULL AS good, t.doc_id IS NOT NULL AS clean, l.doc_id IS NOT NULL AND b.doc_id IS NOT NULL AND t.doc_id IS NOT NULL AS eligible
@@ -68,8 +65,7 @@ z AS (SELECT CAST(floor(scan / 3.0) AS BIGINT) AS subject, p, max(CASE WHEN scan
              max(CASE WHEN scan % 3 = 2 AND level = 0 THEN 1 ELSE 0 END) AS c FROM grid GROUP BY 1, p)
 SELECT subject, round(sum(a * b) / nullif(CAST(sum(greatest(a, b)) AS DOUBLE), 0), 6) AS j_ab, round(sum(a * c) / nullif(CAST(sum(greatest(a, c)) AS DOUBLE), 0), 6) AS j_ac,
        round(sum(a * b * c) / nullif(CAST(sum(greatest(a, b, c)) AS DOUBLE), 0), 6) AS all_over_any FROM z GROUP BY subject""",
-    "batch_bucket": lambda d: """SELECT CAST(floor((row_number() OVER (ORDER BY page_id) - 1) / 60.0) AS BIGINT) AS batch, page_id, url FROM pages""",
-    "subject_union": lambda d: """SELECT doc_id FROM documents WHERE doc_id % 3 = 0 UNION SELECT doc_id FROM labels WHERE quality = 1 UNION SELECT doc_id FROM labels WHERE toxic = 1""",
+    "subject_union": lambda d: """SELECT doc_id AS id FROM documents UNION SELECT doc_id AS id FROM labels UNION SELECT conv_id AS id FROM conversations""",
     "union_literal": lambda d: """SELECT DISTINCT source FROM documents UNION SELECT 'src-extra' AS source""",
     "except_both": lambda d: """SELECT 'missing' AS side, doc_id FROM (SELECT doc_id FROM documents WHERE lang = 'en' EXCEPT SELECT doc_id FROM labels) a
 UNION ALL SELECT 'extra' AS side, doc_id FROM (SELECT doc_id FROM labels EXCEPT SELECT doc_id FROM documents WHERE lang = 'en') b""",

@@ -12,11 +12,6 @@ SELECT subject, count(*) AS n, {d.sha256(d.joined('line', 'line', '/'))} AS sha2
     "panel_manifest": lambda d: f"""WITH {CELLS}, k AS (SELECT DISTINCT stratum, CAST(subject AS VARCHAR(10)) AS subject FROM cells)
 SELECT c.stratum, c.cells, c.voxels, m.roster, m.roster_sha256 FROM (SELECT stratum, count(*) AS cells, CAST(sum(n_voxels) AS BIGINT) AS voxels FROM cells GROUP BY stratum) c
 JOIN (SELECT stratum, {d.joined('subject', 'subject', ',')} AS roster, {d.sha256(d.joined('subject', 'subject', ','))} AS roster_sha256 FROM k GROUP BY stratum) m ON m.stratum = c.stratum""",
-    "camel_to_snake": lambda d: (
-        """SELECT event_id, lower(regexp_replace(concat(initcap(event_type), 'Type'), '(?<!^)(?=[A-Z])', '_')) AS snake FROM events"""
-        if d.name == "spark"
-        else """SELECT event_id, concat(lower(event_type), '_type') AS snake FROM events"""
-    ),
     "image_geometry": lambda d: f"""WITH {d.voxels}{GRID}
 SELECT scan, max(i) + 1 AS nx, max(j) + 1 AS ny, max(k) + 1 AS nz, count(*) = (max(i) + 1) * (max(j) + 1) * (max(k) + 1) AS whole, round(2e0 * (max(i) + min(i)) / 2 - 3, 6) AS centre_x, min(value) < 0 AS has_negative FROM grid GROUP BY scan""",
     "transform_compare": lambda d: f"""WITH {d.voxels}{GRID}, t AS (SELECT * FROM (VALUES ('header', 0e0), ('transform', 10e0), ('inverse', -10e0)) AS v(name, degrees_)),

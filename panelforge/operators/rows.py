@@ -5,26 +5,11 @@ from __future__ import annotations
 from panelforge.sources.adapters import CELLS, GRID, LINES, LONG, PANEL, manifest
 
 BOOK = {
-    "scan_roster": lambda d: """SELECT DISTINCT source AS participant_id FROM documents""",
-    "scan_manifest_comments": lambda d: """SELECT doc_id, text FROM documents WHERE NOT starts_with(text, '#')""" if d.name == "duck" else """SELECT doc_id, text FROM documents WHERE NOT startswith(text, '#')""",
-    "tsv_round_trip": lambda d: """SELECT l_orderkey, l_linenumber, l_partkey, CAST(CAST(l_extendedprice AS VARCHAR(40)) AS DOUBLE) = l_extendedprice AS exact FROM lineitem""",
-    "source_gate": lambda d: f"""WITH {manifest(d)} SELECT l.relpath, l.bytes FROM local l WHERE EXISTS (SELECT 1 FROM expected e WHERE e.relpath = l.relpath AND e.sha256 = l.sha256) AND l.relpath NOT LIKE '/%' AND l.relpath NOT LIKE '%..%'""",
-    "source_lookup": lambda d: f"""WITH {manifest(d)} SELECT n.doc_id, e.relpath, e.sha256 FROM (SELECT doc_id, source FROM documents WHERE doc_id % 5 = 0) n JOIN expected e ON e.relpath = concat(n.source, '/', CAST(n.doc_id AS VARCHAR(20)))""",
+    "source_lookup": lambda d: f"""WITH {manifest(d)} SELECT n.doc_id, e.relpath, e.sha256 FROM documents n JOIN expected e ON e.relpath = concat(n.source, '/', CAST(n.doc_id AS VARCHAR(20)))""",
     "unique_match": lambda d: """SELECT conv_id, count(CASE WHEN role = 'system' THEN 1 END) AS matches, count(CASE WHEN role = 'system' THEN 1 END) = 1 AS is_unique FROM conversations GROUP BY conv_id""",
     "json_units": lambda d: f"""SELECT event_id, {d.json_long('props', 'k')} AS k, {d.json_long('props', 'k')} >= 0 AS ok FROM events""",
     "regex_extract_first": lambda d: """SELECT page_id, nullif(regexp_extract(html, 'href="([^"]*)"', 1), '') AS first_link FROM pages""",
-    "inventory_by_type": lambda d: """SELECT source, lang, count(*) AS files, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents GROUP BY source, lang""",
     "manifest_scope": lambda d: """SELECT 0 AS ord, source, doc_id FROM documents WHERE lang = 'en' UNION ALL SELECT 1 AS ord, source, doc_id FROM documents WHERE lang = 'de' AND source LIKE 'src1%'""",
-    "label_grid_cache": lambda d: f"""WITH {d.voxels}{GRID} SELECT label, count(DISTINCT p) AS positions, count(DISTINCT scan) AS scans FROM grid GROUP BY label""",
-    # header, then one word count a line: line number, words, and whether the line is a key: value header
-    "stats_parse": lambda d: (
-        """SELECT doc_id, CAST(pos AS BIGINT) AS line_no, CAST(length(line) AS BIGINT) AS n, regexp_extract(line, '^([A-Za-z]+):', 1) AS header FROM documents LATERAL VIEW posexplode(split(text, chr(10))) x AS pos, line"""
-        if d.name == "spark"
-        else """SELECT doc_id, CAST(i - 1 AS BIGINT) AS line_no, CAST(length(lines[i]) AS BIGINT) AS n, regexp_extract(lines[i], '^([A-Za-z]+):', 1) AS header FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents) t, range(1, 100000) r(i) WHERE i <= len(lines)"""
-    ),
-    "artifact_reload": lambda d: f"""WITH {LONG} SELECT count(*) AS n_rows, count(CASE WHEN ln_area = ln(area) THEN 1 END) AS ln_rederived, count(CASE WHEN cond_mean = (cond_a + cond_n + cond_r) / 3 THEN 1 END) AS mean_rederived FROM long_table""",
-    "json_portable": lambda d: """SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_discount = 0 THEN '"inf"' WHEN l_tax = 0 THEN 'null' ELSE 'number' END AS portable FROM lineitem""",
-    "source_manifest": lambda d: f"""WITH {manifest(d)} SELECT relpath, bytes, sha256 FROM local""",
     "ln_feature": lambda d: """SELECT o_orderkey, round(CASE WHEN o_totalprice > 0 AND NOT isnan(o_totalprice) THEN ln(o_totalprice) END, 6) AS ln_price FROM orders""",
     "finite_guard": lambda d: f"""WITH {LINES} SELECT count(*) AS n, count(CASE WHEN isnan(value) OR abs(value) > 1e308 OR value IS NULL THEN 1 END) AS not_finite FROM lines""",
     "panel_shape": lambda d: f"""WITH {PANEL} SELECT s, count(*) AS cells, count(DISTINCT r) AS rois, count(*) = 25 AS whole FROM panel GROUP BY s""",
@@ -45,7 +30,6 @@ SELECT subject, 'zero_fraction' AS check_, round(worst, 6) AS value, worst < 0.2
 n AS (SELECT scan, i, j, lab, lag(lab) OVER (PARTITION BY scan, j ORDER BY i) AS a, lead(lab) OVER (PARTITION BY scan, j ORDER BY i) AS b, lag(lab) OVER (PARTITION BY scan, i ORDER BY j) AS c, lead(lab) OVER (PARTITION BY scan, i ORDER BY j) AS e FROM fg)
 SELECT scan, i, j, lab FROM n WHERE lab > 0 AND (coalesce(a <> lab, false) OR coalesce(b <> lab, false) OR coalesce(c <> lab, false) OR coalesce(e <> lab, false))""",
     "canonical_order": lambda d: f"""WITH {CELLS} SELECT CAST(row_number() OVER (ORDER BY subject, roi, condition) - 1 AS BIGINT) AS ord, subject, roi, condition FROM cells""",
-    "sources_sorted": lambda d: f"""WITH {manifest(d)} SELECT CAST(row_number() OVER (ORDER BY relpath) AS BIGINT) AS ord, relpath FROM local""",
     "error_examples": lambda d: f"""WITH {manifest(d)}, bad AS (SELECT e.source, e.relpath, row_number() OVER (PARTITION BY e.source ORDER BY e.relpath) AS rn FROM expected e LEFT JOIN local l ON l.relpath = e.relpath WHERE l.relpath IS NULL)
 SELECT source, count(*) AS n, {d.joined("CASE WHEN rn <= 5 THEN relpath END", 'relpath', ', ')} AS examples FROM bad GROUP BY source""",
     "top_types": lambda d: """SELECT event_type, count(*) AS n, min(event_id) AS first_seen, CAST(row_number() OVER (ORDER BY count(*) DESC, min(event_id)) AS BIGINT) AS place FROM events GROUP BY event_type""",

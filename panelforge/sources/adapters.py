@@ -78,39 +78,53 @@ class DuckDialect(SparkDialect):
     voxels = "voxels AS (SELECT vec_id AS scan, label AS grp, CAST(i - 1 AS INTEGER) AS p, CAST(embedding[i] AS DOUBLE) AS value FROM embeddings, range(1, 65) t(i))"
 
 
+class Chain(tuple):
+    """Relations (name, body), each of which may name those before it; as text, the inside of a WITH list."""
+
+    def __add__(self, more) -> Chain:
+        return Chain((*self, *more))
+
+    def changed(self, *swaps: tuple[str, str]) -> Chain:
+        """The chain with pieces of text replaced."""
+        out = []
+        for name, body in self:
+            for old, new in swaps:
+                name, body = name.replace(old, new) if old == name else name, body.replace(old, new)
+            out.append((name, body))
+        return Chain(out)
+
+    def __str__(self) -> str:
+        return ",\n".join(f"{name} AS ({body})" for name, body in self)
+
+
 # Order panel: subject = nation, stratum = region, roi = brand, condition = return flag, voxel = order line.
-LINES = """lines AS (
-  SELECT c_nationkey AS subject, n_regionkey AS stratum, p_brand AS roi, l_returnflag AS condition,
+LINES = Chain([
+    ("lines", """  SELECT c_nationkey AS subject, n_regionkey AS stratum, p_brand AS roi, l_returnflag AS condition,
          l_extendedprice * l_discount / 1000 AS value, l_quantity AS quantity, l_extendedprice AS price
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
-       JOIN part ON l_partkey = p_partkey JOIN nation ON c_nationkey = n_nationkey)"""
+       JOIN part ON l_partkey = p_partkey JOIN nation ON c_nationkey = n_nationkey"""),
+])
 
-CELLS = (
-    LINES
-    + """,
-cells AS (
-  SELECT subject, stratum, condition, roi, avg(value) AS roi_mean, count(*) AS n_voxels,
+CELLS = LINES + [
+    ("cells", """  SELECT subject, stratum, condition, roi, avg(value) AS roi_mean, count(*) AS n_voxels,
          count(CASE WHEN value = 0 THEN 1 END) AS n_zero,
          count(CASE WHEN value = 0 THEN 1 END) / CAST(count(*) AS DOUBLE) AS zero_fraction
-  FROM lines GROUP BY subject, stratum, condition, roi),
-mri AS (SELECT subject, stratum, roi, avg(quantity) AS thickness, sum(price) AS area FROM lines GROUP BY subject, stratum, roi)"""
-)
-
-LONG = (
-    CELLS
-    + """,
-wide AS (
-  SELECT subject, roi, max(CASE WHEN condition = 'A' THEN roi_mean END) AS cond_a,
+  FROM lines GROUP BY subject, stratum, condition, roi"""),
+    ("mri", """SELECT subject, stratum, roi, avg(quantity) AS thickness, sum(price) AS area FROM lines GROUP BY subject, stratum, roi"""),
+]
+
+LONG = CELLS + [
+    ("wide", """  SELECT subject, roi, max(CASE WHEN condition = 'A' THEN roi_mean END) AS cond_a,
          max(CASE WHEN condition = 'N' THEN roi_mean END) AS cond_n, max(CASE WHEN condition = 'R' THEN roi_mean END) AS cond_r
-  FROM cells GROUP BY subject, roi),
-long_table AS (
-  SELECT m.subject, m.stratum, m.roi, m.thickness, m.area, ln(m.area) AS ln_area, w.cond_a, w.cond_n, w.cond_r,
+  FROM cells GROUP BY subject, roi"""),
+    ("long_table", """  SELECT m.subject, m.stratum, m.roi, m.thickness, m.area, ln(m.area) AS ln_area, w.cond_a, w.cond_n, w.cond_r,
          (w.cond_a + w.cond_n + w.cond_r) / 3 AS cond_mean
-  FROM mri m JOIN wide w ON m.subject = w.subject AND m.roi = w.roi)"""
-)
+  FROM mri m JOIN wide w ON m.subject = w.subject AND m.roi = w.roi"""),
+]
 
-PANEL = LONG + """,
-panel AS (SELECT subject AS s, stratum, roi AS r, thickness AS x1, ln_area AS x2, cond_mean AS y FROM long_table)"""
+PANEL = LONG + [
+    ("panel", """SELECT subject AS s, stratum, roi AS r, thickness AS x1, ln_area AS x2, cond_mean AS y FROM long_table"""),
+]
 
 # 4 x 4 x 4 grid of each vector: p = 16 i + 4 j + k; label = octant; mask = positive values.
 GRID = """,
@@ -120,18 +134,18 @@ grid AS (
          1001 + CAST(floor(p / 32.0) AS INTEGER) * 4 + CAST(floor((p % 16) / 8.0) AS INTEGER) * 2 + CAST(floor((p % 4) / 2.0) AS INTEGER) AS label
   FROM voxels)"""
 
-# Manifest of texts; the expected side is the same with every 17th digest changed, every 23rd file missing locally.
-MANIFEST_OF = """expected AS (
-  SELECT concat(source, '/', CAST(doc_id AS {text})) AS relpath, CAST(length(text) AS BIGINT) AS bytes,
-         CASE WHEN doc_id % 17 = 0 THEN {other} ELSE {sha} END AS sha256, source, lang, doc_id FROM documents),
-local AS (
-  SELECT concat(source, '/', CAST(doc_id AS {text})) AS relpath, CAST(length(text) AS BIGINT) AS bytes, {sha} AS sha256, doc_id
-  FROM documents WHERE doc_id % 23 <> 0)"""
+# Local files: every document. Expected ones: what a release published, texts with single exclamation marks, and the
+# benchmark's items, which are not among the documents.
+MANIFEST_OF = """local AS (
+  SELECT concat(source, '/', CAST(doc_id AS {text})) AS relpath, CAST(length(text) AS BIGINT) AS bytes, {sha} AS sha256, doc_id, source, lang FROM documents),
+expected AS (
+  SELECT concat(source, '/', CAST(doc_id AS {text})) AS relpath, CAST(length(replace(text, '!!', '!')) AS BIGINT) AS bytes, {release} AS sha256, source, lang, doc_id FROM documents
+  UNION ALL SELECT concat('benchmark/', CAST(item_id AS {text})) AS relpath, CAST(length(text) AS BIGINT) AS bytes, {sha} AS sha256, 'benchmark' AS source, 'en' AS lang, NULL AS doc_id FROM benchmark)"""
 
 
 def manifest(d: SparkDialect) -> str:
     kind = "STRING" if d.name == "spark" else "VARCHAR"
-    return MANIFEST_OF.format(text=kind, sha=d.sha256("text"), other=d.sha256("concat(text, '!')"))
+    return MANIFEST_OF.format(text=kind, sha=d.sha256("text"), release=d.sha256("replace(text, '!!', '!')"))
 
 
 def register(spark: SparkSession, sf_dir: str, sql: str) -> None:

@@ -1,29 +1,38 @@
-"""Event streams: day windows by event type, with a watermark, run to the end of what has arrived."""
+"""Event streams: day windows by event type, with a watermark that bounds the state and leaves late events out."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelforge.functions.shared import scratch_dir
+from panelforge.sources.sinks import new_folder
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
-
 def day_windows(events: DataFrame, late: str = "2 days") -> DataFrame:
-    """Counts and sums by day and event type; later events than the watermark allows are left out."""
+    """Counts and sums by day and event type; events of windows that the watermark has closed are left out."""
     timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
-    return timed.groupBy(F.window("ts", "1 day"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    return timed.groupBy(F.window("ts", "1 day"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+
+
+def latest_windows(spark: SparkSession, stream: DataFrame, late: str = "2 days") -> DataFrame:
+    """Run a stream of events to the end of what has arrived: the last state of every window.
+
+    Each micro-batch writes only the windows that it changed, under its own number (a repeated batch replaces
+    itself); of a window's rows the one of the latest batch counts. State goes as the watermark passes.
+    """
+    out = new_folder(spark, "stream")
+
+    def keep(changed: DataFrame, batch: int) -> None:
+        changed.withColumn("batch", F.lit(batch)).write.mode("overwrite").parquet(f"{out}/windows/part={batch}")
+
+    done = day_windows(stream, late).writeStream.outputMode("update").option("checkpointLocation", f"{out}/state").trigger(availableNow=True)
+    done.foreachBatch(keep).start().awaitTermination()
+    rows = spark.read.parquet(f"{out}/windows").groupBy("window", "event_type").agg(F.max_by(F.struct("n", "total"), "batch").alias("last"))
+    return rows.select(F.col("window.start").cast("date").alias("day_"), "event_type", "last.n", F.round("last.total", 4).alias("total"))
 
 
 def stream_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events table as a stream: each micro-batch rewrites the windows it changed; the last state is returned."""
-    out = f"{scratch_dir(spark)}/stream-{uuid.uuid4().hex}"
-    stream = spark.readStream.schema(EVENTS).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    done = day_windows(stream).writeStream.outputMode("complete").option("checkpointLocation", f"{out}/state").trigger(availableNow=True)
-    done.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{out}/windows")).start().awaitTermination()
-    rows = spark.read.parquet(f"{out}/windows")
-    return rows.select(F.col("window.start").cast("date").alias("day_"), "event_type", "n", "total")
+    """The events table as a stream."""
+    return latest_windows(spark, spark.readStream.schema(EVENTS).option("pathGlobFilter", "events.parquet").parquet(sf_dir))

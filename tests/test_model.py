@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelforge.operators import model
+from panelforge.sources.adapters import Chain
 
 LAMBDAS = [0, 0.01, 0.1, 1, 10, 100, -1]
 
@@ -49,8 +50,10 @@ def test_nested_loso_equals_direct_fits(spark, kind):
     y = 0.7 * x[:, :, 0] - 0.3 * x[:, :, 1] + 0.2 * r.normal(size=(n, rois)) if kind != "none" else np.tile(np.arange(rois, dtype=float), (n, 1))
     rows = [(s, q, float(x[s, q, 0]), float(x[s, q, 1]), float(y[s, q])) for s in range(n) for q in range(rois)]
     spark.createDataFrame(rows, "s int, r int, x1 double, x2 double, y double").createOrReplaceTempView("given_panel")
-    sql = "WITH panel AS (SELECT * FROM given_panel)" + model.STATE + model.FITS + model.LOSS + model.SELECTED + " SELECT * FROM folds"
-    got = {f.subject: (f.selected_lambda, f.baseline_mse, f.ridge_mse) for f in spark.sql(sql).orderBy("subject").collect()}
+    given = Chain([("panel", "SELECT * FROM given_panel")]) + model.STATE + model.FITS + model.LOSS + model.SELECTED
+    found = model.staged(spark, "", model.Staged(given, " SELECT * FROM folds"))
+    assert not [t.name for t in spark.catalog.listTables() if t.isTemporary and t.name.startswith(("panel", "means"))]
+    got = {f.subject: (f.selected_lambda, f.baseline_mse, f.ridge_mse) for f in found.collect()}
     for s, want in enumerate(direct(x, y)):
         assert got[s][0] == want[0]
         assert got[s][1] == pytest.approx(want[1], rel=1e-9, abs=1e-15) and got[s][2] == pytest.approx(want[2], rel=1e-9, abs=1e-15)
@@ -58,11 +61,6 @@ def test_nested_loso_equals_direct_fits(spark, kind):
         assert all(v[0] == -1 and v[1] == v[2] for v in got.values())
 
 
-def test_ctes_are_split_at_their_own_brackets():
-    ctes, final = model.split_ctes("WITH a AS (SELECT (1) AS x), b AS (SELECT * FROM a) SELECT x FROM b")
-    assert [n for n, _ in ctes] == ["a", "b"] and final == "SELECT x FROM b"
-
-
 def test_roi_stats_fixture(spark):
     from panelforge.jobs.flagship import cell_statistics
 
@@ -97,12 +95,34 @@ def test_exact_intervals():
     assert upper_bound(19, 500, 0.975) == pytest.approx(0.0587072905, abs=1e-9) and upper_bound(22, 500, 0.975) == pytest.approx(0.0658610003, abs=1e-9)
 
 
+def test_frozen_assignments():
+    """The published scheme's strata, seed and first assignment; all of its 9,999 assignments differ."""
+    from panelforge.functions.nested_loso import assignments
+
+    strata = [[0, 3, 5], [1, 2, 6, 7, 9], [4, 8], [10, 11, 12, 13, 14, 15, 16, 17]]
+    rows = assignments(strata, 9999, 20260929)
+    assert rows[0].tolist() == [0, 7, 2, 5, 8, 3, 9, 6, 4, 1, 16, 14, 15, 17, 10, 12, 13, 11]
+    assert rows.shape == (9999, 18) and (np.sort(rows, axis=1) == np.arange(18)).all() and len({r.tobytes() for r in rows}) == 9999
+
+
 def test_seeded_test_and_study(spark):
     from panelforge.jobs import inference
 
     path = "/root/testdata/sf0.01"
-    got = inference.permutation_seeded(spark, path).first()
-    assert got.b == inference.REPLICATES and got.p_value == (1 + got.k) / (got.b + 1) and got.low <= got.k / got.b <= got.high and got.t_obs > 0
-    records = inference.study(spark, path, 3, 19).collect()
-    assert len(records) == 15 and all(0.05 <= r.p_value <= 1 for r in records)
+    got = inference.permutation_seeded(spark, path, 99).first()
+    assert got.b == 99 and got.p_value == (1 + got.k) / (got.b + 1) and got.low <= got.k / got.b <= got.high and got.t_obs > 0
+    records = inference.study(spark, path, "quick").collect()
+    assert len(records) == 10 and all(0.05 <= r.p_value <= 1 for r in records) and {r.b for r in records} == {19}
     assert np.mean([r.t_obs for r in records if r.scenario == "strong"]) > np.mean([r.t_obs for r in records if r.scenario == "null"])
+    check = {r.scenario: r for r in inference.calibration_check(spark, path, "quick").collect()}
+    assert len(check) == 5 and all(r.attainable == 0.05 and r.n == 2 and not r.within for r in check.values())
+    again = {(r.scenario, r.simulation): r.t_obs for r in inference.simulated(spark, inference._cohort(spark, path), 25, "quick").collect()}
+    assert all(again[r.scenario, r.simulation] == r.t_obs for r in records)
+
+
+def test_study_by_month(spark):
+    from panelforge.jobs import inference
+
+    rows = inference.study_by_month(spark, "/root/testdata/sf0.01", 19).collect()
+    assert len({r.month for r in rows}) == len(rows) > 12
+    assert all(r.t_obs is None or (0 <= r.k <= 19 and r.p_value == (1 + r.k) / 20) for r in rows)
