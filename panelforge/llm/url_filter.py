@@ -81,8 +81,7 @@ def judge_urls(df: DataFrame, url: str, listed: DataFrame, default: str = "allow
 
 def contract_list(pages: DataFrame) -> DataFrame:
     """The contract's rules as prefix entries, and as page entries the addresses that only ever gave an empty page."""
-    spark = pages.sparkSession
-    rules = spark.createDataFrame([("prefix", *r) for r in RULES], "kind string, host string, path string, verdict string")
+    rules = pages.sparkSession.range(1).select(F.inline(F.array(*[F.struct(*[F.lit(x).alias(c) for c, x in zip(("kind", "host", "path", "verdict"), ("prefix", *r), strict=True)]) for r in RULES])))
     host, path = address(F.col("url"))
     dead = pages.select(host.alias("host"), path.alias("path"), F.coalesce(F.length(F.trim("html")), F.lit(0)).alias("n")).where("host <> ''")
     dead = dead.groupBy("host", "path").agg(F.max("n").alias("n")).where("n = 0")

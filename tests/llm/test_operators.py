@@ -542,6 +542,119 @@ def test_trie_matches_the_formula_and_sums_to_one(spark, none, least, shard):
     assert score(df, train(none)).where("score = 0").count() == len(texts)
 
 
+# ---- all queries on awkward tables
+
+
+@pytest.fixture(scope="module")
+def awkward(spark, rows, tmp_path_factory):
+    """Nulls, empty texts, repeated rows, and extra columns whose names the operators use themselves; and the same without rows."""
+    from pyspark.sql import functions as F
+
+    full, empty = (tmp_path_factory.mktemp(n) for n in ("full", "empty"))
+    clash = [F.lit(1).alias(c) for c in ("n", "key", "f0", "node", "size", "target", "copies", "k1", "k2", "comp", "p_doc", "host", "path", "bucket", "media", "rank", "verdict", "hash", "class")]
+    vectors = [(i, [float(i % 7), 1.0, float(-i)], 1) for i in range(30)] + [(31, None, 1), (None, [1.0, 2.0, 3.0], 0), (20, [6.0, 1.0, -20.0], 1), (33, [0.0, 0.0, 0.0], 0), (34, [1.0], 0)]
+    tables = {
+        "documents": spark.createDataFrame(rows, DOCS),
+        "labels": spark.createDataFrame([(1, 1, 0), (2, 1, 1), (3, 0, 1), (None, 1, 1), (4, None, 0), (1, 1, 0)], "doc_id long, quality int, toxic int"),
+        "embeddings": spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int"),
+        "pages": spark.createDataFrame([(1, "http://a.net/x", "<p>"), (2, None, None), (None, "http://b.org/fr/", ""), (1, "http://a.net/x", "<p>"), (5, "no url", "x")], "page_id long, url string, html string"),
+    }
+    for name, df in tables.items():
+        wide = df.select("*", *[c for c in clash if c._jc.toString().split(" AS ")[-1] not in df.columns])
+        wide.write.parquet(f"{full}/{name}.parquet")
+        wide.limit(0).write.parquet(f"{empty}/{name}.parquet")
+    return str(full), str(empty)
+
+
+@pytest.mark.parametrize("name", ["op1_mix_sources", "op2_quality", "op3_media_tiles", "op4_suffix_dedup", "op5_toxicity", "op6_ann", "op7_url_filter", "op8_packing", "op9_simhash", "op10_ngram_trie"])
+def test_queries_on_awkward_tables(spark, awkward, rows, name):
+    from panelforge.llm.registry import queries
+
+    full, empty = (queries()[name](spark, path) for path in awkward)
+    got = full.collect()
+    assert empty.columns == full.columns and empty.count() == 0
+    if name == "op7_url_filter":
+        assert Counter(r.page_id for r in got) == {1: 2, 2: 1, None: 1, 5: 1}
+    elif name == "op6_ann":
+        assert Counter(r.query_id for r in got) == {0: 20, 20: 20} and all(r.vec_id not in (None, r.query_id, 31, 33, 34) for r in got)
+    elif name != "op8_packing":
+        assert Counter(r.doc_id for r in got) == Counter(r[0] for r in rows)
+
+
+def test_long_texts_are_cut_into_pieces_that_overlap(monkeypatch):
+    """Segments of a text in pieces cover the same starts, with the same grams, as those of the whole."""
+    import pyarrow as pa
+
+    from panelforge.llm import suffix_dedup
+
+    r = np.random.default_rng(11)
+    text = r.integers(97, 110, 30_000).astype(np.uint8).tobytes().decode()
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([2]), pa.array([text])], names=["k1", "k2", "text"])
+
+    def covered():
+        out = {}
+        for b in suffix_dedup._segment_rows(400, 64)([batch]):
+            for g, starts, n, before in zip(b.column(0).to_pylist(), b.column(5).to_pylist(), b.column(6).to_pylist(), b.column(7).to_pylist(), strict=True):
+                for a in starts:
+                    for i in range(n):
+                        assert out.setdefault(a + i, (g, a + before)) == (g, a + before)
+        return out
+
+    whole = covered()
+    monkeypatch.setattr(suffix_dedup, "PIECE", 4_096)
+    monkeypatch.setattr(suffix_dedup, "utf8_chunks", lambda texts: [(0, [t]) for t in texts])
+    assert covered() == whole and len(whole) == 30_000 - 399
+
+
+def test_posteriors_by_hand(spark):
+    """Spread of sites less their sampling noise; a document doesn't count in its own sites."""
+    from panelforge.llm.quality import judge_evidence, site_posteriors
+
+    r = np.random.default_rng(12)
+    rows_ = [(h, p, float(np.clip(r.normal(0.3 + 0.1 * h + 0.05 * p, 0.1), 0.01, 0.99))) for h in range(5) for p in range(3) for _ in range(int(r.integers(1, 9)))]
+    got = {(x.host, x.path): x for x in site_posteriors(spark.createDataFrame(rows_, "host int, path int, p_doc double")).collect()}
+    p = np.array([x[2] for x in rows_])
+    rate, total = p.mean(), len(p)
+    by = lambda f: {k: np.array([x[2] for x in rows_ if f(x) == k]) for k in {f(x) for x in rows_}}
+    paths, hosts = by(lambda x: x[:2]), by(lambda x: x[0])
+    within = sum(((v - v.mean()) ** 2).sum() for v in paths.values()) / (total - len(paths))
+    spread = max(0, (sum(v.size * (v.mean() - rate) ** 2 for v in hosts.values()) - (len(hosts) - 1) * within) / (total - sum(v.size**2 for v in hosts.values()) / total))
+    strength = lambda m, s: np.clip(m * (1 - m) / s - 1, 2, 1000) if s > 0 else 1000.0
+    prior = strength(rate, spread)
+    in_host = {k: (v.sum() + prior * rate) / (v.size + prior) for k, v in hosts.items()}
+    q = sum(v.size * (v.mean() - hosts[k[0]].mean()) ** 2 for k, v in paths.items()) - (len(paths) - len(hosts)) * within
+    spread = max(0, q / (total - sum(v.size**2 / hosts[k[0]].size for k, v in paths.items())))
+    for k, v in paths.items():
+        own = strength(in_host[k[0]], spread)
+        assert got[k].host_posterior == pytest.approx(in_host[k[0]]) and got[k].path_posterior == pytest.approx((v.sum() + own * in_host[k[0]]) / (v.size + own))
+    alone = judge_evidence(spark.createDataFrame([("h", "p", 0.9)], "host string, path string, p_doc double"), "host", "path").first()
+    assert alone.p_good == pytest.approx(0.9)
+
+
+def test_the_chain_sees_earlier_categories():
+    """The last category holds where either of the earlier ones does, in texts that share no word with each other."""
+    from panelforge.llm.labelled import folds_of
+    from panelforge.llm.toxicity import Chain, word_sets
+
+    r = np.random.default_rng(13)
+    y, texts = np.zeros((600, 3)), []
+    for i in range(600):
+        w = ["plain%s" % chr(97 + k) for k in r.integers(0, 20, 12)]
+        if i % 6 == 0:
+            w.append("vile")
+            y[i, [0, 2]] = 1
+        elif i % 6 == 1:
+            w.append("foul")
+            y[i, [1, 2]] = 1
+        texts.append(" ".join(w).encode())
+    text, hashes = word_sets(texts)
+    chain = Chain.fit(text, hashes, y, folds_of(np.arange(600), 3))
+    p = chain.predict([b"a vile thing", b"a foul thing", b"a plain thing", b""])
+    assert (p[:2, 2] > 0.5).all() and (p[2:, 2] < 0.5).all() and p[0, 0] > 0.5 > p[1, 0] and p[1, 1] > 0.5 > p[0, 1]
+    words, weights = chain.models[2]
+    assert weights.size == words.size + 2 + 1 and (weights[words.size : words.size + 2] > 0).any()
+
+
 # ---- pipeline
 
 
