@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; a temporary folder only where none is set (tests)."""
+    """The folder that spark.checkpoint.dir names; a temporary folder only where none is set, in local mode (tests)."""
     context = spark.sparkContext
-    where = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir() or tempfile.mkdtemp(prefix="panelforge-")
+    where = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not where:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        where = tempfile.mkdtemp(prefix="panelforge-")
     if not context.getCheckpointDir():
         context.setCheckpointDir(where)
     return where.rstrip("/")
