@@ -32,6 +32,10 @@ CROWD = 16_384
 PARTS = 16
 #: Crowded grams (a long each) that may be broadcast.
 SMALL = 100_000
+#: Texts (16 bytes each) whose keys may be broadcast, so that only they are shuffled; beyond that all are.
+SMALL_TEXTS = 1 << 20
+#: A passage of some 50 words is longer: what op4_suffix_dedup also counts.
+PASSAGE = 200
 #: Items sorted together in one task; groups are never split over sorts.
 TOGETHER = 8_192
 #: Longest piece of a text that is hashed at once (positions must fit 24 bits).
@@ -324,8 +328,16 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("k1", F.xxhash64(text)).withColumn("k2", F.xxhash64(F.lit("second"), F.length(text), F.reverse(F.right(text, F.lit(64))), text))
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD) -> tuple[DataFrame, DataFrame]:
-    """(texts, spans) of docs (text): distinct texts (k1, k2, text), and (k1, k2, spans) of those with repeated bytes.
+def texts_of(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """(k1, k2, text): the distinct texts of docs whose keys (k1, k2) are asked for, or, where many are, all."""
+    rows = keyed(docs.select("text"))
+    if keys.count() <= SMALL_TEXTS:
+        rows = rows.join(F.broadcast(keys.select("k1", "k2")), ["k1", "k2"], "left_semi")
+    return rows.groupBy("k1", "k2").agg(F.first("text").alias("text"))
+
+
+def repeated_spans(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD) -> DataFrame:
+    """(k1, k2, spans) of the distinct texts of docs (text) that have repeated bytes.
 
     spans is an array of struct<s, e>: byte ranges covered by `length`-byte strings that start elsewhere too
     (same text included, overlaps count). Ranges may overlap; merge_spans joins them. crowd: segments of a group
@@ -350,26 +362,22 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD) ->
     crowded = many.count()
     if crowded <= SMALL:  # else the joins below shuffle by gram
         many = F.broadcast(many)
-    texts = keyed(docs.select("text")).groupBy("k1", "k2").agg(F.first("text").alias("text"))
 
-    def cut(rows: DataFrame, make, kinds: dict[str, pa.DataType], schema: str, of: DataFrame | None = None) -> DataFrame:
-        wanted = rows.groupBy("k1", "k2").agg(F.collect_list(F.struct("gram", "a", "n", "before")).alias("wanted"))
-        return (of or texts).join(wanted, ["k1", "k2"]).select("k1", "k2", "text", "wanted").mapInArrow(_rows_of(make, kinds), f"{schema}, k1 long, k2 long")
+    def cut(rows: DataFrame, make, kinds: dict[str, pa.DataType], schema: str) -> DataFrame:
+        wanted = stage(rows.groupBy("k1", "k2").agg(F.collect_list(F.struct("gram", "a", "n", "before")).alias("wanted")), "wanted")
+        return texts_of(docs, wanted).join(wanted, ["k1", "k2"]).select("k1", "k2", "text", "wanted").mapInArrow(_rows_of(make, kinds), f"{schema}, k1 long, k2 long")
 
     long_, int_ = pa.int64(), pa.int32()
     few, window = one.join(many, "gram", "left_anti").select("gram", "k1", "k2", "a", "n", "before"), None
     if crowded:
         kinds = {"part": long_, "gram": long_, "a": int_, "n": int_, "before": int_}
-        crowd_rows = one.join(many, "gram", "left_semi")
-        keys = checkpoint(crowd_rows.select("k1", "k2").distinct())
-        some = texts if keys.count() > SMALL else keyed(docs.select("text")).join(F.broadcast(keys), ["k1", "k2"]).groupBy("k1", "k2").agg(F.first("text").alias("text"))
-        parts = stage(cut(crowd_rows, _parts(length, gram), kinds, "part long, gram long, a int, n int, before int", some), "parts")
+        parts = stage(cut(one.join(many, "gram", "left_semi"), _parts(length, gram), kinds, "part long, gram long, a int, n int, before int"), "parts")
         met = stage(parts.groupBy("part").agg(F.count("*").alias("c")).where("c > 1"), "parts-met")
         parts = parts.join(met, "part")
         few = few.unionByName(parts.where(F.col("c") <= crowd).select(F.col("part").alias("gram"), "k1", "k2", "a", "n", "before"))
         full = stage(parts.where(F.col("c") > crowd).select("gram", "k1", "k2", "a", "n", "before").distinct(), "full-parts")
         if not full.isEmpty():
-            window = stage(cut(full, _windows(length), {"gram": long_, "a": int_, "data": pa.binary()}, "gram long, a int, data binary", some), "windows")
+            window = stage(cut(full, _windows(length), {"gram": long_, "a": int_, "data": pa.binary()}, "gram long, a int, data binary"), "windows")
     few = cut(few, _segment(length), {"gram": long_, "a": int_, "before": int_, "data": pa.binary()}, "gram long, a int, before int, data binary")
     found = few.select("gram", "k1", "k2", "a", "before", "data").repartition("gram").sortWithinPartitions("gram").mapInArrow(_resolve(length), "k1 long, k2 long, s int, e int")
     if window is not None:
@@ -377,7 +385,18 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD) ->
         found = found.unionByName(window.join(twice, ["gram", "data"], "left_semi").select("k1", "k2", F.col("a").alias("s"), (F.col("a") + length).alias("e")))
     found = found.select("k1", "k2", F.array(F.struct("s", "e")).alias("spans"))
     spans = pure.unionByName(copies).unionByName(found).groupBy("k1", "k2").agg(F.flatten(F.collect_set("spans")).alias("spans"))
-    return texts, spans
+    return stage(spans, "spans")
+
+
+def span_bytes(spans: DataFrame) -> DataFrame:
+    """(k1, k2, bytes): how many bytes the spans of a text cover together."""
+
+    def run(batches):
+        for b in batches:
+            total = [sum(e - s for s, e in merge_spans((x["s"], x["e"]) for x in spans.as_py())) for spans in b.column(2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(total, pa.int64())], names=["k1", "k2", "bytes"])
+
+    return spans.select("k1", "k2", "spans").mapInArrow(run, "k1 long, k2 long, bytes long")
 
 
 def _without(as_text: bool):
@@ -406,20 +425,24 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD, as
     those under `length` bytes, lose nothing. A text that occurs twice loses all its bytes if it has `length` of
     them. Other columns don't matter; an empty table gives an empty result.
     """
-    texts, spans = repeated_spans(docs, length, crowd)
-    rows = texts.join(spans, ["k1", "k2"]).select("k1", "k2", "text", "spans")
+    spans = repeated_spans(docs, length, crowd)
+    rows = texts_of(docs, spans).join(spans, ["k1", "k2"]).select("k1", "k2", "text", "spans")
     return rows.mapInArrow(_without(as_text), f"k1 long, k2 long, kept {'string' if as_text else 'binary'}, n_removed long, n_spans long")
 
 
 def op4_suffix_dedup(spark, sf_dir: str) -> DataFrame:
-    """Bytes of every document that repeat in strings of 400, and the digest of what is left."""
+    """Bytes of every document that repeat in strings of 400, and the digest of what is left.
+
+    n_passage_bytes, beyond the contract: bytes that repeat in strings of PASSAGE, which shorter shared passages show in.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     cut = remove_repeats(docs.select("text")).select("k1", "k2", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
     text = F.coalesce("text", F.lit(""))
     rows = keyed(docs).select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text.cast("binary"), 256).alias("own"), "k1", "k2")
-    out = rows.join(cut, ["k1", "k2"], "left")
-    zero = F.lit(0).cast("long")
-    return out.select("doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept_sha256", "own").alias("kept_sha256"))
+    passages = span_bytes(repeated_spans(docs.select("text"), PASSAGE)).withColumnRenamed("bytes", "n_passage_bytes")
+    out = rows.join(cut, ["k1", "k2"], "left").join(passages, ["k1", "k2"], "left")
+    count = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    return out.select("doc_id", "n_bytes", count("n_removed"), count("n_spans"), F.coalesce("kept_sha256", "own").alias("kept_sha256"), count("n_passage_bytes"))
 
 
 def dedup_documents(docs: DataFrame, length: int = LENGTH) -> DataFrame:

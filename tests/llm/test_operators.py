@@ -191,6 +191,16 @@ def test_op4_matches_brute_force(spark, rows, docs, crowd):
             assert got.get(key, (0, 0, hashlib.sha256(t).hexdigest())) == want
 
 
+def test_op4_counts_both_lengths(spark, rows, docs, tmp_path):
+    from panelforge.llm.suffix_dedup import op4_suffix_dedup
+
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    texts = [(r[1] or "").encode() for r in rows]
+    want = Counter((r[0], len(t), a, n, d, p) for r, t, (a, n, d), (p, _, _) in zip(rows, texts, brute_repeats(texts, 400), brute_repeats(texts, 200), strict=True))
+    got = op4_suffix_dedup(spark, str(tmp_path)).collect()
+    assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, r.n_passage_bytes) for r in got) == want
+
+
 @given(st.lists(st.text("ab", max_size=60), min_size=2, max_size=12), st.integers(8, 12))
 @settings(max_examples=40, deadline=None)
 def test_segments_and_sort_find_all_windows(texts, length):
