@@ -142,7 +142,7 @@ def forest(fps: np.ndarray, distance: int, blocks: int = 1 << 22):
 
 
 def _pairwise(fps: np.ndarray, distance: int, blocks: int = 1 << 22):
-    """Edges of all pairs within the distance, if there are few; else a forest. Most entries hold unrelated fingerprints: no search pays there."""
+    """Edges of all pairs within the distance, if there are fewer than fingerprints; else a forest. Most entries hold unrelated ones: no search pays there."""
     a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     step = max(1, blocks // max(1, len(fps)))
     for at in range(0, len(fps), step):
@@ -150,7 +150,7 @@ def _pairwise(fps: np.ndarray, distance: int, blocks: int = 1 << 22):
         keep = y > x
         a.append(x[keep] + at)
         b.append(y[keep] + at)
-        if sum(map(len, a)) > 4 * len(fps):
+        if sum(map(len, a)) > len(fps):
             return forest(fps, distance)
     return np.concatenate(a), np.concatenate(b)
 
@@ -168,6 +168,8 @@ def _entries(words: int, distance: int, limit: int):
 
     def resolve(key, fps):
         own = _candidate(fps)
+        order = np.lexsort((own, key))  # a large group's forests start from the same fingerprint in all entries that hold it
+        key, fps, own = key[order], fps[order], own[order]
         cut = np.concatenate(([0], np.flatnonzero(np.diff(key)) + 1, [key.size]))
         found = [(np.empty(0, np.int64), np.empty(0, np.int64))]
         for s, e in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
@@ -321,7 +323,8 @@ def similar_components(docs: DataFrame, n: int = 5, seed: int = 42) -> DataFrame
     group = connected_components(candidate_edges(nodes, sizes, ENTRY)).withColumnRenamed("node", "candidate")
     one = nodes.groupBy("node").agg(F.min("__row").alias("__row"), F.first("n").alias("n"), F.first("candidate").alias("candidate"), *[F.first(c).alias(c) for c in f])
     one = one.join(group, "candidate", "left").select("node", "__row", "n", F.coalesce("comp", "candidate").alias("key"), *f)
-    many = one.groupBy("key").agg(F.count("*").alias("members"), F.min("node").alias("pivot")).where("members > 1")
+    # checkpointed, so that the join's sides are plain exchanges: then a large group's rows can be split over tasks
+    many = checkpoint(one.groupBy("key").agg(F.count("*").alias("members"), F.min("node").alias("pivot")).where("members > 1"))
     open_ = stage(one.join(many, "key"), "near-groups")
 
     rows = open_.select("__row")
