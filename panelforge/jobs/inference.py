@@ -147,6 +147,15 @@ def simulated(spark: SparkSession, strata: np.ndarray, regions: int, preset: str
     return tasks.repartition(parts, "i", "j").mapInPandas(run, schema)
 
 
+#: Stratum of each subject of the published cohort, and its number of regions.
+PUBLISHED_STRATA, PUBLISHED_REGIONS = (0, 1, 1, 0, 2, 0, 1, 1, 2, 1, 3, 3, 3, 3, 3, 3, 3, 3), 68
+
+
+def published_study(spark: SparkSession, preset: str = "full") -> DataFrame:
+    """The study on the published cohort's shape, for comparison with its rates; not a query, as it reads no table."""
+    return simulated(spark, np.array(PUBLISHED_STRATA), PUBLISHED_REGIONS, preset)
+
+
 #: Folders of study records that this session has written, by what they hang on.
 _RECORDS: dict[tuple, str] = {}
 

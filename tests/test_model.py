@@ -1,5 +1,7 @@
 """The relational nested leave-one-out against direct NumPy fits, and the omission and tie rules."""
 
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -120,6 +122,24 @@ def test_seeded_test_and_study(spark):
     assert all(again[r.scenario, r.simulation] == r.t_obs for r in records)
 
 
+@pytest.mark.skipif("PANELFORGE_FULL" not in os.environ, reason="some 300 core seconds; set PANELFORGE_FULL to run it")
+def test_published_study(spark):
+    """The published rejections and shares of infinite penalties."""
+    from panelforge.jobs import inference
+
+    rows = inference.published_study(spark).groupBy("scenario").agg(F.count_if("reject").alias("k"), F.count("*").alias("n"), F.round(F.avg("frac_infinite"), 4).alias("inf")).collect()
+    assert {r.scenario: (r.k, r.n, r.inf) for r in rows} == {
+        "null": (19, 500, 0.4464), "confounded_null": (22, 500, 0.3831), "weak": (49, 200, 0.2739), "moderate": (117, 200, 0.0639), "strong": (199, 200, 0.0),
+    }
+
+
+def test_published_cohort_quick(spark):
+    from panelforge.jobs import inference
+
+    rows = inference.published_study(spark, "quick").collect()
+    assert len(rows) == 10 and sorted(np.bincount(inference.PUBLISHED_STRATA)) == [2, 3, 5, 8]
+
+
 def test_study_by_month(spark):
     from panelforge.jobs import inference
 
