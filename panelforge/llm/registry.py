@@ -15,6 +15,7 @@ _QUERIES = {
     "op8_packing": "packing",
     "op9_simhash": "simhash",
     "op10_ngram_trie": "ngram_trie",
+    "op11_collocations": "collocations",
 }
 
 
@@ -33,6 +34,7 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
+    from panelforge.llm.collocations import OP11_SQL
     from panelforge.llm.url_filter import OP7_SQL
 
-    return {"op7_url_filter": OP7_SQL}
+    return {"op7_url_filter": OP7_SQL, "op11_collocations": OP11_SQL}
