@@ -16,6 +16,8 @@ _QUERIES = {
     "op9_simhash": "simhash",
     "op10_ngram_trie": "ngram_trie",
     "op11_collocations": "collocations",
+    "op12_periodic_runs": "periodic_runs",
+    "op13_quality_rules": "quality_rules",
 }
 
 
