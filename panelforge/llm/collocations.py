@@ -2,7 +2,7 @@
 
 The words of a task's documents are dealt into shards of about SHARD words: a stream of numbers, 0 between pieces.
 Phrases are found length by length. A shard gets back which of its phrases of d - 1 words are frequent over all
-shards, keeps the words that occur in them, and builds the Burrows-Wheeler transforms of the stream and of its
+shards, keeps the words that they cover, and builds the Burrows-Wheeler transforms of the stream and of its
 mirror image (sorted as deep as d words, which is as deep as they are searched). Each frequent phrase is an interval
 in both; the interval's letters in the one are the words before the phrase, in the other the words after it.
 A phrase of d words is kept if it is found both ways, so both of its parts are frequent: it travels with the ids of
@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import stage
+from panelforge.llm.common import mix64, stage
 
 LEAST, LONGEST, RATIO, TOP = 100, 5, 100, 2000
 #: Words of a shard; a piece is never cut, so one of more words makes a larger shard.
@@ -109,6 +109,14 @@ def _shards(size: int):
     return numbered
 
 
+def _order(key: np.ndarray) -> np.ndarray:
+    """Some order that sorts key. Where key and place fit one number, numbers are sorted, which is faster."""
+    bits = key.size.bit_length()
+    if int(key.max(initial=0)).bit_length() + bits > 63:
+        return np.argsort(key)
+    return np.sort((key << bits) | np.arange(key.size)) & ((1 << bits) - 1)
+
+
 class FMIndex:
     """Burrows-Wheeler transform of a cyclic stream, its rotations sorted by their first `depth` symbols."""
 
@@ -118,14 +126,13 @@ class FMIndex:
         while order is None or known < depth:
             step = min(known, max(depth - known, 0))
             key = rank * (int(rank.max(initial=0)) + 1) + np.roll(rank, -step) if step else rank
-            order = np.argsort(key)
-            new = key[order]
-            rank = np.empty(self.n, np.int64)
-            rank[order] = np.cumsum(np.concatenate(([False], new[1:] != new[:-1])))
+            order = _order(key)
             known += step
+            if known < depth:
+                new = key[order]
+                rank[order] = np.cumsum(np.concatenate(([False], new[1:] != new[:-1])))
         self.order, self.bwt = order.astype(np.int32), text[order - 1].astype(np.int32)
-        rows = np.argsort(self.bwt, kind="stable")
-        self.ranked = self.bwt[rows] * np.int64(self.n) + rows
+        self.ranked = np.sort(self.bwt * np.int64(self.n) + np.arange(self.n))
 
     def step(self, symbol: np.ndarray, row: np.ndarray) -> np.ndarray:
         """Where the rotations begin that put `symbol` before those from `row` on: C[symbol] + Occ(symbol, row)."""
@@ -139,7 +146,7 @@ class FMIndex:
         return low, high
 
     def before(self, low: np.ndarray, high: np.ndarray):
-        """What precedes the rotations of some disjoint intervals: (interval, symbol, how many, how many of smaller symbols), sorted."""
+        """What precedes the rotations of some intervals: (interval, symbol, how many, how many of smaller symbols), sorted."""
         n = high - low
         starts = np.cumsum(n) - n
         key = np.sort(np.repeat(np.arange(n.size) * self.symbols, n) + self.bwt[np.arange(n.sum()) + np.repeat(low - starts, n)])
@@ -148,55 +155,82 @@ class FMIndex:
         return of, symbol, np.diff(np.append(first, key.size)), first - starts[of]
 
 
+def pruned(stream: np.ndarray, pos: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The stream with 0 for the words that no phrase of `width` words like those at pos covers (but for a few, by chance), runs of 0 as one; where its words were."""
+    h = np.zeros(stream.size - width + 1, np.uint64)
+    for j in range(width):
+        h = mix64(h + stream[j : j + h.size].astype(np.uint64))
+    h = (h & np.uint64((1 << 22) - 1)).astype(np.int32)
+    known = np.zeros(1 << 22, bool)
+    known[h[pos]] = True
+    hit, text = known[h], np.zeros(stream.size, np.int64)
+    for j in range(width):
+        at = slice(j, j + hit.size)
+        text[at][hit] = stream[at][hit]
+    keep = np.flatnonzero((text > 0) | np.concatenate(([True], text[:-1] > 0)))
+    return text[keep], keep
+
+
 def extend(stream: np.ndarray, pos: np.ndarray, d: int):
-    """Phrases of d words both of whose parts are among the phrases of d - 1 words at pos: arrays (prefix, suffix, n, position of one occurrence)."""
+    """Phrases of d words both of whose parts are among the phrases of d - 1 words at pos, in a stream that these cover.
+
+    Arrays: prefix and suffix (which of pos), n, position of one occurrence.
+    """
     words = stream[pos[:, None] + np.arange(d - 1)]
     used = np.unique(words)
-    remap = np.zeros(int(stream.max(initial=0)) + 1, np.int64)
-    remap[used] = np.arange(1, used.size + 1)
-    text = remap[stream]
-    keep = np.flatnonzero((text > 0) | np.concatenate(([True], text[:-1] > 0)))
-    text, words = text[keep], remap[words]
-    ahead, back = FMIndex(text, d), FMIndex(text[::-1], d)
+    remap = np.zeros(int(stream.max(initial=0)) + 1, np.int32)
+    remap[used] = np.arange(1, used.size + 1, dtype=np.int32)
+    text, words = remap[stream], remap[words].astype(np.int64)
+    ahead = FMIndex(text, d)
     low, high = ahead.find(words)
     by = np.argsort(low)
     low, high, words = low[by], high[by], words[by]
-    blow, bhigh = back.find(words[:, ::-1])
     suffix, symbol, n, _ = ahead.before(low, high)
     real = symbol > 0
     suffix, n = suffix[real], n[real]
     left = ahead.step(symbol[real], low[suffix])
-    turn = np.argsort(blow)
-    prefix, symbol, _, smaller = back.before(blow[turn], bhigh[turn])
-    prefix = turn[prefix]
+    order = ahead.order
+    del ahead
+    back = FMIndex(text[::-1], d)
+    prefix, symbol, _, smaller = back.before(*back.find(words[:, ::-1]))
     real = symbol > 0
-    prefix, right = prefix[real], (low[prefix] + smaller)[real]
-    _, x, y = np.intersect1d(left, right, assume_unique=True, return_indices=True)
-    return by[prefix[y]], by[suffix[x]], n[x], keep[ahead.order[left[x]]]
+    prefix, right = prefix[real], (low[prefix] + smaller)[real]  # ascending, as low is
+    at = np.minimum(np.searchsorted(right, left), max(right.size - 1, 0))
+    both = np.flatnonzero(right[at] == left) if right.size else np.empty(0, np.int64)
+    both = both[_order(at[both])]
+    return by[prefix[at[both]]], by[suffix[both]], n[both], order[left[both]].astype(np.int64)
 
 
 def _extender(d: int):
-    """Cogroup function of a shard's stream and its frequent phrases of d - 1 words."""
+    """Cogroup function of a shard's stream and its frequent phrases of d - 1 words: phrases of d words, and (from the third on) what is left of the stream."""
+    schema = pa.schema([("p", pa.int64()), ("s", pa.int64()), ("own", pa.int64()), ("n", pa.int64()), ("shard", pa.int64()), ("part", pa.int32()), ("blob", pa.binary())])
 
     def run(stream: pa.Table, known: pa.Table) -> pa.Table:
         if not stream.num_rows or not known.num_rows:
-            p = s = n = pos = shard = np.empty(0, np.int64)
-        else:
-            parts = sorted(zip(stream["part"].to_pylist(), stream["n"].to_pylist(), stream["blob"].to_pylist(), strict=True))
-            known = known.sort_by("pos")  # so that a repeated task names the same occurrences
-            ids = known["id"].to_numpy()
-            p, s, n, pos = extend(np.concatenate([unpack(blob, size) for _, size, blob in parts]), known["pos"].to_numpy(), d)
-            p, s, shard = ids[p], ids[s], np.full(n.size, stream["shard"][0].as_py())
-        return pa.table({"p": p, "s": s, "shard": shard, "pos": pos, "n": n})
+            return schema.empty_table()
+        shard = stream["shard"][0].as_py()
+        parts = sorted(zip(stream["part"].to_pylist(), stream["n"].to_pylist(), stream["blob"].to_pylist(), strict=True))
+        known = known.sort_by("pos")  # so that a repeated task names the same occurrences
+        ids = known["id"].to_numpy()
+        pos = known["pos"].to_numpy()
+        text, kept = pruned(np.concatenate([unpack(blob, size) for _, size, blob in parts]), pos, d - 1)
+        p, s, n, pos = extend(text, np.searchsorted(kept, pos), d)
+        columns = {"p": ids[p], "s": ids[s], "own": (shard << 32) | (kept[pos] if d == 2 else pos), "n": n}
+        found = pa.table([columns[f.name] if f.name in columns else pa.nulls(n.size, f.type) for f in schema], schema=schema)
+        if d == 2:  # most rows by far: they aren't stored, and the stream stays as it was
+            return found
+        cuts = [text[x : x + PART] for x in range(0, text.size, PART)]
+        columns = {"n": [c.size for c in cuts], "shard": [shard] * len(cuts), "part": range(len(cuts)), "blob": [pack(c) for c in cuts]}
+        rest = pa.table([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(len(cuts), f.type) for f in schema], schema=schema)
+        return pa.concat_tables([found, rest])
 
     return run
 
 
 def _summed(rows: DataFrame, least: int, *key: str) -> DataFrame:
-    """Rows of keys counted `least` times or more over all shards, with that number as f and an id of the key: its least (shard, pos)."""
-    own = F.shiftleft("shard", 32).bitwiseOR(F.col("pos"))
+    """Rows of keys counted `least` times or more over all shards, with that number as f and an id of the key: its least own."""
     w = Window.partitionBy(*key)
-    return rows.withColumn("f", F.sum("n").over(w)).withColumn("id", F.min(own).over(w)).where(F.col("f") >= least).drop("n").withColumn("first", own == F.col("id"))
+    return rows.withColumn("f", F.sum("n").over(w)).withColumn("id", F.min("own").over(w)).where(F.col("f") >= least).drop("n")
 
 
 def _score(a: Column, n: Column, left: Column, right: Column) -> Column:
@@ -217,18 +251,27 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, ra
     rows = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
     shards = stage(rows.mapInArrow(_shards(size), "shard long, lang string, word string, n long, pos long, part int, blob binary"), "phrase-shards")
     streams = shards.where("blob is not null").select("shard", "part", "n", "blob")
-    words = shards.where("word is not null").select("shard", "lang", "word", "n", "pos")
+    words = shards.where("word is not null").select("lang", "word", "n", F.shiftleft("shard", 32).bitwiseOR(F.col("pos")).alias("own"))
     total = words.groupBy("lang").agg(F.sum("n").alias("n"))
     level = stage(_summed(words, least, "lang", "word"), "phrase-1")
     none = F.array().cast("array<long>")
-    named = level.where("first").select("id", "lang", F.array("word").alias("words"), "f", none.alias("ls"), none.alias("rs"))
+    first = F.col("own") == F.col("id")
+    named = level.where(first).select("id", "lang", F.array("word").alias("words"), "f", none.alias("ls"), none.alias("rs"))
+    # small numbers for the words: pairs of them are most of what is shuffled
+    named = stage(named.coalesce(8).withColumn("no", F.monotonically_increasing_id()), "phrase-named-1")
+    level = level.join(named.select("id", "no"), "id").select("own", F.col("no").alias("id"))
+    named = named.select(F.col("no").alias("id"), "lang", "words", "f", "ls", "rs")
     found = []
     for d in range(2, longest + 1):
-        pairs = streams.groupBy("shard").cogroup(level.select("shard", "pos", "id").groupBy("shard")).applyInArrow(_extender(d), "p long, s long, shard long, pos long, n long")
-        level = stage(_summed(pairs, least, "p", "s"), f"phrase-{d}")
+        known = level.select(F.shiftright("own", 32).alias("shard"), F.col("own").bitwiseAND(F.lit((1 << 32) - 1)).alias("pos"), "id")
+        pairs = streams.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(_extender(d), "p long, s long, own long, n long, shard long, part int, blob binary")
+        if d > 2:
+            pairs = stage(pairs, f"phrase-pairs-{d}")
+            streams = pairs.where("blob is not null").select("shard", "part", "n", "blob")
+        level = stage(_summed(pairs.where("own is not null").select("p", "s", "own", "n"), least, "p", "s"), f"phrase-{d}")
         p = named.select(F.col("id").alias("p"), "lang", F.col("words").alias("pw"), F.col("f").alias("pf"), "ls")
         s = named.select(F.col("id").alias("s"), F.element_at("words", -1).alias("last"), F.col("f").alias("sf"), "rs")
-        both = level.where("first").select("id", "p", "s", "f").join(p, "p").join(s, "s")
+        both = level.where(first).select("id", "p", "s", "f").join(p, "p").join(s, "s")
         words_, ls, rs = F.concat("pw", F.array("last")), F.concat("ls", F.array("pf")), F.concat(F.array("sf"), "rs")
         nxt = stage(both.select("id", "lang", words_.alias("words"), "f", ls.alias("ls"), rs.alias("rs"), "p", "s", "pf", "sf"), f"phrase-named-{d}")
         if d > 2:
