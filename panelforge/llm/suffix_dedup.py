@@ -34,8 +34,6 @@ PARTS = 16
 SMALL = 100_000
 #: Texts (16 bytes each) whose keys may be broadcast, so that only they are shuffled; beyond that all are.
 SMALL_TEXTS = 1 << 20
-#: A passage of some 50 words is longer: what op4_suffix_dedup also counts.
-PASSAGE = 200
 #: Items sorted together in one task; groups are never split over sorts.
 TOGETHER = 8_192
 #: Longest piece of a text that is hashed at once (positions must fit 24 bits).
@@ -388,17 +386,6 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD) ->
     return stage(spans, "spans")
 
 
-def span_bytes(spans: DataFrame) -> DataFrame:
-    """(k1, k2, bytes): how many bytes the spans of a text cover together."""
-
-    def run(batches):
-        for b in batches:
-            total = [sum(e - s for s, e in merge_spans((x["s"], x["e"]) for x in spans.as_py())) for spans in b.column(2)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(total, pa.int64())], names=["k1", "k2", "bytes"])
-
-    return spans.select("k1", "k2", "spans").mapInArrow(run, "k1 long, k2 long, bytes long")
-
-
 def _without(as_text: bool):
     """Arrow function over (k1, k2, text, spans): what is left of each text, and the counts of bytes and runs removed."""
 
@@ -431,18 +418,14 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD, as
 
 
 def op4_suffix_dedup(spark, sf_dir: str) -> DataFrame:
-    """Bytes of every document that repeat in strings of 400, and the digest of what is left.
-
-    n_passage_bytes, beyond the contract: bytes that repeat in strings of PASSAGE, which shorter shared passages show in.
-    """
+    """Bytes of every document that repeat in strings of 400, and the digest of what is left."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     cut = remove_repeats(docs.select("text")).select("k1", "k2", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
     text = F.coalesce("text", F.lit(""))
     rows = keyed(docs).select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text.cast("binary"), 256).alias("own"), "k1", "k2")
-    passages = span_bytes(repeated_spans(docs.select("text"), PASSAGE)).withColumnRenamed("bytes", "n_passage_bytes")
-    out = rows.join(cut, ["k1", "k2"], "left").join(passages, ["k1", "k2"], "left")
+    out = rows.join(cut, ["k1", "k2"], "left")
     count = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
-    return out.select("doc_id", "n_bytes", count("n_removed"), count("n_spans"), F.coalesce("kept_sha256", "own").alias("kept_sha256"), count("n_passage_bytes"))
+    return out.select("doc_id", "n_bytes", count("n_removed"), count("n_spans"), F.coalesce("kept_sha256", "own").alias("kept_sha256"))
 
 
 def dedup_documents(docs: DataFrame, length: int = LENGTH) -> DataFrame:
