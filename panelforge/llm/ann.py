@@ -7,7 +7,8 @@ least one of its m substrings is within r // m of the query's substring (for the
 r % m + 1: within r // m - 1), so probing those values retrieves every code within the radius. What the probes
 bring is verified on the whole code, and reranked by the vectors themselves.
 
-Rows are dealt in blocks by hash, each block is indexed in one task, and meets the queries in blocks.
+Rows are dealt in blocks by hash, each block is indexed in one task, and meets the queries in blocks. Vectors of
+different lengths have no inner product: each length is searched apart, by codes of its own.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelforge.llm.common import stage
+
 #: Vectors that the rotations and the radius are learned on.
 SAMPLE = 8192
 ROTATIONS = 2
@@ -27,15 +30,17 @@ COVER = 0.96
 INDEX_BLOCK = 65_536
 QUERY_BLOCK = 65_536
 SMALL_BLOCK = 8192
+#: Lengths of vectors that get learned codes, the commonest; vectors of further lengths are compared with all of theirs.
+LENGTHS = 16
 _BITS = np.bitwise_count(np.arange(256, dtype=np.uint8))
 
 
 def usable(vectors: DataFrame, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(vec_id, v) of the rows that take part: v is array<double>. One row (the least vector) of a repeated id."""
+    """(row, vec_id, v) of the rows that take part: v is array<double>, row a number of its own, so that rows of one id stay apart."""
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = rows.where(F.col("vec_id").isNotNull() & F.coalesce(finite & F.exists("v", lambda x: x != 0), F.lit(False)))
-    return rows.groupBy("vec_id").agg(F.min("v").alias("v"))
+    return stage(rows.select(F.monotonically_increasing_id().alias("row"), "vec_id", "v"), "vectors")
 
 
 def learn_rotation(x: np.ndarray, seed: int, steps: int = 30) -> np.ndarray:
@@ -92,42 +97,44 @@ class Index:
         return rows[np.bitwise_count(self.codes[rows] ^ code).sum(axis=1) <= radius]
 
 
-def search_block(q_ids, q, ids, x, coder: Coder, k: int) -> pd.DataFrame:
-    """The k best of one block for each query; the radius grows where it brings fewer than k."""
-    index, out = Index(coder.codes(x)), []
-    for qid, v, code in zip(q_ids, q, coder.codes(q), strict=True):
-        radius, want = coder.radius, min(k + 1, len(ids))
-        rows = index.within(code, radius)
-        while rows.size < want:
-            radius += 2
-            rows = index.within(code, radius)
-        rows = rows[ids[rows] != qid]
-        score = (x[rows] * v).sum(axis=1)
-        if rows.size > 4 * k:
-            best = score >= np.partition(score, rows.size - k)[rows.size - k]
-            rows, score = rows[best], score[best]
-        top = np.lexsort((ids[rows], -score))[:k]
-        out.append((np.full(top.size, qid), ids[rows[top]], score[top]))
-    cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
-    return pd.DataFrame({"query_id": cols[0].astype(np.int64), "vec_id": cols[1].astype(np.int64), "score": cols[2].astype(float)})
+def search_block(q_rows, q_ids, q, rows, ids, x, coder: Coder | None, k: int) -> pd.DataFrame:
+    """The k best of one block for each query; the radius grows where it brings fewer than k. Without a coder all rows are compared."""
+    out = []
+    index = Index(coder.codes(x)) if coder else None
+    for qrow, qid, v, code in zip(q_rows, q_ids, q, coder.codes(q) if coder else q, strict=True):
+        near, want = np.arange(len(ids)), min(k + 1, len(ids))
+        if coder:
+            radius = coder.radius
+            near = index.within(code, radius)
+            while near.size < want:
+                radius += 2
+                near = index.within(code, radius)
+        near = near[rows[near] != qrow]
+        score = (x[near] * v).sum(axis=1)
+        if near.size > 4 * k:
+            best = score >= np.partition(score, near.size - k)[near.size - k]
+            near, score = near[best], score[best]
+        top = np.lexsort((rows[near], ids[near], -score))[:k]
+        out.append((np.full(top.size, qrow), np.full(top.size, qid), rows[near[top]], ids[near[top]], score[top]))
+    cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.empty(0, np.int64)] * 4 + [np.empty(0)]
+    return pd.DataFrame(dict(zip(("query_row", "query_id", "row", "vec_id", "score"), cols, strict=True)))
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
-    """(query_id, rank, vec_id, score) of the k nearest rows of vectors found for each row of queries (vec_id, v).
+    """(query_id, rank, vec_id, score) of the k nearest rows of vectors found for each row of queries, both as usable() gives them.
 
-    Nearness is the inner product in double precision, ties to the smaller vec_id; a query's own id is left out.
-    Both inputs come from usable(): null, zero and non-finite vectors take no part; vectors of another length
-    than the sample's first (by id hash) don't either. Empty inputs give an empty result.
+    Nearness is the inner product in double precision, ties to the smaller vec_id. Null, zero and non-finite vectors
+    take no part. A query's own row is left out, but not other rows of its id; each row of a repeated query id
+    gets neighbours of its own. Vectors meet those of their own length only. Empty inputs give an empty result.
     """
-    sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toPandas()["v"]
-    schema = "query_id long, vec_id long, score double"
-    if not len(sample):
-        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    d = len(sample.iloc[0])
-    x = np.array([v for v in sample if len(v) == d], float)
-    coder = Coder(x, k)
-    own, asked = vectors.where(F.size("v") == d), queries.where(F.size("v") == d)
-    n_rows, n_asked = own.count(), asked.count()
+    size = F.size("v")
+    lengths = vectors.groupBy(size.alias("d")).count().orderBy(F.desc("count"), "d").limit(LENGTHS).collect()
+    coders = {}
+    for d, n in lengths:
+        if n > k + 1:
+            sample = vectors.where(size == d).orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(SAMPLE).toPandas()["v"]
+            coders[d] = Coder(np.array(sample.tolist(), float), k)
+    n_rows, n_asked = vectors.count(), queries.count()
     cores = vectors.sparkSession.sparkContext.defaultParallelism
     i_blocks, q_blocks = max(-(-n_rows // INDEX_BLOCK), min(-(-n_rows // SMALL_BLOCK), cores), 1), max(1, -(-n_asked // QUERY_BLOCK))
 
@@ -135,18 +142,21 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
         return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
 
     def by_hash(n, seed):
-        return F.pmod(F.xxhash64(F.lit(seed), "vec_id"), F.lit(n)).cast("int")
+        return F.pmod(F.xxhash64(F.lit(seed), "row"), F.lit(n)).cast("int")
 
-    left = asked.select(by_hash(q_blocks, 1).alias("qb"), blocks(i_blocks).alias("ib"), "vec_id", "v")
-    right = own.select(blocks(q_blocks).alias("qb"), by_hash(i_blocks, 2).alias("ib"), "vec_id", "v")
+    left = queries.select(size.alias("d"), by_hash(q_blocks, 1).alias("qb"), blocks(i_blocks).alias("ib"), "row", "vec_id", "v")
+    # under names of their own: where queries are a part of vectors, Spark may take columns of equal names for one
+    right = vectors.select(size.alias("d"), blocks(q_blocks).alias("qb"), by_hash(i_blocks, 2).alias("ib"), F.col("row").alias("near_row"), F.col("vec_id").alias("near_id"), F.col("v").alias("near_v"))
 
-    def search(q: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        if q.empty or rows.empty:
-            return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-        return search_block(q["vec_id"].to_numpy(np.int64), np.array(q["v"].tolist(), float), rows["vec_id"].to_numpy(np.int64), np.array(rows["v"].tolist(), float), coder, k)
+    def search(q: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
+        if q.empty or near.empty:  # a group that is missing on one side comes without columns
+            return search_block((), (), (), (), (), (), None, k)
+        number = lambda t, c: t[c].to_numpy(np.int64)
+        values = lambda t, c: np.array(t[c].tolist(), float)
+        return search_block(number(q, "row"), number(q, "vec_id"), values(q, "v"), number(near, "near_row"), number(near, "near_id"), values(near, "near_v"), coders.get(int(q["d"].iloc[0])), k)
 
-    found = left.groupBy("qb", "ib").cogroup(right.groupBy("qb", "ib")).applyInPandas(search, schema)
-    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    found = left.groupBy("d", "qb", "ib").cogroup(right.groupBy("d", "qb", "ib")).applyInPandas(search, "query_row long, query_id long, row long, vec_id long, score double")
+    w = Window.partitionBy("query_row").orderBy(F.col("score").desc(), "vec_id", "row")
     ranked = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
 
