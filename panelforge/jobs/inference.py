@@ -217,21 +217,6 @@ def calibration_check(spark: SparkSession, sf_dir: str, preset: str = "full") ->
     )
 
 
-def five_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Outer folds of the model with five features a cell (quantity, log price, discount, tax, log count)."""
-    sql = """WITH lines AS (SELECT c_nationkey AS s, p_brand AS r, l_quantity, l_extendedprice, l_discount, l_tax FROM lineitem JOIN orders ON l_orderkey = o_orderkey
-  JOIN customer ON o_custkey = c_custkey JOIN part ON l_partkey = p_partkey)
-SELECT s, r, avg(l_quantity) AS x0, ln(sum(l_extendedprice)) AS x1, avg(l_discount) AS x2, avg(l_tax) AS x3, ln(count(*)) AS x4, avg(l_extendedprice * l_discount / 1000) AS y FROM lines GROUP BY s, r"""
-    cells = run_sql(spark, sf_dir, sql).toPandas().sort_values(["s", "r"])  # one row per subject and region
-    subjects, regions = cells["s"].unique(), cells["r"].nunique()
-    if len(cells) != len(subjects) * regions:
-        raise ValueError("cells of the panel are missing")
-    x = cells[[f"x{i}" for i in range(5)]].to_numpy().reshape(len(subjects), regions, 5)
-    best, base, ridge = Panel(x, cells["y"].to_numpy().reshape(len(subjects), regions)).folds()
-    rows = [(int(s), -1.0 if np.isinf(b) else float(b), float(u), float(v), float(u - v)) for s, b, u, v in zip(subjects, best, base, ridge, strict=True)]
-    return spark.createDataFrame(rows, "subject int, selected_lambda double, baseline_mse double, ridge_mse double, d double")
-
-
 def shift_optimum(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per scan: the whole-voxel shift that best aligns it with the mean volume of its group, by coordinate search."""
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
@@ -282,7 +267,6 @@ def text_diff_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES |= {
     "calibration_check": calibration_check,
-    "sens_five_feature": five_features,
     "alignment_optimum": shift_optimum,
     "text_diff_lines": text_diff_lines,
     "simulate": lambda spark, sf_dir: simulated(spark, _cohort(spark, sf_dir), 25, "quick"),
