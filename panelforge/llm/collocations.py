@@ -26,7 +26,7 @@ from panelforge.llm.common import mix64, stage
 
 LEAST, LONGEST, RATIO, TOP = 100, 5, 100, 2000
 #: Words of a shard; a piece is never cut, so one of more words makes a larger shard.
-SHARD = 3 << 20
+SHARD = 2_200_000
 #: Words of a stored part of a shard's stream.
 PART = 1 << 20
 #: Shards that one task of the first pass may make.
@@ -67,10 +67,15 @@ def _shards(size: int):
         def flush():
             stream = np.concatenate(held)
             n = np.bincount(stream, minlength=1 + sum(len(words) - 1 for words in own.values()))
+            # the more common, the smaller its number: then the stream's upper bytes are few
+            rank = np.concatenate(([0], 1 + np.argsort(-n[1:], kind="stable")))
+            number = np.empty(n.size, np.int64)
+            number[rank] = np.arange(n.size)
+            stream, n = number[stream], n[rank]
             first = np.zeros(n.size, np.int64)
             first[stream[::-1]] = np.arange(stream.size - 1, -1, -1)
             for lang, words in own.items():
-                at = np.fromiter(words.values(), np.int64, len(words))[1:]
+                at = number[np.fromiter(words.values(), np.int64, len(words))[1:]]
                 for x in range(0, at.size, 1 << 16):
                     some = at[x : x + (1 << 16)]
                     named = [w.decode() for w in list(words)[1 + x : 1 + x + (1 << 16)]]
@@ -257,10 +262,6 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, ra
     none = F.array().cast("array<long>")
     first = F.col("own") == F.col("id")
     named = level.where(first).select("id", "lang", F.array("word").alias("words"), "f", none.alias("ls"), none.alias("rs"))
-    # small numbers for the words: pairs of them are most of what is shuffled
-    named = stage(named.coalesce(8).withColumn("no", F.monotonically_increasing_id()), "phrase-named-1")
-    level = level.join(named.select("id", "no"), "id").select("own", F.col("no").alias("id"))
-    named = named.select(F.col("no").alias("id"), "lang", "words", "f", "ls", "rs")
     found = []
     for d in range(2, longest + 1):
         known = level.select(F.shiftright("own", 32).alias("shard"), F.col("own").bitwiseAND(F.lit((1 << 32) - 1)).alias("pos"), "id")
