@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from panelforge.jobs import artifacts, boosted, flagship, inference, relations, ridge
+from panelforge.jobs import artifacts, boosted, flagship, inference, relations, ridge, volumes
 from panelforge.operators import aggregates, generic, grids, keys, model, permutation, records, rows
 from panelforge.streaming.windows import stream_tumbling
 from panelforge.sources.adapters import DuckDialect, SparkDialect, run_sql
@@ -24,5 +24,5 @@ CATALOG["roi_stats"] = (flagship.roi_stats, CATALOG["roi_stats"][1])
 for _name, _run in inference.QUERIES.items():
     CATALOG[_name] = (_run, None)
 CATALOG["clopper_pearson"] = (inference.QUERIES["clopper_pearson"], inference.CLOPPER_PEARSON_SQL)
-CATALOG |= relations.QUERIES | artifacts.QUERIES | ridge.QUERIES | boosted.QUERIES
+CATALOG |= relations.QUERIES | artifacts.QUERIES | ridge.QUERIES | volumes.QUERIES | boosted.QUERIES
 CATALOG["generic_stream_tumbling"] = (stream_tumbling, CATALOG["generic_tumbling"][1])

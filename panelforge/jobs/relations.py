@@ -1,4 +1,4 @@
-"""Jobs whose plan differs from their plain SQL: orders without one task, passes along axes, loops to a fixed point."""
+"""Jobs whose plan differs from their plain SQL: orders without one task, profiles."""
 
 from __future__ import annotations
 
@@ -8,9 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelforge.functions.ordering import numbered
-from panelforge.functions.shared import materialised
 from panelforge.functions.special import with_exact_interval
-from panelforge.sources.adapters import CELLS, GRID, DuckDialect, SparkDialect, manifest, run_sql
+from panelforge.sources.adapters import CELLS, DuckDialect, SparkDialect, manifest, run_sql
 
 _SPARK, _DUCK = SparkDialect(), DuckDialect()
 
@@ -26,20 +25,6 @@ def batch_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
     return numbered(pages, "page_id", "url").select(F.floor(F.col("place") / 60).alias("batch"), "page_id", "url")
 
 
-def exact_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Percentiles by linear interpolation between the two ranks around them; ranks come from a global order, no group is gathered."""
-    at = {"p005": 0.005, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p995": 0.995}
-    values = run_sql(spark, sf_dir, f"WITH {_SPARK.voxels}{GRID} SELECT grp, value FROM grid WHERE value IS NOT NULL")
-    ranked = materialised(numbered(values, "grp", "value"))
-    groups = ranked.groupBy("grp").agg(F.min("place").alias("first"), F.count("*").alias("n"))
-    wanted = groups.select("grp", "first", "n", F.explode(F.create_map(*[F.lit(x) for p in at.items() for x in p])).alias("name", "p")).withColumn("h", (F.col("n") - 1) * F.col("p"))
-    ends = wanted.select("grp", "name", "h", (F.col("first") + F.floor("h")).alias("low"), (F.col("first") + F.ceil("h")).alias("high"))
-    value = lambda side: ranked.select(F.col("place").alias(side), F.col("value").alias(f"v_{side}"))
-    found = ends.join(value("low"), "low").join(value("high"), "high")
-    found = found.withColumn("v", F.col("v_low") + (F.col("h") - F.floor("h")) * (F.col("v_high") - F.col("v_low")))
-    return found.groupBy("grp").agg(*[F.round(F.max(F.when(F.col("name") == n, F.col("v"))), 6).alias(n) for n in at])
-
-
 def previous_event(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each event's latest earlier event of the same user (of several at one time the largest id): a window over times, no self-join of rows."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "ts")
@@ -49,50 +34,6 @@ SELECT e.event_id, p.previous FROM {events} e JOIN p ON p.user_id = e.user_id AN
     return spark.sql(sql, events=events)
 
 
-def components(spark: SparkSession, sf_dir: str, threshold: float = 0.25) -> DataFrame:
-    """Connected components of each scan's mask: the least voxel number spreads over faces, and from label to label, until nothing changes."""
-    mask = run_sql(spark, sf_dir, f"WITH {_SPARK.voxels}{GRID} SELECT scan, i, j, k, CAST(p AS INT) AS p FROM grid WHERE value > {threshold}")
-    return component_sizes(mask)
-
-
-def component_sizes(mask: DataFrame) -> DataFrame:
-    """(scan, component, size) from voxels (scan, i, j, k, p), p unique in its scan."""
-    steps = F.array(*[F.struct(*[F.lit(x) for x in s]) for s in ((1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1))])
-    now = materialised(mask.withColumn("l", F.col("p")))
-    while True:
-        shown = now.select("scan", "l", "i", "j", "k", F.explode(steps).alias("s"))
-        near = shown.groupBy("scan", (F.col("i") + F.col("s.col1")).alias("i"), (F.col("j") + F.col("s.col2")).alias("j"), (F.col("k") + F.col("s.col3")).alias("k")).agg(F.min("l").alias("m"))
-        spread = now.join(near, ["scan", "i", "j", "k"], "left").withColumn("n", F.least("l", "m"))
-        jump = now.select("scan", F.col("p").alias("n"), F.col("l").alias("further"))
-        new = materialised(spread.join(jump, ["scan", "n"], "left").select("scan", "i", "j", "k", "p", F.least("n", "further").alias("l"), (F.least("n", "further") < F.col("l")).alias("moved")))
-        if new.where("moved").isEmpty():
-            return new.groupBy("scan", F.col("l").alias("component")).agg(F.count("*").alias("size"))
-        now = new.drop("moved")
-
-
-_COMPONENTS_SQL = f"""WITH RECURSIVE {_DUCK.voxels}{GRID}, mask AS (SELECT scan, i, j, k, p FROM grid WHERE value > 0.25),
-edge AS (SELECT a.scan, a.p, b.p AS q FROM mask a JOIN mask b ON a.scan = b.scan AND abs(a.i - b.i) + abs(a.j - b.j) + abs(a.k - b.k) = 1),
-reach AS (SELECT scan, p, p AS q FROM mask UNION SELECT reach.scan, reach.p, edge.q FROM reach JOIN edge ON edge.scan = reach.scan AND edge.p = reach.q),
-least_ AS (SELECT scan, p, CAST(min(q) AS INTEGER) AS component FROM reach GROUP BY scan, p)
-SELECT scan, component, count(*) AS size FROM least_ GROUP BY scan, component"""
-
-
-def edt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distance to the nearest background voxel: one pass an axis, each compares a voxel with its own line only."""
-    side = 4
-
-    def along(name: str, source: str, axis: str) -> str:
-        rest = [c for c in "ijk" if c != axis]
-        near = " AND ".join(f"b.{c} = a.{c}" for c in ["scan", *rest])
-        return f"{name} AS (SELECT a.scan, a.i, a.j, a.k, min(b.d + (a.{axis} - b.{axis}) * (a.{axis} - b.{axis})) AS d FROM {source} a JOIN {source} b ON {near} GROUP BY a.scan, a.i, a.j, a.k)"
-
-    far = 3 * side * side + 1
-    sql = f"""WITH {_SPARK.voxels}{GRID}, d0 AS (SELECT scan, i, j, k, CASE WHEN value <= 0 THEN 0 ELSE {far} END AS d FROM grid),
-{along('d1', 'd0', 'k')}, {along('d2', 'd1', 'j')}, {along('d3', 'd2', 'i')}
-SELECT scan, i, j, k, round(sqrt(CAST(d AS DOUBLE)), 6) AS distance FROM d3 WHERE d > 0 AND d < {far}"""
-    return run_sql(spark, sf_dir, sql)
-
-
 #: Offsets of the profiles: half voxels along an axis, steps of 14 degrees about it.
 _OFFSETS, _STEP = range(-3, 4), 14
 
@@ -173,11 +114,7 @@ SELECT scenario, s.n, rejections, round(rejections / CAST(s.n AS DOUBLE), 6) AS
 QUERIES = {
     "sources_sorted": (sources_sorted, f"WITH {manifest(_DUCK)} SELECT CAST(row_number() OVER (ORDER BY relpath) AS BIGINT) AS ord, relpath FROM local"),
     "batch_bucket": (batch_bucket, "SELECT CAST(floor((row_number() OVER (ORDER BY page_id, url) - 1) / 60.0) AS BIGINT) AS batch, page_id, url FROM pages"),
-    "exact_percentiles": (exact_percentiles, f"WITH {_DUCK.voxels}{GRID} SELECT grp, " + ", ".join(f"round({_DUCK.pct('value', p)}, 6) AS {n}" for n, p in (("p005", 0.005), ("p25", 0.25), ("p50", 0.5), ("p75", 0.75), ("p995", 0.995))) + " FROM grid GROUP BY grp"),
     "generic_asof": (previous_event, "SELECT e.event_id, p.newest AS previous FROM events e ASOF JOIN (SELECT user_id, ts, max(event_id) AS newest FROM events GROUP BY user_id, ts) p ON p.user_id = e.user_id AND p.ts < e.ts"),
-    "components": (components, _COMPONENTS_SQL),
-    "edt": (edt, f"""WITH {_DUCK.voxels}{GRID}, b AS (SELECT scan, i, j, k FROM grid WHERE value <= 0)
-SELECT g.scan, g.i, g.j, g.k, round(sqrt(CAST(min((g.i - b.i) * (g.i - b.i) + (g.j - b.j) * (g.j - b.j) + (g.k - b.k) * (g.k - b.k)) AS DOUBLE)), 6) AS distance FROM grid g JOIN b ON b.scan = g.scan WHERE g.value > 0 GROUP BY g.scan, g.i, g.j, g.k"""),
     "perturbation_profile": (perturbation_profile, _PROFILE_SQL),
     "scenario_summary": (scenario_summary, _SUMMARY_SQL),
 }

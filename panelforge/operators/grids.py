@@ -1,4 +1,4 @@
-"""Voxel grids: enumeration, packing, morphology, components, distances, resampling, transforms, profiles."""
+"""Voxel grids: enumeration, packing, morphology, transforms."""
 
 from __future__ import annotations
 
@@ -21,16 +21,6 @@ BOOK = {
 SELECT scan, i, j, k FROM mask UNION SELECT scan, i + di AS i, j + dj AS j, k + dk AS k FROM mask CROSS JOIN steps WHERE i + di BETWEEN 0 AND 3 AND j + dj BETWEEN 0 AND 3 AND k + dk BETWEEN 0 AND 3""",
     "erode": lambda d: f"""WITH {d.voxels}{GRID}, mask AS (SELECT scan, i, j, k FROM grid WHERE value > -0.15), steps AS ({_NEXT})
 SELECT m.scan, m.i, m.j, m.k FROM mask m CROSS JOIN steps JOIN mask n ON n.scan = m.scan AND n.i = m.i + di AND n.j = m.j + dj AND n.k = m.k + dk GROUP BY m.scan, m.i, m.j, m.k HAVING count(*) = 6""",
-    "nn_resample": lambda d: f"""WITH {d.voxels}{GRID},
-w AS (SELECT scan, i, j, k, CAST(floor(i - 1 + 0.5) AS INTEGER) AS si, CAST(floor(3 - j + 0.5) AS INTEGER) AS sj, CAST(floor(k * 0.5 + 0.75 + 0.5) AS INTEGER) AS sk FROM grid)
-SELECT w.scan, w.i, w.j, w.k, coalesce(g.label, 0) AS label FROM w LEFT JOIN grid g ON g.scan = w.scan AND g.i = w.si AND g.j = w.sj AND g.k = w.sk""",
-    "trilinear_sample": lambda d: f"""WITH {d.voxels}{GRID},
-at_ AS (SELECT scan, i, j, k, i + 0.25 AS x, j + 0.5 AS y, k * 0.9 AS z FROM grid),
-corner AS (SELECT * FROM (VALUES (0, 0, 0), (0, 0, 1), (0, 1, 0), (0, 1, 1), (1, 0, 0), (1, 0, 1), (1, 1, 0), (1, 1, 1)) AS t(a, b, c)),
-weighted AS (SELECT scan, i, j, k, CAST(floor(x) AS INTEGER) + a AS ci, CAST(floor(y) AS INTEGER) + b AS cj, CAST(floor(z) AS INTEGER) + c AS ck,
-  CAST(CASE WHEN a = 1 THEN x - floor(x) ELSE 1 - (x - floor(x)) END AS DOUBLE) * CAST(CASE WHEN b = 1 THEN y - floor(y) ELSE 1 - (y - floor(y)) END AS DOUBLE) * CAST(CASE WHEN c = 1 THEN z - floor(z) ELSE 1 - (z - floor(z)) END AS DOUBLE) AS w
-  FROM at_ CROSS JOIN corner)
-SELECT w.scan, w.i, w.j, w.k, round(coalesce(sum(w.w * g.value), 0), 6) AS sample FROM weighted w LEFT JOIN grid g ON g.scan = w.scan AND g.i = w.ci AND g.j = w.cj AND g.k = w.ck GROUP BY w.scan, w.i, w.j, w.k""",
     "displacement": lambda d: f"""WITH {d.voxels}{GRID}, t AS (SELECT {_T}),
 m AS (SELECT scan, sqrt((c * (i - 1.5) - s * (j - 1.5) + 1.5 + tx - i) * (c * (i - 1.5) - s * (j - 1.5) + 1.5 + tx - i) + (s * (i - 1.5) + c * (j - 1.5) + 1.5 + ty - j) * (s * (i - 1.5) + c * (j - 1.5) + 1.5 + ty - j) + tz * tz) AS d FROM grid CROSS JOIN t WHERE value > 0)
 SELECT scan, round(avg(d), 6) AS mean, round(max(d), 6) AS greatest_ FROM m GROUP BY scan""",
