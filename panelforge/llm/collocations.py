@@ -6,8 +6,9 @@ shards, keeps the words that they cover, and builds the Burrows-Wheeler transfor
 mirror image (sorted as deep as d words, which is as deep as they are searched). Each frequent phrase is an interval
 in both; the interval's letters in the one are the words before the phrase, in the other the words after it.
 A phrase of d words is kept if it is found both ways, so both of its parts are frequent: it travels with the ids of
-the two phrases that it extends and its count. One window over (prefix, suffix) sums the counts and gives the phrase its id.
-A shard's share of a phrase is one row, so no phrase, however common, has more rows than there are shards.
+the two phrases that it extends and its count. Shards deal their phrases into buckets by (prefix, suffix), as compressed columns of
+numbers; a bucket sums the counts and gives the phrase its id. A shard's share of a phrase is one entry, so no phrase, however
+common, has more of them than there are shards, and a bucket holds those of some BUCKET words.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from panelforge.llm.common import mix64, stage
 LEAST, LONGEST, RATIO, TOP = 100, 5, 100, 2000
 #: Words of a shard; a piece is never cut, so one of more words makes a larger shard.
 SHARD = 2_200_000
+#: Words for each of the buckets in which phrases of all shards are summed.
+BUCKET = 1 << 22
 #: Words of a stored part of a shard's stream.
 PART = 1 << 20
 #: Shards that one task of the first pass may make.
@@ -43,14 +46,26 @@ def tokens(text: bytes) -> list[bytes]:
     return (b". " + _STOP.sub(b" . ", text.translate(_LOWER))).split()
 
 
-def pack(stream: np.ndarray) -> bytes:
-    """A stream's numbers, byte by byte of their places, compressed."""
-    return pa.compress(np.ascontiguousarray(stream.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), codec="zstd", asbytes=True)
+def _squeeze(x: np.ndarray, size: int) -> bytes:
+    """The low `size` bytes of numbers, place by place."""
+    return np.ascontiguousarray(x.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :size].T).tobytes()
 
 
-def unpack(blob: bytes, n: int) -> np.ndarray:
-    planes = np.frombuffer(pa.decompress(blob, 4 * n, codec="zstd", asbytes=True), np.uint8)
-    return np.ascontiguousarray(planes.reshape(4, n).T).view("<u4").ravel().astype(np.int64)
+def _spread(planes: np.ndarray) -> np.ndarray:
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, : len(planes)] = planes.T
+    return out.view("<i8").ravel()
+
+
+def pack(*columns: tuple[np.ndarray, int]) -> bytes:
+    """Numbers (an array, and the bytes that each needs) of some columns, compressed."""
+    return pa.compress(b"".join(_squeeze(x, size) for x, size in columns), codec="zstd", asbytes=True)
+
+
+def unpack(blob: bytes, n: int, *sizes: int) -> list[np.ndarray]:
+    planes = np.frombuffer(pa.decompress(blob, n * sum(sizes), codec="zstd", asbytes=True), np.uint8).reshape(sum(sizes), n)
+    ends = np.cumsum(sizes)
+    return [_spread(planes[e - size : e]) for e, size in zip(ends, sizes, strict=True)]
 
 
 def _shards(size: int):
@@ -82,7 +97,7 @@ def _shards(size: int):
                     yield rows(shard=np.full(some.size, shard), lang=[lang] * some.size, word=named, n=n[some], pos=first[some])
             for part, x in enumerate(range(0, stream.size, PART)):
                 cut = stream[x : x + PART]
-                yield rows(shard=[shard], part=[part], n=[cut.size], blob=[pack(cut)])
+                yield rows(shard=[shard], part=[part], n=[cut.size], blob=[pack((cut, 4))])
 
         for b in batches:
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), strict=True):
@@ -206,35 +221,58 @@ def extend(stream: np.ndarray, pos: np.ndarray, d: int):
     return by[prefix[at[both]]], by[suffix[both]], n[both], order[left[both]].astype(np.int64)
 
 
-def _extender(d: int):
-    """Cogroup function of a shard's stream and its frequent phrases of d - 1 words: phrases of d words, and (from the third on) what is left of the stream."""
-    schema = pa.schema([("p", pa.int64()), ("s", pa.int64()), ("own", pa.int64()), ("n", pa.int64()), ("shard", pa.int64()), ("part", pa.int32()), ("blob", pa.binary())])
+def _extender(d: int, buckets: int):
+    """Cogroup function of a shard's stream and its frequent phrases of d - 1 words.
+
+    Rows: its phrases of d words by bucket, packed, and (part not null, from the third word on) what is left of the stream.
+    """
 
     def run(stream: pa.Table, known: pa.Table) -> pa.Table:
-        if not stream.num_rows or not known.num_rows:
-            return schema.empty_table()
-        shard = stream["shard"][0].as_py()
-        parts = sorted(zip(stream["part"].to_pylist(), stream["n"].to_pylist(), stream["blob"].to_pylist(), strict=True))
-        known = known.sort_by("pos")  # so that a repeated task names the same occurrences
-        ids = known["id"].to_numpy()
-        pos = known["pos"].to_numpy()
-        text, kept = pruned(np.concatenate([unpack(blob, size) for _, size, blob in parts]), pos, d - 1)
-        p, s, n, pos = extend(text, np.searchsorted(kept, pos), d)
-        columns = {"p": ids[p], "s": ids[s], "own": (shard << 32) | (kept[pos] if d == 2 else pos), "n": n}
-        found = pa.table([columns[f.name] if f.name in columns else pa.nulls(n.size, f.type) for f in schema], schema=schema)
-        if d == 2:  # most rows by far: they aren't stored, and the stream stays as it was
-            return found
-        cuts = [text[x : x + PART] for x in range(0, text.size, PART)]
-        columns = {"n": [c.size for c in cuts], "shard": [shard] * len(cuts), "part": range(len(cuts)), "blob": [pack(c) for c in cuts]}
-        rest = pa.table([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(len(cuts), f.type) for f in schema], schema=schema)
-        return pa.concat_tables([found, rest])
+        rows = []
+        if stream.num_rows and known.num_rows:
+            shard = stream["shard"][0].as_py()
+            parts = sorted(zip(stream["part"].to_pylist(), stream["n"].to_pylist(), stream["blob"].to_pylist(), strict=True))
+            known = known.sort_by("pos")  # so that a repeated task names the same occurrences
+            ids, pos = known["id"].to_numpy(), known["pos"].to_numpy()
+            text, kept = pruned(np.concatenate([unpack(blob, size, 4)[0] for _, size, blob in parts]), pos, d - 1)
+            p, s, n, pos = extend(text, np.searchsorted(kept, pos), d)
+            p, s, pos = ids[p], ids[s], kept[pos] if d == 2 else pos
+            of = (mix64(mix64(p.view(np.uint64)) + s.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+            order = np.lexsort((s, p, of))
+            p, s, n, pos, of = p[order], s[order], n[order], pos[order], of[order]
+            first = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1]))) if of.size else np.empty(0, np.int64)
+            for x, y in zip(first, np.append(first, of.size)[1:], strict=True):
+                rows.append((shard, int(of[x]), None, int(y - x), pack((p[x:y], 8), (s[x:y], 8), (pos[x:y], 4), (n[x:y], 4))))
+            if d > 2:
+                rows += [(shard, None, i, text[x : x + PART].size, pack((text[x : x + PART], 4))) for i, x in enumerate(range(0, text.size, PART))]
+        types = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
+        return pa.table([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(types)], names=["shard", "bucket", "part", "n", "blob"])
+
+    return run
+
+
+def _adder(least: int):
+    """Group function of a bucket's phrases from all shards: (p, s, own, f, id) of each shard's share of those counted `least` times or more."""
+
+    def run(packed: pa.Table) -> pa.Table:
+        packed = packed.sort_by("shard")
+        parts = [unpack(blob, n, 8, 8, 4, 4) for n, blob in zip(packed["n"].to_pylist(), packed["blob"].to_pylist(), strict=True)]
+        p, s, pos, n = (np.concatenate(c) for c in zip(*parts, strict=True))
+        own = (np.repeat(packed["shard"].to_numpy(), packed["n"].to_numpy()) << 32) | pos
+        order = np.lexsort((s, p))  # stable, so a phrase's first own is its least
+        p, s, own, n = p[order], s[order], own[order], n[order]
+        first = np.flatnonzero(np.concatenate(([True], (p[1:] != p[:-1]) | (s[1:] != s[:-1]))))
+        f, times = np.add.reduceat(n, first), np.diff(np.append(first, p.size))
+        f, same = np.repeat(f, times), np.repeat(own[first], times)
+        keep = f >= least
+        return pa.table({"p": p[keep], "s": s[keep], "own": own[keep], "f": f[keep], "id": same[keep]})
 
     return run
 
 
-def _summed(rows: DataFrame, least: int, *key: str) -> DataFrame:
-    """Rows of keys counted `least` times or more over all shards, with that number as f and an id of the key: its least own."""
-    w = Window.partitionBy(*key)
+def _frequent_words(rows: DataFrame, least: int) -> DataFrame:
+    """Rows of words counted `least` times or more over all shards, with that number as f and an id of the word: its least own."""
+    w = Window.partitionBy("lang", "word")
     return rows.withColumn("f", F.sum("n").over(w)).withColumn("id", F.min("own").over(w)).where(F.col("f") >= least).drop("n")
 
 
@@ -258,18 +296,20 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, ra
     streams = shards.where("blob is not null").select("shard", "part", "n", "blob")
     words = shards.where("word is not null").select("lang", "word", "n", F.shiftleft("shard", 32).bitwiseOR(F.col("pos")).alias("own"))
     total = words.groupBy("lang").agg(F.sum("n").alias("n"))
-    level = stage(_summed(words, least, "lang", "word"), "phrase-1")
+    level = stage(_frequent_words(words, least), "phrase-1")
+    buckets = max(1, -(-(total.agg(F.sum("n")).first()[0] or 0) // BUCKET))
     none = F.array().cast("array<long>")
     first = F.col("own") == F.col("id")
     named = level.where(first).select("id", "lang", F.array("word").alias("words"), "f", none.alias("ls"), none.alias("rs"))
     found = []
     for d in range(2, longest + 1):
         known = level.select(F.shiftright("own", 32).alias("shard"), F.col("own").bitwiseAND(F.lit((1 << 32) - 1)).alias("pos"), "id")
-        pairs = streams.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(_extender(d), "p long, s long, own long, n long, shard long, part int, blob binary")
+        pairs = streams.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(_extender(d, buckets), "shard long, bucket long, part int, n long, blob binary")
         if d > 2:
             pairs = stage(pairs, f"phrase-pairs-{d}")
-            streams = pairs.where("blob is not null").select("shard", "part", "n", "blob")
-        level = stage(_summed(pairs.where("own is not null").select("p", "s", "own", "n"), least, "p", "s"), f"phrase-{d}")
+            streams = pairs.where("part is not null").select("shard", "part", "n", "blob")
+        packed = pairs.where("bucket is not null").select("bucket", "shard", "n", "blob")
+        level = stage(packed.groupBy("bucket").applyInArrow(_adder(least), "p long, s long, own long, f long, id long"), f"phrase-{d}")
         p = named.select(F.col("id").alias("p"), "lang", F.col("words").alias("pw"), F.col("f").alias("pf"), "ls")
         s = named.select(F.col("id").alias("s"), F.element_at("words", -1).alias("last"), F.col("f").alias("sf"), "rs")
         both = level.where(first).select("id", "p", "s", "f").join(p, "p").join(s, "s")
