@@ -232,8 +232,12 @@ def _extender(d: int, buckets: int):
         if stream.num_rows and known.num_rows:
             shard = stream["shard"][0].as_py()
             parts = sorted(zip(stream["part"].to_pylist(), stream["n"].to_pylist(), stream["blob"].to_pylist(), strict=True))
-            known = known.sort_by("pos")  # so that a repeated task names the same occurrences
-            ids, pos = known["id"].to_numpy(), known["pos"].to_numpy()
+            if "blob" in known.column_names:
+                pos, ids = (np.concatenate(c) for c in zip(*[unpack(blob, n, 4, 8) for n, blob in zip(known["n"].to_pylist(), known["blob"].to_pylist(), strict=True)], strict=True))
+            else:
+                pos, ids = known["pos"].to_numpy(), known["id"].to_numpy()
+            order = np.argsort(pos)  # so that a repeated task names the same occurrences
+            pos, ids = pos[order], ids[order]
             text, kept = pruned(np.concatenate([unpack(blob, size, 4)[0] for _, size, blob in parts]), pos, d - 1)
             p, s, n, pos = extend(text, np.searchsorted(kept, pos), d)
             p, s, pos = ids[p], ids[s], kept[pos] if d == 2 else pos
@@ -252,7 +256,10 @@ def _extender(d: int, buckets: int):
 
 
 def _adder(least: int):
-    """Group function of a bucket's phrases from all shards: (p, s, own, f, id) of each shard's share of those counted `least` times or more."""
+    """Group function of a bucket's phrases from all shards.
+
+    Rows: (p, s, f, id) of those counted `least` times or more, and (shard, n, blob) of where each shard has them: positions and ids, packed.
+    """
 
     def run(packed: pa.Table) -> pa.Table:
         packed = packed.sort_by("shard")
@@ -263,9 +270,18 @@ def _adder(least: int):
         p, s, own, n = p[order], s[order], own[order], n[order]
         first = np.flatnonzero(np.concatenate(([True], (p[1:] != p[:-1]) | (s[1:] != s[:-1]))))
         f, times = np.add.reduceat(n, first), np.diff(np.append(first, p.size))
-        f, same = np.repeat(f, times), np.repeat(own[first], times)
-        keep = f >= least
-        return pa.table({"p": p[keep], "s": s[keep], "own": own[keep], "f": f[keep], "id": same[keep]})
+        f, every = np.repeat(f, times), np.repeat(own[first], times)
+        first = first[f[first] >= least]
+        keep = np.flatnonzero(f >= least)
+        own, same = own[keep], every[keep]
+        order = np.argsort(own)
+        own, same = own[order], same[order]
+        shard = own >> 32
+        cut = np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1]))) if shard.size else np.empty(0, np.int64)
+        places = [(shard[x], y - x, pack((own[x:y] & ((1 << 32) - 1), 4), (same[x:y], 8))) for x, y in zip(cut, np.append(cut, shard.size)[1:], strict=True)]
+        phrases = pa.table({"p": p[first], "s": s[first], "f": f[first], "id": every[first]})
+        shares = pa.table([pa.array([r[i] for r in places], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.binary()))], names=["shard", "n", "blob"])
+        return pa.concat_tables([phrases, shares], promote_options="default").select(["p", "s", "f", "id", "shard", "n", "blob"])
 
     return run
 
@@ -299,20 +315,20 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, ra
     level = stage(_frequent_words(words, least), "phrase-1")
     buckets = max(1, -(-(total.agg(F.sum("n")).first()[0] or 0) // BUCKET))
     none = F.array().cast("array<long>")
-    first = F.col("own") == F.col("id")
-    named = level.where(first).select("id", "lang", F.array("word").alias("words"), "f", none.alias("ls"), none.alias("rs"))
+    named = level.where("own = id").select("id", "lang", F.array("word").alias("words"), "f", none.alias("ls"), none.alias("rs"))
+    known = level.select(F.shiftright("own", 32).alias("shard"), F.col("own").bitwiseAND(F.lit((1 << 32) - 1)).alias("pos"), "id")
     found = []
     for d in range(2, longest + 1):
-        known = level.select(F.shiftright("own", 32).alias("shard"), F.col("own").bitwiseAND(F.lit((1 << 32) - 1)).alias("pos"), "id")
         pairs = streams.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(_extender(d, buckets), "shard long, bucket long, part int, n long, blob binary")
         if d > 2:
             pairs = stage(pairs, f"phrase-pairs-{d}")
             streams = pairs.where("part is not null").select("shard", "part", "n", "blob")
         packed = pairs.where("bucket is not null").select("bucket", "shard", "n", "blob")
-        level = stage(packed.groupBy("bucket").applyInArrow(_adder(least), "p long, s long, own long, f long, id long"), f"phrase-{d}")
+        level = stage(packed.groupBy("bucket").applyInArrow(_adder(least), "p long, s long, f long, id long, shard long, n long, blob binary"), f"phrase-{d}")
+        known = level.where("shard is not null").select("shard", "n", "blob")
         p = named.select(F.col("id").alias("p"), "lang", F.col("words").alias("pw"), F.col("f").alias("pf"), "ls")
         s = named.select(F.col("id").alias("s"), F.element_at("words", -1).alias("last"), F.col("f").alias("sf"), "rs")
-        both = level.where(first).select("id", "p", "s", "f").join(p, "p").join(s, "s")
+        both = level.where("id is not null").select("id", "p", "s", "f").join(p, "p").join(s, "s")
         words_, ls, rs = F.concat("pw", F.array("last")), F.concat("ls", F.array("pf")), F.concat(F.array("sf"), "rs")
         nxt = stage(both.select("id", "lang", words_.alias("words"), "f", ls.alias("ls"), rs.alias("rs"), "p", "s", "pf", "sf"), f"phrase-named-{d}")
         if d > 2:
