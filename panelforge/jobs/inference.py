@@ -217,34 +217,6 @@ def calibration_check(spark: SparkSession, sf_dir: str, preset: str = "full") ->
     )
 
 
-def shift_optimum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per scan: the whole-voxel shift that best aligns it with the mean volume of its group, by coordinate search."""
-    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
-    means = vectors.select("label", F.posexplode("v").alias("p", "x")).groupBy("label", "p").agg(F.avg("x").alias("x"))
-    means = means.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "x"))), lambda s: s["x"]).alias("mean"))  # 64 values a group
-
-    def search(parts):
-        for part in parts:
-            out = []
-            for scan, v, mean in zip(part["vec_id"], part["v"], part["mean"], strict=True):
-                a, m = np.reshape(v, (4, 4, 4)), np.reshape(mean, (4, 4, 4))
-                score = lambda s: float((np.roll(a, s, (0, 1, 2)) * m).sum())  # noqa: B023, E731
-                at, best = [0, 0, 0], score((0, 0, 0))
-                moved = True
-                while moved:
-                    moved = False
-                    for axis in range(3):
-                        for step in (-1, 1):
-                            new = list(at)
-                            new[axis] += step
-                            if abs(new[axis]) <= 2 and score(new) > best:
-                                at, best, moved = new, score(new), True
-                out.append((scan, *at, best, best - score((0, 0, 0))))
-            yield pd.DataFrame(out, columns=["scan", "di", "dj", "dk", "score", "gain"])
-
-    return vectors.join(means, "label").select("vec_id", "v", "mean").mapInPandas(search, "scan long, di int, dj int, dk int, score double, gain double")
-
-
 def text_diff_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines that a unified diff of each turn against the one before in its conversation adds and removes."""
     from pyspark.sql import Window
@@ -267,7 +239,6 @@ def text_diff_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES |= {
     "calibration_check": calibration_check,
-    "alignment_optimum": shift_optimum,
     "text_diff_lines": text_diff_lines,
     "simulate": lambda spark, sf_dir: simulated(spark, _cohort(spark, sf_dir), 25, "quick"),
     "generic_approx": lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("event_type").agg(F.approx_count_distinct("user_id").alias("users"), F.percentile_approx("value", 0.5).alias("median")),

@@ -1,9 +1,7 @@
-"""Jobs whose plan differs from their plain SQL: orders without one task, profiles."""
+"""Jobs whose plan differs from their plain SQL: orders without one task, as-of by window, exact intervals."""
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,53 +32,6 @@ SELECT e.event_id, p.previous FROM {events} e JOIN p ON p.user_id = e.user_id AN
     return spark.sql(sql, events=events)
 
 
-#: Offsets of the profiles: half voxels along an axis, steps of 14 degrees about it.
-_OFFSETS, _STEP = range(-3, 4), 14
-
-
-def _moved(axis: str, offset: int) -> list[int | None]:
-    """The nearest voxel that each voxel of a 4 x 4 x 4 grid falls on; None outside."""
-    out = []
-    for p in range(64):
-        at = [p // 16, p // 4 % 4, p % 4]
-        a = "xyz".index(axis[1])
-        if axis[0] == "t":
-            at[a] = at[a] + offset / 2
-        else:
-            c, s = math.cos(math.radians(_STEP * offset)), math.sin(math.radians(_STEP * offset))
-            u, v = (a + 1) % 3, (a + 2) % 3
-            at[u], at[v] = 1.5 + c * (at[u] - 1.5) - s * (at[v] - 1.5), 1.5 + s * (at[u] - 1.5) + c * (at[v] - 1.5)
-        i, j, k = (math.floor(x + 0.5) for x in at)
-        out.append(16 * i + 4 * j + k if min(i, j, k) >= 0 and max(i, j, k) < 4 else None)
-    return out
-
-
-def perturbation_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean product of each volume with itself moved along and about every axis, and its difference from the unmoved one.
-
-    The 42 moves are the same for all scans, so a volume meets them as arrays of voxel numbers; nothing is shuffled.
-    """
-    moves = spark.createDataFrame([(f"{m}{x}", o, _moved(f"{m}{x}", o)) for m in "tr" for x in "xyz" for o in _OFFSETS], "axis string, o int, of array<int>")
-    volumes = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("scan"), F.col("embedding").cast("array<double>").alias("v")).where("size(v) = 64")
-    products = F.zip_with("v", "of", lambda x, p: x * F.get("v", p))
-    total = F.aggregate(products, F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0)))
-    inside = F.size(F.filter("of", lambda p: p.isNotNull()))
-    own = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x) / 64
-    rows = volumes.crossJoin(F.broadcast(moves)).select("scan", "axis", "o", (total / inside).alias("score"), own.alias("own"))
-    return rows.select("scan", "axis", "o", (F.round("score", 6) + 0.0).alias("score"), (F.round(F.col("score") - F.col("own"), 6) + 0.0).alias("minus_header"))
-
-
-_PROFILE_SQL = f"""WITH v AS (SELECT vec_id AS scan, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
-m AS (SELECT axis, o, p, CAST(p // 16 AS DOUBLE) AS i, CAST(p // 4 % 4 AS DOUBLE) AS j, CAST(p % 4 AS DOUBLE) AS k, cos(radians({_STEP} * o)) AS c, sin(radians({_STEP} * o)) AS s
-  FROM (VALUES ('tx'), ('ty'), ('tz'), ('rx'), ('ry'), ('rz')) AS a(axis), range(-3, 4) AS b(o), range(64) AS d(p)),
-q AS (SELECT axis, o, p,
-  floor(CASE axis WHEN 'tx' THEN i + o / 2 WHEN 'ry' THEN 1.5 + s * (k - 1.5) + c * (i - 1.5) WHEN 'rz' THEN 1.5 + c * (i - 1.5) - s * (j - 1.5) ELSE i END + 0.5) AS i,
-  floor(CASE axis WHEN 'ty' THEN j + o / 2 WHEN 'rx' THEN 1.5 + c * (j - 1.5) - s * (k - 1.5) WHEN 'rz' THEN 1.5 + s * (i - 1.5) + c * (j - 1.5) ELSE j END + 0.5) AS j,
-  floor(CASE axis WHEN 'tz' THEN k + o / 2 WHEN 'rx' THEN 1.5 + s * (j - 1.5) + c * (k - 1.5) WHEN 'ry' THEN 1.5 + c * (k - 1.5) - s * (i - 1.5) ELSE k END + 0.5) AS k FROM m),
-r AS (SELECT scan, axis, o, avg(v[p + 1] * v[CAST(16 * i + 4 * j + k AS INTEGER) + 1]) AS score FROM v, q WHERE i BETWEEN 0 AND 3 AND j BETWEEN 0 AND 3 AND k BETWEEN 0 AND 3 GROUP BY scan, axis, o)
-SELECT scan, axis, o, round(score, 6) + 0e0 AS score, round(score - max(CASE WHEN axis = 'tx' AND o = 0 THEN score END) OVER (PARTITION BY scan), 6) + 0e0 AS minus_header FROM r"""
-
-
 def scenario_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rejections of each condition's cells: rate, standard error, exact interval, and how the statistics are spread."""
     cells = run_sql(spark, sf_dir, f"WITH {CELLS} SELECT * FROM cells")
@@ -115,6 +66,5 @@ QUERIES = {
     "sources_sorted": (sources_sorted, f"WITH {manifest(_DUCK)} SELECT CAST(row_number() OVER (ORDER BY relpath) AS BIGINT) AS ord, relpath FROM local"),
     "batch_bucket": (batch_bucket, "SELECT CAST(floor((row_number() OVER (ORDER BY page_id, url) - 1) / 60.0) AS BIGINT) AS batch, page_id, url FROM pages"),
     "generic_asof": (previous_event, "SELECT e.event_id, p.newest AS previous FROM events e ASOF JOIN (SELECT user_id, ts, max(event_id) AS newest FROM events GROUP BY user_id, ts) p ON p.user_id = e.user_id AND p.ts < e.ts"),
-    "perturbation_profile": (perturbation_profile, _PROFILE_SQL),
     "scenario_summary": (scenario_summary, _SUMMARY_SQL),
 }
