@@ -294,19 +294,6 @@ def schema_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "table_name string, position int, name string, kind string, integral boolean")
 
 
-def artifact_reload(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The long table saved as text with a manifest, loaded again, derived columns recomputed, digests compared."""
-    long = materialised(run_sql(spark, sf_dir, f"WITH {REGION_LONG} SELECT subject, roi, thickness, area, ln_area, cond_a, cond_n, cond_r, cond_mean FROM long_table"))
-    schema = "subject int, roi string, thickness double, area double, ln_area double, cond_a double, cond_n double, cond_r double, cond_mean double"
-    saved = read_tsv(spark, write_tsv(long, new_folder(spark, "panel")), schema)
-    require_finite(saved, ["thickness", "area", "cond_mean"], "panel")
-    digest = lambda df: df.select(F.sha2(F.concat_ws("\t", *[F.col(c).cast("string") for c in long.columns]), 256).alias("d"), "subject")
-    rows = saved.withColumn("ln_ok", F.col("ln_area") == F.ln("area")).withColumn("mean_ok", F.col("cond_mean") == (F.col("cond_a") + F.col("cond_n") + F.col("cond_r")) / 3)
-    out = rows.groupBy("subject").agg(F.count("*").alias("n_rows"), F.count_if("ln_ok").alias("ln_rederived"), F.count_if("mean_ok").alias("mean_rederived"))
-    same = digest(saved).join(digest(long).select("d"), "d", "left_semi").groupBy("subject").agg(F.count("*").alias("same_digest"))
-    return out.join(same, "subject")
-
-
 def long_table_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The long table under its contract (raises where broken): complete keys in canonical order, value rules."""
     long = materialised(run_sql(spark, sf_dir, f"WITH {REGION_LONG} SELECT subject, roi, thickness, area, ln_area, cond_a, cond_n, cond_r, cond_mean FROM long_table"))
@@ -382,8 +369,6 @@ SELECT x.origin_z, max(scans) AS scans, label, count(*) AS voxels FROM x JOIN g
     "schema_exact": (schema_exact, """SELECT table_name, CAST(ordinal_position AS INTEGER) AS position, column_name AS name,
   CASE WHEN data_type IN ('BIGINT', 'INTEGER', 'SMALLINT') THEN 'integer' WHEN data_type = 'DOUBLE' THEN 'double' WHEN data_type = 'VARCHAR' THEN 'string' WHEN data_type LIKE 'TIMESTAMP%' THEN 'timestamp' WHEN data_type LIKE '%[]' THEN 'list' ELSE 'other' END AS kind,
   data_type IN ('BIGINT', 'INTEGER', 'SMALLINT') AS integral FROM information_schema.columns WHERE table_name IN (""" + ", ".join(f"'{t}'" for t in TABLES) + ")"),
-    "artifact_reload": (artifact_reload, """WITH k AS (SELECT DISTINCT n_regionkey AS subject, p_brand FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN part ON l_partkey = p_partkey JOIN nation ON c_nationkey = n_nationkey)
-SELECT subject, count(*) AS n_rows, count(*) AS ln_rederived, count(*) AS mean_rederived, count(*) AS same_digest FROM k GROUP BY subject"""),
     "long_table_contract": (long_table_contract, """WITH c AS (SELECT r_name, p_brand AS roi, l_returnflag, avg(l_extendedprice * l_discount / 1000) AS m, sum(l_quantity) AS q, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey
   JOIN customer ON o_custkey = c_custkey JOIN part ON l_partkey = p_partkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON r_regionkey = n_regionkey GROUP BY 1, 2, 3)
 SELECT r_name, roi, dense_rank() OVER (ORDER BY roi) - 1 AS roi_index, round(sum(q) / sum(n), 6) AS thickness, round(sum(m) / 3 + 3.7e-12, 9) AS cond_mean FROM c GROUP BY r_name, roi"""),

@@ -35,13 +35,6 @@ FROM expected e LEFT JOIN local l ON l.relpath = e.relpath""",
 c AS (SELECT CASE WHEN l.relpath IS NULL THEN 'MISSING' WHEN l.bytes <> e.bytes OR l.sha256 <> e.sha256 THEN 'MISMATCH' ELSE 'OK' END AS status FROM expected e LEFT JOIN local l ON l.relpath = e.relpath)
 SELECT count(*) AS files, count(CASE WHEN status = 'OK' THEN 1 END) AS ok, count(CASE WHEN status = 'MISSING' THEN 1 END) AS missing, count(CASE WHEN status = 'MISMATCH' THEN 1 END) AS mismatch,
        count(CASE WHEN status <> 'OK' THEN 1 END) = 0 AS passed FROM c""",
-    # regular files compare by object digest, links (labelled documents) by size and digest; what is in French was not published
-    "published_verify": lambda d: f"""WITH {manifest(d)},
-published AS (SELECT relpath, CASE WHEN l.doc_id IS NOT NULL THEN '120000' ELSE '100644' END AS mode, bytes AS pub_bytes, sha256 AS pub_sha
-              FROM expected e LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l ON l.doc_id = e.doc_id WHERE e.lang <> 'fr')
-SELECT l.relpath, p.mode, CASE WHEN p.relpath IS NULL THEN 'UNPUBLISHED' WHEN p.mode = '120000' AND l.bytes = p.pub_bytes AND l.sha256 = p.pub_sha THEN 'LINK_OK'
-       WHEN p.mode = '100644' AND l.sha256 = p.pub_sha THEN 'FILE_OK' ELSE 'DIFFERENT' END AS verdict
-FROM local l LEFT JOIN published p ON p.relpath = l.relpath""",
     "cross_release_same": lambda d: f"""WITH {manifest(d)}
 SELECT e.relpath, CASE WHEN l.relpath IS NULL THEN NULL ELSE e.sha256 = l.sha256 END AS same_in_copy FROM expected e LEFT JOIN local l ON e.relpath = l.relpath""",
     "roster_reconcile": lambda d: """SELECT CASE WHEN l.doc_id IS NULL THEN 'missing' WHEN d.doc_id IS NULL THEN 'extra' ELSE 'both' END AS side, count(*) AS n, min(coalesce(d.doc_id, l.doc_id)) AS first_id

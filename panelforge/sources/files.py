@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-#: Text that stands for null, so that no other text does.
-NEVER = "\x01"
+#: Text that stands for null, so that no other text does. Not of control characters: writers trim them, and readers skip lines of them.
+NEVER = "\u2400null\u2400"
 
 
-def read_tsv(spark: SparkSession, path: str, schema: str, comment: str | None = None, header: bool = True) -> DataFrame:
+def read_tsv(spark: SparkSession, path: str, schema: str | StructType, comment: str | None = None, header: bool = True) -> DataFrame:
     """Tab-separated text, with a header line unless told otherwise: exact doubles, and "NA" or an empty string stay strings. A malformed row raises."""
     reader = spark.read.option("sep", "\t").option("header", header).option("nullValue", NEVER).option("emptyValue", "").option("mode", "FAILFAST").option("enforceSchema", False)
     return (reader.option("comment", comment) if comment else reader).schema(schema).csv(path)

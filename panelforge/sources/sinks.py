@@ -6,9 +6,10 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from panelforge.functions.shared import scratch_dir
-from panelforge.sources.files import NEVER
+from panelforge.sources.files import NEVER, read_tsv
 
 
 def new_folder(spark: SparkSession, label: str) -> str:
@@ -41,3 +42,20 @@ def write_texts(df: DataFrame, keys: list[str], order: list[str], text: str, pat
     rows = df.select(*keys, *order, F.coalesce(F.col(text), F.lit("")).alias("__text"))
     rows.repartition(*keys).sortWithinPartitions(*keys, *order).select(*keys, "__text").write.partitionBy(*keys).text(path)
     return path
+
+
+def _is_nested(kind) -> bool:
+    return isinstance(kind, (T.ArrayType, T.MapType, T.StructType))
+
+
+def write_nested(df: DataFrame, path: str) -> str:
+    """Delimited text in which arrays, structs and maps are JSON (nulls inside are kept; infinities and NaN are the words that read_nested takes)."""
+    flat = [F.to_json(F.col(f"`{f.name}`"), {"ignoreNullFields": "false"}).alias(f.name) if _is_nested(f.dataType) else F.col(f"`{f.name}`") for f in df.schema.fields]
+    return write_tsv(df.select(*flat), path)
+
+
+def read_nested(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """What write_nested wrote, by its schema; a cell that isn't of its kind raises."""
+    flat = T.StructType([T.StructField(f.name, T.StringType() if _is_nested(f.dataType) else f.dataType) for f in schema.fields])
+    rows = read_tsv(spark, path, flat)
+    return rows.select(*[F.from_json(F.col(f"`{f.name}`"), f.dataType, {"mode": "FAILFAST"}).alias(f.name) if _is_nested(f.dataType) else F.col(f"`{f.name}`") for f in schema.fields])

@@ -180,12 +180,13 @@ def test_transforms_against_numpy(spark):
 
 
 def test_components_and_distances_on_a_winding_mask(spark):
-    from panelforge.jobs.relations import component_sizes
+    from panelforge.jobs.volumes import clusters
 
-    path = [(i, j, 0) for j in (0, 2) for i in range(4)] + [(3, 1, 0)] + [(0, j, 2) for j in range(4)]  # a U of nine voxels, and a bar
-    mask = spark.createDataFrame([(1, *v, 16 * v[0] + 4 * v[1] + v[2]) for v in path] + [(2, i, j, k, 16 * i + 4 * j + k) for i in range(4) for j in range(4) for k in range(4)], "scan long, i int, j int, k int, p int")
-    assert {(r.scan, r.component, r.size) for r in component_sizes(mask).collect()} == {(1, 0, 9), (1, 2, 4), (2, 0, 64)}
-    assert component_sizes(mask.limit(0)).count() == 0
+    path = {(i, j, 0) for j in (0, 2) for i in range(4)} | {(3, 1, 0)} | {(0, j, 2) for j in range(4)}  # a U of nine voxels, and a bar
+    cells = [(i, j, k) for i in range(4) for j in range(4) for k in range(4)]
+    volumes = spark.createDataFrame([(1, [c in path for c in cells], [4, 4, 4]), (2, [True] * 64, [4, 4, 4])], "scan long, mask array<boolean>, shape array<int>")
+    assert {(r.scan, r.component, r.size) for r in clusters(volumes).collect()} == {(1, 0, 9), (1, 2, 4), (2, 0, 64)}
+    assert clusters(volumes.limit(0)).count() == 0
 
 
 def test_stream_equals_batch(spark, small):
