@@ -27,6 +27,7 @@ import zlib
 from collections import OrderedDict
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.fs
 from pyspark.sql import DataFrame
@@ -45,8 +46,8 @@ SHARD = 1 << 22
 CHUNK = 1 << 22
 #: Chunks after which mapped pages are given back.
 CHUNKS = 8
-#: Bytes of level files that a process keeps where they can't be mapped.
-HELD = 1 << 28
+#: Bytes of level files that a process keeps where they can't be mapped, and files that it keeps mapped.
+HELD, MAPPED = 1 << 28, 256
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _OPEN: OrderedDict[str, tuple[dict[str, np.ndarray], mmap.mmap | None, int]] = OrderedDict()
@@ -62,6 +63,12 @@ def _local(path: str) -> str | None:
     return path if path.startswith("/") else None
 
 
+def _qualified(spark, path: str) -> str:
+    """The path with the scheme of the file system that Spark takes it for: on a cluster, one without a scheme isn't a local one."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toString()
+
+
 def write_level(path: str, parts: dict[str, np.ndarray]) -> None:
     """Write arrays as one file (under a temporary name first: a retried task leaves no half file)."""
     at, index = 0, {}
@@ -103,7 +110,8 @@ def open_level(path: str) -> dict[str, np.ndarray]:
         index = json.loads(bytes(raw[8 : 8 + n]))
         arrays = {k: raw[8 + n + at : 8 + n + at + size * np.dtype(kind).itemsize].view(kind) for k, (kind, at, size) in index.items()}
         _OPEN[path] = arrays, mapped, 0 if mapped else raw.size
-        while sum(x[2] for x in _OPEN.values()) > HELD and len(_OPEN) > 1:
+        # the mapping of a file that is let go closes, and its descriptor with it, when the last array on it goes
+        while (sum(x[2] for x in _OPEN.values()) > HELD or len(_OPEN) > MAPPED) and len(_OPEN) > 1:
             _OPEN.popitem(last=False)
     _OPEN.move_to_end(path)
     return _OPEN[path][0]
@@ -250,8 +258,8 @@ class Successors:
     def _shard(self, s: int) -> dict[str, np.ndarray]:
         return open_level(f"{self.folder}/{self.name}-{self.files[s]}.level")
 
-    def find(self, ctx: np.ndarray, successor: np.ndarray):
-        """Of pairs: place (-1: absent) and probability (0); of their contexts: pointer (place of the first successor) and back-off weight (0 and 1 if absent)."""
+    def find(self, ctx: np.ndarray, successor: np.ndarray, pointers: bool = True):
+        """Of pairs, equal contexts next to each other: place (-1: absent) and probability (0); of their contexts: pointer (place of the first successor; 0 where not asked for) and back-off weight (0 and 1 if absent)."""
         place, p = np.full(ctx.size, -1, np.int64), np.zeros(ctx.size)
         pointer, backoff = np.zeros(ctx.size, np.int64), np.ones(ctx.size)
         live = np.flatnonzero(ctx >= 0)
@@ -269,13 +277,18 @@ class Successors:
             if s < 0:
                 continue
             parts, rows = self._shard(s), live[x:y]
-            own, back = np.unique(ctx[rows] - self.cuts.context[s], return_inverse=True)
+            own = ctx[rows] - self.cuts.context[s]
+            new = np.concatenate(([True], own[1:] != own[:-1]))
+            own, back = own[new], np.cumsum(new) - 1
             row = EliasFano.of(parts, "context").find(own)
             known = row >= 0
-            first, weight = np.zeros(own.size, np.int64), np.ones(own.size)
-            first[known] = EliasFano.of(parts, "pointers").access(row[known]).astype(np.int64) + self.bases[s]
+            weight = np.ones(own.size)
             weight[known] = _decode(parts["backoff"][row[known]])
-            pointer[rows], backoff[rows] = first[back], weight[back]
+            backoff[rows] = weight[back]
+            if pointers:
+                first = np.zeros(own.size, np.int64)
+                first[known] = EliasFano.of(parts, "pointers").access(row[known]).astype(np.int64) + self.bases[s]
+                pointer[rows] = first[back]
             row = row[back]
             ask = (row >= 0) & (successor[rows] >= 0)
             rows, row = rows[ask], row[ask]
@@ -317,8 +330,10 @@ class Model:
 
     def numbers(self, hashes: np.ndarray):
         """Number and count of each token."""
-        own, back = np.unique(hashes, return_inverse=True)
-        number, count = self.words.find(own)
+        back, own = pd.factorize(hashes)
+        order = np.argsort(own)
+        number, count = np.empty((2, own.size), np.int64)
+        number[order], count[order] = self.words.find(own[order])
         return number[back], count[back]
 
     def previous(self, number: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -356,7 +371,7 @@ class Model:
             p = p2 + backoff * p1
             if self.triples is not None:
                 a, b, back = _distinct(self.pair_contexts(place, sizes), relative)
-                _, p3, _, weight = self.triples.find(a, b)
+                _, p3, _, weight = self.triples.find(a, b, pointers=False)
                 p = p3[back] + weight[back] * p
         release()
         return sizes, total((count > 0).astype(np.int64)), total(np.log10(p1)), total(np.log10(p))
@@ -530,7 +545,7 @@ def train(docs: DataFrame, folder: str | None = None, least: int = 1, shard: int
     entry, and the first entries of the next level's shards.
     """
     spark = docs.sparkSession
-    folder = folder or f"{shared_dir(spark)}/ngrams-{uuid.uuid4().hex}"
+    folder = _qualified(spark, folder or f"{shared_dir(spark)}/ngrams-{uuid.uuid4().hex}")
     docs = docs.select("doc_id", "text")
     volume = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     ranges = max(1, volume // (24 * shard))

@@ -716,3 +716,28 @@ def test_the_query_stores_ngrams_seen_once(spark, tmp_path):
     two = (1 - DISCOUNT) + DISCOUNT * p
     three = (1 - DISCOUNT) + DISCOUNT * two
     assert abs(got.score - (math.log10(two) + 3 * math.log10(three))) < 0.01
+
+
+def test_levels_are_closed_again(tmp_path, monkeypatch):
+    """More shards than a process may keep open: the oldest mappings are closed, and read again when asked for."""
+    import os
+
+    from panelforge.llm import ngram_trie
+
+    monkeypatch.setattr(ngram_trie, "MAPPED", 5)
+    ngram_trie._OPEN.clear()
+    paths = [f"file:{tmp_path}/level-{i}.level" for i in range(40)]
+    for i, p in enumerate(paths):
+        ngram_trie.write_level(p, {"x": np.arange(i + 1)})
+    before = len(os.listdir("/proc/self/fd"))
+    for _ in range(2):
+        for i, p in enumerate(paths):
+            assert ngram_trie.open_level(p)["x"].tolist() == list(range(i + 1))
+    assert len(ngram_trie._OPEN) == 5 and len(os.listdir("/proc/self/fd")) <= before + 6
+    ngram_trie._OPEN.clear()
+
+
+def test_paths_without_a_scheme_are_spark_s(spark):
+    from panelforge.llm.ngram_trie import _qualified
+
+    assert _qualified(spark, "/x/y") == "file:/x/y" and _qualified(spark, "file:/x") == "file:/x"
