@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,7 +15,8 @@ from panelforge.functions.distances import along, of_planes
 from panelforge.functions.quantiles import exact_quantiles
 from panelforge.functions.resampling import resampled, voxel_map
 from panelforge.functions.shared import materialised
-from panelforge.sources.adapters import DuckDialect, GRID
+from panelforge.operators import aggregates
+from panelforge.sources.adapters import GRID, LONG, DuckDialect, SparkDialect, run_sql
 
 _DUCK = DuckDialect()
 
@@ -187,8 +190,51 @@ def exact_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("grp").agg(*[F.round(F.max(F.when(F.col("share") == s, F.col("value"))), 6).alias(n) for n, s in _SHARES.items()])
 
 
+class _Selected(SparkDialect):
+    """Spark's spellings, with quantiles that were selected beforehand: deciles in a view, the median as a number."""
+
+    def __init__(self, view: str = "", middle: float | None = None):
+        self.view, self.middle = view, middle
+
+    def deciles(self, x: str) -> str:
+        return f"SELECT * FROM {self.view}"
+
+    def median(self, x: str) -> str:
+        return f"CAST({self.middle!r} AS DOUBLE)" if self.middle is not None else "CAST(NULL AS DOUBLE)"
+
+
+def _by_deciles(name: str, value: str):
+    """The query of that name with each scan's deciles of value found by selection."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        values = _scans(spark, sf_dir).select("scan", F.explode("values").alias("value")).select("scan", F.expr(value).alias("value"))
+        found = exact_quantiles(values, ["scan"], "value", [0.1, 0.9])
+        share = lambda s: F.max(F.when(F.col("share") == s, F.col("value")))
+        view = f"deciles_{uuid.uuid4().hex}"
+        found.groupBy("scan").agg(share(0.1).alias("q10"), share(0.9).alias("q90")).createOrReplaceTempView(view)
+        out = run_sql(spark, sf_dir, aggregates.BOOK[name](_Selected(view)))
+        spark.catalog.dropTempView(view)
+        return out
+
+    return run
+
+
+def validity_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The summary of the long table, with the median over all its rows found by selection."""
+    long = materialised(run_sql(spark, sf_dir, f"WITH {LONG} SELECT cond_mean FROM long_table"))
+    middle = exact_quantiles(long, [], "cond_mean", [0.5]).first()
+    return run_sql(spark, sf_dir, aggregates.BOOK["validity_summary"](_Selected(middle=middle.value if middle else None)))
+
+
+def _plain(name: str) -> str:
+    return str(aggregates.BOOK[name](_DUCK))
+
+
 #: name -> (job, SQL)
 QUERIES = {
+    "zero_scan": (_by_deciles("zero_scan", "greatest(value, 0D)"), _plain("zero_scan")),
+    "decile_rates": (_by_deciles("decile_rates", "value"), _plain("decile_rates")),
+    "validity_summary": (validity_summary, _plain("validity_summary")),
     "nn_resample": (nn_resample, _NEAREST),
     "trilinear_sample": (trilinear_sample, _BETWEEN),
     "exact_percentiles": (exact_percentiles, f"WITH {_DUCK.voxels}{GRID} SELECT grp, " + ", ".join(f"round({_DUCK.pct('value', p)}, 6) AS {n}" for n, p in _SHARES.items()) + " FROM grid GROUP BY grp"),

@@ -24,7 +24,7 @@ SELECT count(*) AS cells, count(CASE WHEN n_zero < 0 OR n_zero > n_voxels THEN 1
 SELECT count(*) AS n_rows, count(DISTINCT subject) AS subjects, count(DISTINCT roi) AS rois,
        count(*) - count(DISTINCT concat(CAST(subject AS VARCHAR(20)), '|', roi)) AS duplicate_keys,
        count(CASE WHEN thickness IS NULL OR isnan(thickness) THEN 1 END) AS bad_thickness,
-       round(min(cond_mean) + 3.7e-12, 9) AS low, round({d.pct('cond_mean', 0.5)}, 6) AS median, round(max(cond_mean) + 3.7e-12, 9) AS high,
+       round(min(cond_mean) + 3.7e-12, 9) AS low, round({d.median('cond_mean')}, 6) AS median, round(max(cond_mean) + 3.7e-12, 9) AS high,
        count(CASE WHEN cond_a = cond_n AND cond_n = cond_r THEN 1 END) AS identical_across_conditions FROM long_table""",
     "range_by_condition": lambda d: f"""WITH {CELLS}
 SELECT condition, round(min(roi_mean) + 3.7e-12, 9) AS low, round({d.pct('roi_mean', 0.5)}, 6) AS median, round(max(roi_mean) + 3.7e-12, 9) AS high,
@@ -57,12 +57,12 @@ SELECT scan, count(*) AS n, round(avg(CASE WHEN isnan(value) THEN 0e0 ELSE 1e0 E
        round(avg(CASE WHEN level <> 0 THEN 1e0 ELSE 0e0 END), 6) AS frac_nonzero, count(CASE WHEN value < 0 THEN 1 END) AS n_negative
 FROM grid GROUP BY scan""",
     "zero_scan": lambda d: f"""WITH {d.voxels}{GRID},
-q AS (SELECT scan, {d.pct('level', 0.1)} AS q10, {d.pct('level', 0.9)} AS q90 FROM grid GROUP BY scan)
+q AS ({d.deciles('level')})
 SELECT grid.scan, count(CASE WHEN level = 0 THEN 1 END) AS zeros, round(max(q10), 6) AS q10, round(max(q90), 6) AS q90,
        count(CASE WHEN level < 0.02 THEN 1 END) AS below_02, count(CASE WHEN level < 0.1 THEN 1 END) AS below_1,
        round(avg(CASE WHEN level >= q90 THEN level END), 6) AS top_mean FROM grid JOIN q ON grid.scan = q.scan GROUP BY grid.scan""",
     "decile_rates": lambda d: f"""WITH {d.voxels}{GRID},
-q AS (SELECT scan, {d.pct('value', 0.1)} AS q10, {d.pct('value', 0.9)} AS q90 FROM grid GROUP BY scan)
+q AS ({d.deciles('value')})
 SELECT grid.scan, round(avg(CASE WHEN value <= q10 THEN CASE WHEN level = 0 THEN 1e0 ELSE 0e0 END END), 6) AS bottom,
        round(avg(CASE WHEN value > q10 AND value < q90 THEN CASE WHEN level = 0 THEN 1e0 ELSE 0e0 END END), 6) AS middle,
        round(avg(CASE WHEN value >= q90 THEN CASE WHEN level = 0 THEN 1e0 ELSE 0e0 END END), 6) AS top

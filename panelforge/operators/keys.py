@@ -14,7 +14,7 @@ subjects AS (SELECT subject, row_number() OVER (ORDER BY subject) - 1 AS si FROM
 rois AS (SELECT roi, row_number() OVER (ORDER BY roi) - 1 AS ri FROM (SELECT DISTINCT roi FROM cells) b)
 SELECT CAST(si AS BIGINT) AS subject_index, CAST(ri AS BIGINT) AS roi_index, m.subject, m.roi, round(m.thickness, 6) AS thickness
 FROM subjects CROSS JOIN rois LEFT JOIN mri m ON m.subject = subjects.subject AND m.roi = rois.roi""",
-    "missing_keys": lambda d: f"""WITH {EVENTS},
+    "missing_keys": lambda d: f"""WITH {EVENTS.replace("floor((day(ts) - 1) / 10.0)", "day(ts)")},
 want AS (SELECT u.user_id, r.roi, p.part FROM (SELECT DISTINCT user_id FROM ev) u CROSS JOIN (SELECT DISTINCT roi FROM ev) r CROSS JOIN (SELECT DISTINCT part FROM ev) p)
 SELECT w.user_id, w.roi, w.part FROM want w WHERE NOT EXISTS (SELECT 1 FROM ev WHERE ev.user_id = w.user_id AND ev.roi = w.roi AND ev.part = w.part)""",
     "extra_keys": lambda d: """SELECT d.doc_id FROM documents d LEFT ANTI JOIN labels l ON d.doc_id = l.doc_id""" if d.name == "spark" else """SELECT d.doc_id FROM documents d ANTI JOIN labels l ON d.doc_id = l.doc_id""",

@@ -21,6 +21,14 @@ class SparkDialect:
     def pct(self, x: str, p: float) -> str:
         return f"percentile({x}, {p})"
 
+    def deciles(self, x: str) -> str:
+        """Relation (scan, q10, q90) of the grid's values."""
+        return f"SELECT scan, {self.pct(x, 0.1)} AS q10, {self.pct(x, 0.9)} AS q90 FROM grid GROUP BY scan"
+
+    def median(self, x: str) -> str:
+        """Median over all rows of the query."""
+        return self.pct(x, 0.5)
+
     def joined(self, x: str, order: str | None = None, sep: str = ";") -> str:
         return f"listagg({x}, '{sep}') WITHIN GROUP (ORDER BY {order or x})"
 
