@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
-import hashlib
-import json
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelforge.functions import draws
+from panelforge.functions.draws import assignment_blocks
 from panelforge.functions.nested_loso import Panel, assignments
 from panelforge.functions.ordering import numbered
 from panelforge.functions.shared import materialised
 from panelforge.functions.special import clopper_pearson, with_exact_interval
 from panelforge.jobs.relations import exact_interval_sql
 from panelforge.sources.adapters import PANEL, run_sql
+from panelforge.sources.artifact import exists
 from panelforge.sources.sinks import new_folder
 
 #: Seeds of the test and of the study, and the generator's scales.
@@ -41,9 +41,8 @@ def panel_of(spark: SparkSession, sf_dir: str) -> tuple[list, list[list[int]], n
     return subjects, strata, x, cells["y"].to_numpy().reshape(shape)
 
 
-def null_statistics(spark: SparkSession, panel: Panel, donors: np.ndarray) -> DataFrame:
-    """(replicate, t, evaluated): each distinct assignment is evaluated once, its repeats are joined back."""
-    rows = spark.createDataFrame([(b, row.tolist()) for b, row in enumerate(donors)], "replicate long, donors array<int>")
+def null_statistics(spark: SparkSession, panel: Panel, rows: DataFrame) -> DataFrame:
+    """(replicate, t, evaluated) of rows (replicate, donors): each distinct assignment is evaluated once, its repeats are joined back."""
     distinct = rows.groupBy("donors").agg(F.min("replicate").alias("first"))
     tasks = max(8, spark.sparkContext.defaultParallelism)
 
@@ -62,7 +61,7 @@ def permutation_seeded(spark: SparkSession, sf_dir: str, replicates: int = REPLI
     _, strata, x, y = panel_of(spark, sf_dir)
     panel = Panel(x, y)
     observed = panel.statistic()
-    null = null_statistics(spark, panel, assignments(strata, replicates, SEED))
+    null = null_statistics(spark, panel, materialised(assignment_blocks(spark, strata, replicates, SEED)))
     k, b, evaluated = null.agg(F.count_if(F.col("t") >= observed), F.count("*"), F.count_if("evaluated")).first()
     low, high = clopper_pearson(k, b)
     return spark.createDataFrame([(observed, k, b, evaluated, (1 + k) / (b + 1), low, high)], "t_obs double, k long, b long, n_evaluations long, p_value double, low double, high double")
@@ -71,18 +70,15 @@ def permutation_seeded(spark: SparkSession, sf_dir: str, replicates: int = REPLI
 def assignment_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(replicate, outcome, donor) of the seeded assignments, subjects by their keys."""
     subjects, strata, _, _ = panel_of(spark, sf_dir)
-    donors = assignments(strata, REPLICATES, SEED)
-    rows = spark.createDataFrame([(b, row.tolist()) for b, row in enumerate(donors)], "replicate long, donors array<int>")
+    rows = assignment_blocks(spark, strata, REPLICATES, SEED)
     names = F.array(*[F.lit(int(s)) for s in subjects])
     return rows.select("replicate", F.posexplode("donors").alias("o", "d")).select("replicate", F.get(names, "o").alias("outcome"), F.get(names, "d").alias("donor"))
 
 
 def assignment_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SHA-256 over a JSON header line and the little-endian donors."""
+    """Digest of the seeded assignments."""
     subjects, strata, _, _ = panel_of(spark, sf_dir)
-    donors = assignments(strata, REPLICATES, SEED)
-    head = json.dumps({"dtype": "<i8", "shape": list(donors.shape), "subjects": [int(s) for s in subjects]}, sort_keys=True).encode()
-    return spark.createDataFrame([(len(donors), hashlib.sha256(head + b"\n" + donors.astype("<i8").tobytes()).hexdigest())], "b long, sha256 string")
+    return spark.createDataFrame([(REPLICATES, draws.digest([int(s) for s in subjects], strata, REPLICATES, SEED))], "b long, sha256 string")
 
 
 def clopper_pearson_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -163,7 +159,7 @@ _RECORDS: dict[tuple, str] = {}
 def study(spark: SparkSession, sf_dir: str, preset: str = "full", regions: int = 25) -> DataFrame:
     """Records of the study on the cohort's own strata. They are written once a session and read by all that sums them up."""
     key = (spark.sparkContext.applicationId, sf_dir, preset, regions)
-    if key not in _RECORDS:
+    if key not in _RECORDS or not exists(spark, _RECORDS[key]):
         path = new_folder(spark, "study")
         simulated(spark, _cohort(spark, sf_dir), regions, preset).write.parquet(path)
         _RECORDS[key] = path
@@ -222,7 +218,7 @@ def text_diff_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
 
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", F.regexp_replace("text", "[.] ", ".\n").alias("text"))
-    turns = turns.withColumn("before", F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))).where("before is not null")
+    turns = turns.withColumn("last", F.lag(F.struct("text")).over(Window.partitionBy("conv_id").orderBy("turn"))).where("last is not null").withColumn("before", F.col("last.text"))
 
     @F.pandas_udf("struct<added: int, removed: int>")
     def changed(a: pd.Series, b: pd.Series) -> pd.DataFrame:

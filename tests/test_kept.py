@@ -116,3 +116,19 @@ def test_nested_cells_round_trip(spark, tmp_path):
     (tmp_path / "bad" / "x.csv").write_text("k\txs\tm\ts\na\t[1,\t{}\t{}\n")
     with pytest.raises(Exception, match="(?i)malformed|parse"):
         read_nested(spark, str(tmp_path / "bad"), df.schema).collect()
+
+
+def test_blocks_draw_what_one_stream_draws(spark):
+    """Redrawn blocks equal the whole stream; the digest is that of all donors at once, whatever the block."""
+    import numpy as np
+
+    from panelforge.functions.draws import assignment_blocks, digest
+    from panelforge.functions.nested_loso import assignments
+
+    strata = [[4, 0, 2], [1, 3], [5]]
+    whole = assignments(strata, 57, 20260929)
+    for block in (10, 57, 500):
+        got = sorted(assignment_blocks(spark, strata, 57, 20260929, block).collect())
+        assert [r.replicate for r in got] == list(range(57)) and (np.array([r.donors for r in got]) == whole).all()
+        head = json.dumps({"dtype": "<i8", "shape": [57, 6], "subjects": list("abcdef")}, sort_keys=True).encode() + b"\n"
+        assert digest(list("abcdef"), strata, 57, 20260929, block) == hashlib.sha256(head + whole.astype("<i8").tobytes()).hexdigest()
