@@ -112,17 +112,20 @@ def decode(data: bytes) -> np.ndarray:
 
 
 def area_resize(a: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Area average of each target cell, fractional edges included, from one integral image (float64)."""
-    a = a.astype(np.float64)
-    for axis, n in ((0, height), (1, width)):
-        total = np.concatenate([np.zeros_like(a.take([0], axis)), a.cumsum(axis)], axis)
-        edges = np.arange(n + 1) * (a.shape[axis] / n)
-        low = np.minimum(edges.astype(np.int64), a.shape[axis])
-        part = (edges - low).reshape([-1 if i == axis else 1 for i in range(a.ndim)])
-        at = total.take(low, axis)
-        at += part * (total.take(np.minimum(low + 1, a.shape[axis]), axis) - at)
-        a = np.diff(at, axis=axis) * (n / a.shape[axis])
-    return a
+    """Area average of each target cell, fractional edges included, from one integral image (float64) read between its entries at the cells' corners."""
+    h, w = a.shape[:2]
+    total = np.zeros((h + 1, w + 1, *a.shape[2:]))
+    np.cumsum(np.cumsum(a, axis=0, dtype=np.float64), axis=1, out=total[1:, 1:])
+
+    def corners(x: np.ndarray, n: int) -> np.ndarray:
+        """x, along its first axis, at n + 1 places spread evenly over it."""
+        edges = np.arange(n + 1) * ((len(x) - 1) / n)
+        low = np.minimum(edges.astype(np.int64), len(x) - 1)
+        part = (edges - low).reshape(-1, *[1] * (x.ndim - 1))
+        return x[low] + part * (x[np.minimum(low + 1, len(x) - 1)] - x[low])
+
+    at = corners(corners(total, height).swapaxes(0, 1), width).swapaxes(0, 1)
+    return np.diff(np.diff(at, axis=0), axis=1) * (height * width / (h * w))
 
 
 def dhash(a: np.ndarray) -> str:
