@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from panelforge.functions.boosting import boosted
 from panelforge.functions.shared import materialised
+from panelforge.jobs.ridge import complete
 from panelforge.sources.adapters import PANEL, run_sql
 
 #: The candidates.
@@ -49,6 +50,8 @@ def losses(panel: DataFrame, leaves=LEAVES, rounds=ROUNDS) -> DataFrame:
         return pd.DataFrame(rows, columns=["o", "v", "leaves", "rounds", "loss"])
 
     kind = panel.schema["s"].dataType.simpleString()
+    parts = min(subjects.count() * batches.count() * len(leaves), 8 * max(8, panel.sparkSession.sparkContext.defaultParallelism))
+    cells = cells.repartition(parts, "o", "batch", "leaves")  # groups are work, not bytes
     return cells.groupBy("o", "batch", "leaves").applyInPandas(fit, f"o {kind}, v {kind}, leaves int, rounds int, loss double")
 
 
@@ -68,9 +71,10 @@ def chosen(found: DataFrame) -> DataFrame:
 
 
 def sens_hgbr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Boosted trees on the order panel, four candidates by nested leave-one-subject-out."""
-    panel = materialised(run_sql(spark, sf_dir, f"WITH {PANEL} SELECT s, r, x1, x2, y FROM panel"))
-    return chosen(losses(panel))
+    """Boosted trees on the order panel (regions that some subject lacks are left out), four candidates by nested leave-one-subject-out."""
+    full = "SELECT r FROM panel GROUP BY r HAVING count(*) = (SELECT count(DISTINCT s) FROM panel)"
+    panel = materialised(run_sql(spark, sf_dir, f"WITH {PANEL} SELECT s, r, x1, x2, y FROM panel WHERE r IN ({full})"))
+    return chosen(losses(complete(panel)))
 
 
 QUERIES = {"sens_hgbr": (sens_hgbr, None)}

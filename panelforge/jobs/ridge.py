@@ -16,11 +16,12 @@ from panelforge.functions.symmetric import eigen, rank, solution
 from panelforge.operators.model import GRID, LAMBDAS, SELECTED
 from panelforge.sources.adapters import Chain, run_sql
 
-#: A panel of five features a cell: quantity, log price, discount, tax, log count.
+#: A panel of five features a cell: quantity, log price, discount, tax, log count. Regions that some subject lacks are left out.
 FIVE = Chain([
-    ("panel5", """  SELECT c_nationkey AS s, p_brand AS r, avg(CAST(l_quantity AS DOUBLE)) AS x0, ln(sum(CAST(l_extendedprice AS DOUBLE))) AS x1, avg(CAST(l_discount AS DOUBLE)) AS x2, avg(CAST(l_tax AS DOUBLE)) AS x3,
+    ("cells5", """  SELECT c_nationkey AS s, p_brand AS r, avg(CAST(l_quantity AS DOUBLE)) AS x0, ln(sum(CAST(l_extendedprice AS DOUBLE))) AS x1, avg(CAST(l_discount AS DOUBLE)) AS x2, avg(CAST(l_tax AS DOUBLE)) AS x3,
          ln(CAST(count(*) AS DOUBLE)) AS x4, avg(l_extendedprice * l_discount / 1000) AS y
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN part ON l_partkey = p_partkey GROUP BY c_nationkey, p_brand"""),
+    ("panel5", "SELECT * FROM cells5 WHERE r IN (SELECT r FROM cells5 GROUP BY r HAVING count(*) = (SELECT count(DISTINCT s) FROM cells5))"),
 ])
 
 
