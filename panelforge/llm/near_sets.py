@@ -7,8 +7,10 @@ differ independently, one in a thousand pairs at 4/5 is missed, fewer above; up
 
 Candidates only tell which sets may belong together: each connected group of them is cut into cells of bounded size,
 in which the sets themselves are searched breadth first for links. A group of more than one cell is first searched cell
-by cell, its least member being in all of them; where that leaves several components, the members that may be linked
-across components meet in a cell for each two blocks. Equal sets are one node throughout, equal fingerprints one candidate.
+by cell, its least member being in all of them; where that leaves several components, those outside the largest one
+that may be linked to another meet all others in cells. Crowded table entries are resolved likewise. So a family of any
+size costs one pass, and only what it leaves over is met again. Equal sets are one node throughout (their hashes are
+compared with second ones; should two sets share one, all are hashed anew), equal fingerprints one candidate.
 """
 
 from __future__ import annotations
@@ -28,11 +30,11 @@ from panelforge.llm.simhash import shingles
 SIZES = [(21, 16, 8), (25, 20, 13), (29, 24, 20), (33, 28, 31), (64, 32, 48)]
 #: Share of bits that differ between sets of similarity 4/5 (arccos(8/9) / pi), and how much above it candidates may be.
 DIFFER, ROOM = 0.1516, 1.85
-#: Fingerprints of an entry that one task compares; of a larger entry each two blocks of so many.
+#: Fingerprints of an entry that one task compares; a larger entry is cut into blocks of half as many.
 ENTRY = 1 << 18
 #: Shingles of the members of a group that one block holds; two blocks are compared in a task.
 BLOCK = 1 << 20
-#: Nodes whose keys may be broadcast.
+#: Rows of a few numbers that may be broadcast.
 SMALL = 1 << 21
 
 
@@ -61,8 +63,13 @@ def set_fingerprint(own: np.ndarray, words: int) -> np.ndarray:
     return out
 
 
-def _node(own: np.ndarray) -> int:
-    return xxhash.xxh64_intdigest(own.tobytes()) - (1 << 63)
+def _node(own: np.ndarray, salt: int = 0) -> int:
+    return xxhash.xxh64_intdigest(own.tobytes(), salt) - (1 << 63)
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """df (materialised) for the small side of a join: broadcast if it is small indeed, else the join shuffles."""
+    return F.broadcast(df) if df.count() <= SMALL else df
 
 
 def _candidate(fps: np.ndarray) -> np.ndarray:
@@ -88,22 +95,22 @@ def _mapped(docs: DataFrame, n: int, seed: int, columns: dict[str, str], make) -
     return docs.select("text", *rest).mapInArrow(run, schema)
 
 
-def with_fingerprints(docs: DataFrame, n: int, seed: int, words: int) -> DataFrame:
-    """docs without text, with its set's node (its hash), size n, candidate number and fingerprint f0, f1, ... Null texts have an empty set."""
+def with_fingerprints(docs: DataFrame, n: int, seed: int, words: int, salt: int = 0) -> DataFrame:
+    """docs without text, with its set's node (its hash), a second hash, size n, candidate number and fingerprint f0, f1, ... Null texts have an empty set."""
 
     def make(sets):
         fps = np.array([set_fingerprint(s, words) for s in sets], np.uint64).reshape(-1, words)
-        return [pa.array([_node(s) for s in sets], pa.int64()), pa.array([s.size for s in sets], pa.int64()), pa.array(_candidate(fps)), *[pa.array(np.ascontiguousarray(c).view(np.int64)) for c in fps.T]]
+        return [*[pa.array([_node(s, x) for s in sets], pa.int64()) for x in (salt, ~salt & 0xFFFFFFFF)], pa.array([s.size for s in sets], pa.int64()), pa.array(_candidate(fps)), *[pa.array(np.ascontiguousarray(c).view(np.int64)) for c in fps.T]]
 
-    return _mapped(docs, n, seed, {"node": "long", "n": "long", "candidate": "long"} | {f"f{j}": "long" for j in range(words)}, make)
+    return _mapped(docs, n, seed, {"node": "long", "second": "long", "n": "long", "candidate": "long"} | {f"f{j}": "long" for j in range(words)}, make)
 
 
-def with_sets(docs: DataFrame, n: int, seed: int = 42) -> DataFrame:
+def with_sets(docs: DataFrame, n: int, seed: int = 42, salt: int = 0) -> DataFrame:
     """docs without text, with its set's node and sorted shingles."""
 
     def make(sets):
         ends = np.cumsum([0, *map(len, sets)])
-        return [pa.array([_node(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.empty(0, np.int64), *sets])))]
+        return [pa.array([_node(s, salt) for s in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.empty(0, np.int64), *sets])))]
 
     return _mapped(docs, n, seed, {"node": "long", "shingles": "array<long>"}, make)
 
@@ -156,15 +163,14 @@ def _pairwise(fps: np.ndarray, distance: int, blocks: int = 1 << 22):
 
 
 def _entries(words: int, distance: int, limit: int):
-    """Arrow function over (key, f0, ...) sorted by key: edges (a, b) of candidate numbers; members of larger entries pass through with their key."""
+    """Arrow function over (key, f0, ...) sorted by key: edges (a, b) of candidate numbers; members of larger entries pass through with their key, their number in b."""
     names = ["a", "b", "key", *[f"f{j}" for j in range(words)]]
 
     def edges(a, b):
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *[pa.nulls(a.size, pa.int64())] * (1 + words)], names=names)
 
     def members(key, fps):
-        none = pa.nulls(len(fps), pa.int64())
-        return pa.RecordBatch.from_arrays([none, none, pa.array(key), *[pa.array(np.ascontiguousarray(c).view(np.int64)) for c in fps.T]], names=names)
+        return pa.RecordBatch.from_arrays([pa.nulls(len(fps), pa.int64()), pa.array(_candidate(fps)), pa.array(key), *[pa.array(np.ascontiguousarray(c).view(np.int64)) for c in fps.T]], names=names)
 
     def resolve(key, fps):
         own = _candidate(fps)
@@ -210,23 +216,48 @@ def candidate_edges(fps: DataFrame, sizes: tuple[int, int, int, int], limit: int
     bits, segments, words, distance = sizes
     schema = "a long, b long, key long, " + ", ".join(f"f{j} long" for j in range(words))
     f = [f"f{j}" for j in range(words)]
-    rows = probes(fps.select(*f).distinct(), bits, segments, words).repartition("key").sortWithinPartitions("key")
-    found = stage(rows.mapInArrow(_entries(words, distance, limit), schema), "near-entries")
+    rows = probes(fps.select(*f).distinct(), bits, segments, words)
+    found = stage(_by_key(rows, _entries(words, distance, limit), schema), "near-entries")
     edges = found.where("key is null").select("a", "b")
-    crowded = found.where("key is not null").select("key", *f)
-    if not crowded.isEmpty():  # each two blocks of such an entry share a cell of bounded size
-        blocks = crowded.groupBy("key").agg(F.ceil(F.count("*") / F.lit(limit // 2)).cast("int").alias("blocks"))
-        cells = _met(crowded.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64(*f), F.col("blocks")).cast("int")), *f)
-        cells = cells.select(F.col("cell").alias("key"), *f).repartition("key").sortWithinPartitions("key")
-        edges = edges.unionByName(cells.mapInArrow(_entries(words, distance, 1 << 62), schema).select("a", "b"))
-    return edges
+    crowded = found.where("key is not null").select("key", F.col("b").alias("candidate"), *f)
+    if crowded.isEmpty():
+        return edges
+    blocks = checkpoint(crowded.groupBy("key").agg(F.ceil(F.count("*") / F.lit(limit // 2)).cast("int").alias("blocks"), F.min("candidate").alias("pivot")))
+    block = F.when(F.col("candidate") == F.col("pivot"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("candidate"), F.col("blocks")).cast("int")))
+    dealt = crowded.join(_small(blocks), "key").select("key", *f, F.explode(block).alias("block"))
+    whole = _entries(words, distance, 1 << 62)
+    first = _by_key(dealt.select(F.xxhash64("key", "block").alias("key"), *f), whole, schema).select("a", "b")
+    edges = stage(edges.unionByName(first), "near-first")
+    comp = connected_components(edges).withColumnRenamed("node", "candidate")
+    of = stage(crowded.join(comp, "candidate", "left").withColumn("comp", F.coalesce("comp", "candidate")), "near-crowded")
+    cells = _met(with_away(of).withColumn("n", F.lit(1)), limit // 2, "candidate", *f)
+    return edges.unionByName(_by_key(cells.select(F.col("cell").alias("key"), *f), whole, schema).select("a", "b"))
+
+
+def _by_key(rows: DataFrame, found, schema: str) -> DataFrame:
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(found, schema)
 
 
-def _met(members: DataFrame, *columns: str) -> DataFrame:
-    """(cell, key, columns...) of members (key, block, blocks, columns...): any two blocks of a key share a cell."""
-    other = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.array_remove(F.sequence(F.lit(0), F.col("blocks") - 1), F.col("block")))
-    met = members.select("key", "block", *columns, F.explode(other).alias("other"))
-    return met.select(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("cell"), "key", *columns)
+def with_away(members: DataFrame) -> DataFrame:
+    """members (key, comp, ...) with away: whether they lie outside their key's largest component."""
+    sizes = members.groupBy("key", "comp").agg(F.count("*").alias("size"))
+    home = checkpoint(sizes.groupBy("key").agg(F.max(F.struct("size", "comp"))["comp"].alias("home")))
+    return members.join(_small(home), "key").withColumn("away", F.col("comp") != F.col("home")).drop("home")
+
+
+def _met(members: DataFrame, block: int, own: str, *columns: str) -> DataFrame:
+    """(cell, key, own, columns...) of members (key, own, n, away, columns...): any two of a key, one of them away, share a cell of about two blocks (sums of n).
+
+    A member at home is sent once for each block of those away: keys without any send nothing, and keys with few send a pass.
+    """
+    away = F.sum(F.when(F.col("away"), F.col("n")).otherwise(0))
+    sized = members.groupBy("key").agg(F.ceil(F.sum("n") / F.lit(block)).cast("int").alias("blocks"), F.ceil(away / F.lit(block)).cast("int").alias("others"), F.max("away").alias("any"))
+    sized = checkpoint(sized.where("any").select("key", F.greatest("blocks", F.lit(1)).alias("blocks"), F.greatest("others", F.lit(1)).alias("others")))
+    dealt = members.join(_small(sized), "key").withColumn("block", F.pmod(F.xxhash64(own), F.col("blocks")).cast("int")).withColumn("other", F.pmod(F.xxhash64(F.lit(1), own), F.col("others")).cast("int"))
+    met = F.transform(F.sequence(F.lit(0), F.col("others") - 1), lambda x: F.struct(F.col("block").alias("x"), x.alias("y")))
+    all_ = F.transform(F.array_remove(F.sequence(F.lit(0), F.col("blocks") - 1), F.col("block")), lambda x: F.struct(x.alias("x"), F.col("other").alias("y")))
+    dealt = dealt.select("key", own, *columns, F.explode(F.when(F.col("away"), F.concat(met, all_)).otherwise(met)).alias("at"))
+    return dealt.select(F.xxhash64("key", "at.x", "at.y").alias("cell"), "key", own, *columns)
 
 
 # ---- links inside groups of candidates
@@ -304,10 +335,8 @@ def _in_turn(cells: DataFrame, found, schema: str) -> DataFrame:
 
 
 def in_cells(members: DataFrame, values: DataFrame, block: int) -> DataFrame:
-    """(cell, key, node, v) of the members (key, node, n) of groups: any two of a group share a cell of at most about two blocks (sums of n)."""
-    blocks = members.groupBy("key").agg(F.ceil(F.sum("n") / F.lit(block)).cast("int").alias("blocks"))
-    own = members.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    return _met(own, "node").join(values, "node").select("cell", "key", "node", "v")
+    """(cell, key, node, v) of the members (key, node, n, away) of groups: any two of a group, one of them away, share a cell of at most about two blocks."""
+    return _met(members, block, "node").join(values, "node").select("cell", "key", "node", "v")
 
 
 def similar_components(docs: DataFrame, n: int = 5, seed: int = 42) -> DataFrame:
@@ -319,7 +348,12 @@ def similar_components(docs: DataFrame, n: int = 5, seed: int = 42) -> DataFrame
     sizes = sizes_for(docs.count())
     words, distance = sizes[2:]
     f = [f"f{j}" for j in range(words)]
-    nodes = stage(with_fingerprints(docs, n, seed, words), "near-nodes")
+    salt = 0
+    while True:
+        nodes = stage(with_fingerprints(docs, n, seed, words, salt), "near-nodes")
+        if nodes.groupBy("node").agg(F.min("second").alias("x"), F.max("second").alias("y")).where("x <> y").isEmpty():
+            break
+        salt += 1
     group = connected_components(candidate_edges(nodes, sizes, ENTRY)).withColumnRenamed("node", "candidate")
     one = nodes.groupBy("node").agg(F.min("__row").alias("__row"), F.first("n").alias("n"), F.first("candidate").alias("candidate"), *[F.first(c).alias(c) for c in f])
     one = one.join(group, "candidate", "left").select("node", "__row", "n", F.coalesce("comp", "candidate").alias("key"), *f)
@@ -327,26 +361,23 @@ def similar_components(docs: DataFrame, n: int = 5, seed: int = 42) -> DataFrame
     many = checkpoint(one.groupBy("key").agg(F.count("*").alias("members"), F.min("node").alias("pivot")).where("members > 1"))
     open_ = stage(one.join(many, "key"), "near-groups")
 
-    rows = open_.select("__row")
-    rows = F.broadcast(rows) if rows.count() <= SMALL else rows  # a number a text; beyond that the join shuffles
-    sets = with_sets(docs.select("__row", "text").join(rows, "__row", "left_semi"), n, seed).select("node", "shingles").dropDuplicates(["node"])
+    sets = with_sets(docs.select("__row", "text").join(_small(open_.select("__row")), "__row", "left_semi"), n, seed, salt).select("node", "shingles").dropDuplicates(["node"])
     sized = sets.join(open_.select("node", "key", "pivot"), "node")
     blocks = stage(open_.groupBy("key").agg(F.ceil(F.sum("n") / F.lit(BLOCK)).cast("int").alias("blocks")).where("blocks > 1"), "near-large")
     if blocks.isEmpty():
         cells = sized.select(F.col("key").alias("cell"), "key", "node", F.col("shingles").alias("v"))
     else:
         block = F.when(F.col("node") == F.col("pivot"), F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), F.coalesce("blocks", F.lit(1))).cast("int")))
-        dealt = sized.join(F.broadcast(blocks), "key", "left").select("key", "node", "shingles", F.explode(block).alias("block"))
+        dealt = sized.join(_small(blocks), "key", "left").select("key", "node", "shingles", F.explode(block).alias("block"))
         cells = dealt.select(F.xxhash64("key", "block").alias("cell"), "key", "node", F.col("shingles").alias("v"))
     comp = connected_components(_in_turn(cells, _links, "a long, b long"))
 
     if not blocks.isEmpty():
-        of = checkpoint(open_.join(F.broadcast(blocks.select("key")), "key", "left_semi").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node")))
-        mixed = of.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least <> most").select("key")
-        of = of.join(mixed, "key").select("key", "node", "n", F.concat(F.array("comp"), F.array(*f)).alias("v"))
-        ends = checkpoint(_in_turn(in_cells(of.select("key", "node", F.lit(1).alias("n")), of.select("node", "v"), BLOCK // 64), _possible(distance), "key long, node long").distinct())
+        of = checkpoint(open_.join(_small(blocks.select("key")), "key", "left_semi").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node")))
+        of = stage(with_away(of).select("key", "node", "n", "away", F.concat(F.array("comp"), F.array(*f)).alias("v")), "near-away")
+        ends = checkpoint(_in_turn(in_cells(of.select("key", "node", F.lit(1).alias("n"), "away"), of.select("node", "v"), BLOCK // 64), _possible(distance), "key long, node long").distinct())
         if not ends.isEmpty():
-            edges = _in_turn(in_cells(ends.join(of.select("node", "n"), "node"), sets.select("node", F.col("shingles").alias("v")), BLOCK), _links, "a long, b long")
-            comp = connected_components(comp.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(edges))
-    own = nodes.drop("n", "candidate", *f)
+            met = in_cells(ends.join(of.select("node", "n", "away"), "node"), sets.select("node", F.col("shingles").alias("v")), BLOCK)
+            comp = connected_components(comp.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(_in_turn(met, _links, "a long, b long")))
+    own = nodes.drop("second", "n", "candidate", *f)
     return own.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node")).drop("node")

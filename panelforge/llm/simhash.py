@@ -217,18 +217,19 @@ def keep_one(docs: DataFrame, n: int = 5, seed: int = 42) -> DataFrame:
 
     Links: sets of five-word shingles with a Jaccard similarity of 0.8 or more, found by multi-index hashing over
     SimHash fingerprints of 128 bits or more and verified on the sets (see near_sets for what may be missed). Columns
-    and texts stay as they are; rows that repeat in full become one. All texts without words are one group. An
-    empty table stays empty.
+    and texts stay as they are (names starting with two underscores are the operator's own); rows that repeat in full
+    become one: rows are told apart by doc_id and row hash. Texts of any length are read in whole; all without words,
+    nulls among them, are one group. An empty table stays empty.
     """
     from panelforge.llm.near_sets import similar_components
 
     rows = docs.withColumn("__row", row_hash(docs))
     fp = checkpoint(similar_components(rows.select("doc_id", "__row", "text"), n, seed))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "__row"))
-    best = fp.groupBy("comp").agg(first.alias("best")).select(F.col("best.__row").alias("__row"))
-    kept = rows.join(best, "__row", "left_semi")
-    if not fp.groupBy("__row").count().where("count > 1").isEmpty():
-        kept = kept.dropDuplicates(["__row"])
+    best = fp.groupBy("comp").agg(first.alias("best")).select(F.col("best.doc_id").alias("__id"), F.col("best.__row").alias("__best"))
+    kept = rows.join(best, (F.col("__row") == F.col("__best")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    if not fp.groupBy("doc_id", "__row").count().where("count > 1").isEmpty():
+        kept = kept.dropDuplicates(["doc_id", "__row"])
     return kept.drop("__row")
 
 

@@ -500,9 +500,15 @@ def test_crowded_entries_and_groups_are_cut_into_blocks(spark, monkeypatch):
 
     sets = spark.createDataFrame([(i, [int(x) for x in range(i, i + 10)]) for i in range(400)], "node long, v array<long>")
     cells = defaultdict(set)
-    for x in near_sets.in_cells(spark.range(400).select(F.lit(7).alias("key"), F.col("id").alias("node"), F.lit(10).alias("n")), sets, 500).collect():
+    own = spark.range(400).select(F.lit(7).alias("key"), F.col("id").alias("node"), F.lit(10).alias("n"))
+    for x in near_sets.in_cells(own.withColumn("away", F.lit(True)), sets, 500).collect():
         cells[x.cell].add(x.node)
     assert max(map(len, cells.values())) < 160 and len({p for c in cells.values() for p in combinations(sorted(c), 2)}) == 400 * 399 // 2
+    # a family costs a pass: few are away, so each of the others is sent once; with none away nothing is
+    few = near_sets.in_cells(own.withColumn("away", F.col("node") < 3), sets, 500).collect()
+    pairs = {p for c in {x.cell for x in few} for p in combinations(sorted(x.node for x in few if x.cell == c), 2)}
+    assert len(few) == 400 + 3 * 7 and {(i, j) for i in range(3) for j in range(i + 1, 400)} <= pairs
+    assert near_sets.in_cells(own.withColumn("away", F.lit(False)), sets, 500).count() == 0
     monkeypatch.setattr(near_sets, "BLOCK", 500)
     monkeypatch.setattr(near_sets, "ENTRY", 16)
     r = np.random.default_rng(6)
@@ -513,6 +519,70 @@ def test_crowded_entries_and_groups_are_cut_into_blocks(spark, monkeypatch):
     assert {x.doc_id for x in got.collect()} == {comp.index(c) for c in comp}
 
 
+def test_a_crowded_entry_of_two_families_and_strangers(spark):
+    """Entries far beyond the limit give the same components as all pairs."""
+    from panelforge.llm import near_sets
+    from panelforge.llm.graph import connected_components
+
+    r = np.random.default_rng(8)
+    low = r.integers(0, 1 << 16)
+    centres = r.integers(0, 1 << 48, (2, 2)).astype(np.uint64) << np.uint64(16)
+    rows = []
+    for i in range(240):
+        fp = centres[i % 2].copy() if i < 200 else r.integers(0, 1 << 48, 2).astype(np.uint64) << np.uint64(16)
+        for bit in r.integers(16, 128, 5):
+            fp[bit // 64] ^= np.uint64(1) << np.uint64(max(16, bit % 64))
+        fp[0] |= np.uint64(low)
+        rows.append(fp)
+    fps = np.unique(np.array(rows), axis=0)
+    distance = 12
+    df = spark.createDataFrame([tuple(map(int, x)) for x in fps.view(np.int64)], "f0 long, f1 long")
+    number = near_sets._candidate(fps).tolist()
+    found = connected_components(near_sets.candidate_edges(df, (16, 8, 2, distance), 16)).collect()
+    comp = {x.node: x.comp for x in found}
+    parent = list(range(len(fps)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, j in combinations(range(len(fps)), 2):
+        if np.bitwise_count(fps[i] ^ fps[j]).sum() <= distance:
+            parent[root(j)] = root(i)
+    got, want = defaultdict(set), defaultdict(set)
+    for i, c in enumerate(number):
+        got[comp.get(c, c)].add(i)
+        want[root(i)].add(i)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values())) and len(want) > 20
+
+
+def test_sets_that_share_a_hash_are_hashed_anew(spark, monkeypatch):
+    from panelforge.llm import near_sets, simhash
+
+    real = near_sets._node
+    texts = [words(40, s) for s in range(6)]
+
+    def clashing(own, salt=0):
+        return 5 if salt == 0 else real(own, salt)
+
+    monkeypatch.setattr(near_sets, "_node", clashing)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {x.node for x in near_sets.with_fingerprints(docs, 5, 42, 2).collect()} == {5}
+    assert simhash.keep_one(docs).count() == 6
+
+
+def test_keep_one_tells_rows_apart_by_doc_id_too(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from panelforge.llm import simhash
+
+    monkeypatch.setattr(simhash, "row_hash", lambda df: F.lit(1).cast("long"))
+    texts = [words(40, s) for s in range(5)] + [words(40, 0)]
+    got = simhash.keep_one(spark.createDataFrame([(None if i == 4 else i, t) for i, t in enumerate(texts)], "doc_id long, text string"))
+    assert sorted(x.doc_id for x in got.collect() if x.doc_id is not None) == [0, 1, 2, 3] and got.count() == 5
+
+
 # ---- 10: n-gram trie
 
 
