@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from panelforge.jobs import aligned, artifacts, boosted, flagship, inference, kept, relations, ridge, volumes
+from panelforge.jobs import aligned, artifacts, boosted, flagship, inference, inventories, kept, relations, ridge, volumes
 from panelforge.operators import aggregates, generic, grids, keys, model, permutation, records, rows
 from panelforge.streaming import windows
 from panelforge.sources.adapters import DuckDialect, SparkDialect, run_sql
@@ -24,5 +24,5 @@ CATALOG["roi_stats"] = (flagship.roi_stats, CATALOG["roi_stats"][1])
 for _name, _run in inference.QUERIES.items():
     CATALOG[_name] = (_run, None)
 CATALOG["clopper_pearson"] = (inference.QUERIES["clopper_pearson"], inference.CLOPPER_PEARSON_SQL)
-CATALOG |= relations.QUERIES | artifacts.QUERIES | ridge.QUERIES | volumes.QUERIES | aligned.QUERIES | kept.QUERIES | windows.QUERIES | boosted.QUERIES
+CATALOG |= relations.QUERIES | artifacts.QUERIES | ridge.QUERIES | volumes.QUERIES | aligned.QUERIES | kept.QUERIES | inventories.QUERIES | windows.QUERIES | boosted.QUERIES
 CATALOG["generic_stream_tumbling"] = (windows.stream_tumbling, CATALOG["generic_tumbling"][1])

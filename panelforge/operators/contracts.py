@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import json
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -63,3 +65,29 @@ def keyed(df: DataFrame, expected: DataFrame, keys: list[str], what: str) -> Dat
     if any((report := key_report(df, expected, keys)).values()):
         raise ContractError(f"{what}: {report}")
     return expected.join(df, keys, "left")
+
+
+def config_rows(spark: SparkSession, config: dict) -> DataFrame:
+    """(path, value) of every entry of a nested configuration, inner ones too: dotted path, JSON text with sorted keys."""
+
+    def walk(entries, at=""):
+        for key, value in entries.items():
+            yield f"{at}{key}", json.dumps(value, sort_keys=True)
+            if isinstance(value, dict):
+                yield from walk(value, f"{at}{key}.")
+
+    return spark.createDataFrame(list(walk(config)), "path string, value string")
+
+
+def config_departures(config: DataFrame, frozen: dict[str, str]) -> DataFrame:
+    """(path, got, want, status) of every frozen path of a configuration (path, value): OK, MISSING or DIFFERS. Other paths may say anything."""
+    want = config.sparkSession.createDataFrame(list(frozen.items()), "path string, want string")
+    status = F.when(F.col("value").isNull(), "MISSING").when(F.col("value") == F.col("want"), "OK").otherwise("DIFFERS")
+    return want.join(config, "path", "left").select("path", F.col("value").alias("got"), "want", status.alias("status"))
+
+
+def require_config(config: DataFrame, frozen: dict[str, str]) -> DataFrame:
+    """The configuration, if it says exactly what is frozen; raises with every departure otherwise (there are no more than frozen paths)."""
+    if bad := {x.path: x.got for x in config_departures(config, frozen).where("status <> 'OK'").collect()}:
+        raise ContractError(f"configuration departs from the frozen one: {bad}")
+    return config

@@ -17,7 +17,10 @@ def read_tsv(spark: SparkSession, path: str, schema: str | StructType, comment:
 
 
 def inventory(spark: SparkSession, root: str) -> DataFrame:
-    """(relpath, bytes, mtime_epoch, sha256, kind) of every file under root; a double extension such as .nii.gz is one kind."""
+    """(relpath, bytes, mtime_epoch, sha256, kind) of every file under root; a double extension such as .nii.gz is one kind.
+
+    Spark's file sources pass over empty files and over names that start with . or _: neither is listed.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     base = F.lit(root.rstrip("/") + "/")
     rel = F.regexp_replace("path", "^file:/*", "/")
