@@ -21,6 +21,7 @@ for _module in (rows, keys, aggregates, grids, records, generic):
 for _module in (model, permutation):
     CATALOG |= _from_book(_module.BOOK, model.staged)
 CATALOG["roi_stats"] = (flagship.roi_stats, CATALOG["roi_stats"][1])
+CATALOG["exceedance"] = (relations.exceedance, CATALOG["exceedance"][1])
 for _name, _run in inference.QUERIES.items():
     CATALOG[_name] = (_run, None)
 CATALOG["clopper_pearson"] = (inference.QUERIES["clopper_pearson"], inference.CLOPPER_PEARSON_SQL)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelforge.functions.ordering import numbered
@@ -32,6 +32,14 @@ SELECT e.event_id, p.previous FROM {events} e JOIN p ON p.user_id = e.user_id AN
     return spark.sql(sql, events=events)
 
 
+def exceedance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many conditions' means reach that of condition A in each region. The means are taken once and compared in a window: a second sum of the same rows can differ in its last bit, and A would miss itself."""
+    means = run_sql(spark, sf_dir, f"WITH {CELLS} SELECT roi, condition, avg(roi_mean) AS t FROM cells WHERE roi IS NOT NULL GROUP BY roi, condition")
+    region = Window.partitionBy("roi")
+    rows = means.withColumn("own", F.max(F.when(F.col("condition") == "A", F.col("t"))).over(region)).withColumn("has_own", F.count_if(F.col("condition") == "A").over(region))
+    return rows.where("has_own > 0").groupBy("roi").agg(F.count_if(F.col("t") >= F.col("own")).alias("k"), F.count("*").alias("b"))
+
+
 def scenario_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rejections of each condition's cells: rate, standard error, exact interval, and how the statistics are spread."""
     cells = run_sql(spark, sf_dir, f"WITH {CELLS} SELECT * FROM cells")
