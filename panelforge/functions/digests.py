@@ -12,12 +12,13 @@ from panelforge.functions.shared import materialised
 FAN = 4096
 
 
-def digest_tree(df: DataFrame, order: list[str], line: Column, fan: int = FAN) -> DataFrame:
+def digest_tree(df: DataFrame, order: list[str], line: Column, fan: int = FAN, levels: int | None = None) -> DataFrame:
     """(level, node, n, sha256) of the tree over df's lines in the given order (rows that agree in it: by line).
 
     A leaf (level 0) digests up to `fan` consecutive lines, a node above it as many digests of the level below, each
     with a line end; n counts lines throughout. The last level is one node, whose digest is the table's. An empty
-    table has one empty leaf. Two tables differ just where their leaves do, see differing_leaves.
+    table has one empty leaf. Two tables differ just where their leaves do, see differing_leaves. With `levels`, no more
+    levels than that are built, and the last may have several nodes.
     """
     placed = numbered(df.select(*order, F.coalesce(line, F.lit("")).alias("__line")), *order, "__line", name="__at")
     level, rows, out = 0, placed.select("__at", "__line", F.lit(1).cast("long").alias("__n")), None
@@ -28,7 +29,7 @@ def digest_tree(df: DataFrame, order: list[str], line: Column, fan: int = FAN) -
         out, nodes = own if out is None else out.unionByName(own), own.count()
         if not nodes:
             return df.sparkSession.range(1).select(F.lit(0).alias("level"), F.lit(0).cast("long").alias("node"), F.lit(0).cast("long").alias("n"), F.sha2(F.lit(""), 256).alias("sha256"))
-        if nodes == 1:
+        if nodes == 1 or level + 1 == levels:
             return out
         level, rows = level + 1, own.select(F.col("node").alias("__at"), F.col("sha256").alias("__line"), F.col("n").alias("__n"))
 
