@@ -1,7 +1,7 @@
 """Alignment of volumes by normalised mutual information: profiles along six axes, a mirrored control, and a bounded search by direction sets.
 
-The anatomy moves, the target's values stay where they are. A trial is a row: the anatomy is sampled at the target's voxels through the
-trial's transform and the joint histogram taken there, so a round of trials of all scans is one job, and no volume is shuffled in it.
+The anatomy moves, the target's values stay where they are. A trial is a transform: the anatomy is sampled at the target's voxels through
+it and the joint histogram taken there, many trials at once; no volume is shuffled.
 """
 
 from __future__ import annotations
@@ -10,16 +10,17 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from panelforge.functions.affine import Matrix, applied, rigid, rotation
-from panelforge.functions.resampling import pick, voxel_map
+from panelforge.functions.resampling import voxel_map
 from panelforge.functions.shared import materialised
 
 AXES = ("tx", "ty", "tz", "rx", "ry", "rz")
 #: Points of a line search besides the place it starts from, and rounds over all directions.
 POINTS, SWEEPS = 12, 3
-#: Scans whose state (a row each) may be broadcast.
-SMALL = 100_000
+#: Voxels of trials that are sampled at once, and of scans that move together.
+SLAB, GROUP = 1 << 15, 1 << 17
 
 
 def share(values: Column, q: float) -> Column:
@@ -30,25 +31,107 @@ def share(values: Column, q: float) -> Column:
     return low + (h - F.floor(h)) * (high - low)
 
 
-def bins(values: np.ndarray, low: float, high: float, n: int) -> np.ndarray:
-    """Bin numbers over [low, high], the last bin closed; -1 outside, or where there is no room."""
-    if not high > low:
-        return np.full(values.shape, -1)
-    codes = np.minimum(np.floor((values - low) / (high - low) * n), n - 1)
-    return np.where((values >= low) & (values <= high), codes, -1).astype(np.int64)
-
-
-def _entropy(counts: np.ndarray) -> float:
-    p = counts[counts > 0] / counts.sum()
-    return float(-(p * np.log(p)).sum())
-
-
-def nmi(a: np.ndarray, b: np.ndarray, n: int) -> float | None:
-    """(H(A) + H(B)) / H(A, B) of n bins' numbers at the same places; None if the joint entropy is 0 or nothing is inside."""
-    inside = (a >= 0) & (b >= 0)
-    joint = np.bincount(a[inside] * n + b[inside], minlength=n * n).reshape(n, n)
-    both = _entropy(joint.ravel()) if joint.any() else 0.0
-    return (_entropy(joint.sum(axis=1)) + _entropy(joint.sum(axis=0))) / both if both > 1e-12 else None
+def bins(values: np.ndarray, low: np.ndarray, high: np.ndarray, n: int) -> np.ndarray:
+    """Bin numbers over [low, high] (a row each), the last bin closed; -1 outside, or where there is no room."""
+    room = high > low
+    codes = np.minimum(np.floor((values - low) / np.where(room, high - low, 1.0) * n), n - 1)
+    return np.where(room & (values >= low) & (values <= high), codes, -1).astype(np.int64)
+
+
+def _entropy(counts: np.ndarray) -> np.ndarray:
+    p = counts / np.maximum(counts.sum(axis=1, keepdims=True), 1)
+    return -(p * np.log(np.where(p > 0, p, 1.0))).sum(axis=1)
+
+
+def nmi(joint: np.ndarray) -> np.ndarray:
+    """(H(A) + H(B)) / H(A, B) of joint histograms (k x n x n); NaN if the joint entropy is 0 or nothing was counted."""
+    both = _entropy(joint.reshape(len(joint), -1))
+    some = both > 1e-12
+    return np.where(some, (_entropy(joint.sum(axis=2)) + _entropy(joint.sum(axis=1))) / np.where(some, both, 1.0), np.nan)
+
+
+def between(volumes: np.ndarray, which: np.ndarray, at: list[np.ndarray], shape: tuple[int, int, int]) -> np.ndarray:
+    """Values between voxels at places inside the volumes, each in the volume (a row) that `which` says."""
+    flat, steps = volumes.ravel(), (shape[1] * shape[2], shape[2], 1)
+    low = [np.minimum(np.floor(a).astype(np.int64), max(top - 2, 0)) for a, top in zip(at, shape, strict=True)]
+    part = [a - b for a, b in zip(at, low, strict=True)]
+    share = [(1 - p, p) for p in part]
+    index = [(b * step, np.minimum(b + 1, top - 1) * step) for b, top, step in zip(low, shape, steps, strict=True)]
+    total, base = np.zeros(len(which)), which * volumes.shape[1]
+    for i, j, k in np.ndindex(2, 2, 2):
+        total += share[0][i] * share[1][j] * share[2][k] * flat[base + index[0][i] + index[1][j] + index[2][k]]
+    return total
+
+
+def scores(values: np.ndarray, anatomy: np.ndarray, own: np.ndarray, other: np.ndarray, m: np.ndarray, shape: tuple[int, int, int], n: int) -> np.ndarray:
+    """NMI (scans x trials) of volumes (a row each) with anatomies sampled through 3 x 4 voxel maps (scans x trials x 12); 0 where a place is outside. At most SLAB voxels of trials at once."""
+    (size, trials), voxels = m.shape[:2], int(np.prod(shape))
+    if values.shape[1] != voxels or anatomy.shape[1] != voxels:
+        raise ValueError(f"{values.shape[1]} and {anatomy.shape[1]} values for volumes of {shape}")
+    code, out = bins(values, own[:, :1], own[:, 1:], n), np.empty((size, trials))
+    rows, wide = max(1, SLAB // (trials * voxels)), max(1, SLAB // trials)
+    for s in range(0, size, rows):
+        t = m[s : s + rows, :, :, None]
+        joint = np.zeros(len(t) * trials * n * n, np.int64)
+        for v in range(0, voxels, wide):
+            x, y, z = (a.astype(float) for a in np.unravel_index(np.arange(v, min(v + wide, voxels)), shape))
+            at = [t[:, :, 4 * c] * x + t[:, :, 4 * c + 1] * y + t[:, :, 4 * c + 2] * z + t[:, :, 4 * c + 3] for c in range(3)]
+            inside = np.flatnonzero(np.logical_and.reduce([(a >= 0) & (a <= top - 1) for a, top in zip(at, shape, strict=True)]))
+            moved = np.zeros(at[0].shape)
+            moved.ravel()[inside] = between(anatomy[s : s + rows], inside // (trials * len(x)), [a.ravel()[inside] for a in at], shape)
+            b = bins(moved, other[s : s + rows, :1, None], other[s : s + rows, 1:, None], n)
+            a = np.broadcast_to(code[s : s + rows, None, v : v + wide], b.shape)
+            cell = (np.arange(len(t) * trials).reshape(len(t), trials, 1) * n + a) * n + b
+            joint += np.bincount(cell[(a >= 0) & (b >= 0)], minlength=joint.size)
+        out[s : s + rows] = nmi(joint.reshape(-1, n, n)).reshape(len(t), trials)
+    return out
+
+
+def rigid_maps(x: np.ndarray, centre: np.ndarray) -> np.ndarray:
+    """transform_of() for arrays: 3 x 4 (scans x trials x 12) of six parameters (scans x trials x 6) about centres (scans x 3)."""
+    c, s, turns = np.cos(np.radians(x[..., 3:])), np.sin(np.radians(x[..., 3:])), []
+    for axis in range(3):
+        i, j = (axis + 1) % 3, (axis + 2) % 3
+        r = np.zeros((*x.shape[:2], 3, 3)) + np.eye(3)
+        r[..., i, i], r[..., i, j], r[..., j, i], r[..., j, j] = c[..., axis], -s[..., axis], s[..., axis], c[..., axis]
+        turns.append(r)
+    r, about = turns[2] @ (turns[1] @ turns[0]), centre[:, None, :]
+    shift = about - (r * about[:, :, None, :]).sum(axis=3) + x[..., :3]
+    return np.concatenate([r, shift[..., None]], axis=3).reshape(*x.shape[:2], 12)
+
+
+def search(score, centre: np.ndarray, bounds: list[float], most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(x, header, best, evaluations) of scans that move together, see Alignment.optimum(); score: NMI of voxel maps (scans x trials x 12)."""
+    limits, scans = np.array(bounds), np.arange(len(centre))
+    x = np.zeros((len(centre), 6))
+    header = score(rigid_maps(x[:, None], centre))[:, 0]
+    best, ways, used = np.nan_to_num(header), np.tile(np.diag(limits), (len(centre), 1, 1)), 1
+    for sweep in range(SWEEPS):
+        start, gains = x.copy(), np.zeros((len(centre), 6))
+        for k in range(7):
+            if used + POINTS > most:
+                return x, header, best, used
+            way, span = ways[:, k] if k < 6 else x - start, 0.5**sweep
+            # how far each parameter lets the line go, up and down
+            step, goes = np.where(way == 0, 1.0, way), way != 0
+            ends = [np.where(goes, (np.where(way > 0, side, -side) - x) / step, far) for side, far in ((limits, np.inf), (-limits, -np.inf))]
+            moves = goes.any(axis=1)
+            high, low = np.where(moves, np.minimum(ends[0].min(axis=1), span), 0.0), np.where(moves, np.maximum(ends[1].max(axis=1), -span), 0.0)
+            t = low[:, None] + (high - low)[:, None] * np.arange(POINTS) / (POINTS - 1)
+            trial = np.clip(x[:, None] + t[..., None] * way[:, None], -limits, limits)
+            value = np.nan_to_num(score(rigid_maps(trial, centre)))
+            # the greatest value, of equals the nearest place, then the greatest parameters
+            at = np.lexsort((*np.moveaxis(trial, 2, 0)[::-1], -np.abs(t), value), axis=1)[:, -1]
+            top, used = value[scans, at], used + POINTS
+            better = top > best
+            if k < 6:
+                gains[:, k] = np.where(better, top - best, 0.0)
+            x, best = np.where(better[:, None], trial[scans, at], x), np.maximum(best, top)
+        # the way that the sweep came takes the place of the direction that gained most
+        came = x - start
+        went = np.flatnonzero((came != 0).any(axis=1))
+        ways[went, gains[went].argmax(axis=1)] = came[went]
+    return x, header, best, used
 
 
 def transform_of(x: list[Column], centre: list[Column]) -> Matrix:
@@ -56,6 +139,13 @@ def transform_of(x: list[Column], centre: list[Column]) -> Matrix:
     return rigid(rotation(*x[3:]), x[:3], centre)
 
 
+def _stacked(columns: list[pd.Series], shape: tuple[int, int, int]):
+    """Columns of arrays as matrices, a row a scan, as many rows at once as fill a group."""
+    rows = max(1, GROUP // int(np.prod(shape)))
+    for i in range(0, len(columns[0]), rows):
+        yield [np.stack([np.asarray(x, float) for x in c.iloc[i : i + rows]]) for c in columns]
+
+
 class Alignment:
     """Trials of a table (scan, values, anatomy, centre): two volumes of one shape, in voxels of one unit, and the point to turn about."""
 
@@ -73,11 +163,8 @@ class Alignment:
 
         @F.pandas_udf("double")
         def scored(values: pd.Series, anatomy: pd.Series, own: pd.Series, other: pd.Series, m: pd.Series) -> pd.Series:
-            out = []
-            for v, a, r, s, t in zip(values, anatomy, own, other, m, strict=True):
-                moved = pick(np.asarray(a, float).reshape(shape), np.asarray(t, float).reshape(3, 4), shape, 1).ravel()
-                out.append(nmi(bins(np.asarray(v, float), *r, n), bins(moved, *s, n), n))
-            return pd.Series(out, dtype="float64")
+            parts = [scores(v, a, r, s, t[:, None], shape, n)[:, 0] for v, a, r, s, t in _stacked([values, anatomy, own, other, m], shape)]
+            return pd.Series(np.concatenate(parts) if parts else [], dtype="float64")
 
         return trials.withColumn(name, scored("values", "anatomy", "values_range", "anatomy_range", voxel_map(self.unit, self.unit, m)))
 
@@ -102,52 +189,21 @@ class Alignment:
         """(scan, x, header, best, evaluations): the parameters of greatest NMI within the bounds, from 0, by at most `most` evaluations a scan.
 
         Direction sets: lines along six directions in turn, then along the way that the sweep came, which takes the place of
-        the direction that gained most. A line is searched at POINTS places, over half the span from sweep to sweep. All scans
-        move together, a job a line.
+        the direction that gained most. A line is searched at POINTS places, over half the span from sweep to sweep. A scan's
+        search needs no other scan: it is one pass, in which the scans of a group move together.
         """
-        bounds = [shift] * 3 + [degrees] * 3
-        start = self.score(self.scans, self.unit, "header").select("scan", "header")
-        axes = F.array(*[F.array(*[F.lit(bounds[i] if i == j else 0.0) for j in range(6)]) for i in range(6)])
-        zeros = F.array(*[F.lit(0.0)] * 6)
-        state = materialised(start.select("scan", "header", zeros.alias("x"), F.coalesce("header", F.lit(0.0)).alias("best"), axes.alias("ways"), zeros.alias("from"), F.array(*[F.lit(0.0)] * 6).alias("gains"), F.lit(1).alias("evaluations")))
-        small = state.count() <= SMALL
-        used = 1
-        for sweep in range(SWEEPS):
-            state = state.withColumn("from", F.col("x")).withColumn("gains", F.array(*[F.lit(0.0)] * 6))
-            for k in range(7):
-                if used + POINTS > most:
-                    return state.select("scan", "x", "header", "best", "evaluations")
-                way = F.get("ways", F.lit(k)) if k < 6 else F.zip_with("x", "from", lambda a, b: a - b)
-                state, used = materialised(self._line(state, way, 0.5**sweep, k, bounds, small)), used + POINTS
-            # the way that the sweep came takes the place of the direction that gained most
-            came = F.zip_with("x", "from", lambda a, b: a - b)
-            most_gain = F.array_position("gains", F.array_max("gains")) - 1
-            still = F.forall(came, lambda v: v == 0)
-            ways = F.transform(F.sequence(F.lit(0), F.lit(5)), lambda i: F.when((i == most_gain) & ~still, came).otherwise(F.get("ways", i)))
-            state = state.withColumn("ways", ways)
-        return state.select("scan", "x", "header", "best", "evaluations")
-
-    def _line(self, state: DataFrame, way: Column, span: float, k: int, bounds: list[float], small: bool) -> DataFrame:
-        state = state.withColumn("way", way)
-        limits = F.array(*[F.lit(float(b)) for b in bounds])
-        # how far each parameter lets the line go, up and down
-        up = F.zip_with(F.zip_with("way", "x", lambda d, x: F.struct(d.alias("d"), x.alias("x"))), limits, lambda p, b: F.when(p["d"] != 0, (F.when(p["d"] > 0, b).otherwise(-b) - p["x"]) / p["d"]))
-        down = F.zip_with(F.zip_with("way", "x", lambda d, x: F.struct(d.alias("d"), x.alias("x"))), limits, lambda p, b: F.when(p["d"] != 0, (F.when(p["d"] > 0, -b).otherwise(b) - p["x"]) / p["d"]))
-        high, low = F.least(F.coalesce(F.array_min(up), F.lit(0.0)), F.lit(span)), F.greatest(F.coalesce(F.array_max(down), F.lit(0.0)), F.lit(-span))
-        rows = self.scans.join(F.broadcast(state) if small else state, "scan").withColumn("low_t", low).withColumn("high_t", high)
-        rows = rows.withColumn("t", F.explode(F.transform(F.sequence(F.lit(0), F.lit(POINTS - 1)), lambda i: F.col("low_t") + (F.col("high_t") - F.col("low_t")) * i / (POINTS - 1))))
-        clipped = F.zip_with(F.zip_with("x", "way", lambda x, d: x + F.col("t") * d), limits, lambda v, b: F.greatest(F.least(v, b), -b))
-        rows = rows.withColumn("trial", clipped)
-        m = transform_of([F.get("trial", F.lit(i)) for i in range(6)], self.centre)
-        tried = self.score(rows, m, "value").select("scan", "trial", F.coalesce("value", F.lit(0.0)).alias("value"), F.col("t"))
-        top = tried.groupBy("scan").agg(F.max(F.struct("value", (-F.abs("t")).alias("near"), "trial")).alias("top"))
-        better = F.col("top.value") > F.col("best")
-        out = state.join(top, "scan")
-        gain = F.when(better, F.col("top.value") - F.col("best")).otherwise(0.0)
-        gains = F.transform(F.sequence(F.lit(0), F.lit(5)), lambda i: F.when(i == k, gain).otherwise(F.get("gains", i)))
-        return out.select(
-            "scan", "header", F.when(better, F.col("top.trial")).otherwise(F.col("x")).alias("x"), F.greatest("best", "top.value").alias("best"), "ways", "from", gains.alias("gains"), (F.col("evaluations") + POINTS).alias("evaluations")
-        )
+        shape, n, bounds = self.shape, self.n, [shift] * 3 + [degrees] * 3
+
+        def found(batches):
+            for batch in batches:
+                at = 0
+                for v, a, r, s, centre in _stacked([batch[c] for c in ("values", "anatomy", "values_range", "anatomy_range", "centre")], shape):
+                    x, header, best, used = search(lambda m: scores(v, a, r, s, m, shape, n), centre, bounds, most)  # noqa: B023
+                    yield pd.DataFrame({"scan": batch["scan"].iloc[at : at + len(v)].to_numpy(), "x": list(x), "header": header, "best": best, "evaluations": used})
+                    at += len(v)
+
+        kinds = T.StructType([self.scans.schema["scan"], T.StructField("x", T.ArrayType(T.DoubleType())), T.StructField("header", T.DoubleType()), T.StructField("best", T.DoubleType()), T.StructField("evaluations", T.IntegerType())])
+        return materialised(self.scans.mapInPandas(found, kinds))
 
 
 def displacements(points: Column, m: Matrix) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelforge.functions.affine import from_array
 from panelforge.functions.alignment import AXES, Alignment, displacements, transform_of
 from panelforge.sources.adapters import DuckDialect
 
@@ -50,7 +51,7 @@ def alignment_optimum(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _alignment(spark, sf_dir)
     best = found.optimum(*_BOUNDS).join(found.scans.select("scan", "values", "centre"), "scan")
     m = transform_of([F.get("x", F.lit(i)) for i in range(6)], found.centre)
-    best = best.withColumn("moved", displacements(_points(lambda v: v > 0), m))
+    best = best.withColumn("m", F.array(*[c for row in m for c in row])).withColumn("moved", displacements(_points(lambda v: v > 0), from_array("m")))
     return best.select("scan", "header", *[F.get("x", F.lit(i)).alias(a) for i, a in enumerate(AXES)], F.col("best").alias("nmi"), (F.col("best") - F.col("header")).alias("gain"), "evaluations", F.col("moved.mean").alias("mean_moved"), F.col("moved.most").alias("most_moved"))
 
 
