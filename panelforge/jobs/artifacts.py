@@ -18,7 +18,7 @@ from panelforge.functions.shared import materialised
 from panelforge.operators.contracts import keyed, require, require_columns, require_finite
 from panelforge.sources.adapters import LONG, TABLES, run_sql
 from panelforge.sources.files import file_status, gate, inventory, read_tsv
-from panelforge.sources.sinks import new_folder, portable, write_json_lines, write_texts, write_tsv
+from panelforge.sources.sinks import new_folder, portable, write_files, write_json_lines, write_tsv
 from panelforge.sources.statistics import parse_region_statistics, region_statistics
 from panelforge.sources.transforms import parse_transforms, world_transforms
 from panelforge.sources.volumes import encode_mgh, encode_nifti, gate_report, label_volumes, volumes
@@ -75,8 +75,9 @@ def json_portable(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Inventory of the documents as text files, a bundle of ids of a source each: relpath like src1/3.txt."""
     docs = _table(spark, sf_dir, "documents", "doc_id", "source", "text").where("source is not null and doc_id is not null").withColumn("bundle", F.floor(F.col("doc_id") / BUNDLE))
-    files = inventory(spark, write_texts(docs, ["source", "bundle"], ["doc_id", "text"], "text", new_folder(spark, "bundles")))
-    part = lambda i: F.regexp_extract("relpath", r"source=([^/]+)/bundle=([^/]+)/", i)
+    most = max(256, 4 * spark.sparkContext.defaultParallelism)  # files are small, and Spark would read some 30 a task
+    files = inventory(spark, write_files(docs, ["source", "bundle"], ["doc_id", "text"], "text", new_folder(spark, "bundles"))).coalesce(most)
+    part = lambda i: F.regexp_extract("relpath", r"source=([^/]+)/bundle=([^/]+)[.]txt$", i)
     return files.select(F.concat(part(1), F.lit("/"), part(2), F.lit("."), "kind").alias("relpath"), "bytes", "sha256", "kind", part(1).alias("source"))
 
 

@@ -22,8 +22,7 @@ def inventory(spark: SparkSession, root: str) -> DataFrame:
     Spark's file sources pass over empty files and over names that start with . or _: neither is listed.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    base = F.lit(root.rstrip("/") + "/")
-    rel = F.regexp_replace("path", "^file:/*", "/")
+    rel, base = (F.regexp_replace(p, "^file:/*", "/") for p in (F.col("path"), F.lit(root.rstrip("/") + "/")))
     return files.select(
         F.substring(rel, F.length(base) + F.lit(1), F.length(rel)).alias("relpath"), F.col("length").alias("bytes"), F.unix_timestamp("modificationTime").alias("mtime_epoch"),
         F.sha2("content", 256).alias("sha256"), F.regexp_extract("path", r"[.]([^./]+([.]gz)?)$", 1).alias("kind"),
