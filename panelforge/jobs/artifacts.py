@@ -77,7 +77,7 @@ def bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents", "doc_id", "source", "text").where("source is not null and doc_id is not null").withColumn("bundle", F.floor(F.col("doc_id") / BUNDLE))
     most = max(256, 4 * spark.sparkContext.defaultParallelism)  # files are small, and Spark would read some 30 a task
     files = inventory(spark, write_files(docs, ["source", "bundle"], ["doc_id", "text"], "text", new_folder(spark, "bundles"))).coalesce(most)
-    part = lambda i: F.regexp_extract("relpath", r"source=([^/]+)/bundle=([^/]+)[.]txt$", i)
+    part = lambda i: F.regexp_extract("relpath", r"source=([^/]+)/bundle=([^/]+?)([.]txt$|/)", i)
     return files.select(F.concat(part(1), F.lit("/"), part(2), F.lit("."), "kind").alias("relpath"), "bytes", "sha256", "kind", part(1).alias("source"))
 
 

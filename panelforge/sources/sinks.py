@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
+import os
 import re
 import uuid
 from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelforge.functions.shared import made_folder, scratch_dir
+from panelforge.functions.shared import qualified, scratch_dir
 from panelforge.sources.files import NEVER, read_tsv
 
 
@@ -58,21 +58,24 @@ def _named(key: str, value: str | None) -> str:
 
 
 def write_files(df: DataFrame, keys: list[str], order: list[str], text: str, path: str) -> str:
-    """write_texts() for very many files: folders key=value as there, but the last key names the file (key=value.txt), so a folder holds many.
+    """write_texts() for very many files: on a mounted file system the last key names the file (key=value.txt), so a folder holds many.
 
-    The tasks write their files themselves, one at a time, under a hidden name until it is whole: Spark's writer makes a folder
-    for every file, moves all of them in the driver, and its local file system starts a process or more for each.
+    There the tasks write their files themselves, one at a time, under a hidden name until it is whole: Spark's writer makes a folder
+    for every file, moves all of them in the driver, and its local file system starts a process or more for each. Elsewhere
+    it is write_texts().
     """
-    root = made_folder(df.sparkSession, path)
+    root = qualified(df.sparkSession, path)
+    if not root.startswith("file:"):
+        return write_texts(df, keys, order, text, path)
+    top = "/" + root[5:].lstrip("/")
+    os.makedirs(top)
 
     def write(batches):
-        local = "/" + root[5:].lstrip("/") if root.startswith("file:") else None
-        files, top = (pa.fs.LocalFileSystem(), local) if local else pa.fs.FileSystem.from_uri(root)
-        made, now, out, part, n = set(), None, None, None, 0
+        now, out, part, n = None, None, None, 0
 
         def close():
             out.close()
-            files.move(part, f"{top}/{now}.txt")
+            os.replace(part, f"{top}/{now}.txt")
 
         for batch in batches:
             names = list(zip(*[batch.column(k).to_pylist() for k in keys], strict=True))
@@ -87,17 +90,16 @@ def write_files(df: DataFrame, keys: list[str], order: list[str], text: str, pat
                         close()
                     now, n = at, n + 1
                     folder, file = f"{top}/{at}".rsplit("/", 1)
-                    if folder not in made:
-                        files.create_dir(folder, recursive=True)
-                        made.add(folder)
+                    os.makedirs(folder, exist_ok=True)
                     part = f"{folder}/.{file}.{uuid.uuid4().hex}"
-                    out = files.open_output_stream(part)
+                    out = open(part, "wb")
                 out.write(data.slice(ends[rows[0]], ends[rows[-1] + 1] - ends[rows[0]]))
         if out:
             close()
         yield pa.RecordBatch.from_pydict({"files": [n]})
 
-    rows = df.select(*[F.col(k).cast("string").alias(k) for k in keys], *[F.col(c).alias(f"__by{i}") for i, c in enumerate(order)], F.concat(F.coalesce(F.col(text), F.lit("")), F.lit("\n")).cast("binary").alias("__text"))
+    own = [F.nullif(F.col(k).cast("string"), F.lit("")).alias(k) for k in keys]  # null and empty share a name
+    rows = df.select(*own, *[F.col(c).alias(f"__by{i}") for i, c in enumerate(order)], F.concat(F.coalesce(F.col(text), F.lit("")), F.lit("\n")).cast("binary").alias("__text"))
     rows = rows.repartition(*keys).sortWithinPartitions(*keys, *[f"__by{i}" for i in range(len(order))]).select(*keys, "__text")
     rows.mapInArrow(write, "files long").agg(F.sum("files")).collect()
     return path
